@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_spindrift_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="spindrift-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._spindrift_shipped = True
+
+
+def arrow(df: DataFrame, function: Callable, schema: str, barrier: bool = False) -> DataFrame:
+    """``mapInArrow`` with a function of this package, which the executors get first."""
+    shipped(df.sparkSession)
+    return df.mapInArrow(function, schema, barrier)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

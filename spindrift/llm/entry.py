@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, near_dedup, reshard
 
 
 def queries() -> dict:
-    return {"op4_exact_dedup": exact_dedup.op4_exact_dedup}
+    return {
+        "op2_flow_resharding": reshard.op2_flow_resharding,
+        "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict:
