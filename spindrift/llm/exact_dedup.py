@@ -68,7 +68,7 @@ def flush_runs(found: DataFrame, runs: int = 4) -> str:
         memtable.sortWithinPartitions("run", "digest")
         .write.partitionBy("run")
         .option("parquet.bloom.filter.enabled#digest", "true")
-        .option("parquet.bloom.filter.max.bytes", str(1 << 20))
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .parquet(path)
     )
     return path
