@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, reshard
+from . import exact_dedup, near_dedup, packing, reshard
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_flow_resharding": reshard.op2_flow_resharding,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+        "op8_ordered_packing": packing.op8_ordered_packing,
     }
 
 
