@@ -9,7 +9,7 @@ candidate j at position p(j),
 
 f(i) + p(i) does not depend on j, so the minimum over the moving range of i is kept in a monotone queue and
 each candidate costs constant time. The line is solved in stretches of ``STRETCH`` windows; a stretch's last
-window is reopened by the next one.
+window stays open for the next one.
 
 Spark splits the documents by ranges of ``doc_id`` and each task packs its range. The rest that a task's
 last window holds is cut into lengths that are powers of two, which need no padding.
@@ -78,8 +78,11 @@ def candidates(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, penalty
 
 
-def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW) -> list[int]:
-    """The cheapest cuts of a line, from 0 to its end; ``at`` ascends by steps of ``window`` at most."""
+def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW, goes_on: bool = False) -> list[int]:
+    """The cheapest cuts of a line, from 0 to its end; ``at`` ascends by steps of ``window`` at most.
+
+    Where the line goes on, the cuts end with the cheapest within a window of the end.
+    """
     cost, back = [0] * len(at), [0] * len(at)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + p(i), i), rising
     for j in range(1, len(at)):
@@ -91,7 +94,10 @@ def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW) -> list[i
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, j))
-    out, j = [at[-1]], len(at) - 1
+    j = len(at) - 1
+    if goes_on:
+        j = min((i for i in range(1, j) if at[i] > at[-1] - window), key=lambda i: (cost[i], -i), default=j)
+    out = [at[j]]
     while j:
         j = back[j]
         out.append(at[j])
@@ -113,11 +119,9 @@ def pack(docs: Iterator[tuple[int, np.ndarray]], first_sequence: int = 0, window
         line = np.concatenate([x[1] for x in held])
         ends = np.cumsum([len(x[1]) for x in held])
         where, penalty = candidates(line, ends)
-        borders = best_cuts(where.tolist(), penalty.tolist(), window)
+        borders = best_cuts(where.tolist(), penalty.tolist(), window, not last)
         if last and (rest := borders[-1] - borders[-2]) < window:
             borders[-1:] = np.cumsum([borders[-2], *powers(rest)]).tolist()[1:]
-        elif not last:
-            borders.pop()
         starts, k = [0, *ends.tolist()], 0
         for low, high in zip(borders, borders[1:]):
             at = low
