@@ -78,10 +78,10 @@ def candidates(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, penalty
 
 
-def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW, goes_on: bool = False) -> list[int]:
-    """The cheapest cuts of a line, from 0 to its end; ``at`` ascends by steps of ``window`` at most.
+def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW) -> list[int]:
+    """The cheapest cuts of a line from 0 on, as far as the cheapest that leaves no more than a window.
 
-    Where the line goes on, the cuts end with the cheapest within a window of the end.
+    ``at`` ascends by steps of ``window`` at most.
     """
     cost, back = [0] * len(at), [0] * len(at)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + p(i), i), rising
@@ -94,9 +94,7 @@ def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW, goes_on:
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, j))
-    j = len(at) - 1
-    if goes_on:
-        j = min((i for i in range(1, j) if at[i] > at[-1] - window), key=lambda i: (cost[i], -i), default=j)
+    j = min((i for i in range(len(at)) if at[i] >= at[-1] - window and i < len(at) - 1), key=lambda i: (cost[i], -i))
     out = [at[j]]
     while j:
         j = back[j]
@@ -119,9 +117,9 @@ def pack(docs: Iterator[tuple[int, np.ndarray]], first_sequence: int = 0, window
         line = np.concatenate([x[1] for x in held])
         ends = np.cumsum([len(x[1]) for x in held])
         where, penalty = candidates(line, ends)
-        borders = best_cuts(where.tolist(), penalty.tolist(), window, not last)
-        if last and (rest := borders[-1] - borders[-2]) < window:
-            borders[-1:] = np.cumsum([borders[-2], *powers(rest)]).tolist()[1:]
+        borders = best_cuts(where.tolist(), penalty.tolist(), window)
+        if last:
+            borders += (borders[-1] + np.cumsum(powers(size - borders[-1]))).tolist()
         starts, k = [0, *ends.tolist()], 0
         for low, high in zip(borders, borders[1:]):
             at = low
