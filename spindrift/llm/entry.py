@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, reshard
+from . import exact_dedup, near_dedup, packing, reshard, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_flow_resharding": reshard.op2_flow_resharding,
+        "op3_chunk_dedup": substring_dedup.op3_chunk_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
         "op8_ordered_packing": packing.op8_ordered_packing,

@@ -6,8 +6,9 @@
    0.75 two classes share none with probability (1 - 0.75^4)^32, about 5e-6.
 3. Candidates are compared in three rounds, none of which pairs up what is already connected:
    each bucket's smallest member with the others; then one drawn by hash with those not yet connected to it;
-   then all that are still in different components, in blocks of a bucket against blocks. The last round
-   makes the search complete; the first two take a bucket of many near copies in linear work.
+   then all that are still in different components, in blocks of a bucket against blocks, inside tasks that
+   return links only. The last round makes the search complete; the first two join most of a bucket of many
+   near copies in linear work.
 4. A candidate's signatures are compared 16 minima at a time. Under a uniform prior the posterior chance
    of a similarity of 0.75 or more is a binomial tail; when it falls below ``MISS`` the pair is dropped.
 5. Survivors are verified on their full sets: 100 * intersection >= 75 * union.
@@ -35,8 +36,8 @@ from .common import Memo, arrow, table, written
 from .components import components
 
 WORDS, MINIMA, BANDS, STEP, MISS = 5, 128, 32, 16, 1e-6
-#: Members of a bucket that the last round compares as one block.
-BLOCK = 128
+#: Members of a bucket that the last round compares as one block, pairs and shingles taken at a time.
+BLOCK, PAIRS, COLUMNS = 512, 1 << 18, 4096
 
 _RANDOM = np.random.RandomState(20240229)
 _MULTIPLY = _RANDOM.randint(0, 1 << 62, MINIMA).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,6 +150,83 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(text).tobytes() for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections, by products of 0-1 matrices over the shingles that both sides have."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def matrix(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(sets), len(columns)), np.float32)
+        for row, s in zip(m, sets, strict=True):
+            row[np.isin(columns, s, assume_unique=True)] = 1
+        return m
+
+    for k in range(0, len(both), COLUMNS):
+        columns = both[k : k + COLUMNS]
+        out += matrix(left, columns) @ matrix(right, columns).T
+    return out
+
+
+def _block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
+    """The links between members of block i and of block j that are in different components."""
+    left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+    if not len(left) or not len(right):
+        return []
+    apart = component[left][:, None] != component[right][None, :]
+    if i == j:
+        apart &= ids[left][:, None] < ids[right][None, :]
+    x, y = np.nonzero(apart)
+    if not len(x):
+        return []
+    signs = np.stack([signature(s) for s in sets])
+    alive = []
+    for k in range(0, len(x), PAIRS):
+        a, b = left[x[k : k + PAIRS]], right[y[k : k + PAIRS]]
+        equal = np.zeros(len(a), np.int64)
+        for n in range(STEP, MINIMA + 1, STEP):
+            equal += (signs[a, n - STEP : n] == signs[b, n - STEP : n]).sum(axis=1)
+            go = equal >= least_matches(n)
+            a, b, equal = a[go], b[go], equal[go]
+        alive.append((a, b))
+    a, b = (np.concatenate(c) for c in zip(*alive, strict=True))
+    if not len(a):
+        return []
+    rows, row = np.unique(a, return_inverse=True)
+    columns, column = np.unique(b, return_inverse=True)
+    both = _common([sets[k] for k in rows], [sets[k] for k in columns])[row, column]
+    sizes = np.array([len(s) for s in sets])
+    linked = 100 * both >= 75 * (sizes[a] + sizes[b] - both)
+    return [(min(p, q), max(p, q)) for p, q in zip(ids[a[linked]].tolist(), ids[b[linked]].tolist(), strict=True)]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (bucket, i, j); each group is at most two blocks."""
+    held: list[tuple] = []
+    key = None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            ids, component, blocks, sets = zip(*held, strict=True)
+            found = _block_links(np.array(ids), np.array(component), [np.frombuffer(s, np.uint64) for s in sets], np.array(blocks), key[1], key[2])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "id", "component", "block", "set")]
+        for bucket, i, j, *row in zip(*columns, strict=True):
+            if (bucket, i, j) != key:
+                yield from done()
+                held, key = [], (bucket, i, j)
+            held.append(tuple(row))
+    yield from done()
+
+
 def _links(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that are links. known: id, signature, text."""
     pairs = written(pairs, "pairs")
@@ -186,23 +264,25 @@ def near_components(docs: DataFrame) -> DataFrame:
     labels = written(components(links), "labels")
     for last in (False, True):
         placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if last:  # these two have met all others of their bucket
+            placed = placed.where("id <> pivot and id <> drawn")
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
         open_ = placed.join(mixed, "bucket", "left_semi")
         if last:
-            open_ = written(open_.where("id <> pivot and id <> drawn"), "open-members")
+            open_ = written(open_.select("bucket", "id", "component", "n"), "open-members")
             if open_.isEmpty():
                 break
-            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            dealt = open_.select("bucket", "id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
             # Block i meets block j once, for i <= j; the copies of a row number as many as its bucket has blocks.
-            left = dealt.select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-            right = dealt.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
-            met = left.join(right, ["bucket", "i", "j"]).where("cx <> cy and (i < j or x < y)")
-            pairs = pair(met, "x", "y")
+            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+            dealt = open_.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            sets = arrow(known.join(open_.select("id").distinct(), "id", "left_semi").select("id", "text"), _sets, "id long, set binary")
+            met = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block").join(sets, "id")
+            met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+            more = written(arrow(met, _blocks, "a long, b long").distinct(), "links")
         else:
             other = open_.select("id", "drawn", "component").join(labels.select(F.col("id").alias("drawn"), F.col("component").alias("of")), "drawn", "left")
-            pairs = pair(other.where(F.col("component") != F.coalesce("of", "drawn")), "id", "drawn")
-        more = _links(pairs, known)
+            more = _links(pair(other.where(F.col("component") != F.coalesce("of", "drawn")), "id", "drawn"), known)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = written(components(links), "labels")
