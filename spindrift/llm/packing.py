@@ -15,7 +15,7 @@ Spark splits the documents by ranges of ``doc_id`` and each task packs its range
 last window holds is cut into lengths that are powers of two, which need no padding.
 
 Defined results: null or empty text is the closing id alone; every id lies in exactly one piece; rows that
-share a ``doc_id`` follow each other in the order of a hash of their ids; the same row given twice is packed
+share a ``doc_id`` follow each other in the order of a hash of their texts; the same row given twice is packed
 twice; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,7 +25,6 @@ import json
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -56,12 +55,12 @@ def sentence_ends(name: str = TOKENIZER) -> np.ndarray:
     return out
 
 
-def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """doc_id and ids, with the closing one, of documents in batches."""
     encode, close = word_encoder(TOKENIZER), CLOSE.to_bytes(2, "little")
     for batch in batches:
-        for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-            ids = [encode(text) + close if text else close for text in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            yield doc_id, np.frombuffer(encode(text) + close if text else close, "<u2")
 
 
 def candidates(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,12 +149,9 @@ def pack(docs: Iterator[tuple[int, np.ndarray]], first_sequence: int = 0, window
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
-    docs = chain.from_iterable(
-        zip(batch.column("doc_id").to_pylist(), (np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()), strict=True) for batch in batches
-    )
     rows: list[tuple] = []
     names = [x.split()[0] for x in PIECES.split(", ")]
-    for row in pack(docs, (context.partitionId() if context else 0) << 40):
+    for row in pack(tokenized(batches), (context.partitionId() if context else 0) << 40):
         rows.append(row)
         if len(rows) == 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
@@ -166,10 +162,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed(docs: DataFrame) -> DataFrame:
     """The pieces of all documents, with the columns of ``PIECES``."""
-    ids = arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _tokenized, "doc_id long, ids binary")
-    ordered = ids.withColumn("tie", F.xxhash64("ids"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
+    # Texts are dealt out, not ids: Spark draws the ranges from a first pass, which then encodes nothing.
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return arrow(ordered.select("doc_id", "ids"), _packed, PIECES)
+    return arrow(ordered.select("doc_id", "text"), _packed, PIECES)
 
 
 def op8_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
