@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, reshard, substring_dedup
+from . import exact_dedup, near_dedup, packing, quality, reshard, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op3_chunk_dedup": substring_dedup.op3_chunk_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+        "op7_compression_quality": quality.op7_compression_quality,
         "op8_ordered_packing": packing.op8_ordered_packing,
+        "op9_toxicity_chain": toxicity.op9_toxicity_chain,
     }
 
 
