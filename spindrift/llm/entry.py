@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality, reshard, substring_dedup, toxicity
+from . import ann, exact_dedup, near_dedup, packing, quality, reshard, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_multiprobe_ann": ann.op1_multiprobe_ann,
         "op2_flow_resharding": reshard.op2_flow_resharding,
         "op3_chunk_dedup": substring_dedup.op3_chunk_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
