@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, near_dedup, packing, quality, reshard, substring_dedup, toxicity
+from . import ann, exact_dedup, near_dedup, packing, quality, reshard, sentencepiece, substring_dedup, toxicity, training_order
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op3_chunk_dedup": substring_dedup.op3_chunk_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+        "op6_training_order": training_order.op6_training_order,
         "op7_compression_quality": quality.op7_compression_quality,
         "op8_ordered_packing": packing.op8_ordered_packing,
         "op9_toxicity_chain": toxicity.op9_toxicity_chain,
+        "op10_sentencepiece": sentencepiece.op10_sentencepiece,
     }
 
 
