@@ -34,8 +34,8 @@ from .common import arrow, scratch_path, shipped, table, written
 from .tokens import word_encoder
 
 LENGTH, END, FILL, KEY, ROUNDS = 512, 2, 0xFFFF, 0x5EED, 6
-#: Bytes of text that a shard holds on average.
-SHARD_TEXT = 16 << 20
+#: Bytes of text that a shard holds on average, unless that makes more shards than the second number (their first slots are broadcast).
+SHARD_TEXT, MOST_SHARDS = 16 << 20, 1 << 16
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -74,7 +74,7 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
     domain = (high - low + 2) * pieces
     if domain >= 1 << 62:
         raise ValueError("the ids span too wide a range")
-    shards = max(1, -(-(seen["bytes"] or 0) // SHARD_TEXT))
+    shards = min(MOST_SHARDS, max(1, -(-(seen["bytes"] or 0) // SHARD_TEXT)))
     width = -(-domain // shards)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
