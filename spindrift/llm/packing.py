@@ -49,7 +49,7 @@ def sentence_ends(name: str = TOKENIZER) -> np.ndarray:
     """Whether a token closes a sentence, by id."""
     with open(place(name), encoding="utf-8") as file:
         vocab = json.load(file)["model"]["vocab"]
-    out = np.zeros(max(vocab.values()) + 1, bool)
+    out = np.zeros(1 << 16, bool)  # ids of special tokens lie outside the vocabulary
     for token, k in vocab.items():
         out[k] = token.endswith("</w>") and token[:-4].endswith((".", "!", "?"))
     return out
