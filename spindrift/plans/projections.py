@@ -38,7 +38,7 @@ SELECT 'NCT' || lpad(CAST(l_orderkey AS VARCHAR(20)), 8, '0') AS nct_id,
     WHEN 4 THEN 'Number of adverse events: ' || p_name
     WHEN 5 THEN 'Progression-free survival'
     WHEN 6 THEN 'Mean ' || p_type || ' volume in litres'
-    WHEN 7 THEN 'Quality of life – ' || p_name || ' \\\\(total\\\\)'
+    WHEN 7 THEN 'Quality of life – ' || p_name || ' ' || chr(92) || '(total' || chr(92) || ')'
     ELSE p_name END AS measure,
   CASE l_linenumber % 7
     WHEN 0 THEN 'Baseline, Week ' || CAST(CAST(l_quantity AS INT) AS VARCHAR(9))
