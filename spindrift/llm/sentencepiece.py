@@ -9,9 +9,8 @@ Three transducers are compiled from a model file and composed with each input:
 The model is a byte-pair one. Its encodings are those paths in which every two neighbouring pieces are what
 the model makes of their concatenation, and of which each text has exactly one. So the piece transducer
 keeps the last piece as its state, an arc from piece p to piece q costs 0 where (p, q) holds and infinity
-where it doesn't, and the shortest path in the tropical semiring (min, +) is found from left to right, with
-the state at each position that the path of cost 0 reaches. Pieces that a piece list ranks by scores would
-be weighted by them; here a sum of scores would give other ids than the model's.
+where it doesn't, and the shortest path in the tropical semiring (min, +) is the one of cost 0. A sum of the
+pieces' scores, as unigram models take it, would give other ids than this model's.
 
 No piece has U+2581 behind another character, so texts are cut in front of it and the words' paths are
 remembered for a bounded number of words.
@@ -101,8 +100,13 @@ class Transducer:
         }
         self.order = [self.rank.get(t, -1.0) if len(t) > 1 else -1.0 for t in self.text]
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.allowed = Memo(self._allowed, 300_000)
-        self.path = Memo(self._path, 500_000)
+        self.allowed = Memo(self._allowed, 600_000)
+        self.path = Memo(self._path, 100_000)
+        self.word = Memo(lambda word: self._path(SPACE + word), 500_000)
+        self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else t.encode() if k in (NORMAL, USER) else b"" for t, k in zip(self.text, self.kind, strict=True)]
+        self.two = [k.to_bytes(2, "little") for k in range(len(self.text))]
+        if len(self.text) > 1 << 16:
+            raise ValueError("ids must fit 16 bits")
 
     def merged(self, text: str) -> list[str]:
         """What the model makes of a short text: the best-ranked neighbours are joined, left ones first."""
@@ -130,12 +134,12 @@ class Transducer:
             self.parts[piece] = out if len(text) > 1 else None
         return self.parts[piece]
 
-    def _allowed(self, pair: tuple[int, int]) -> bool:
-        """Whether no join across the border of two pieces comes before the joins that make them.
+    def _allowed(self, pair: int) -> bool:
+        """Whether no join across the border of two pieces (a << 16 | b) comes before the joins that make them.
 
         Walked back in time: the piece that was made later is taken apart, as far as single characters.
         """
-        a, b = pair
+        a, b = pair >> 16, pair & 0xFFFF
         joined, order, until_a, until_b = self.joined, self.order, float("inf"), float("inf")
         while True:
             rank = joined.get((a, b))
@@ -152,32 +156,46 @@ class Transducer:
         """Whether the model makes a piece of the piece's text."""
         return len(self.text[piece]) == 1 or self._split(piece)[0] >= 0
 
+    def _arcs(self, word: str, i: int) -> list[tuple[int, int]]:
+        """Where the pieces that begin at a position end, with their ids, shortest first; -1 is a character outside."""
+        trie, out = self.trie, []
+        for j in range(i + 1, len(word) + 1):
+            piece = trie.get(word[i:j])
+            if piece is None:
+                break
+            if piece >= 0:
+                out.append((j, piece))
+        return out if out and out[0][0] == i + 1 else [(i + 1, -1), *out]
+
     def _path(self, word: str) -> bytes:
-        """The ids on the shortest path of a word that is normalised already."""
-        n, trie, allowed = len(word), self.trie, self.allowed
-        last, back = [-2] * (n + 1), [0] * (n + 1)  # the piece by which cost 0 reaches a position; -1: a character outside
-        for i in range(n):
-            before = last[i]
-            for j in range(i + 1, n + 1):
-                piece = trie.get(word[i:j])
-                if piece is None:
-                    if j == i + 1:
-                        last[j], back[j] = -1, i
+        """The ids on the shortest path of a word that is normalised already.
+
+        As arcs cost 0 or infinity, the first complete path of a depth-first search is a shortest one. Long
+        pieces are tried first; a position from which the end can't be reached is not tried twice, as the
+        piece by which cost 0 reaches a position is always the same.
+        """
+        n, allowed, dead, held = len(word), self.allowed, set(), []
+        at, before, arcs = 0, -1, self._arcs(word, 0) if word else []
+        while at < n:
+            while arcs:
+                j, piece = arcs.pop()
+                if j not in dead and (piece < 0 or (allowed[before << 16 | piece] if before >= 0 else at > 0 or self._whole(piece))):
+                    held.append((at, before, arcs))
+                    at, before, arcs = j, piece, self._arcs(word, j)
                     break
-                if piece >= 0 and last[j] == -2 and (allowed[before, piece] if before >= 0 else self._whole(piece)):
-                    last[j], back[j] = piece, i
-                elif j == i + 1 and piece < 0:
-                    last[j], back[j] = -1, i
+            else:
+                dead.add(at)
+                at, before, arcs = held.pop()
         ids: list[int] = []
-        while n:
-            if last[n] >= 0:
-                ids.append(last[n])
+        starts = [h[0] for h in held[1:]] + [n]
+        for piece, end in zip([h[1] for h in held[1:]] + [before], starts, strict=True):
+            if piece >= 0:
+                ids.append(piece)
             elif self.byte:
-                ids += [self.byte[b] for b in word[back[n] : n].encode("utf-8", "replace")][::-1]
+                ids += [self.byte[b] for b in word[end - 1 : end].encode("utf-8", "replace")]
             else:
                 ids.append(self.unknown)
-            n = back[n]
-        return np.array(ids[::-1], "<u2").tobytes()
+        return b"".join([self.two[k] for k in ids])
 
     def normalised(self, text: str) -> str:
         if self.collapse:
@@ -186,20 +204,20 @@ class Transducer:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, as little-endian 16-bit numbers."""
-        return b"".join(map(self.path.__getitem__, _WORDS.findall(self.normalised(text)))) if text else b""
+        if not text:
+            return b""
+        if self.prefix and not _UNUSUAL.search(text):  # words with one space between them
+            return b"".join(map(self.word.__getitem__, text.split(" ")))
+        return b"".join(map(self.path.__getitem__, _WORDS.findall(self.normalised(text))))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: bytes are joined, the spaces come back, the one in front goes."""
-        out = bytearray()
-        for k in np.frombuffer(ids, "<u2").tolist():
-            if self.kind[k] == BYTE:
-                out.append(int(self.text[k][3:5], 16))
-            elif self.kind[k] in (NORMAL, USER):
-                out += self.text[k].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        raw = self.raw
+        text = b"".join([raw[k] for k in np.frombuffer(ids, "<u2").tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+_UNUSUAL = re.compile(f"^ |  | $|{SPACE}")
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
