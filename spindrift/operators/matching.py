@@ -54,14 +54,13 @@ def tag_synonyms(texts: DataFrame, synonyms: DataFrame, least_length: int = 2) -
     usable = usable.select("term_id", "synonym", "pattern", F.array_join("w", " ").alias("gram"), F.size("w").alias("n"))
     sizes = [r["n"] for r in usable.select("n").distinct().collect()]  # a handful of lengths
     words = texts.select("text_id", "text", _words(F.col("text")).alias("w"))
-    grams = [
-        F.transform(F.sequence(F.lit(1), F.size("w") - F.lit(n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))
-        for n in sorted(sizes) if n > 0
-    ]
-    if not grams:
-        grams = [F.array().cast("array<string>")]
-    per_size = [F.when(F.size("w") >= n, g).otherwise(F.array().cast("array<string>")) for n, g in zip([n for n in sorted(sizes) if n > 0] or [1], grams, strict=True)]
-    candidates = words.select("text_id", "text", F.explode(F.array_distinct(F.concat(*per_size) if len(per_size) > 1 else per_size[0])).alias("gram"))
+    lengths = sorted(n for n in sizes if n > 0) or [1]
+
+    def grams(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("w") - F.lit(n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+
+    per_size = [F.when(F.size("w") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
+    candidates = words.select("text_id", "text", F.explode(F.array_distinct(F.concat(*per_size))).alias("gram"))
     hits = candidates.join(checked_broadcast(usable.where("n > 0")), "gram").select("text_id", "text", "term_id", "synonym", "pattern")
     if 0 in sizes:  # synonyms without a word character are looked for as they are
         signs = checked_broadcast(usable.where("n = 0"))

@@ -119,7 +119,7 @@ SELECT nct_id, outcome_type, line_id AS endpoint_id,
   CASE WHEN line_id % 5 <= 1 THEN CAST(line_id % 4 * 25 AS DOUBLE) END AS threshold_value,
   CASE WHEN line_id % 5 <= 1 THEN '%' END AS threshold_unit,
   CASE line_id % 7 WHEN 0 THEN 'semantic' WHEN 1 THEN 'syntactic_rule' WHEN 2 THEN 'implied' ELSE 'exact' END AS match_method,
-  CASE line_id % 7 WHEN 0 THEN 0.5 WHEN 1 THEN 0.7 WHEN 2 THEN 0.8 ELSE 1.0 END AS confidence,
+  CASE line_id % 7 WHEN 0 THEN 0.5e0 WHEN 1 THEN 0.7e0 WHEN 2 THEN 0.8e0 ELSE 1.0e0 END AS confidence,
   CASE line_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'single_fixed' WHEN 2 THEN 'baseline_to_timepoint' ELSE 'bare_duration' END AS timepoint_pattern_id, time_frame, measure
 FROM p_outcomes""",
 }
