@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +64,22 @@ def shipped(spark: SparkSession) -> None:
 
 
 def arrow(df: DataFrame, function: Callable, schema: str, barrier: bool = False) -> DataFrame:
-    """``mapInArrow`` with a function of this package, which the executors get first."""
+    """``mapInArrow`` with a function of this package, which the executors get first.
+
+    A Python worker serves many tasks; what a task has freed goes back to the system at its end.
+    """
     shipped(df.sparkSession)
-    return df.mapInArrow(function, schema, barrier)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema, barrier)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +93,7 @@ def text_or_empty(text: str | Column = "text") -> Column:
 class Memo(dict):
     """What ``make`` returns for a key, kept for at most ``most`` keys at a time."""
 
-    def __init__(self, make: Callable, most: int = 600_000):
+    def __init__(self, make: Callable, most: int = 250_000):
         self.make, self.most = make, most
 
     def __missing__(self, key):

@@ -48,7 +48,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 @cache
 def _words() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+    return Memo(xxhash.xxh3_64_intdigest, 50_000)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -83,8 +83,8 @@ def signature(s: np.ndarray) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         count, high, lower, signs = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingles(text)
+        for value in batch.column("text"):
+            s = shingles(value.as_py())
             count.append(len(s))
             d = xxhash.xxh3_128_digest(s.tobytes())
             high.append(int.from_bytes(d[:8], "little", signed=True))

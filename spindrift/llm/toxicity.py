@@ -117,7 +117,7 @@ def train(sample: list[dict]) -> dict:
     in_toxic, in_clean, begins = np.zeros(size), np.zeros(size), np.zeros(size, bool)
     for r in sample:
         (in_toxic if r["label"] else in_clean)[np.array(r["features"], np.int64)] += 1
-        begins[[f for f, b in zip(r["features"], r["beginnings"], strict=True) if b]] = True
+        begins[np.array(r["features"], np.int64)[np.array(r["beginnings"], bool)]] = True
     share = ((in_toxic + 1) / (label.sum() + 2)) / ((in_clean + 1) / (len(label) - label.sum() + 2))
     expected = (in_toxic + in_clean) * label.mean()
     gain = np.where(in_toxic + in_clean >= 3, (in_toxic - expected) ** 2 / (expected + 0.5), 0)
@@ -158,7 +158,7 @@ def train(sample: list[dict]) -> dict:
 def scorer(model: dict):
     """A function text -> the categories' probabilities, in order."""
     place = {int(f): k for k, f in enumerate(model["features"])}
-    known = Memo(lambda token: b"".join(place[f].to_bytes(2, "little") for f, _ in word_features(token) if f in place))
+    known = Memo(lambda token: b"".join(place[f].to_bytes(2, "little") for f, _ in word_features(token) if f in place), 150_000)
     none = [model["share"]] * len(CATEGORIES)
 
     def score(text: str | None) -> list[float]:
@@ -192,7 +192,9 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class:
     )
     rows = {}
     for r in sample.toLocalIterator():
-        rows.setdefault(r["doc_id"], r.asDict())
+        if r["doc_id"] not in rows:  # arrays, as lists of numbers take many times their memory
+            lists = {c: np.array(r[c], np.int32) for c in ("features", "beginnings", "counts")}
+            rows[r["doc_id"]] = {"doc_id": r["doc_id"], "label": r["label"], "words": r["words"]} | lists
     return train(list(rows.values()))
 
 
