@@ -117,8 +117,8 @@ def denominator(denoms: Column) -> Column:
     """The first denominator in participants, else the first: a struct of its units and a map from group to n."""
     participants = F.filter(denoms, lambda d: F.lower(d["units"]).contains("participant"))
     chosen = F.coalesce(F.try_element_at(participants, F.lit(1)), F.try_element_at(denoms, F.lit(1)))
-    counts = F.map_from_entries(F.transform(chosen["counts"], lambda c: F.struct(c["groupId"], strict(c["value"]).cast("int"))))
-    return F.struct(chosen["units"].alias("units"), counts.alias("n"))
+    counts = F.map_from_entries(F.transform(chosen["counts"], lambda c: F.struct(c["groupId"].alias("k"), strict(c["value"]).cast("int").alias("v"))))
+    return F.named_struct(F.lit("units"), chosen["units"], F.lit("n"), counts)
 
 
 def reported_outcomes(studies: DataFrame) -> DataFrame:
