@@ -105,7 +105,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, BANDS, rows).astype(np.uint64)
         bucket = np.broadcast_to(salt, signs.shape[:2]).copy()
         for k in range(rows):
-            bucket = _mixed(bucket ^ (signs[:, :, k] + np.uint64(k + 1) * _OF_WORD[k]))
+            bucket = _mixed(bucket ^ (signs[:, :, k] + _OF_WORD[k]))
         ids = np.repeat(batch.column("id").to_numpy(), BANDS)
         yield pa.RecordBatch.from_arrays([pa.array(bucket.reshape(-1).view(np.int64)), pa.array(ids)], ["bucket", "id"])
 
