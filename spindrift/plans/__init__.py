@@ -1,6 +1,6 @@
 """Queries over a data folder, each with the SQL that gives the same rows."""
 
-from . import documents, landing, matching, reporting, variability  # noqa: F401  (they register their queries)
+from . import conforming, documents, landing, matching, reporting, variability  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1,68 @@
+"""Conformance rules, relational landing, link coverage and audits: SQL that Spark runs as it stands."""
+
+from __future__ import annotations
+
+from .matching import _values
+from .registry import from_sql
+from .reporting import GROUPS, QUEUE, REPORTED
+
+#: What a named endpoint defines, and what measurements and forms imply.
+RULES = {
+    "r_named": _values([("pfs", "time_to_event", "measure_2", "progression"), ("orr", "proportion", "measure_5", None)], "named_id, form_id, measurement_id, event_id"),
+    "r_measure": _values([(f"measure_{k}", "harm" if k % 4 == 0 else "benefit", "death" if k == 3 else None, "score" if k % 2 else "litre", f"c{k % 3}") for k in range(13)], "measurement_id, polarity, implies_event, default_scale, concept_id"),
+    "r_form": _values([("change_from_baseline", "by_polarity", 1), ("mean_value", "by_polarity", 1), ("proportion", "by_polarity", 1), ("time_to_event", "longer_is_better", 0)], "form_id, rule, analysable"),
+    "r_override": _values([("furniture", "measure_4", "increase")], "ta_id, measurement_id, direction_id"),
+    "r_rows": """SELECT e.*, CASE WHEN e.measure LIKE 'Progression%' THEN 'pfs' WHEN e.measure LIKE 'Proportion%' THEN 'orr' END AS named_id, CASE WHEN e.endpoint_id % 7 = 0 THEN NULL ELSE e.measurement_id END AS found_measurement,
+      CASE WHEN e.endpoint_id % 11 = 0 THEN NULL ELSE e.form_id END AS found_form, CASE WHEN e.measure LIKE '%event%' THEN 'any_event' END AS text_event FROM p_endpoints e""",
+    "r_filled": """SELECT r.endpoint_id, r.nct_id, r.measure, r.time_frame, r.text_event, n.event_id AS named_event, coalesce(r.found_measurement, n.measurement_id) AS measurement_id, coalesce(r.found_form, n.form_id, 'not_stated') AS form_id,
+      r.found_measurement IS NULL AND n.measurement_id IS NOT NULL AS filled FROM r_rows r LEFT JOIN r_named n ON r.named_id = n.named_id""",
+    "r_events": """SELECT f.*, m.polarity, m.default_scale, CASE WHEN f.form_id = 'time_to_event' THEN coalesce(f.named_event, f.text_event, m.implies_event, 'not_stated') END AS event_id FROM r_filled f LEFT JOIN r_measure m ON f.measurement_id = m.measurement_id""",
+}
+RELATIONAL = {
+    "r_counts": "SELECT l_orderkey AS outcome_id, l_suppkey AS group_id, l_linenumber AS count_id, CASE WHEN l_linenumber % 3 = 0 THEN 'Measure' ELSE 'Analysis' END AS scope, CASE WHEN l_returnflag = 'R' THEN 'Participants' ELSE 'eyes' END AS units, max(l_quantity) AS n FROM lineitem GROUP BY 1, 2, 3, 4, 5",
+    "r_baseline": "SELECT md5('NCT' || CAST(l_suppkey AS VARCHAR(20)) || '|' || l_returnflag || '|' || l_linestatus) AS baseline_id, l_suppkey, l_returnflag, l_linestatus, l_quantity FROM lineitem",
+}
+LINKS = REPORTED | {
+    "q_linked": """SELECT r.nct_id, r.outcome_id, r.form_id, CASE WHEN p.n IS NOT NULL THEN 'measurement' ELSE 'unlinked' END AS link_method, p.form_id AS planned_form FROM q_reported r
+      LEFT JOIN (SELECT nct_id, measurement_id, coalesce(derivation_id, '') AS d, min(form_id) AS form_id, count(*) AS n FROM q_planned GROUP BY 1, 2, 3) p ON r.nct_id = p.nct_id AND r.measurement_id = p.measurement_id AND coalesce(r.derivation_id, '') = p.d"""
+}
+SQL: dict[str, tuple[str, dict]] = {
+    "fill_from_named_endpoint": ("SELECT endpoint_id, measurement_id, form_id, filled FROM r_filled", RULES),
+    "resolve_measurement": ("SELECT coalesce(measurement_id, 'to_review') AS measurement_id, count(*) AS n FROM r_filled GROUP BY 1", RULES),
+    "resolve_event": ("SELECT endpoint_id, form_id, event_id FROM r_events", RULES),
+    "derive_direction": (
+        """SELECT e.endpoint_id, CASE WHEN e.event_id = 'death' THEN 'harm' ELSE coalesce(e.polarity, 'not_stated') END AS polarity,
+        coalesce(o.direction_id, CASE WHEN f.rule = 'longer_is_better' THEN CASE WHEN coalesce(e.polarity, '') = 'benefit' AND coalesce(e.event_id, '') <> 'death' THEN 'decrease' ELSE 'increase' END
+          WHEN f.rule = 'by_polarity' THEN CASE e.polarity WHEN 'benefit' THEN 'increase' WHEN 'harm' THEN 'decrease' ELSE 'not_stated' END ELSE 'not_stated' END) AS direction_id
+        FROM r_events e LEFT JOIN r_form f ON e.form_id = f.form_id LEFT JOIN (SELECT nct_id, ta_id FROM p_study_ta WHERE is_primary) t ON e.nct_id = t.nct_id LEFT JOIN r_override o ON o.ta_id = t.ta_id AND o.measurement_id = e.measurement_id""",
+        RULES,
+    ),
+    "assign_default_scale": ("SELECT e.endpoint_id, e.default_scale AS scale_id, coalesce(f.analysable = 1, TRUE) AS analysable FROM r_events e LEFT JOIN r_form f ON e.form_id = f.form_id", RULES),
+    "disambiguate_form": ("SELECT r.form_id AS found, CASE WHEN r.form_id IN ('mean_value', 'proportion') THEN CASE WHEN m.polarity = 'harm' THEN 'proportion' ELSE 'mean_value' END ELSE r.form_id END AS chosen, count(*) AS n FROM r_filled r LEFT JOIN r_measure m ON r.measurement_id = m.measurement_id GROUP BY 1, 2", RULES),
+    "disambiguate_timepoint": ("SELECT CASE WHEN timepoint_pattern_id = 'baseline_to_timepoint' AND form_id = 'proportion' AND (lower(time_frame) LIKE '%through%' OR lower(time_frame) LIKE '%up to%') THEN 'cumulative_window' ELSE timepoint_pattern_id END AS pattern_id, count(*) AS n FROM p_endpoints GROUP BY 1", {}),
+    "conform_outcomes": ("SELECT CASE WHEN measurement_id IS NULL THEN 'review_queue' ELSE 'endpoints' END AS sink, form_id, count(*) AS n, count(DISTINCT nct_id) AS studies FROM r_events GROUP BY 1, 2", RULES),
+    # Of each outcome and arm one count: in measures first, then in participants, then the lowest id.
+    "relational_outcome_groups": ("SELECT outcome_id, group_id, n, units FROM (SELECT *, row_number() OVER (PARTITION BY outcome_id, group_id ORDER BY CASE WHEN scope = 'Measure' THEN 0 ELSE 1 END, CASE WHEN lower(units) LIKE '%participant%' THEN 0 ELSE 1 END, count_id, n, units) AS r FROM r_counts) x WHERE r = 1", RELATIONAL),
+    "relational_measurements": ("SELECT md5('NCT' || CAST(l_orderkey AS VARCHAR(20)) || '|' || CAST(l_linenumber AS VARCHAR(9))) AS outcome_id, l_suppkey AS group_key, TRY_CAST(CASE WHEN l_partkey % 9 = 0 THEN 'NA' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR(9)) END AS DOUBLE) AS param_value_num FROM lineitem", {}),
+    "relational_baseline": ("SELECT baseline_id, count(*) AS n, max(l_quantity) AS high FROM r_baseline GROUP BY baseline_id", RELATIONAL),
+    "relational_interventions": ("SELECT nct_id, CAST(row_number() OVER (PARTITION BY nct_id ORDER BY ordinal, name, intervention_type) - 1 AS INT) AS ordinal, lower(trim(name)) AS name_normalised, 'join_table' AS link_method FROM (SELECT DISTINCT nct_id, ordinal, name, intervention_type FROM p_interventions) x", {}),
+    "mesh_tree_terms": ("SELECT lower(trim(p_name)) AS mesh_term_normalised, p_brand AS tree_number, count(*) AS n FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL GROUP BY 1, 2", {}),
+    "gather_result_rows": ("SELECT 'outcome' AS result_kind, nct_id, count(*) AS n FROM q_reported GROUP BY nct_id UNION ALL SELECT 'baseline', 'NCT' || lpad(CAST(l_suppkey AS VARCHAR(20)), 8, '0'), count(DISTINCT baseline_id) FROM r_baseline GROUP BY l_suppkey", REPORTED | RELATIONAL),
+    "title_link_coverage": ("SELECT link_method, count(*) AS n, count(CASE WHEN form_id = planned_form THEN 1 END) AS agreeing FROM q_linked GROUP BY link_method", LINKS),
+    "results_review": ("SELECT 'unlinked_to_planned' AS reason, count(*) AS n FROM q_linked WHERE link_method = 'unlinked' UNION ALL SELECT 'measurement_unmatched', count(*) FROM q_queue WHERE reason = 'measurement_unmatched'", LINKS | QUEUE),
+    "arm_link_coverage": ("SELECT count(*) AS n_groups, count(DISTINCT nct_id) AS studies, count(CASE WHEN group_title = 'Total' THEN 1 END) AS totals, count(CASE WHEN group_title IS NULL THEN 1 END) AS untitled FROM q_groups", GROUPS),
+    "drug_class_coverage": ("SELECT count(DISTINCT i.nct_id) AS studies, count(DISTINCT c.nct_id) AS with_class, count(DISTINCT CASE WHEN c.kind = 'control' THEN c.nct_id END) AS with_control, count(DISTINCT i.name) AS names FROM p_interventions i LEFT JOIN p_study_class c ON i.nct_id = c.nct_id", {}),
+    "arm_tier_trust": ("SELECT a.group_type, c.kind, count(*) AS n FROM p_arms a JOIN p_study_class c ON a.nct_id = c.nct_id GROUP BY a.group_type, c.kind", {}),
+    "arm_link_summary": ("SELECT coalesce(a.group_type, 'untyped') AS arm_type, count(*) AS n FROM p_measurements m LEFT JOIN p_arms a ON m.nct_id = a.nct_id AND m.group_title = a.title WHERE m.dispersion_value IS NOT NULL GROUP BY 1", {}),
+    "signal_availability": ("SELECT count(*) AS rows_total, count(CASE WHEN p_brand LIKE 'Brand#1%' THEN 1 END) AS with_tree, count(DISTINCT p_type) AS kinds FROM part", {}),
+    "diff_curated_vs_ancestry": ("SELECT a.class_id AS curated, b.class_id AS ancestor, count(*) AS n FROM p_study_class a JOIN (SELECT nct_id, kind, min(class_id) AS class_id FROM p_study_class GROUP BY nct_id, kind) b ON a.nct_id = b.nct_id AND a.kind = b.kind WHERE a.class_id <> b.class_id GROUP BY 1, 2", {}),
+    "audit_precedence": ("SELECT coalesce(m.measurement_id, r.measurement_id) AS id, CASE WHEN r.measurement_id IS NULL THEN 'not_listed' ELSE 'unknown' END AS problem FROM (SELECT DISTINCT measurement_id FROM p_endpoints) m FULL OUTER JOIN (SELECT 'measure_' || CAST(p_size AS VARCHAR(9)) AS measurement_id FROM part GROUP BY 1) r ON m.measurement_id = r.measurement_id WHERE m.measurement_id IS NULL OR r.measurement_id IS NULL", {}),
+    "audit_cross_dimension_synonyms": ("SELECT term, count(DISTINCT dimension) AS dimensions FROM (SELECT lower(p_name) AS term, 'measurement' AS dimension FROM part UNION ALL SELECT lower(p_type), 'event' FROM part UNION ALL SELECT lower(c_mktsegment), 'event' FROM customer UNION ALL SELECT lower(p_type), 'named' FROM part WHERE p_size < 9) x GROUP BY term HAVING count(DISTINCT dimension) > 1", {}),
+    "audit_concepts": ("SELECT 'undeclared' AS problem, concept_id FROM (SELECT DISTINCT concept_id FROM p_endpoints) e WHERE concept_id NOT IN (SELECT DISTINCT concept_id FROM r_measure) UNION ALL SELECT 'unused', concept_id FROM (SELECT DISTINCT concept_id FROM r_measure) m WHERE concept_id NOT IN (SELECT DISTINCT concept_id FROM p_endpoints)", RULES),
+    "audit_mapping_targets": ("SELECT c.class_id, c.kind, count(*) AS n FROM p_study_class c WHERE NOT EXISTS (SELECT 1 FROM part p WHERE lower(p.p_type) = c.class_id AND p.p_size > 1) OR c.kind = 'control' AND c.class_id <> 'economy' GROUP BY 1, 2", {}),
+    "audit_named_endpoints": ("SELECT n.named_id, n.form_id FROM r_named n WHERE n.form_id = 'time_to_event' AND n.event_id IS NULL OR NOT EXISTS (SELECT 1 FROM r_measure m WHERE m.measurement_id = n.measurement_id) OR (SELECT count(*) FROM p_endpoints e WHERE e.measurement_id = n.measurement_id) = 0 OR n.event_id IS NULL", RULES),
+    "audit_cascade": ("SELECT nct_id, count(*) AS fields, count(CASE WHEN outcome_type = 'OTHER' THEN 1 END) AS fallbacks FROM p_outcomes GROUP BY nct_id HAVING count(CASE WHEN outcome_type = 'OTHER' THEN 1 END) <> 1", {}),
+    "audit_event_components": ("SELECT measurement_id, count(CASE WHEN derivation_id IS NULL THEN 1 END) AS bare, count(CASE WHEN threshold_value IS NOT NULL THEN 1 END) AS with_threshold FROM p_endpoints GROUP BY measurement_id HAVING count(CASE WHEN derivation_id IS NULL AND threshold_value IS NOT NULL THEN 1 END) > 0", {}),
+}
+for _key, (_sql, _more) in SQL.items():
+    from_sql(_key, _sql, more=_more)
