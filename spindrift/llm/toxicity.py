@@ -10,11 +10,13 @@ toxic document with one of the words that set toxic documents apart), ``stems``
 beginning, which carry over to inflected words), then ``toxic`` itself.
 
 Training takes a bounded sample of labelled rows (``PER_CLASS`` of either kind, in the order of a hash of
-the id); everything is scored by its whole text. What goes to the tasks has a fixed bound: ``FEATURES``
-weights for each category.
+the id); everything is scored by its whole text. A sampled row counts for as many labelled rows as it stands
+for, so that bias, scores and threshold follow the mix of all labels whatever the size of the table. What goes
+to the tasks has a fixed bound: ``FEATURES`` weights for each category.
 
-Defined results: null and empty texts, and all texts where no label is known, score the share of toxic rows
-in the sample (0 without labels); rows of ``labels`` with nulls are skipped, and a document with
+Defined results: texts without a word (null, empty, blank, or signs and single characters only) score 0 and are
+never predicted to be toxic, nor are they trained on; where the labels are all of one kind, all other texts score
+the share of toxic rows (0 without labels); rows of ``labels`` with nulls are skipped, and a document with
 contradictory labels counts as toxic; the same row given twice is scored twice; an empty table gives an
 empty result; other columns are left alone.
 """
@@ -86,14 +88,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: Rows, more: np.ndarray, label: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Logistic weights: those of ``rows``, of the columns of ``more``, and the bias; by Adam on all rows of ``use``."""
+    """Logistic weights: those of ``rows``, of the columns of ``more``, and the bias; by Adam, each row counting ``use`` times."""
     n, width = use.sum(), rows.width + more.shape[1] + 1
     w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
-    share = label[use].mean() if n else 0.0
+    share = (use * label).sum() / n if n else 0.0
     w[-1] = np.log((share + 1e-4) / (1 - share + 1e-4))
     for t in range(1, _STEPS + 1):
         p = sigmoid(rows.times(w[: rows.width]) + more @ w[rows.width : -1] + w[-1])
-        e = np.where(use, p - label, 0.0) / max(n, 1)
+        e = use * (p - label) / max(n, 1)
         g = np.concatenate((rows.back(e), more.T @ e, [e.sum()]))
         g[:-1] += _RIDGE / max(n, 1) * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -106,21 +108,33 @@ def values(counts: np.ndarray, words: int) -> np.ndarray:
     return np.sqrt(counts / max(words, 1)) * 4
 
 
-def train(sample: list[dict]) -> dict:
-    """The chain: the chosen features, and each category's weights (features, earlier categories, bias)."""
-    sample = sorted(sample, key=lambda r: crc32(str(r["doc_id"]).encode()))
+def row_weights(label: np.ndarray, stands_for: dict[int, float] | None) -> np.ndarray:
+    """What each row counts, 1 on average: in proportion to the labelled rows that it stands for."""
+    weight = np.array([(stands_for or {}).get(int(k), 1.0) for k in label])
+    return weight / weight.mean()
+
+
+def train(sample: list[dict], stands_for: dict[int, float] | None = None) -> dict:
+    """The chain: the chosen features, and each category's weights (features, earlier categories, bias).
+
+    ``stands_for``: how many labelled rows a row of either label stands for.
+    """
+    sample = sorted((r for r in sample if len(r["features"])), key=lambda r: crc32(str(r["doc_id"]).encode()))
     label = np.array([r["label"] for r in sample], float)
     if not len(sample) or label.min() == label.max():
         share = float(label.mean()) if len(sample) else 0.0
         return {"features": np.empty(0, np.int64), "weights": [], "share": share, "threshold": 0.5}
+    weight = row_weights(label, stands_for)
+    mix = float((weight * label).sum() / weight.sum())
     size = 1 << BITS
     in_toxic, in_clean, begins = np.zeros(size), np.zeros(size), np.zeros(size, bool)
     for r in sample:
         (in_toxic if r["label"] else in_clean)[np.array(r["features"], np.int64)] += 1
         begins[np.array(r["features"], np.int64)[np.array(r["beginnings"], bool)]] = True
     share = ((in_toxic + 1) / (label.sum() + 2)) / ((in_clean + 1) / (len(label) - label.sum() + 2))
-    expected = (in_toxic + in_clean) * label.mean()
-    gain = np.where(in_toxic + in_clean >= 3, (in_toxic - expected) ** 2 / (expected + 0.5), 0)
+    of_toxic, of_clean = in_toxic * weight[label == 1][0], in_clean * weight[label == 0][0]
+    expected = (of_toxic + of_clean) * mix
+    gain = np.where(in_toxic + in_clean >= 3, (of_toxic - expected) ** 2 / (expected + 0.5), 0)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
     chosen = chosen[gain[chosen] > 0]
     strong = (share >= LEAST_LIFT) & (in_toxic >= LEAST_ROWS)
@@ -142,30 +156,33 @@ def train(sample: list[dict]) -> dict:
     for name in CATEGORIES:
         target, odds = targets[name], np.zeros(len(sample))
         for k in range(FOLDS):
-            w = fit(rows, earlier, target, fold != k)
+            w = fit(rows, earlier, target, weight * (fold != k))
             odds = np.where(fold == k, rows.times(w[: rows.width]) + earlier @ w[rows.width : -1] + w[-1], odds)
-        weights.append(fit(rows, earlier, target, np.ones(len(sample), bool)))
+        weights.append(fit(rows, earlier, target, weight))
         earlier = np.column_stack((earlier, np.clip(odds, -12, 12) / 4))
     # The threshold of the last category's out-of-fold scores with the best F1.
     order = np.argsort(-odds, kind="stable")
-    hits = np.cumsum(label[order])
-    best = int(np.argmax(2 * hits / (np.arange(1, len(order) + 1) + label.sum())))
+    hits, taken = np.cumsum((weight * label)[order]), np.cumsum(weight[order])
+    best = int(np.argmax(2 * hits / (taken + hits[-1])))
     low = odds[order[min(best + 1, len(order) - 1)]]
     threshold = float(sigmoid(np.array((odds[order[best]] + low) / 2)))
-    return {"features": chosen, "weights": weights, "share": float(label.mean()), "threshold": min(max(threshold, 0.05), 0.95)}
+    return {"features": chosen, "weights": weights, "share": mix, "threshold": min(max(threshold, 0.05), 0.95)}
 
 
 def scorer(model: dict):
     """A function text -> the categories' probabilities, in order."""
     place = {int(f): k for k, f in enumerate(model["features"])}
     known = Memo(lambda token: b"".join(place[f].to_bytes(2, "little") for f, _ in word_features(token) if f in place), 150_000)
-    none = [model["share"]] * len(CATEGORIES)
+    wordless, none = [0.0] * len(CATEGORIES), [model["share"]] * len(CATEGORIES)
 
     def score(text: str | None) -> list[float]:
         tokens = (text or "").split()
-        if not tokens or not model["weights"]:
+        found = b"".join(map(known.__getitem__, tokens))
+        if not found and not any(map(word_features, tokens)):
+            return wordless
+        if not model["weights"]:
             return none
-        at, counts = np.unique(np.frombuffer(b"".join(map(known.__getitem__, tokens)), "<u2"), return_counts=True)
+        at, counts = np.unique(np.frombuffer(found, "<u2"), return_counts=True)
         x, odds = values(counts, len(tokens)), []
         for w in model["weights"]:
             k = len(odds)
@@ -176,9 +193,20 @@ def scorer(model: dict):
     return score
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and label, one row for each labelled id: the larger of contradictory labels."""
+    return labels.where(f"doc_id is not null and {label} is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+
+
+def represented(labels: DataFrame, label: str, per_class: int = PER_CLASS) -> dict[int, float]:
+    """How many labelled ids a row of :func:`training_sample` stands for, for each label: counted over all of ``labels``."""
+    counts = known_labels(labels, label).where("label in (0, 1)").groupBy("label").count().collect()
+    return {r["label"]: r["count"] / min(r["count"], per_class) for r in counts}
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, text and label of at most ``per_class`` labelled documents of either kind, by a hash of the id."""
-    known = labels.where(f"doc_id is not null and {label} is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    known = known_labels(labels, label)
     parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * per_class ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
@@ -195,7 +223,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class:
         if r["doc_id"] not in rows:  # arrays, as lists of numbers take many times their memory
             lists = {c: np.array(r[c], np.int32) for c in ("features", "beginnings", "counts")}
             rows[r["doc_id"]] = {"doc_id": r["doc_id"], "label": r["label"], "words": r["words"]} | lists
-    return train(list(rows.values()))
+    return train(list(rows.values()), represented(labels, label, per_class))
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:

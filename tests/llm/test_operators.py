@@ -428,6 +428,24 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert toxicity.scores(odd, none).where("score = 0 and predicted = 0").count() == len(odd_rows())
 
 
+def test_toxicity_follows_the_mix_of_all_labels_past_the_cap(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    natural = labels.agg(F.avg("toxic")).first()[0]
+    capped = toxicity.fitted(docs, labels, per_class=20)
+    assert abs(capped["share"] - natural) < 0.03 and natural < 0.3
+    wordless = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "!? .")], "doc_id long, text string")
+    assert toxicity.scores(wordless, capped).where("score = 0 and predicted = 0").count() == 4
+    assert toxicity.without_toxic(wordless, capped).count() == 4
+
+
+def test_toxicity_weights_count_as_repeated_rows():
+    sample = [{"doc_id": k, "label": int(k % 4 == 0), "words": 4, "features": [k % 4 + 1, 9, k % 7 + 20], "beginnings": [0, 0, 0], "counts": [1, 2, 1]} for k in range(40)]
+    assert abs(toxicity.train(sample, {0: 5.0, 1: 1.0})["share"] - 10 / 160) < 1e-9
+    even, rare = toxicity.train(sample, {0: 1.0, 1: 3.0}), toxicity.train(sample, {0: 30.0, 1: 1.0})
+    assert rare["weights"][-1][-1] < even["weights"][-1][-1]
+
+
 # SentencePiece
 
 
