@@ -7,8 +7,10 @@ probability. As short texts are noisier, the curve also takes the feature times
 and as text that repeats itself shrinks under any dictionary, it takes the share (b + g) / 2n of the bytes.
 
 Training takes a bounded sample of labelled rows: ``PER_CLASS`` of either kind in the order of a hash of the
-id, of each at most ``WINDOW`` bytes at a place drawn by that hash. Everything is scored by its whole text.
-Two dictionaries of ``DICTIONARY`` bytes and five numbers go to the tasks.
+id. A dictionary sees at most ``WINDOW`` bytes of each, at a place drawn by that hash; the curve's rows are
+measured in tasks by their whole texts, as everything is that is scored, and count for as many labelled rows as
+they stand for, so that scores follow the mix of all labels whatever the size of the table. Two dictionaries of
+``DICTIONARY`` bytes and five numbers go to the tasks.
 
 Defined results: null and empty texts score what the curve gives for no difference; without labels of both
 kinds every row scores the share of good labels (1 without any); rows of ``labels`` with nulls are skipped,
@@ -27,8 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, table
-from .toxicity import sigmoid, training_sample
+from .common import arrow, table, written
+from .toxicity import represented, row_weights, sigmoid, training_sample
 
 PER_CLASS, WINDOW, BLOCK, DICTIONARY, LEVEL = 4000, 8192, 4096, 112_640, 3
 #: Of the sample, every third row is kept for the curve.
@@ -59,30 +61,61 @@ def features(x: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.column_stack((d, d * np.log1p(length / 200), share, np.minimum(share, 0) ** 2, np.ones(len(x))))
 
 
-def curve(x: np.ndarray, length: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Logistic weights of :func:`features`, by Newton's method with a small ridge."""
+def curve(x: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic weights of :func:`features`, by Newton's method with a small ridge, each row counting ``weight`` times."""
     a = features(x, length)
     w = np.zeros(a.shape[1])
     for _ in range(40):
         p = sigmoid(a @ w)
-        h = a.T @ (a * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (label - p) - 1e-2 * w)
+        h = a.T @ (a * (weight * p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (weight * (label - p)) - 1e-2 * w)
         w += np.clip(step, -2, 2)
     return w
 
 
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 def window(text: str | None, doc_id: int) -> bytes:
     """At most ``WINDOW`` bytes of a text, at a place that follows from its id."""
-    data = (text or "").encode("utf-8", "surrogatepass")
+    data = encoded(text)
     at = crc32(str(doc_id).encode()) % max(1, len(data) - WINDOW + 1)
     return data[at : at + WINDOW]
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        cut = [window(text, k) for text, k in zip(batch.column("text").to_pylist(), ids, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(cut, pa.binary())], ["doc_id", "label", "data"])
+def _windows(ids: np.ndarray):
+    """doc_id and window of the rows of ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), ids), pa.bool_()))
+            doc_ids = batch.column("doc_id").to_pylist()
+            cut = [window(text, k) for text, k in zip(batch.column("text").to_pylist(), doc_ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cut, pa.binary())], ["doc_id", "data"])
+
+    return run
+
+
+def measured(data: list[bytes], good: Sizes, bad: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """The two numbers of :func:`difference` and the length, of each text."""
+    return np.array([difference(d, good, bad) for d in data]).reshape(-1, 2), np.array([len(d) for d in data], np.int64)
+
+
+def _measures(ids: np.ndarray, of: dict[int, bytes]):
+    """doc_id, difference, share and length of the rows of ``ids``, by their whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, bad = Sizes(of[1]), Sizes(of[0])
+        for batch in batches:
+            batch = batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), ids), pa.bool_()))
+            x, length = measured([encoded(text) for text in batch.column("text").to_pylist()], good, bad)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(x[:, 0].copy(), pa.float64()), pa.array(x[:, 1].copy(), pa.float64()), pa.array(length)],
+                ["doc_id", "difference", "share", "length"],
+            )
+
+    return run
 
 
 def dictionary(samples: list[bytes]) -> bytes:
@@ -94,22 +127,33 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b"\n".join(samples)[-DICTIONARY:] or b"\n" * 16
 
 
-def train(sample: list[tuple[int, int, bytes]]) -> dict:
-    """The model of (doc_id, label, data) rows."""
-    sample = sorted(sample, key=lambda r: (crc32(f"{r[0]}".encode()[::-1]), r[0]))
-    label = np.array([r[1] for r in sample], float)
+def first_rows(found: DataFrame) -> dict[int, tuple]:
+    """The rows by their doc_id, of each the first."""
+    rows: dict[int, tuple] = {}
+    for r in found.toLocalIterator():
+        rows.setdefault(r["doc_id"], tuple(r)[1:])
+    return rows
+
+
+def train(sample: DataFrame, stands_for: dict[int, float]) -> dict:
+    """The model of (doc_id, label, text) rows, label 1 being good; ``stands_for``: how many labelled rows one of either label stands for."""
+    rows = sorted(map(tuple, sample.select("doc_id", "label").distinct().collect()), key=lambda r: (crc32(f"{r[0]}".encode()[::-1]), r[0]))
+    ids, label = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
     if not len(label) or label.min() == label.max():
         return {"share": float(label.mean()) if len(label) else 1.0}
-    held = np.zeros(len(sample), bool)
+    held = np.zeros(len(rows), bool)
     for k in (0, 1):
         held[np.flatnonzero(label == k)[::CURVE]] = True
     if any((~held & (label == k)).sum() == 0 for k in (0, 1)):
         held[:] = False
-    of = {k: dictionary([r[2] for r, h in zip(sample, held, strict=True) if r[1] == k and not h]) for k in (0, 1)}
-    good, bad = Sizes(of[1]), Sizes(of[0])
-    use = [r for r, h in zip(sample, held, strict=True) if h] or sample
-    x, length = np.array([difference(r[2], good, bad) for r in use]), np.array([len(r[2]) for r in use])
-    return {"good": of[1], "bad": of[0], "curve": curve(x, length, np.array([r[1] for r in use], float))}
+    use = held if held.any() else ~held
+    data = first_rows(arrow(sample, _windows(ids[~held]), "doc_id long, data binary"))
+    of = {k: dictionary([bytes(data[i][0]) for i in ids[~held & (label == k)].tolist()]) for k in (0, 1)}
+    del data
+    found = first_rows(arrow(sample, _measures(ids[use], of), "doc_id long, difference double, share double, length long"))
+    numbers = np.array([found[i] for i in ids[use].tolist()])
+    each = {k: stands_for.get(k, 1.0) * (label == k).sum() / (use & (label == k)).sum() for k in (0, 1)}
+    return {"good": of[1], "bad": of[0], "curve": curve(numbers[:, :2], numbers[:, 2], label[use], row_weights(label[use], each))}
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
@@ -122,9 +166,8 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
             if "share" in model:
                 p = np.full(batch.num_rows, model["share"])
             else:
-                data = [(text or "").encode("utf-8", "surrogatepass") for text in batch.column("text").to_pylist()]
-                x, length = np.array([difference(d, good, bad) for d in data]).reshape(-1, 2), np.array([len(d) for d in data])
-                p = sigmoid(features(x, length) @ model["curve"]) if data else np.empty(0)
+                x, length = measured([encoded(text) for text in batch.column("text").to_pylist()], good, bad)
+                p = sigmoid(features(x, length) @ model["curve"])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, score double")
@@ -133,10 +176,8 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     """The model, from rows of ``labels`` (doc_id, quality)."""
     worst = labels.where("quality is not null").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
-    rows = {}
-    for r in arrow(training_sample(docs, worst, "bad", per_class), _windows, "doc_id long, label int, data binary").toLocalIterator():
-        rows.setdefault(r["doc_id"], (r["doc_id"], 1 - r["label"], bytes(r["data"])))
-    return train(list(rows.values()))
+    sample = written(training_sample(docs, worst, "bad", per_class).withColumn("label", 1 - F.col("label")), "quality-sample")
+    return train(sample, {1 - k: n for k, n in represented(worst, "bad", per_class).items()})
 
 
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

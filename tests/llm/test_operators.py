@@ -407,6 +407,19 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert quality.fitted(empty, labels) == {"share": 1.0}
 
 
+def test_quality_curve_sees_whole_texts_and_the_mix_of_all_labels(spark, monkeypatch):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    long = docs.where(F.octet_length("text") > quality.WINDOW).select("doc_id").join(labels, "doc_id")
+    some = labels.where("doc_id % 10 = 0").unionByName(long).distinct()
+    seen, fit = [], quality.curve
+    monkeypatch.setattr(quality, "curve", lambda *a: seen.append(a) or fit(*a))
+    quality.fitted(docs, some, per_class=40)
+    _, length, label, weight = seen[0]
+    assert length.max() > quality.WINDOW
+    assert abs((weight * label).sum() / weight.sum() - some.agg(F.avg("quality")).first()[0]) < 1e-6
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
