@@ -147,15 +147,57 @@ def place(docs: DataFrame, old: Column, shards: int = 16, old_shards: int = 16,
     return placed.withColumn("within", within).join(before, part).withColumn("slot", (F.col("base") + F.col("within")).cast("long")).drop("base", "within", "row")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str | None = None) -> str:
+def _keyed(rows: DataFrame, key: list[str], order: list[str], slices: int) -> DataFrame:
+    """``rows`` with ``__nth``, the place of each among those of equal ``key``.
+
+    A key's rows are numbered in slices (by ``__row``), so that no task orders all rows of a hot key; ``rows``
+    must read the same each time.
+    """
+    rows = rows.withColumn("__slice", F.pmod(F.col("__row"), F.lit(slices)))
+    before = Window.partitionBy(*key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(*key, "__slice").agg(F.count(F.lit(1)).alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy(*key, "__slice").orderBy(*order))
+    return rows.withColumn("__within", within).join(bases, [*key, "__slice"]).withColumn("__nth", F.col("__base") + F.col("__within")).drop("__base", "__within", "__slice", "__row")
+
+
+def rewrite(docs: DataFrame, placed: DataFrame, path: str | None = None, old: Column | None = None) -> str:
     """Write the new shards' files, ``shard=N`` folders in the order of the slots; returns their folder.
 
-    Shards whose documents neither came nor went keep their old files: pass only the documents of the others
-    (those with ``shard != old_shard`` somewhere; see :func:`affected`).
+    ``docs`` are the documents that were placed, ``old`` the column that gave their old shards. With it, only the
+    shards of :func:`affected` are written: the others keep their old files. Without it every shard is.
+
+    Each row goes to one slot, by id (null too), size and CRC of the text, old shard and the number among rows in
+    which these are equal. Columns of ``docs`` named ``shard`` or ``slot`` give way to the plan's.
     """
     path = path or scratch_path(docs.sparkSession, "shards")
-    ids = placed.select(F.col("doc_id").alias("__id"), "shard", "slot")
-    out = docs.join(ids, F.col("doc_id") == F.col("__id")).drop("__id")
+    text = text_or_empty()
+    docs = docs.select(
+        *(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"),
+        F.col("doc_id").cast("long").isNull().alias("__none"),
+        (F.octet_length(text) + F.lit(1)).cast("long").alias("__size"),
+        F.crc32(text.cast("binary")).alias("__crc"),
+        (F.lit(0) if old is None else F.coalesce(old.cast("int"), F.lit(0))).alias("__old"),
+        F.monotonically_increasing_id().alias("__row"),
+    )
+    docs = written(docs, "reshard-docs")
+    slots = placed.select(
+        F.coalesce("doc_id", F.lit(0)).alias("__id"),
+        F.col("doc_id").isNull().alias("__none"),
+        F.col("size").alias("__size"),
+        F.col("text_crc32").alias("__crc"),
+        (F.lit(0) if old is None else F.col("old_shard")).alias("__old"),
+        F.col("slot").alias("__row"),
+        "shard",
+        "slot",
+    )
+    slots = written(slots, "reshard-slots")
+    key = ["__id", "__none", "__size", "__crc", "__old"]
+    slices = max(1, -(-slots.count() // BLOCK_ROWS))
+    ids = _keyed(slots, key, ["shard", "slot"], slices)
+    if old is not None:
+        ids = ids.where(F.col("shard").isin(affected(placed)))
+    out = _keyed(docs, key, ["__row"], slices).join(ids, [*key, "__nth"]).drop(*key, "__nth")
     out.repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path
 

@@ -137,6 +137,33 @@ def test_bytes_are_near_equal_and_files_follow_the_plan(spark, small):
     assert set(reshard.affected(placed)) <= set(range(5))
 
 
+def test_files_hold_every_odd_row_once_and_only_of_affected_shards(spark, odd, monkeypatch):
+    monkeypatch.setattr(reshard, "BLOCK_ROWS", 3)  # several slices
+    copies = spark.createDataFrame([(10, prose(3, 40), "de", s, k) for k, s in enumerate("abcc" * 3)] + [(None, None, None, "a", 1)] * 3, SCHEMA)
+    rows = odd.drop("shard", "clash").unionByName(copies)
+    old = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(4))
+    plain = lambda found: Counter(map(tuple, found.select("doc_id", "text", "lang", "source", "n_chars").collect()))
+    slots = lambda found: sorted((r["shard"], r["slot"]) for r in found.collect())
+    placed = reshard.place(rows, old, shards=4, old_shards=4)
+    files = spark.read.parquet(reshard.rewrite(rows, placed))
+    assert plain(files) == plain(rows) and slots(files) == slots(placed)
+    # Two shards stay as they are, the others give and take.
+    sizes = {r["old_shard"]: r["b"] for r in placed.groupBy("old_shard").agg(F.sum("size").alias("b")).collect()}
+    room = [sizes.get(k, 0) for k in range(4)]
+    big = max(range(4), key=lambda k: room[k])
+    other = min(k for k in range(4) if k != big)
+    room[big], room[other] = room[big] - 500, room[other] + 500
+    placed = reshard.place(rows, old, shards=4, old_shards=4, capacities=room)
+    changed = reshard.affected(placed)
+    assert set(changed) == {big, other}
+    files = spark.read.parquet(reshard.rewrite(rows, placed, old=old))
+    assert slots(files) == slots(placed.where(F.col("shard").isin(changed)))
+    kept = rows.where(~F.coalesce(old, F.lit(0)).isin(changed))
+    assert plain(files) + plain(kept) == plain(rows)
+    clashing = spark.read.parquet(reshard.rewrite(odd, reshard.place(odd, F.lit(0), shards=2)))
+    assert clashing.count() == len(odd_rows())
+
+
 # Exact dedup
 
 
