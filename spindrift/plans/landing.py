@@ -43,30 +43,52 @@ def retain_studies(data: Data) -> DataFrame:
     return k.retain_studies({"base": base}, pulled, keep, "l_orderkey")["base"].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Lines of a study that one record holds, about.
+PAGE_LINES = 10_000
+
+
+def paged(rows: DataFrame) -> DataFrame:
+    """``rows`` with a page number, so that a study's rows of one page are ``PAGE_LINES`` or so; equal rows share a page."""
+    most = rows.groupBy("nct_id").count().agg(F.max("count")).first()[0] or 1
+    return rows.withColumn("page", F.pmod(F.xxhash64(*rows.columns), F.lit(-(-most // PAGE_LINES))))
+
+
 def records(data: Data) -> DataFrame:
-    """Study records built from orders and their lines, read back from JSON text under the fixed schema."""
-    lines = data.view("p_outcomes").groupBy("nct_id").agg(
-        F.array_sort(F.collect_list(F.struct("line_id", F.col("measure").alias("measure"), F.col("time_frame").alias("timeFrame"), F.col("description").alias("description")))).alias("o")
+    """Study records built from orders and their lines, read back from JSON text under the fixed schema.
+
+    A study has a record of its own (``kind`` is study) and as many records as needed for its arms and its
+    outcomes, each holding a bounded number of lines; the flatteners union them.
+    """
+    outcome = F.struct("line_id", F.col("measure").alias("measure"), F.col("time_frame").alias("timeFrame"), F.col("description").alias("description"))
+    planned = data.view("p_outcomes").select("nct_id", outcome.alias("x"))
+    firsts = planned.groupBy("nct_id").agg(F.min("x").alias("first"))
+    lines = paged(planned).groupBy("nct_id", "page").agg(F.array_sort(F.collect_list("x")).alias("o")).join(firsts, "nct_id")
+    leads = F.col("o")[0].eqNullSafe(F.col("first"))
+    item = F.struct("ordinal", F.col("intervention_type").alias("type"), "name", F.array("other_name", F.lit(" ")).alias("otherNames"), F.array("group_title", F.lit("No arm")).alias("armGroupLabels"))
+    arms = paged(data.view("p_interventions")).groupBy("nct_id", "page").agg(F.array_sort(F.collect_set("group_title")).alias("labels"), F.array_sort(F.collect_list(item)).alias("i"))
+
+    def record(rows: DataFrame, kind: str, *modules) -> DataFrame:
+        title = F.concat(F.lit("Study "), "nct_id").alias("briefTitle")
+        section = F.struct(F.struct(F.col("nct_id").alias("nctId"), title).alias("identificationModule"), *modules)
+        return rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct(section.alias("protocolSection"))).alias("j"))
+
+    found = record(
+        data.view("p_studies"),
+        "study",
+        F.struct(F.struct(F.date_format("start_date", "yyyy-MM").alias("date")).alias("startDateStruct")).alias("statusModule"),
+        F.struct(F.split("phase", "/").alias("phases"), F.struct("allocation").alias("designInfo")).alias("designModule"),
+        F.struct(F.array(F.col("organization"), F.lit("")).alias("conditions")).alias("conditionsModule"),
     )
-    arms = data.view("p_interventions").groupBy("nct_id").agg(
-        F.array_sort(F.collect_set("group_title")).alias("labels"),
-        F.array_sort(F.collect_list(F.struct("ordinal", F.col("intervention_type").alias("type"), "name", F.array("other_name", F.lit(" ")).alias("otherNames"), F.array("group_title", F.lit("No arm")).alias("armGroupLabels")))).alias("i"),
-    )
-    s = data.view("p_studies").join(lines, "nct_id").join(arms, "nct_id")
-    return s.select(
-        F.to_json(
-            F.struct(
-                F.struct(
-                    F.struct(F.col("nct_id").alias("nctId"), F.concat(F.lit("Study "), "nct_id").alias("briefTitle")).alias("identificationModule"),
-                    F.struct(F.struct(F.date_format("start_date", "yyyy-MM").alias("date")).alias("startDateStruct")).alias("statusModule"),
-                    F.struct(F.split("phase", "/").alias("phases"), F.struct("allocation").alias("designInfo")).alias("designModule"),
-                    F.struct(F.array(F.col("organization"), F.lit("")).alias("conditions")).alias("conditionsModule"),
-                    F.struct(F.transform("labels", lambda x: F.struct(x.alias("label"))).alias("armGroups"), F.col("i").alias("interventions")).alias("armsInterventionsModule"),
-                    F.struct(F.slice("o", 1, 1).alias("primaryOutcomes"), F.slice("o", 2, 1000).alias("secondaryOutcomes")).alias("outcomesModule"),
-                ).alias("protocolSection")
-            )
-        ).alias("j")
-    ).select(F.from_json("j", r.STUDY).alias("study"))
+    found = found.unionByName(record(arms, "arms", F.struct(F.transform("labels", lambda x: F.struct(x.alias("label"))).alias("armGroups"), F.col("i").alias("interventions")).alias("armsInterventionsModule")))
+    n, lead = F.size("o"), leads.cast("int")
+    outcomes = F.struct(F.slice("o", F.lit(1), lead).alias("primaryOutcomes"), F.slice("o", lead + 1, n).alias("secondaryOutcomes")).alias("outcomesModule")
+    found = found.unionByName(record(lines, "outcomes", outcomes))
+    return found.select("kind", F.from_json("j", r.STUDY).alias("study"))
+
+
+def own_records(data: Data) -> DataFrame:
+    """The studies' own records; of those with outcomes, as the SQL of the queries has it."""
+    return records(data).where("kind = 'study'").withColumn("nct_id", F.col(r.ID)).join(data.view("p_outcomes").select("nct_id").distinct(), "nct_id", "left_semi").select("study")
 
 
 _WITH = "nct_id IN (SELECT nct_id FROM p_outcomes)"
@@ -74,7 +96,7 @@ _WITH = "nct_id IN (SELECT nct_id FROM p_outcomes)"
 
 @query(f"SELECT nct_id, coalesce(phase, '') AS phase, CAST(date_trunc('month', start_date) AS VARCHAR) AS start_date, allocation FROM p_studies WHERE {_WITH}".replace("CAST(date_trunc('month', start_date) AS VARCHAR)", "strftime(start_date, '%Y-%m-01')"))
 def flatten_studies(data: Data) -> DataFrame:
-    out = r.flatten_studies(records(data))
+    out = r.flatten_studies(own_records(data))
     return out.select("nct_id", F.coalesce("phase", F.lit("")).alias("phase"), F.col("start_date").cast("string").alias("start_date"), "allocation")
 
 
@@ -85,7 +107,7 @@ def flatten_planned_outcomes(data: Data) -> DataFrame:
 
 @query("SELECT nct_id, title FROM p_arms")
 def flatten_arms(data: Data) -> DataFrame:
-    return r.flatten_arms(records(data)).select("nct_id", "title")
+    return r.flatten_arms(records(data)).select("nct_id", "title").distinct()  # a label is in each record with its interventions
 
 
 @query("SELECT nct_id, lower(name) AS name_normalised, intervention_type FROM p_interventions")
@@ -105,7 +127,7 @@ def flatten_arm_links(data: Data) -> DataFrame:
 
 @query(f"SELECT nct_id, organization AS name FROM p_studies WHERE {_WITH}")
 def flatten_conditions(data: Data) -> DataFrame:
-    return r.flatten_conditions(records(data))
+    return r.flatten_conditions(own_records(data))
 
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY ALL")

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.plans import QUERIES, landing
+from spindrift.plans.projections import TABLES
 from spindrift.sources import registry_json as r
 from spindrift.sources import tables as k
 from spindrift.streaming import incremental
@@ -69,3 +72,27 @@ def test_arriving_pages_refresh_studies(spark, tmp_path):
     now = incremental.latest(spark, str(target))
     assert sorted((x["nct_id"], x["brief_title"]) for x in now["studies"].collect()) == [("N1", "one again"), ("N2", "two"), ("N3", "three")]
     assert sorted((x["nct_id"], x["measure"]) for x in now["outcomes"].collect()) == [("N1", "m4"), ("N2", "m3")]
+
+
+def test_a_study_of_many_lines_keeps_all_outcomes(spark, tmp_path, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    for name in set(TABLES) - {"lineitem"}:
+        (tmp_path / f"{name}.parquet").symlink_to(f"{folder}/{name}.parquet")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    hot = spark.read.parquet(f"{folder}/orders.parquet").agg(F.min("o_orderkey")).first()[0]
+    key = F.when(F.col("l_partkey") % 2 == 0, F.lit(hot)).otherwise(F.col("l_orderkey")).cast(lines.schema["l_orderkey"].dataType)
+    lines.withColumn("l_orderkey", key).write.parquet(str(tmp_path / "lineitem.parquet"))
+    view = landing.Data(spark, str(tmp_path)).view
+    planned = view("p_outcomes")
+    most = planned.groupBy("nct_id").count().agg(F.max("count")).first()[0]
+    assert most > 1001
+    for page in (10_000, 100):
+        monkeypatch.setattr(landing, "PAGE_LINES", page)
+        found = QUERIES["flatten_planned_outcomes"](spark, str(tmp_path))
+        assert found.count() == planned.count()
+        assert found.where("outcome_type = 'primary'").count() == planned.select("nct_id").distinct().count()
+        assert found.select("nct_id", "measure", "time_frame").exceptAll(planned.select("nct_id", "measure", "time_frame")).count() == 0
+    arms = QUERIES["flatten_arms"](spark, str(tmp_path))
+    assert arms.exceptAll(view("p_arms").select("nct_id", "title")).count() == 0 and arms.count() == view("p_arms").count()
+    assert QUERIES["flatten_arm_links"](spark, str(tmp_path)).agg(F.sum("n")).first()[0] == view("p_interventions").count()
+    assert landing.records(landing.Data(spark, str(tmp_path))).where("kind = 'study'").count() == view("p_studies").count()
