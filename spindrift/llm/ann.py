@@ -7,16 +7,19 @@ the query's projections to the borders that are crossed, summed (Lv et al., 2007
 are merged and ranked by their exact distance.
 
 K, w and the number of probes are fitted on a bounded sample (``SAMPLE`` vectors, ``PROBES_FOR`` of them as
-queries): of the settings that find ``RECALL`` of the sample's neighbours, the one that looks at the smallest
-share of the vectors. Neighbours are farther apart in a sample than in the whole, which errs to the safe
-side. Every vector is indexed. Where no setting does, the last resort is one bucket for all, which is exact.
+queries), but against the neighbours that these queries have among *all* vectors, which one pass finds. Of the
+settings whose buckets hold ``RECALL`` of those neighbours, the one that looks at the smallest share of the
+vectors is taken (of equal ones the first); where none does, the one that holds most of them. As neighbours
+come nearer while the table grows, so do the buckets that the fit can afford. Every vector is indexed. Queries
+whose buckets hold fewer than k candidates, while the table has more, are compared with all vectors in blocks;
+so are all queries with ``exact=True``.
 
 Equal vectors are one class for the search, known by its smallest ids, so that a vector that is a third of
 all rows is compared once. A bucket is held in blocks of about ``BLOCK`` vectors; a query visits all of them.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length from
-the most common one, take no part; nor do rows without id; of two rows with the same id and vector one counts; an
-empty table gives an empty result; fewer candidates than k give as many ranks; ties go to the smaller id.
+the most common one, take no part; nor do rows without id; of rows with the same id one counts (by a hash of the
+vector); an empty table gives an empty result; fewer candidates than k give as many ranks; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow, table, written
 
-TABLES, SAMPLE, PROBES_FOR, RECALL, BLOCK = 2, 4000, 200, 0.96, 4096
+TABLES, SAMPLE, PROBES_FOR, RECALL, BLOCK = 2, 4000, 100, 0.96, 4096
+#: The one bucket that holds all vectors.
+EXACT = {"hashes": 0, "width": 1.0, "probes": 1, "tables": 1}
 _SEED = 7
 
 
@@ -100,52 +105,71 @@ class Index:
             yield np.unique(np.concatenate(found))
 
 
-def fit(sample: np.ndarray, k: int) -> dict:
-    """hashes, width and probes that find enough neighbours of a sample while looking at few vectors."""
-    exact = {"hashes": 0, "width": 1.0, "probes": 1, "tables": 1}
-    if len(sample) < 50 * k:
-        return exact
-    queries = sample[:PROBES_FOR]
-    far = ((queries**2).sum(1)[:, None] + (sample**2).sum(1)) - 2 * queries @ sample.T
-    far[np.arange(len(queries)), np.arange(len(queries))] = np.inf
-    near = np.argpartition(far, k, axis=1)[:, :k]
-    radius = float(np.sqrt(np.maximum(np.median(np.take_along_axis(far, near, 1).max(axis=1)), 1e-12)))
-    best, least = exact, 0.9
-    for hashes in (2, 4, 6, 8, 12, 16):
+def fit(sample: np.ndarray, queries: np.ndarray, near: list[np.ndarray]) -> dict:
+    """hashes, width and probes that hold enough of the queries' neighbours while looking at few of a sample's vectors.
+
+    near: the neighbours' vectors, for each query.
+    """
+    if not len(queries) or not sum(map(len, near)):
+        return {"hashes": 2, "width": 1.0, "probes": 1, "tables": TABLES}
+    farthest = [np.sqrt(((n - q) ** 2).sum(axis=1).max()) for q, n in zip(queries, near, strict=True) if len(n)]
+    radius = max(float(np.median(farthest)), 1e-6)
+    of = np.repeat(np.arange(len(queries)), [len(n) for n in near])
+    others = np.concatenate([n for n in near if len(n)])
+    best, least, most_held = None, np.inf, -1
+    for hashes in (2, 4, 6, 8, 12, 16, 20, 24):
         for wide in (1.0, 1.5, 2.0, 3.0):
-            most = Index(sample.shape[1], hashes, radius * wide, min(64, 3**hashes))
-            own = most.buckets(sample)
-            for probes in (p for p in (1, 4, 16, 64) if p <= most.probes):
+            widest = Index(sample.shape[1], hashes, radius * wide, min(64, 3**hashes))
+            own, theirs = widest.buckets(sample), widest.buckets(others)
+            for probes in (p for p in (1, 4, 16, 64) if p <= widest.probes):
                 index = Index(sample.shape[1], hashes, radius * wide, probes)
-                hit = looked = 0
-                for q, (seen, neighbours) in enumerate(zip(index.visited(queries), near, strict=True)):
-                    found = np.isin(own, seen).any(axis=0)
-                    hit += int(found[neighbours].sum())
-                    looked += int(found.sum())
-                    if q == 39 and hit < 0.8 * RECALL * 40 * k:
+                held = looked = 0
+                for q, seen in enumerate(index.visited(queries)):
+                    held += int(np.isin(theirs[:, of == q], seen).any(axis=0).sum())
+                    if held < 0.8 * RECALL * (of <= q).sum() and q >= len(queries) // 4:
                         break
+                    looked += int(np.isin(own, seen).any(axis=0).sum())
                 else:
+                    enough = held >= RECALL * len(others)
                     share = looked / len(queries) / len(sample)
-                    if hit >= RECALL * near.size and share < least:
-                        best, least = {"hashes": hashes, "width": radius * wide, "probes": probes, "tables": TABLES}, share
-                    if hit >= RECALL * near.size:
+                    if (enough and share < least) or (not np.isfinite(least) and held > most_held):
+                        best = {"hashes": hashes, "width": radius * wide, "probes": probes, "tables": TABLES}
+                        least, most_held = share if enough else np.inf, held
+                    if enough:
                         break
-    return best
+    return best or EXACT
 
 
 def nearest(block: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's number, id, exact distance) of the k nearest of a block for each query (own class included)."""
-    rough = (queries**2).sum(1)[:, None] + (block**2).sum(1) - 2 * queries @ block.T
-    take = min(len(block), k + 16)
-    some = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(block) else np.broadcast_to(np.arange(len(block)), rough.shape)
-    exact = np.sqrt(((queries[:, None, :] - block[some]) ** 2).sum(axis=2))
-    order = np.lexsort((ids[some], exact), axis=1)[:, :k]
-    number = np.repeat(np.arange(len(queries)), order.shape[1])
-    return number, np.take_along_axis(ids[some], order, 1).ravel(), np.take_along_axis(exact, order, 1).ravel()
-
-
-def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 10, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score for the rows where ``is_query`` holds, against all other rows."""
+    """(query's number, id, exact distance) of the k nearest of a block for each query (own class included).
+
+    Products of matrices choose what is measured exactly: all that is as near as the k-th, within the products'
+    rounding error, so that ties at the k-th place are decided by id.
+    """
+    size, sizes = (queries**2).sum(1), (block**2).sum(1)
+    rough = size[:, None] + sizes - 2 * queries @ block.T
+    if k < len(block):
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        error = 1e-15 * (8 + block.shape[1]) * (size + sizes.max())
+        number, some = np.nonzero(rough <= (kth + 2 * error)[:, None])
+    else:
+        number, some = (x.ravel() for x in np.indices(rough.shape))
+    exact = np.empty(len(number))
+    for i in range(0, len(number), 1 << 15):
+        part = slice(i, i + (1 << 15))
+        exact[part] = np.sqrt(((queries[number[part]] - block[some[part]]) ** 2).sum(axis=1))
+    order = np.lexsort((ids[some], exact, number))
+    number = number[order]
+    first = np.searchsorted(number, np.arange(len(queries)))
+    take = np.arange(len(number)) - first[number] < k
+    return number[take], ids[some][order][take], exact[order][take]
+
+
+def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 10, id_column: str = "vec_id", column: str = "embedding", exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id and score for the rows where ``is_query`` holds, against all other rows.
+
+    ``exact``: compare every query with every vector, in blocks, and hash nothing.
+    """
     element = vectors.schema[column].dataType.elementType.simpleString()
     kind, size = ("<f4", 4) if element == "float" else ("<f8", 8)
     v = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v") if size == 4 else F.col(column).cast("array<double>").alias("v"))
@@ -155,14 +179,65 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 10
     dimensions = common[0]["n"] if common else 1
     valid = valid.where(F.size("v") == dimensions).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
 
+    # Of an id with several vectors the one of the smallest hashes counts; such ids are few, so Spark broadcasts them.
+    pair = F.struct("h1", "h2")
+    several = valid.groupBy("id").agg(F.min(pair).alias("low"), F.max(pair).alias("high")).where("low <> high").select(F.col("id").alias("of"), "low")
+    valid = valid.join(several, F.col("id") == F.col("of"), "left").where(F.col("low").isNull() | (pair == F.col("low"))).drop("of", "low")
+
     # Classes of equal vectors, with their k + 1 smallest ids: what ranks ids drops the others before the shuffle.
     first = Window.partitionBy("h1", "h2").orderBy("id")
     few = valid.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     classes = written(few.groupBy("h1", "h2").agg(F.min("id").alias("class"), F.array_sort(F.collect_set("id")).alias("members"), F.first("v").alias("v")), "vector-classes")
     asked = written(valid.where(is_query(F.col("id"))).select("id", "h1", "h2").join(classes.select("h1", "h2", "class"), ["h1", "h2"]).select(F.col("id").alias("query_id"), F.col("class").alias("query")).distinct(), "query-classes")
 
-    sample = classes.select("v", F.xxhash64("class").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    setting = fit(np.array([r["v"] for r in sample], np.float64).reshape(-1, dimensions), k)
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return np.asarray(batch.column("v").flatten(), kind).reshape(-1, dimensions)
+
+    def fitted() -> dict:
+        sample = classes.select("class", "v", F.xxhash64("class").alias("h")).orderBy("h", "class").limit(SAMPLE).collect()
+        drawn = np.array([r["v"] for r in sample], np.float64).reshape(-1, dimensions)
+        asking, own = drawn[:PROBES_FOR], np.array([r["class"] for r in sample[:PROBES_FOR]], np.int64)
+
+        def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The k + 1 nearest of each batch to the drawn queries."""
+            for batch in batches:
+                if batch.num_rows:
+                    data, ids = matrix(batch), batch.column("class").to_numpy()
+                    n, found, score = nearest(data.astype(np.float64), np.arange(len(ids)), asking, k + 1)
+                    keep = ids[found] != own[n]
+                    yield pa.RecordBatch.from_arrays([pa.array(n[keep], pa.int32()), pa.array(score[keep]), pa.array(ids[found[keep]]), pa.array([x.tobytes() for x in data[found[keep]]], pa.binary())], ["query", "score", "class", "v"])
+
+        by_score = Window.partitionBy("query").orderBy("score", "class")
+        close = arrow(classes.select("class", "v"), beside, "query int, score double, class long, v binary").withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k)
+        near: list[list] = [[] for _ in asking]
+        for r in close.select("query", "v").collect():  # k rows for each of the drawn queries
+            near[r["query"]].append(np.frombuffer(r["v"], kind).astype(np.float64))
+        return fit(drawn, asking, [np.array(x).reshape(-1, dimensions) for x in near])
+
+    def ranked(asked: DataFrame, setting: dict) -> DataFrame:
+        return _ranked(classes, asked, setting, dimensions, kind, k)
+
+    if exact:
+        return _answers(ranked(asked, EXACT), k)
+    found = written(ranked(asked, fitted()), "vector-lists")
+    # A query whose buckets held too few candidates meets all vectors.
+    few_found = found.where(F.size("found") < F.lit(k)).select("query_id")
+    unmet = asked.join(found.select("query_id"), "query_id", "left_anti").select("query_id").unionByName(few_found)
+    short = written(asked.join(unmet, "query_id", "left_semi"), "short-queries")
+    if short.isEmpty():
+        return _answers(found, k)
+    again = ranked(short, EXACT)
+    return _answers(found.join(short.select("query_id"), "query_id", "left_anti").unionByName(again), k)
+
+
+def _answers(found: DataFrame, k: int) -> DataFrame:
+    """A row for each rank, of query_id and found (score, vec_id) in order."""
+    each = found.select("query_id", F.posexplode("found").alias("n", "x"))
+    return each.select("query_id", (F.col("n") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+
+
+def _ranked(classes: DataFrame, asked: DataFrame, setting: dict, dimensions: int, kind: str, k: int) -> DataFrame:
+    """query_id and found: an array of (score, vec_id), the k nearest of the buckets that each query visits."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(dimensions, **setting)
@@ -225,8 +300,7 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 10
     by_id = Window.partitionBy("query").orderBy("score", "vec_id")
     best = members.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
     lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
-    each = asked.join(lists, "query").select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
-    return each.select("query_id", F.posexplode("found").alias("n", "x")).select("query_id", (F.col("n") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return asked.join(lists, "query").select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
 
 
 def op1_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,12 +22,15 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Only where that setting is absent on a local master (one machine, as in tests) a temporary folder takes its
+    place; on a cluster its absence is an error, as tasks would write to the disks of different machines.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.spindrift.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.spindrift.scratch", found)
     return found.rstrip("/")
@@ -91,13 +94,24 @@ def text_or_empty(text: str | Column = "text") -> Column:
 
 
 class Memo(dict):
-    """What ``make`` returns for a key, kept for at most ``most`` keys at a time."""
+    """What ``make`` returns for a key, kept for at most ``most`` keys, of ``width`` units of text each on average.
 
-    def __init__(self, make: Callable, most: int = 250_000):
-        self.make, self.most = make, most
+    A key longer than ``LONG`` is never kept: in scripts without spaces a "word" may be a whole document.
+    """
+
+    LONG = 512
+
+    def __init__(self, make: Callable, most: int = 250_000, width: int = 32):
+        self.make, self.most, self.room = make, most, most * width
+        self.held = 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        size = len(key) if isinstance(key, str | bytes) else 1
+        if size <= self.LONG:
+            if len(self) >= self.most or self.held + size > self.room:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[key] = value
         return value
