@@ -1,7 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. Every text becomes its set of distinct five-word shingles (64-bit hashes) and a signature of 128 minima.
-   Texts of equal sets form a *class*; its smallest ``doc_id`` stands for it from here on.
+   Texts of equal sets form a *class*, which has a number from here on, and its smallest ``doc_id`` at the end.
 2. Signatures are cut into 32 bands of 4. Classes that agree in a band share a bucket. At a similarity of
    0.75 two classes share none with probability (1 - 0.75^4)^32, about 5e-6.
 3. Candidates are compared in three rounds, none of which pairs up what is already connected:
@@ -16,7 +16,8 @@
 
 Defined results: null or empty text has no shingles and stands alone; fewer than five words are one shingle;
 a null ``doc_id`` takes no part in links of its own but belongs to the component of an equal text, if any;
-the same row given twice gets the same component twice; an empty table gives an empty result; other columns
+the same row given twice gets the same component twice; rows that share a ``doc_id`` but not the text are
+documents of their own, each in its text's component; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -91,8 +92,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lower.append(int.from_bytes(d[8:], "little", signed=True))
             signs.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(high, pa.int64()), pa.array(lower, pa.int64()), pa.array(signs, pa.binary())],
-            ["doc_id", "n_shingles", "high", "low", "signature"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(count, pa.int64()), pa.array(high, pa.int64()), pa.array(lower, pa.int64()), pa.array(signs, pa.binary())],
+            ["doc_id", "text_hash", "n_shingles", "high", "low", "signature"],
         )
 
 
@@ -240,22 +241,25 @@ def _links(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return written(arrow(beside(likely, "text"), _verify, "a long, b long"), "links")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = written(arrow(docs, _features, "doc_id long, n_shingles long, high long, low long, signature binary"), "shingle-features")
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    found = written(arrow(docs, _features, "doc_id long, text_hash long, n_shingles long, high long, low long, signature binary"), "shingle-features")
     key = ["n_shingles", "high", "low"]
-    classes = written(found.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")).where("id is not null"), "shingle-classes")
-    # One row for each class; an id that occurs with several texts may stand for several classes.
-    signs = found.select(*key, F.col("doc_id").alias("id"), "signature").join(classes, [*key, "id"], "left_semi").dropDuplicates([*key, "id"]).select("id", "signature")
+    # A class is a number that its row gets when it is written; one of its documents lends signature and text.
+    with_set = found.where("n_shingles > 0 and doc_id is not null")
+    first = with_set.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
+    lenders = with_set.join(first, [*key, "doc_id"], "left_semi").dropDuplicates([*key, "doc_id"])
+    classes = written(lenders.select(F.monotonically_increasing_id().alias("id"), *key, F.col("doc_id").alias("first_id"), "text_hash", "signature"), "shingle-classes")
+    signs = classes.select("id", "signature")
     rows = arrow(signs, _bands, "bucket long, id long")
 
     drawn = F.struct(F.xxhash64("id", "bucket").alias("h"), "id")
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"), F.min(drawn).alias("drawn")).where("n > 1")
     members = written(rows.join(buckets.select("bucket", "n", "pivot", F.col("drawn.id").alias("drawn")), "bucket"), "bucket-members")
     involved = members.select("id").distinct()
-    texts = docs.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi").dropDuplicates(["id"])
-    known = written(texts.join(signs.dropDuplicates(["id"]), "id").select("id", "signature", "text"), "candidates")
+    lent = classes.join(involved, "id", "left_semi").select("id", F.col("first_id").alias("doc_id"), "text_hash", "signature")
+    known = written(docs.join(lent, ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "signature", "text"), "candidates")
 
     def pair(rows: DataFrame, x: str, y: str) -> DataFrame:
         return rows.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
@@ -287,16 +291,28 @@ def near_components(docs: DataFrame) -> DataFrame:
             links = links.unionByName(more)
             labels = written(components(links), "labels")
 
-    of_class = classes.join(labels, "id", "left").select(*key, F.coalesce("component", "id").alias("component"))
-    out = found.select("doc_id", *key).join(of_class, key, "left")
+    joined = labels.join(classes.select("id", "first_id"), "id")
+    least = joined.groupBy("component").agg(F.min("first_id").alias("least"))
+    of_class = classes.join(joined.join(least, "component").select("id", "least"), "id", "left").select(*key, F.coalesce("least", "first_id").alias("component"))
+    out = found.select("doc_id", "text_hash", *key).join(of_class, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    return _placed(docs).drop("text_hash")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component, with the columns of ``docs``."""
-    gone = near_components(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The documents that stay, one of each component, with the columns of ``docs``; rows without ``doc_id`` stay.
+
+    A row goes by its id and text together, so that one that shares its id with a near copy of another stays; rows
+    of one component that share the id that stays stay together.
+    """
+    gone = _placed(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    of = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (of == F.col("__hash")), "left_anti")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

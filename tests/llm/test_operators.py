@@ -72,7 +72,7 @@ def test_ann_is_exact_on_little_data_with_copies_and_unfit_vectors(spark):
     rows += [(1000 + i, rows[0][1], 0, None) for i in range(40)]  # copies of a query
     rows += [(2000, None, 0, None), (2100, [0.0] * 8, 0, None), (2200, [float("nan")] * 8, 0, None), (2300, [1.0, None] * 4, 0, None), (2400, [1.0] * 3, 0, None), (None, [1.0] * 8, 0, None), rows[5], rows[5]]
     found = {}
-    for row in ann.search(vectors(spark, rows), lambda i: i % 100 == 0).collect():
+    for row in ann.search(vectors(spark, rows), lambda i: i % 100 == 0, exact=True).collect():
         found.setdefault(row["query_id"], {})[row["rank"]] = (row["vec_id"], round(row["score"], 12))
     assert {q: [x[k] for k in sorted(x)] for q, x in found.items()} == brute(rows, 10)
 
@@ -96,6 +96,28 @@ def test_ann_recall(spark):
     assert hits >= 0.9 * want
 
 
+def test_ann_by_hashing_on_little_data(spark):
+    r = np.random.RandomState(3)
+    rows = [(i, [float(x) for x in r.randn(8)], 0, None) for i in range(900)] + [(1000 + i, [float(x) for x in r.randn(8)], 0, None) for i in range(40)]
+    rows += [(2000, None, 0, None), (2100, [0.0] * 8, 0, None), (3, [9.0] * 8, 0, None), (3, [9.0] * 8, 0, None)]
+    want = brute([x for x in rows if x[0] != 3], 10)
+    found = {}
+    for row in ann.search(vectors(spark, rows), lambda i: i % 100 == 0).collect():
+        found.setdefault(row["query_id"], {})[row["rank"]] = row["vec_id"]
+    assert set(found) == set(want) and all(sorted(x) == list(range(1, 11)) for x in found.values())
+    assert sum(len(set(found[q].values()) & {i for i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_ann_ties_go_to_the_smaller_ids(spark):
+    # Unit vectors in both directions of each axis: all at the same distance of the query.
+    unit = [[float(s) if k == axis else 0.0 for k in range(32)] for axis in range(32) for s in (1, -1)]
+    rows = [(900, unit[0], 0, None)] + [(999 - n, v, 0, None) for n, v in enumerate(unit[2:])] + [(5, [3.0] * 32, 0, None)]
+    for exact in (True, False):
+        got = [r["vec_id"] for r in ann.search(vectors(spark, rows), lambda i: i % 100 == 0, exact=exact).where("query_id = 900").orderBy("rank").collect()]
+        ids = sorted(999 - n for n in range(62))
+        assert got == ids[:10] if exact else set(got) <= set(ids)
+
+
 def test_perturbations_come_in_rising_order():
     x = np.array([0.1, 0.45, 0.8])
     score = lambda moves: sum((1 - x[m // 2]) ** 2 if m % 2 else x[m // 2] ** 2 for m in moves)
@@ -186,11 +208,26 @@ def test_exact_groups(spark, odd, empty):
     assert stay.columns == odd.columns and stay.count() == len(groups)
 
 
-def test_runs_are_probed(spark, small):
-    path = exact_dedup.flush_runs(exact_dedup.entries(small), runs=3)
-    text = small.orderBy("doc_id").first()["text"]
-    digest = hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", text).encode()).digest()
-    assert exact_dedup.probe(spark, path, [digest]).count() == 1
+def test_runs_are_probed_and_a_log_takes_further_batches(spark, small):
+    found = exact_dedup.entries(small)
+    log = exact_dedup.append(found, runs=3)
+    runs = exact_dedup.runs_of(spark, log)
+    met = exact_dedup.probed(runs, *exact_dedup.filters(runs))
+    in_runs = {r["digest"]: r["n"] for r in runs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wrong = [r["digest"] for r in met.where("met").collect() if in_runs[r["digest"]] == 1]
+    assert all(r["met"] for r in met.collect() if in_runs[r["digest"]] > 1) and len(wrong) < 0.3 * len(in_runs)
+    # The same documents again, as a second batch: every group doubles, the kept rows stay the same.
+    before = {r["digest"]: (r["id"], r["n"]) for r in exact_dedup.compacted(spark, log).collect()}
+    exact_dedup.append(found.withColumn("row", F.col("row") + (1 << 50)), log, runs=2, first_run=3)
+    after = {r["digest"]: (r["id"], r["n"]) for r in exact_dedup.compacted(spark, log).collect()}
+    assert after == {k: (i, 2 * n) for k, (i, n) in before.items()}
+
+
+def test_exact_dedup_keeps_the_longest_row_of_a_repeated_id(spark):
+    rows = [(5, "a b"), (5, "a   b"), (5, "a  b"), (7, "x y"), (6, "x y"), (6, "x y"), (None, "z"), (None, "z z"), (None, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stay = sorted(((r["doc_id"] or 0), r["text"]) for r in exact_dedup.exact_dedup(docs).collect())
+    assert stay == [(0, "z"), (0, "z z"), (5, "a   b"), (6, "x y")]
 
 
 # Near dedup
@@ -254,6 +291,17 @@ def test_near_components_of_chains_and_odd_rows(spark, odd, empty):
     assert near_dedup.near_dedup(odd).columns == odd.columns
 
 
+def test_rows_that_share_an_id_keep_their_links(spark):
+    a, b = prose(21, 200), prose(22, 200)
+    near = lambda t: t.replace(t.split()[90], "changed", 1)
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (9, prose(23, 100)), (3, prose(24, 100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_components(docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 3), (9, 9)]
+    stay = sorted((r["doc_id"], r["text"]) for r in near_dedup.near_dedup(docs).collect())
+    assert stay == sorted([(1, a), (1, b), (9, prose(23, 100)), (3, prose(24, 100))])
+
+
 def test_blocks_find_all_links():
     r = np.random.RandomState(1)
     base = np.sort(r.choice(10_000, 300, replace=False)).astype(np.uint64)
