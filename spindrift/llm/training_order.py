@@ -1,19 +1,21 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride binary shards.
 
 Every document is encoded, closed by an end id and cut into sequences of ``LENGTH`` ids. Sequence p of a
-document has the index (doc_id - smallest doc_id) * P + p, where P is the most sequences that a document can
-have by its bytes. A keyed Feistel network permutes the index; where it leaves the range of indices it is
-applied again (cycle-walking). Equal ranges of permuted indices are the shards: Spark deals sequences by
-range, sorts each range and writes it as one file of records of the same size. The gaps that unused indices
-leave close within each file, and a sequence's global slot is its shard's first slot plus its row. The order
-depends on ids, the key and the largest document, not on how the input is laid out.
+document has the index (doc_id - smallest doc_id) * 2^k + p, where 2^k is twice the most sequences that a document
+can have by its bytes; indices have up to 126 bits, held as two halves, so that ids may span all 64. A keyed Feistel
+network permutes the index; where it leaves the range of indices it is applied again (cycle-walking). Equal ranges
+of the permuted indices' left halves are the shards: Spark deals sequences by range, sorts each range and writes
+it as one file of records of the same size. The gaps that unused indices leave close within each file, and a
+sequence's global slot is its shard's first slot plus its row. The order depends on ids, the key and the largest
+document, not on how the input is laid out. A corpus of more than a terabyte of text gets ``MOST_SHARDS`` larger
+shards instead of more, as the shards' first slots are broadcast.
 
 A record is ``LENGTH`` little-endian 16-bit ids, filled with ``FILL``. Reading from slot s on is a seek to
 row * stride in the shard that holds s, so a reader can resume anywhere. Files are written under a name of
 the attempt and renamed, so that a repeated task replaces its own file.
 
-Defined results: null and empty texts are one sequence of the end id alone; rows without ``doc_id`` come as
-one more id after the largest; rows that share an id keep all their sequences, ordered by their content; an
+Defined results: null and empty texts are one sequence of the end id alone; rows without ``doc_id`` take the
+indices beside those of the smallest id; rows that share an id keep all their sequences, ordered by their content; an
 empty table gives no shards and an empty result; other columns are ignored.
 """
 
@@ -38,24 +40,48 @@ LENGTH, END, FILL, KEY, ROUNDS = 512, 2, 0xFFFF, 0x5EED, 6
 SHARD_TEXT, MOST_SHARDS = 16 << 20, 1 << 16
 
 
-def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
-    """The keyed permutation of 0 .. n - 1, by cycle-walking on the next even number of bits."""
-    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
-    low = np.uint64((1 << half) - 1)
-    seeds = np.random.RandomState(key % (1 << 32)).randint(1, 1 << 62, ROUNDS).astype(np.uint64)
-
-    def once(v: np.ndarray) -> np.ndarray:
-        left, right = v >> np.uint64(half), v & low
-        for seed in seeds:
+class Permutation:
+    """The keyed permutation of the indices number * 2^bits + piece, for numbers 0 .. ``most``, as halves of equal width."""
+
+    def __init__(self, most: int, bits: int, key: int = KEY):
+        width = most.bit_length() + bits
+        half = max((width + 1) // 2, 1)
+        if half > 63:
+            raise ValueError("a document has too many sequences")
+        self.most, self.bits, self.half = np.uint64(most), np.uint64(bits), np.uint64(half)
+        self.mask = np.uint64((1 << half) - 1)
+        #: How many bits of the number are in the right half, and how many of the piece in the left one.
+        self.down, self.up = np.uint64(max(half - bits, 0)), np.uint64(max(bits - half, 0))
+        #: A piece of a row without id is this many pieces behind.
+        self.beside = 1 << (bits - 1)
+        #: How many left halves there are.
+        self.lefts = ((most << int(self.up)) >> int(self.down)) + (1 << int(self.up))
+        self.seeds = np.random.RandomState(key % (1 << 32)).randint(1, 1 << 62, ROUNDS).astype(np.uint64)
+
+    def _once(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for seed in self.seeds:
             h = (right + seed) * np.uint64(0x9E3779B97F4A7C15)
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((h ^ (h >> np.uint64(32))) & low)
-        return (left << np.uint64(half)) | right
-
-    out = once(x.astype(np.uint64))
-    while (outside := out >= np.uint64(n)).any():
-        out[outside] = once(out[outside])
-    return out.astype(np.int64)
+            left, right = right, left ^ ((h ^ (h >> np.uint64(32))) & self.mask)
+        return left, right
+
+    def _outside(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether an index has a number above ``most``; compared by halves, so that nothing overflows."""
+        if not self.down:
+            return (left >> self.up) > self.most
+        top, rest = self.most >> self.down, self.most & ((np.uint64(1) << self.down) - np.uint64(1))
+        return (left > top) | ((left == top) & ((right >> self.bits) > rest))
+
+    def __call__(self, number: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The left and right halves of the permuted indices."""
+        if not self.down:
+            left, right = (number << self.up) | (piece >> self.half), piece & self.mask
+        else:
+            left, right = number >> self.down, ((number & ((np.uint64(1) << self.down) - np.uint64(1))) << self.bits) | piece
+        left, right = self._once(left, right)
+        while (outside := self._outside(left, right)).any():
+            left[outside], right[outside] = self._once(left[outside], right[outside])
+        return left, right
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -71,11 +97,9 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
     seen = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(size).alias("most"), F.sum(size.cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     low, high = (seen["low"] or 0), (seen["high"] or 0)
     pieces = ((seen["most"] or 0) + 1 + length - 1) // length  # no text has more ids than bytes
-    domain = (high - low + 2) * pieces
-    if domain >= 1 << 62:
-        raise ValueError("the ids span too wide a range")
-    shards = min(MOST_SHARDS, max(1, -(-(seen["bytes"] or 0) // SHARD_TEXT)))
-    width = -(-domain // shards)
+    order_of = Permutation(high - low, 1 + pieces.bit_length(), key)
+    shards = min(MOST_SHARDS, max(1, -(-(seen["bytes"] or 0) // SHARD_TEXT)), order_of.lefts)
+    width = np.uint64(-(-order_of.lefts // shards))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_encoder(), END.to_bytes(2, "little")
@@ -90,15 +114,16 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
                     data += [raw[2 * i : 2 * (i + length)] for i in at]
                 if not ids:
                     continue
-                number = np.array([high - low + 1 if k is None else k - low for k in ids], np.int64) * pieces + np.array(starts) // length
-                order = feistel(number, domain, key)
+                number = np.array([0 if k is None else k - low for k in ids], np.uint64)
+                piece = np.array(starts, np.uint64) // np.uint64(length) + np.array([order_of.beside if k is None else 0 for k in ids], np.uint64)
+                left, right = order_of(number, piece)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((order // width).astype(np.int32)), pa.array(order), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())],
-                    ["shard", "place", "doc_id", "start", "ids"],
+                    [pa.array((left // width).astype(np.int32)), pa.array(left.astype(np.int64)), pa.array(right.astype(np.int64)), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())],
+                    ["shard", "left", "right", "doc_id", "start", "ids"],
                 )
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard and place; a task holds whole shards and writes one after the other."""
+        """Rows come sorted by shard and index; a task holds whole shards and writes one after the other."""
         store, folder = _store(path)
         store.create_dir(folder, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
@@ -132,8 +157,8 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
         close()
 
     shipped(spark)
-    ranges = arrow(docs, cut, "shard int, place long, doc_id long, start long, ids binary").repartitionById(shards, "shard")
-    done = written(arrow(ranges.sortWithinPartitions("shard", "place", "start", "ids"), stored, "doc_id long, start long, length long, shard int, row long, ids_crc32 long"), "training-rows")
+    ranges = arrow(docs, cut, "shard int, left long, right long, doc_id long, start long, ids binary").repartitionById(shards, "shard")
+    done = written(arrow(ranges.sortWithinPartitions("shard", "left", "right", "start", "ids"), stored, "doc_id long, start long, length long, shard int, row long, ids_crc32 long"), "training-rows")
     counts = done.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = {r["shard"]: r["n"] for r in counts.collect()}
