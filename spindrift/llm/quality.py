@@ -1,19 +1,20 @@
 """Quality by compression: two zstandard dictionaries, one of good and one of bad labelled text.
 
-A text is cut into blocks and each block compressed with either dictionary; with b and g the summed sizes
-under the bad and the good one, the feature is (b - g) / (b + g), positive where the good dictionary helps
-more. A logistic curve over it, fitted on labelled rows that neither dictionary has seen, turns it into a
-probability. As short texts are noisier, the curve also takes the feature times the logarithm of the length;
-and as text that repeats itself shrinks under any dictionary, it takes the share (b + g) / 2n of the bytes.
-
-Training takes a bounded sample of labelled rows: ``PER_CLASS`` of either kind in the order of a hash of the
-id. A dictionary sees at most ``WINDOW`` bytes of each, at a place drawn by that hash; the curve's rows are
-measured in tasks by their whole texts, as everything is that is scored, and count for as many labelled rows as
-they stand for, so that scores follow the mix of all labels whatever the size of the table. Two dictionaries of
-``DICTIONARY`` bytes and five numbers go to the tasks.
-
-Defined results: null and empty texts score what the curve gives for no difference; without labels of both
-kinds every row scores the share of good labels (1 without any); rows of ``labels`` with nulls are skipped,
+A text is cut into blocks of ``BLOCK`` bytes and each block compressed with either dictionary; with b and g the summed
+sizes under the bad and the good one and n the bytes of the text, the normalised difference is (b - g) / n, positive
+where the good dictionary helps more. It is the only thing that tells texts apart. A logistic curve, fitted on labelled
+rows that neither dictionary has seen, turns it into a probability; its slope and its middle follow the logarithm of
+the length, as the difference of a short text is noisier and each block costs some bytes under either dictionary.
+
+Training takes a bounded number of labelled rows: ``PER_CLASS`` of either kind in the order of a hash of the
+id, by their whole texts. The dictionaries see two thirds of them. The curve's rows are measured in tasks, as
+everything is that is scored, and count for as many labelled rows as they stand for, so that scores follow the mix
+of all labels whatever the size of the table. Two dictionaries of ``DICTIONARY`` bytes and four numbers go to the tasks.
+Where a kind's texts are too little for zstandard to train on (some tens of kilobytes at most), the dictionary is
+those texts themselves, as one of raw content.
+
+Defined results: null and empty texts score what the curve gives for no difference and no length; without labels of
+both kinds every row scores the share of good labels (1 without any); rows of ``labels`` with nulls are skipped,
 and a document with contradictory labels counts as bad; the same row given twice is scored twice; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import arrow, table, written
 from .toxicity import represented, row_weights, sigmoid, training_sample
 
-PER_CLASS, WINDOW, BLOCK, DICTIONARY, LEVEL = 4000, 8192, 4096, 112_640, 3
+PER_CLASS, BLOCK, DICTIONARY, LEVEL = 4000, 256, 112_640, 3
 #: Of the sample, every third row is kept for the curve.
 CURVE = 3
 THRESHOLD = 0.3
@@ -50,20 +51,19 @@ class Sizes:
         return sum(len(self._compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK))
 
 
-def difference(data: bytes, good: Sizes, bad: Sizes) -> tuple[float, float]:
-    """The normalised difference of the sizes, and the logarithm of the share of the bytes that they are."""
-    b, g = bad(data), good(data)
-    return ((b - g) / (b + g), np.log((b + g) / (2 * len(data)))) if data else (0.0, 0.0)
+def difference(data: bytes, good: Sizes, bad: Sizes) -> float:
+    """The difference of the sizes, as a share of the bytes."""
+    return (bad(data) - good(data)) / len(data) if data else 0.0
 
 
-def features(x: np.ndarray, length: np.ndarray) -> np.ndarray:
-    d, share = np.clip(x[:, 0] * 10, -4, 4), np.clip(x[:, 1] + 0.7, -3, 2)
-    return np.column_stack((d, d * np.log1p(length / 200), share, np.minimum(share, 0) ** 2, np.ones(len(x))))
+def features(d: np.ndarray, length: np.ndarray) -> np.ndarray:
+    d, n = np.clip(d * 10, -8, 8), np.log1p(length / 200)
+    return np.column_stack((d, d * n, n, np.ones(len(d))))
 
 
-def curve(x: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def curve(d: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Logistic weights of :func:`features`, by Newton's method with a small ridge, each row counting ``weight`` times."""
-    a = features(x, length)
+    a = features(d, length)
     w = np.zeros(a.shape[1])
     for _ in range(40):
         p = sigmoid(a @ w)
@@ -77,54 +77,42 @@ def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def window(text: str | None, doc_id: int) -> bytes:
-    """At most ``WINDOW`` bytes of a text, at a place that follows from its id."""
-    data = encoded(text)
-    at = crc32(str(doc_id).encode()) % max(1, len(data) - WINDOW + 1)
-    return data[at : at + WINDOW]
-
-
-def _windows(ids: np.ndarray):
-    """doc_id and window of the rows of ``ids``."""
+def _texts(ids: np.ndarray):
+    """doc_id and bytes of the rows of ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), ids), pa.bool_()))
-            doc_ids = batch.column("doc_id").to_pylist()
-            cut = [window(text, k) for text, k in zip(batch.column("text").to_pylist(), doc_ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cut, pa.binary())], ["doc_id", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(encoded, batch.column("text").to_pylist())), pa.binary())], ["doc_id", "data"])
 
     return run
 
 
 def measured(data: list[bytes], good: Sizes, bad: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """The two numbers of :func:`difference` and the length, of each text."""
-    return np.array([difference(d, good, bad) for d in data]).reshape(-1, 2), np.array([len(d) for d in data], np.int64)
+    """The normalised difference and the length, of each text."""
+    return np.array([difference(d, good, bad) for d in data], float), np.array([len(d) for d in data], np.int64)
 
 
 def _measures(ids: np.ndarray, of: dict[int, bytes]):
-    """doc_id, difference, share and length of the rows of ``ids``, by their whole texts."""
+    """doc_id, difference and length of the rows of ``ids``, by their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = Sizes(of[1]), Sizes(of[0])
         for batch in batches:
             batch = batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), ids), pa.bool_()))
-            x, length = measured([encoded(text) for text in batch.column("text").to_pylist()], good, bad)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(x[:, 0].copy(), pa.float64()), pa.array(x[:, 1].copy(), pa.float64()), pa.array(length)],
-                ["doc_id", "difference", "share", "length"],
-            )
+            d, length = measured([encoded(text) for text in batch.column("text").to_pylist()], good, bad)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d), pa.array(length)], ["doc_id", "difference", "length"])
 
     return run
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary of text in blocks; of the text itself where there is too little to train one."""
-    blocks = [d[i : i + 1024] for d in samples for i in range(0, len(d), 1024) if len(d) - i >= 16]
+    """A dictionary of texts in blocks; of raw content where there is too little to train one."""
+    blocks = [d[i : i + BLOCK] for d in samples for i in range(0, len(d), BLOCK) if len(d) - i >= 16]
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks, level=LEVEL).as_bytes()
-    except (zstandard.ZstdError, MemoryError, ValueError):
-        return b"\n".join(samples)[-DICTIONARY:] or b"\n" * 16
+    except (zstandard.ZstdError, ValueError):
+        return b"\n".join(samples).ljust(16)
 
 
 def first_rows(found: DataFrame) -> dict[int, tuple]:
@@ -147,13 +135,13 @@ def train(sample: DataFrame, stands_for: dict[int, float]) -> dict:
     if any((~held & (label == k)).sum() == 0 for k in (0, 1)):
         held[:] = False
     use = held if held.any() else ~held
-    data = first_rows(arrow(sample, _windows(ids[~held]), "doc_id long, data binary"))
+    data = first_rows(arrow(sample, _texts(ids[~held]), "doc_id long, data binary"))
     of = {k: dictionary([bytes(data[i][0]) for i in ids[~held & (label == k)].tolist()]) for k in (0, 1)}
     del data
-    found = first_rows(arrow(sample, _measures(ids[use], of), "doc_id long, difference double, share double, length long"))
+    found = first_rows(arrow(sample, _measures(ids[use], of), "doc_id long, difference double, length long"))
     numbers = np.array([found[i] for i in ids[use].tolist()])
     each = {k: stands_for.get(k, 1.0) * (label == k).sum() / (use & (label == k)).sum() for k in (0, 1)}
-    return {"good": of[1], "bad": of[0], "curve": curve(numbers[:, :2], numbers[:, 2], label[use], row_weights(label[use], each))}
+    return {"good": of[1], "bad": of[0], "curve": curve(numbers[:, 0], numbers[:, 1], label[use], row_weights(label[use], each))}
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
@@ -166,8 +154,8 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
             if "share" in model:
                 p = np.full(batch.num_rows, model["share"])
             else:
-                x, length = measured([encoded(text) for text in batch.column("text").to_pylist()], good, bad)
-                p = sigmoid(features(x, length) @ model["curve"])
+                d, length = measured([encoded(text) for text in batch.column("text").to_pylist()], good, bad)
+                p = sigmoid(features(d, length) @ model["curve"])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, score double")
