@@ -1,9 +1,9 @@
 """Packing by order-preserving dynamic programming.
 
 Documents keep their order (by ``doc_id``) and are laid end to end; windows of at most 4096 tokens are cut
-from that line. Cuts may lie at the end of a document (free), after a sentence (a small penalty), or, where
-sentences are long, every ``GRID`` tokens (a larger penalty). With f(j) the least cost of the line up to
-candidate j at position p(j),
+from that line. Cuts may lie at the end of a document (free) and at the end of a sentence or line (a small
+penalty); within a sentence only where it is longer than a window, every ``GRID`` tokens (a larger penalty).
+With f(j) the least cost of the line up to candidate j at position p(j),
 
     f(j) = penalty(j) + min over i with p(j) - p(i) <= 4096 of f(i) + 4096 - (p(j) - p(i)).
 
@@ -11,8 +11,9 @@ f(i) + p(i) does not depend on j, so the minimum over the moving range of i is k
 each candidate costs constant time. The line is solved in stretches of ``STRETCH`` windows; a stretch's last
 window stays open for the next one.
 
-Spark splits the documents by ranges of ``doc_id`` and each task packs its range. The rest that a task's
-last window holds is cut into lengths that are powers of two, which need no padding.
+Spark splits the documents by ranges of ``doc_id`` into runs of some ``RUN_TEXT`` bytes, whatever the session's
+number of partitions, and a task packs a run. A window that is shorter than 4096 tokens is padded. The rest that a
+run's last window would hold is cut into lengths that are powers of two, which need no padding.
 
 Defined results: null or empty text is the closing id alone; every id lies in exactly one piece; rows that
 share a ``doc_id`` follow each other in the order of a hash of their texts; the same row given twice is packed
@@ -22,9 +23,11 @@ twice; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -37,9 +40,9 @@ from .common import arrow, table
 from .tokens import place, word_encoder
 
 TOKENIZER, CLOSE, WINDOW = "word_bpe_49k.json", 2, 4096
-#: Penalties, in tokens of padding, and the spacing of cuts within long sentences.
+#: Penalties, in tokens of padding, and the spacing of cuts within sentences that are longer than a window.
 AFTER_SENTENCE, WITHIN_SENTENCE, GRID = 4, 24, 32
-STRETCH = 64
+STRETCH, RUN_TEXT = 64, 8 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -55,21 +58,39 @@ def sentence_ends(name: str = TOKENIZER) -> np.ndarray:
     return out
 
 
-def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """doc_id and ids, with the closing one, of documents in batches."""
+class Tokens(NamedTuple):
+    """A document's ids, with the closing one, and where its lines end among them."""
+
+    doc_id: int
+    ids: np.ndarray
+    lines: np.ndarray
+
+
+_NO_LINES = np.empty(0, np.int64)
+
+
+def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
+    """The documents of batches. Line ends are not among the ids of a text, so lines are encoded one by one."""
     encode, close = word_encoder(TOKENIZER), CLOSE.to_bytes(2, "little")
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            yield doc_id, np.frombuffer(encode(text) + close if text else close, "<u2")
+            if not text or "\n" not in text or _SPECIAL.search(text):  # a special token may hold a line end
+                yield Tokens(doc_id, np.frombuffer(encode(text) + close if text else close, "<u2"), _NO_LINES)
+            else:
+                lines = [encode(line) for line in text.split("\n")]
+                yield Tokens(doc_id, np.frombuffer(b"".join([*lines, close]), "<u2"), np.cumsum([len(line) for line in lines]) // 2)
+
+
+_SPECIAL = re.compile(r"<\|")
 
 
-def candidates(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where cuts may lie in a line of ids (after each document's end in ``ends``), and their penalties."""
-    after = np.flatnonzero(sentence_ends()[ids]) + 1
+def candidates(ids: np.ndarray, ends: np.ndarray, lines: np.ndarray = _NO_LINES, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Where cuts may lie in a line of ids (after each document's end in ``ends``, and where ``lines`` end), and their penalties."""
+    after = np.union1d(np.flatnonzero(sentence_ends()[ids]) + 1, lines)
     at = np.union1d(after, ends)
     at = np.concatenate(([0], at[at > 0]))
     gaps = np.diff(at)
-    if wide := np.flatnonzero(gaps > GRID).tolist():
+    if wide := np.flatnonzero(gaps > window).tolist():
         at = np.union1d(at, np.concatenate([np.arange(at[i] + GRID, at[i + 1], GRID) for i in wide]))
     penalty = np.full(len(at), WITHIN_SENTENCE)
     penalty[np.isin(at, after)] = AFTER_SENTENCE
@@ -106,16 +127,17 @@ def powers(length: int) -> list[int]:
     return [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
 
 
-def pack(docs: Iterator[tuple[int, np.ndarray]], first_sequence: int = 0, window: int = WINDOW) -> Iterator[tuple]:
-    """The pieces of documents given in order as (doc_id, ids)."""
-    held: list[tuple[int, np.ndarray, int, int]] = []  # doc_id, ids still to pack, how many went before, all
+def pack(docs: Iterator[Tokens], first_sequence: int = 0, window: int = WINDOW) -> Iterator[tuple]:
+    """The pieces of documents given in order."""
+    held: list[tuple[int, np.ndarray, int, int, np.ndarray]] = []  # doc_id, ids still to pack, how many went before, all, line ends
     size, sequence = 0, first_sequence
 
     def cut(last: bool) -> Iterator[tuple]:
         nonlocal held, size, sequence
         line = np.concatenate([x[1] for x in held])
         ends = np.cumsum([len(x[1]) for x in held])
-        where, penalty = candidates(line, ends)
+        lines = np.concatenate([x[4] + (end - len(x[1])) for x, end in zip(held, ends, strict=True)])
+        where, penalty = candidates(line, ends, lines, window)
         borders = best_cuts(where.tolist(), penalty.tolist(), window)
         if last:
             borders += (borders[-1] + np.cumsum(powers(size - borders[-1]))).tolist()
@@ -125,21 +147,21 @@ def pack(docs: Iterator[tuple[int, np.ndarray]], first_sequence: int = 0, window
             while at < high:
                 while starts[k + 1] <= at:
                     k += 1
-                doc_id, ids, before, total = held[k]
+                doc_id, ids, before, total, _ = held[k]
                 i, j = at - starts[k], min(high, starts[k + 1]) - starts[k]
                 yield doc_id, before + i, j - i, crc32(ids[i:j].astype("<u4").tobytes()), total, sequence, at - low
                 at = starts[k] + j
             sequence += 1
         done = borders[-1]
         rest = []
-        for n, (doc_id, ids, before, total) in enumerate(held):
+        for n, (doc_id, ids, before, total, lines) in enumerate(held):
             if starts[n + 1] > done:
                 skip = max(0, done - starts[n])
-                rest.append((doc_id, ids[skip:], before + skip, total))
+                rest.append((doc_id, ids[skip:], before + skip, total, lines[lines > skip] - skip))
         held, size = rest, size - done
 
-    for doc_id, ids in docs:
-        held.append((doc_id, ids, 0, len(ids)))
+    for doc_id, ids, lines in docs:
+        held.append((doc_id, ids, 0, len(ids), lines))
         size += len(ids)
         if size >= STRETCH * window:
             yield from cut(False)
@@ -162,9 +184,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed(docs: DataFrame) -> DataFrame:
     """The pieces of all documents, with the columns of ``PIECES``."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # Equal rows, which may be many, are told apart by a number, so that they need not share a run.
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy"))
     # Texts are dealt out, not ids: Spark draws the ranges from a first pass, which then encodes nothing.
-    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    order = ["doc_id", "tie", "copy"]
+    ordered = ordered.repartitionByRange(max(1, -(-size // RUN_TEXT)), *order).sortWithinPartitions(*order)
     return arrow(ordered.select("doc_id", "text"), _packed, PIECES)
 
 
