@@ -384,9 +384,51 @@ def test_byte_ids_go_and_come_back(small):
 
 
 def test_feistel_is_a_permutation():
-    for n in (1, 2, 3, 17, 1000, 4097):
-        assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
-    assert training_order.feistel(np.arange(100), 100, 1).tolist() != training_order.feistel(np.arange(100), 100, 2).tolist()
+    for most, bits in ((0, 1), (0, 6), (6, 3), (99, 2), (30, 7), (1000, 1)):
+        order = training_order.Permutation(most, bits)
+        number, piece = (x.ravel().astype(np.uint64) for x in np.meshgrid(np.arange(most + 1), np.arange(1 << bits)))
+        left, right = order(number, piece)
+        got = set(zip(left.tolist(), right.tolist()))
+        assert len(got) == (most + 1) << bits and not order._outside(left, right).any() and left.max() < order.lefts
+        other = training_order.Permutation(most, bits, 7)(number, piece)
+        assert len(number) < 64 or (left.tolist(), right.tolist()) != tuple(x.tolist() for x in other)
+    wide = training_order.Permutation((1 << 64) - 1, 20)
+    left, right = wide(np.array([0, 1, (1 << 64) - 1], np.uint64), np.array([5, 5, 5], np.uint64))
+    assert len(set(zip(left.tolist(), right.tolist()))) == 3
+
+
+def permuted(number, piece, most, bits, key=training_order.KEY):
+    """The permuted index as one Python integer, by the same network restated on integers."""
+    half = max((most.bit_length() + bits + 1) // 2, 1)
+    seeds = np.random.RandomState(key % (1 << 32)).randint(1, 1 << 62, training_order.ROUNDS).tolist()
+    x = number << bits | piece
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for seed in seeds:
+            h = ((right + seed) * 0x9E3779B97F4A7C15) % (1 << 64)
+            h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) % (1 << 64)
+            left, right = right, left ^ ((h ^ (h >> 32)) & ((1 << half) - 1))
+        x = left << half | right
+        if x >> bits <= most:
+            return x
+
+
+def test_slots_are_the_sorted_permuted_indices(spark):
+    ids = [3, 9, -(2**63), 2**63 - 1, 0, 77]
+    docs = [(i, prose(900 + n, 40 + 60 * n)) for n, i in enumerate(ids)] + [(None, prose(990, 30))]
+    path, rows = training_order.materialise(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), length=16)
+    low, high = min(ids), max(ids)
+    bits = 1 + (max(len((t or "").encode()) for _, t in docs) // 16 + 1).bit_length()
+    encode = tokens.word_encoder()
+    order = []
+    for i, text in docs:
+        n = len(encode(text)) // 2 + 1
+        for p in range(-(-n // 16)):
+            piece = p + (1 << (bits - 1) if i is None else 0)
+            order.append((permuted(0 if i is None else i - low, piece, high - low, bits), i, 16 * p))
+    want = [(i, start) for _, i, start in sorted(order)]
+    assert [(r["doc_id"], r["start"]) for r in rows.orderBy("slot").collect()] == want
+    assert len(list(training_order.read(path))) == len(want)
 
 
 def test_training_order_files(spark, odd, empty):
@@ -429,6 +471,31 @@ def test_cuts_are_the_cheapest():
         assert all(b - a <= 50 for a, b in zip(cuts, cuts[1:]))
 
 
+def test_windows_end_between_sentences_and_their_number_does_not_hang_on_partitions(spark, small):
+    rows = packing.packed(small).collect()
+    assert len({r["sequence_id"] for r in rows}) == len({r["sequence_id"] for r in packing.packed(small.repartition(7)).select("sequence_id").distinct().collect()})
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    texts, ends, encode = {r["doc_id"]: r["text"] for r in small.collect()}, packing.sentence_ends(), tokens.word_encoder()
+    inside = 0
+    for members in sequences.values():
+        r, full = max(members, key=lambda r: r["offset"]), sum(r["length"] for r in members)
+        at = r["start"] + r["length"]
+        if at < r["doc_tokens"] and full & (full - 1):  # a run's tail is of powers of two
+            ids = np.frombuffer(encode(texts[r["doc_id"]]), "<u2")
+            lines = set((np.cumsum([len(encode(x)) for x in texts[r["doc_id"]].split("\n")]) // 2).tolist())
+            inside += not (ends[ids[at - 1]] or at in lines)
+    assert inside <= 1  # within a sentence that is longer than a window
+
+
+def test_sentences_longer_than_a_window_are_cut_within():
+    ids = np.full(10_000, 300, "<u2")
+    rows = list(packing.pack(iter([packing.Tokens(1, ids, np.empty(0, np.int64))])))
+    lengths = [r[2] for r in rows]
+    assert sum(lengths) == 10_000 and max(lengths) <= packing.WINDOW and sum(x & (x - 1) > 0 for x in lengths) <= 2
+
+
 def check_pieces(rows, docs):
     by, sequences = {}, {}
     for r in rows:
@@ -473,6 +540,21 @@ def test_quality_on_held_out_rows(spark):
     assert (both["predicted"] == (both["score"] >= 0.3)).all() and both["score"].between(0, 1).all()
 
 
+def test_the_difference_is_what_two_dictionaries_save():
+    # By hand: blocks compressed one by one with either dictionary.
+    import zstandard
+
+    good, bad = prose(1, 400).encode(), ("BUY!! NOW!! " * 300).encode()
+    size = lambda data, of: sum(
+        len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(of), write_content_size=False, write_dict_id=False).compress(data[i : i + quality.BLOCK]))
+        for i in range(0, len(data), quality.BLOCK)
+    )
+    for data in (good[300:1500], bad[:700], b"x", prose(5, 30).encode()):
+        want = (size(data, bad) - size(data, good)) / len(data)
+        assert quality.difference(data, quality.Sizes(good), quality.Sizes(bad)) == want
+    assert quality.difference(b"", quality.Sizes(good), quality.Sizes(bad)) == 0
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (9, 1), (10, 0), (None, 1), (3, None)], "doc_id long, quality int")
     model = quality.fitted(odd, labels)
@@ -485,13 +567,13 @@ def test_quality_of_odd_rows(spark, odd, empty):
 def test_quality_curve_sees_whole_texts_and_the_mix_of_all_labels(spark, monkeypatch):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    long = docs.where(F.octet_length("text") > quality.WINDOW).select("doc_id").join(labels, "doc_id")
+    long = docs.where(F.octet_length("text") > 8192).select("doc_id").join(labels, "doc_id")
     some = labels.where("doc_id % 10 = 0").unionByName(long).distinct()
     seen, fit = [], quality.curve
     monkeypatch.setattr(quality, "curve", lambda *a: seen.append(a) or fit(*a))
     quality.fitted(docs, some, per_class=40)
     _, length, label, weight = seen[0]
-    assert length.max() > quality.WINDOW
+    assert length.max() > 8192
     assert abs((weight * label).sum() / weight.sum() - some.agg(F.avg("quality")).first()[0]) < 1e-6
 
 
@@ -554,3 +636,50 @@ def test_sentencepiece_jobs(spark, odd, empty):
     back = {(r["doc_id"], r["text"]) for r in sentencepiece.decoded(sentencepiece.encoded(odd)).collect()}
     assert back == {(i, t or "") for i, t, *_ in odd_rows()}
     assert sentencepiece.encoded(empty).count() == 0
+
+
+def unigram_model(path, pieces):
+    """A unigram model file of (piece, score, kind)."""
+    import struct
+
+    def field(number, data):
+        return bytes([number << 3 | 2, len(data)]) + data
+
+    out = b"".join(field(1, field(1, t.encode()) + b"\x15" + struct.pack("<f", x) + bytes([0x18, kind])) for t, x, kind in pieces)
+    out += field(2, bytes([0x18, 1])) + field(3, field(1, b"identity") + bytes([0x18, 1, 0x20, 1, 0x28, 1]))
+    path.write_bytes(out)
+    return str(path)
+
+
+def test_unigram_paths_are_the_cheapest(tmp_path):
+    import sentencepiece as library
+
+    r = np.random.RandomState(11)
+    texts = {"a", "b", "c", "\u2581"} | {"".join(r.choice(list("abc\u2581"), n)).lstrip("\u2581") for n in (2, 3, 4) for _ in range(8)} | {"\u2581a", "\u2581ab"}
+    texts = {t for t in texts if t and "\u2581" not in t[1:]}
+    pieces = [("<unk>", 0.0, 2)] + [(t, -float(r.uniform(1, 9)), 1) for t in sorted(texts)]
+    path = unigram_model(tmp_path / "small.model", pieces)
+    t, model = sentencepiece.Transducer(path), library.SentencePieceProcessor(model_file=path)
+    score = {k: (n, x) for n, (k, x, _) in enumerate(pieces)}
+
+    def cheapest(text):  # all ways to cut
+        best = {0: (0.0, ())}
+        for j in range(1, len(text) + 1):
+            ways = [(best[i][0] - score[text[i:j]][1], (*best[i][1], score[text[i:j]][0])) for i in range(j) if text[i:j] in score]
+            best[j] = min(ways)
+        return list(best[len(text)][1])
+
+    for _ in range(200):
+        text = "".join(r.choice(list("abc "), r.randint(1, 14))).strip(" ")
+        ids = np.frombuffer(t.encode(text), "<u2").tolist()
+        plain = "\u2581" + re.sub(" +", "\u2581", text) if text else ""
+        assert ids == [k for w in re.findall("\u2581[^\u2581]*", plain) for k in cheapest(w)] == model.encode(text)
+
+
+def test_normaliser_arcs():
+    for prefix in (True, False):
+        for collapse in (True, False):
+            n = sentencepiece.Normaliser(prefix, collapse)
+            for text in ("", " ", "a", " a", "a ", "a  b", "  a b  c "):
+                plain = re.sub(" +", " ", text.strip(" ")) if collapse else text
+                assert n(text) == ("\u2581" if prefix and plain else "") + plain.replace(" ", "\u2581"), (text, prefix, collapse)
