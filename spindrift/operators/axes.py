@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collapsed, folded_type, stripped
 from .matching import checked_broadcast
 
 
@@ -68,3 +69,155 @@ def disagreements(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Two classifiers' answers (keys, answer) side by side where they differ, counted; null is an answer."""
     both = a.select(*keys, F.col("answer").alias("a")).join(b.select(*keys, F.col("answer").alias("b")), keys, "full")
     return both.where(~F.col("a").eqNullSafe(F.col("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The layers that a class or an area may come from, strongest first.
+CLASS_LAYERS = ("control_rule", "term_override", "agent_name", "name_pattern", "ancestor_rule", "branch_rule", "modality_rule", "default")
+AREA_LAYERS = ("intervention_rule", "term_override", "tree_prefix", "term_pattern", "default")
+
+
+def rank_of(layers: tuple[str, ...], column: str = "layer") -> Column:
+    return F.array_position(F.array(*(F.lit(x) for x in layers)), F.col(column)).cast("int")
+
+
+def string_hits(strings: DataFrame, rules: DataFrame, exact: list[str], patterns: list[str]) -> DataFrame:
+    """text, layer, class_id, rule_rank: what rules (layer, key, class_id, ordinal) say about distinct texts.
+
+    A rule of an exact layer asks for the whole text, one of a pattern layer is a regular expression in it. Exact rules
+    are an equi-join; patterns, which are few, are sorted so that each is compiled once in a partition.
+    """
+    texts = strings.where("text is not null and text <> ''").distinct()
+    whole = texts.join(checked_broadcast(rules.where(F.col("layer").isin(*exact)).select("layer", F.col("key").alias("text"), "class_id")), "text").select("text", "layer", "class_id", F.lit(0).alias("rule_rank"))
+    regex = checked_broadcast(rules.where(F.col("layer").isin(*patterns)).select("layer", "key", "class_id", F.col("ordinal").alias("rule_rank")))
+    near = texts.join(regex).sortWithinPartitions("key").where(F.expr("regexp_like(text, concat('(?iu)', key))"))  # every text meets every pattern
+    return whole.unionByName(near.select("text", "layer", "class_id", "rule_rank")).distinct()
+
+
+def first_by_kind(hits: DataFrame, item: list[str], kinds: DataFrame) -> DataFrame:
+    """Of each item and kind the classes of the first rule (by layer, candidate and rule)."""
+    ranked = hits.join(checked_broadcast(kinds), "class_id").withColumn("layer_rank", rank_of(CLASS_LAYERS))
+    w = Window.partitionBy(*item, "kind").orderBy("layer_rank", "candidate_rank", "rule_rank")
+    return ranked.withColumn("_r", F.dense_rank().over(w)).where("_r = 1").drop("_r")
+
+
+def match_interventions(interventions: DataFrame, other_names: DataFrame, rules: DataFrame, kinds: DataFrame) -> DataFrame:
+    """nct_id, ordinal, class_id, kind, layer, layer_rank, matched_on: the classes of each intervention.
+
+    interventions: nct_id, ordinal, name, intervention_type; other_names: nct_id, ordinal, other_name. A control rule that
+    its own name meets claims an intervention, by the first such rule; else names come before other names (in their
+    order) within a layer, and the type of the intervention decides last.
+    """
+    plain = lambda c: F.nullif(F.lower(stripped(collapsed(F.col(c)))), F.lit(""))
+    own = interventions.select("nct_id", "ordinal", plain("name").alias("text"), F.lit(0).alias("candidate_rank"))
+    w = Window.partitionBy("nct_id", "ordinal").orderBy("text")
+    others = other_names.select("nct_id", "ordinal", plain("other_name").alias("text")).where("text is not null").distinct().withColumn("candidate_rank", F.row_number().over(w))
+    candidates = own.unionByName(others)
+    found = string_hits(candidates.select("text"), rules, ["term_override", "agent_name"], ["control_rule", "name_pattern"])
+    hits = candidates.join(found, "text").where("layer <> 'control_rule' or candidate_rank = 0")
+    types = interventions.select("nct_id", "ordinal", F.col("intervention_type").alias("text"), folded_type(F.col("intervention_type")).alias("key"), F.lit(0).alias("candidate_rank"))
+    by_type = types.join(checked_broadcast(rules.where("layer = 'modality_rule'").select("key", "layer", "class_id", F.lit(0).alias("rule_rank"))), "key").drop("key")
+    hits = hits.unionByName(by_type.select(hits.columns))
+    control = hits.where("layer = 'control_rule'").groupBy("nct_id", "ordinal").agg(F.min_by("class_id", F.struct("rule_rank", "class_id")).alias("control"))
+    hits = hits.join(control, ["nct_id", "ordinal"], "left").where("control is null or (layer = 'control_rule' and class_id = control)")
+    won = first_by_kind(hits.drop("control"), ["nct_id", "ordinal"], kinds)
+    best = won.groupBy("nct_id", "ordinal", "class_id", "kind").agg(F.min(F.struct("layer_rank", "layer", F.col("text").alias("matched_on"))).alias("b"))
+    return best.select("nct_id", "ordinal", "class_id", "kind", "b.layer", "b.layer_rank", "b.matched_on")
+
+
+def match_terms(terms: DataFrame, rules: DataFrame, kinds: DataFrame) -> DataFrame:
+    """nct_id, class_id, kind, layer, layer_rank, matched_on of descriptors (nct_id, mesh_term)."""
+    rows = terms.select("nct_id", F.lower(stripped(collapsed(F.col("mesh_term")))).alias("text")).distinct()
+    hits = rows.join(string_hits(rows.select("text"), rules, ["term_override", "agent_name"], ["name_pattern"]), "text").withColumn("candidate_rank", F.lit(0))
+    won = first_by_kind(hits, ["nct_id", "text"], kinds)
+    return won.select("nct_id", "class_id", "kind", "layer", "layer_rank", F.col("text").alias("matched_on")).distinct()
+
+
+def match_ancestors(ancestors: DataFrame, rules: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The same for ancestors of descriptors (nct_id, mesh_term), by their whole text."""
+    rows = ancestors.select("nct_id", F.lower(stripped(collapsed(F.col("mesh_term")))).alias("text")).distinct()
+    hits = rows.join(string_hits(rows.select("text"), rules, ["ancestor_rule"], []), "text").join(checked_broadcast(kinds), "class_id")
+    return hits.select("nct_id", "class_id", "kind", "layer", rank_of(CLASS_LAYERS).alias("layer_rank"), F.col("text").alias("matched_on"))
+
+
+def match_branches(branches: DataFrame, rules: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The same for branches (nct_id, branch_name): the first pattern of each branch."""
+    rows = branches.select("nct_id", F.col("branch_name").alias("text")).distinct()
+    found = string_hits(rows.select("text"), rules, [], ["branch_rule"])
+    first = found.groupBy("text", "layer").agg(F.min_by("class_id", F.struct("rule_rank", "class_id")).alias("class_id"))
+    hits = rows.join(first, "text").join(checked_broadcast(kinds), "class_id")
+    return hits.select("nct_id", "class_id", "kind", "layer", rank_of(CLASS_LAYERS).alias("layer_rank"), F.col("text").alias("matched_on"))
+
+
+def resolve_drug_classes(studies: DataFrame, by_intervention: DataFrame, others: list[DataFrame], with_interventions: DataFrame, classes: DataFrame) -> DataFrame:
+    """nct_id, class_id, kind, layer, matched_on, is_primary: every class of every study by its strongest layer.
+
+    Of a layer the first match counts: interventions by ordinal, then the other sources in their order, then by text.
+    Studies without a match get 'unclassified_agent' where they have interventions, else 'no_interventions_stated'.
+    """
+    columns = ["nct_id", "class_id", "kind", "layer", "layer_rank", "matched_on"]
+    rows = by_intervention.select(*columns, F.lit(0).alias("source"), "ordinal")
+    for n, found in enumerate(others, 1):
+        rows = rows.unionByName(found.select(*columns, F.lit(n).alias("source"), F.lit(0).alias("ordinal")))
+    best = rows.groupBy("nct_id", "class_id", "kind").agg(F.min(F.struct("layer_rank", "source", "ordinal", "matched_on", "layer")).alias("b")).select("nct_id", "class_id", "kind", "b.layer", "b.matched_on")
+    default = F.when(F.col("has"), "unclassified_agent").otherwise("no_interventions_stated").alias("class_id")
+    have = with_interventions.select("nct_id").distinct().withColumn("has", F.lit(True))
+    bare = studies.select("nct_id").distinct().join(best.select("nct_id").distinct(), "nct_id", "left_anti").join(have, "nct_id", "left").select("nct_id", F.when(F.col("has").isNull(), F.lit("no_interventions_stated")).otherwise(default).alias("class_id"))
+    all_rows = best.unionByName(bare.select("nct_id", "class_id", F.lit(None).cast("string").alias("kind"), F.lit("default").alias("layer"), F.lit(None).cast("string").alias("matched_on")))
+    backing = by_intervention.groupBy("nct_id", "class_id").agg(F.count_distinct("ordinal").alias("n_items"))
+    counted = all_rows.join(backing, ["nct_id", "class_id"], "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    return pick_primary(counted, classes.select(F.col("id").alias("class_id"), "precedence")).drop("precedence", "n_items")
+
+
+def arm_classes(by_intervention: DataFrame, arm_links: DataFrame) -> DataFrame:
+    """What interventions are, pushed to their arms (nct_id, group_title, intervention_ordinal, link_method); a study's other signals never reach an arm."""
+    links = arm_links.select("nct_id", "group_title", F.col("intervention_ordinal").alias("ordinal"), "link_method").distinct()
+    return links.join(by_intervention, ["nct_id", "ordinal"]).select("nct_id", "group_title", "class_id", "kind", "layer", "matched_on", "link_method")
+
+
+def unclassified(interventions: DataFrame, by_intervention: DataFrame) -> DataFrame:
+    return interventions.select("nct_id", "ordinal", "name").join(by_intervention.select("nct_id", "ordinal").distinct(), ["nct_id", "ordinal"], "left_anti")
+
+
+def curated_against_ancestry(interventions: DataFrame, by_intervention: DataFrame, by_ancestor: DataFrame) -> DataFrame:
+    """name, kind, curated, ancestor, n: interventions whose own class of a kind is not the study's first ancestor's of that kind."""
+    first = by_ancestor.groupBy("nct_id", "kind").agg(F.min_by("class_id", F.struct("matched_on", "class_id")).alias("ancestor"))
+    own = by_intervention.where(F.col("layer").isin("term_override", "agent_name", "name_pattern")).join(interventions.select("nct_id", "ordinal", "name"), ["nct_id", "ordinal"])
+    both = own.join(first, ["nct_id", "kind"]).where("class_id <> ancestor")
+    return both.groupBy("name", "kind", F.col("class_id").alias("curated"), "ancestor").agg(F.count(F.lit(1)).alias("n"))
+
+
+def resolve_areas(studies: DataFrame, conditions: DataFrame, interventions: DataFrame, branches: DataFrame, rules: DataFrame, areas: DataFrame) -> DataFrame:
+    """nct_id, ta_id, layer, matched_on, is_primary: every area of every study by its strongest layer.
+
+    conditions: nct_id, mesh_term, tree_number (null where unknown); interventions: nct_id, mesh_term; branches: nct_id,
+    branch_abbrev, branch_name; rules: layer, key, ta_id, ordinal. A condition's first answer counts: an exact override,
+    the longest tree prefix, the first pattern. Without any match the default tells whether there were conditions.
+    """
+    plain = lambda c: F.lower(stripped(collapsed(F.col(c))))
+    classed = rules.withColumnRenamed("ta_id", "class_id")
+    prefixes = rules.where("layer = 'tree_prefix'").select(F.col("key").alias("prefix"), "ta_id")
+    c = conditions.select("nct_id", plain("mesh_term").alias("text"), "tree_number").distinct()
+    by_text = string_hits(c.select("text"), classed, ["term_override"], ["term_pattern"]).groupBy("text", "layer").agg(F.min_by("class_id", F.struct("rule_rank", "class_id")).alias("ta_id"))
+    trees = match_longest_prefix(c.where("tree_number is not null"), prefixes).select("tree_number", "ta_id")
+    by_tree = c.join(trees, "tree_number").select("nct_id", "text", F.lit("tree_prefix").alias("layer"), "ta_id")
+    each = c.join(by_text, "text").select("nct_id", "text", "layer", "ta_id").unionByName(by_tree).withColumn("layer_rank", rank_of(AREA_LAYERS))
+    by_condition = each.groupBy("nct_id", "text").agg(F.min(F.struct("layer_rank", "layer", "ta_id")).alias("b")).select("nct_id", "text", "b.*")
+    b = branches.select("nct_id", branch_to_prefix(F.col("branch_abbrev")).alias("tree_number"), F.coalesce("branch_name", "branch_abbrev").alias("text")).where("tree_number is not null").distinct()
+    by_branch = b.join(match_longest_prefix(b, prefixes).select("tree_number", "ta_id"), "tree_number").select("nct_id", "text", F.lit("tree_prefix").alias("layer"), "ta_id")
+    i = interventions.select("nct_id", plain("mesh_term").alias("text")).distinct()
+    drug = string_hits(i.select("text"), classed, [], ["intervention_rule"]).groupBy("text", "layer").agg(F.min_by("class_id", F.struct("rule_rank", "class_id")).alias("ta_id"))
+    by_drug = i.join(drug, "text").select("nct_id", "text", "layer", "ta_id")
+    backing = by_condition.select("nct_id", "ta_id").unionByName(by_branch.select("nct_id", "ta_id")).groupBy("nct_id", "ta_id").agg(F.count(F.lit(1)).alias("n_items"))
+    rows = by_condition.select("nct_id", "text", "layer", "ta_id").unionByName(by_branch).unionByName(by_drug).withColumn("layer_rank", rank_of(AREA_LAYERS))
+    best = rows.groupBy("nct_id", "ta_id").agg(F.min(F.struct("layer_rank", "text", "layer")).alias("b")).select("nct_id", "ta_id", "b.layer", F.col("b.text").alias("matched_on"))
+    have = conditions.select("nct_id").distinct().withColumn("has", F.lit(True))
+    bare = studies.select("nct_id").distinct().join(best.select("nct_id").distinct(), "nct_id", "left_anti").join(have, "nct_id", "left")
+    bare = bare.select("nct_id", F.when(F.col("has"), "no_pattern_matched").otherwise("no_mesh_terms").alias("ta_id"), F.lit("default").alias("layer"), F.lit(None).cast("string").alias("matched_on"))
+    counted = best.unionByName(bare).join(backing, ["nct_id", "ta_id"], "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    return pick_primary(counted, areas.select(F.col("id").alias("ta_id"), "precedence"), member="ta_id").drop("precedence", "n_items")
+
+
+def signal_availability(studies: DataFrame, conditions: DataFrame, branches: DataFrame) -> DataFrame:
+    """One row: studies, condition rows, those with a tree number, studies with branches."""
+    n = conditions.agg(F.count(F.lit(1)).alias("condition_rows"), F.count("tree_number").alias("with_tree"))
+    return studies.agg(F.count_distinct("nct_id").alias("studies")).join(n).join(branches.agg(F.count_distinct("nct_id").alias("studies_with_branches")))  # single rows

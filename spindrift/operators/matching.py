@@ -2,7 +2,7 @@
 
 The jobs work on distinct texts (``text_id``, ``text``). A synonym's candidates come from an equi-join of the
 texts' word n-grams with the synonyms'; only candidates meet the exact expression. Vocabulary tables are
-configuration of a few thousand rows; :func:`checked_broadcast` broadcasts one only below a row bound.
+configuration of a few thousand rows; :func:`checked_broadcast` broadcasts one only below a size bound.
 """
 
 from __future__ import annotations
@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, short_capitals, stripped
 
-#: Rows up to which a vocabulary table is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 50_000
+#: Bytes, as Spark estimates them, up to which a vocabulary table is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
 # Words that say nothing about a term, and the confidence of each way of matching.
 STOPWORDS = ("the", "of", "a", "an", "in", "at", "to", "for", "with", "and", "or", "from", "on", "is", "are", "by", "as", "this", "that", "was", "were")
 CONFIDENCE = {"exact": 1.0, "named_endpoint": 0.9, "implied": 0.8, "syntactic_rule": 0.7, "semantic": 0.5}
 
 
-def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast where the optimizer's estimate of its size is in bounds; runs no job."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df
 
 
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
@@ -70,12 +72,15 @@ def tag_synonyms(texts: DataFrame, synonyms: DataFrame, least_length: int = 2) -
 
 
 def tag_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """text_id, term_id, matched_text, span, via: every pattern (term_id, pattern, literal) that a text matches.
+    """text_id, term_id, matched_text, span, via: every pattern (term_id, pattern, and literal if known) that a text matches.
 
-    ``literal`` is a lower-case text that each match contains; texts without it never meet the pattern.
+    ``literal`` is a lower-case text that each match contains; texts without it never meet the pattern. Candidates are
+    sorted by pattern within a partition, so that each is compiled once there and not for each pair.
     """
-    with_literal = texts.join(checked_broadcast(patterns), F.lower("text").contains(F.coalesce("literal", F.lit(""))))
-    found = with_literal.withColumn("matched_text", F.expr("regexp_substr(text, concat('(?iu)', pattern))")).where("matched_text is not null")
+    if "literal" not in patterns.columns:
+        patterns = patterns.withColumn("literal", F.lit(""))
+    with_literal = texts.join(checked_broadcast(patterns.select("term_id", "pattern", "literal")), F.lower("text").contains(F.coalesce("literal", F.lit(""))))
+    found = with_literal.sortWithinPartitions("pattern").withColumn("matched_text", F.expr("regexp_substr(text, concat('(?iu)', pattern))")).where("matched_text is not null")
     return found.select("text_id", "term_id", "matched_text", F.length("matched_text").alias("span"), F.lit("pattern").alias("via"))
 
 

@@ -111,3 +111,24 @@ def arm_role(links: DataFrame, arm_classes: DataFrame) -> DataFrame:
         "role_source": F.when(typed.isNotNull(), "group_type").when(control, "drug_class"),
         "role_conflict": F.coalesce(conflict, F.lit(False)),
     }).drop("all_control", "any_active")
+
+
+def gather_rows(outcomes: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Reported outcomes, and one row for each baseline characteristic whatever its arms, which has no time frame.
+
+    outcomes: outcome_id, nct_id, title, time_frame, unit_of_measure. baseline: baseline_id, nct_id, title, unit_of_measure.
+    """
+    first = baseline.groupBy("baseline_id").agg(F.min(F.struct("nct_id", "title", "unit_of_measure")).alias("b"))
+    collapsed = first.select(F.lit("baseline").alias("result_kind"), F.col("baseline_id").alias("result_id"), "b.nct_id", "b.title", F.lit(None).cast("string").alias("time_frame"), "b.unit_of_measure")
+    return outcomes.select(F.lit("outcome").alias("result_kind"), F.col("outcome_id").alias("result_id"), "nct_id", "title", "time_frame", "unit_of_measure").unionByName(collapsed)
+
+
+def with_denominators(measurements: DataFrame, groups: DataFrame) -> DataFrame:
+    """Measurements with n, their own or their group's, and n_source ('measurement', 'group' or null).
+
+    groups: outcome_id, group_key, n.
+    """
+    of_group = groups.groupBy("outcome_id", "group_key").agg(F.max("n").alias("_group_n"))
+    out = measurements.join(of_group, ["outcome_id", "group_key"], "left")
+    source = F.when(F.col("n").isNotNull(), "measurement").when(F.col("_group_n").isNotNull(), "group")
+    return out.withColumn("n_source", source).withColumn("n", F.coalesce("n", "_group_n")).drop("_group_n")

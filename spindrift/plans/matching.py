@@ -179,65 +179,3 @@ def outcome_level(data: Data) -> DataFrame:
     level = F.when(kind == "primary", "primary").when(kind == "secondary", "secondary").when(kind.isin("other", "exploratory"), "exploratory").otherwise(F.raise_error(F.concat(F.lit("unknown outcome type: "), kind)))
     rows = data.view("p_outcomes").select(level.alias("level"))
     return rows.groupBy("level", F.when(F.col("level") == "primary", 1).when(F.col("level") == "secondary", 2).otherwise(3).alias("rank")).agg(F.count(F.lit(1)).alias("n"))
-
-
-#: Thresholds in texts: a comparator in words or signs, a number and a unit.
-THRESHOLD = r"(?i)(at least|>=|≥|<=|≤|<|>|at most|more than|less than)\s*(\d+(?:\.\d+)?)\s*(%|mmHg|kg|mL)?"
-COMPARATORS = {"at least": ">=", "≥": ">=", ">=": ">=", "at most": "<=", "≤": "<=", "<=": "<=", "more than": ">", ">": ">", "less than": "<", "<": "<"}
-
-
-def threshold(c):
-    """comparator, value and unit of the first threshold that a text states."""
-    word = F.lower(F.regexp_extract(c, THRESHOLD, 1))
-    sign = F.create_map(*(F.lit(x) for pair in COMPARATORS.items() for x in pair))
-    return F.try_element_at(sign, word), F.regexp_extract(c, THRESHOLD, 2).try_cast("double"), F.nullif(F.regexp_extract(c, THRESHOLD, 3), F.lit(""))
-
-
-@query(
-    r"""SELECT line_id, CASE lower(regexp_extract(description, '(at least|>=|≥|<=|≤|<|>|at most|more than|less than)\s*(\d+(?:\.\d+)?)\s*(%|mmHg|kg|mL)?', 1, 'i')) WHEN 'at least' THEN '>=' END AS comparator,
-    TRY_CAST(regexp_extract(description, '(at least|>=|≥|<=|≤|<|>|at most|more than|less than)\s*(\d+(?:\.\d+)?)\s*(%|mmHg|kg|mL)?', 2, 'i') AS DOUBLE) AS value,
-    nullif(regexp_extract(description, '(at least|>=|≥|<=|≤|<|>|at most|more than|less than)\s*(\d+(?:\.\d+)?)\s*(%|mmHg|kg|mL)?', 3, 'i'), '') AS unit FROM p_outcomes"""
-)
-def extract_threshold(data: Data) -> DataFrame:
-    sign, value, unit = threshold(F.col("description"))
-    return data.view("p_outcomes").select("line_id", sign.alias("comparator"), value.alias("value"), unit.alias("unit"))
-
-
-#: Time frames, in the order in which their patterns are tried; groups are read by index.
-TIMEPOINTS = [
-    ("baseline_to_timepoint", r"^baseline\s*(,|to|and)\s*(day|week|month|year)\s*(\d+)", (2, 3)),
-    ("cumulative_window", r"^(through|up to)\s+(day|week|month|year)\s*(\d+)", (2, 3)),
-    ("multi_timepoint", r"^(day|week|month|year)s\s+\d+(\s*,\s*(and\s+)?\d+)+", (1, 0)),
-    ("single_fixed", r"^(day|week|month|year)\s*(\d+)$", (1, 2)),
-    ("anchored_offset", r"^(\d+)\s+(day|week|month|year)s?\s+(following|from|after)\s+\w+", (2, 1)),
-    ("bare_duration", r"^(\d+)\s+(minute|hour|day|week|month|year)s?$", (2, 1)),
-    ("baseline_only", r"^baseline$", (0, 0)),
-]
-
-
-def timepoint(c):
-    """The pattern of a time frame, with its unit and number where the pattern has them."""
-    pattern, extracted = None, []
-    for name, regex, (unit, number) in TIMEPOINTS:
-        hit = c.rlike(f"(?i){regex}")
-        pattern = F.when(hit, name) if pattern is None else pattern.when(hit, name)
-        both = [F.lower(F.regexp_extract(c, f"(?i){regex}", k)) if k else F.lit("") for k in (unit, number)]
-        extracted.append((hit, both))
-    units = numbers = None
-    for hit, (u, v) in extracted:
-        units = F.when(hit, u) if units is None else units.when(hit, u)
-        numbers = F.when(hit, v) if numbers is None else numbers.when(hit, v)
-    return pattern.otherwise("unspecified"), F.nullif(units, F.lit("")), F.nullif(numbers, F.lit("")).try_cast("double")
-
-
-def _timepoint_sql() -> str:
-    kind = " ".join(f"WHEN regexp_matches(time_frame, '{r}', 'i') THEN '{name}'" for name, r, _ in TIMEPOINTS)
-    pick = lambda which: " ".join(f"WHEN regexp_matches(time_frame, '{r}', 'i') THEN " + (f"lower(regexp_extract(time_frame, '{r}', {g[which]}, 'i'))" if g[which] else "''") for _, r, g in TIMEPOINTS)
-    return f"SELECT time_frame, CASE {kind} ELSE 'unspecified' END AS pattern_id, nullif(CASE {pick(0)} END, '') AS unit, TRY_CAST(nullif(CASE {pick(1)} END, '') AS DOUBLE) AS number, count(*) AS n FROM p_outcomes GROUP BY ALL"
-
-
-@query(_timepoint_sql())
-def classify_timepoint(data: Data) -> DataFrame:
-    frames = data.view("p_outcomes").groupBy("time_frame").agg(F.count(F.lit(1)).alias("n"))  # each distinct text once
-    pattern, unit, number = timepoint(F.col("time_frame"))
-    return frames.select("time_frame", pattern.alias("pattern_id"), unit.alias("unit"), number.alias("number"), "n")

@@ -8,9 +8,12 @@ where they need a key.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import scratch
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {
@@ -130,7 +133,7 @@ def needed(names: str) -> list[str]:
     out: list[str] = []
 
     def add(text: str) -> None:
-        for name in re.findall(r"\bp_\w+\b", text):
+        for name in re.findall(r"\b[pd]_\w+\b", text):
             if name in VIEWS and name not in out:
                 add(VIEWS[name])
                 if name not in out:
@@ -140,11 +143,41 @@ def needed(names: str) -> list[str]:
     return out
 
 
+RECURSIVE = "WITH RECURSIVE"
+#: The mark of a further view of an oracle that its engine is to compute once.
+ONCE = "/*materialized*/"
+
+
+def _used(sql: str, extra: dict[str, str]) -> list[str]:
+    """The further views that a text reaches, each after what it needs."""
+    out: list[str] = []
+
+    def add(text: str) -> None:
+        for name in re.findall(r"\b[a-z]{1,2}_\w+\b", text):
+            if name in extra and name not in out:
+                add(extra[name])
+                if name not in out:
+                    out.append(name)
+
+    add(sql)
+    return out
+
+
 def with_views(sql: str, more: dict[str, str] | None = None) -> str:
     """``sql`` behind the views that it names."""
     extra = more or {}
-    parts = [f"{n} AS ({VIEWS[n].strip()})" for n in needed(" ".join([*extra.values(), sql]))] + [f"{n} AS ({q.strip()})" for n, q in extra.items()]
-    return (f"WITH {', '.join(parts)}\n" if parts else "") + sql.strip()
+    used = _used(sql, extra)
+    parts = [f"{n} AS ({VIEWS[n].strip()})" for n in needed(" ".join([*(extra[n] for n in used), sql]))]
+    for n in used:
+        text = extra[n].strip()
+        parts.append(f"{n} AS MATERIALIZED ({text.removeprefix(ONCE)})" if text.startswith(ONCE) else f"{n} AS ({text})")
+    text = sql.strip()
+    if text.startswith(RECURSIVE):
+        return f"{RECURSIVE} {', '.join([*parts, text.removeprefix(RECURSIVE).strip()])}"
+    return (f"WITH {', '.join(parts)}\n" if parts else "") + text
+
+
+_KEPT: dict[tuple, str] = {}
 
 
 class Data:
@@ -164,3 +197,12 @@ class Data:
 
     def view(self, name: str) -> DataFrame:
         return self.sql(with_views(f"SELECT * FROM {name}"))
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table of the conform job, written once for each application and folder, as later jobs read it many times."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _KEPT:
+            path = scratch(self.spark, name)
+            build().write.parquet(path)
+            _KEPT[key] = path
+        return self.spark.read.parquet(_KEPT[key])

@@ -1,4 +1,4 @@
-"""Coverage, comparability, convention and audit queries: SQL that Spark runs as it stands."""
+"""Coverage, comparability and convention reports over the conform job's tables, links and axes."""
 
 from __future__ import annotations
 
@@ -6,85 +6,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import axes, reports, results, scope
+from .conform import ALL_VIEWS, REPORT_TABLES, plain
 from .matching import _values
 from .projections import Data
-from .registry import from_sql, query
-
-#: Reported outcomes: every third planned line with its own title, a reworded one, or one never planned.
-REPORTED = {
-    "q_reported": """SELECT nct_id, line_id AS outcome_id, CASE line_id % 9 WHEN 0 THEN upper(measure) WHEN 3 THEN measure || ' (reported)' ELSE 'never planned ' || CAST(line_id % 50 AS VARCHAR(9)) END AS title,
-      measurement_id, derivation_id, CASE WHEN line_id % 2 = 0 THEN form_id ELSE 'mean_value' END AS form_id FROM (SELECT e.*, endpoint_id AS line_id FROM p_endpoints e) x WHERE line_id % 3 = 0""",
-    "q_planned": "SELECT * FROM p_endpoints WHERE endpoint_id % 10 < 8",
-    "q_loose": "SELECT nct_id, measure FROM p_endpoints WHERE endpoint_id % 10 >= 8",
+from .registry import ORACLES, from_sql, query, report
+
+#: Reported and planned outcomes that agree in study and measurement, as the reports on both sides need them: distinct keys only.
+SHARED = {
+    "q_planned_keys": "SELECT DISTINCT nct_id, measurement_id FROM e_endpoints", "q_reported_keys": "SELECT DISTINCT nct_id, measurement_id FROM er_endpoints",
+    "q_d": "SELECT DISTINCT measurement_id, form_id, nct_id FROM e_endpoints", "q_n": "SELECT measurement_id, form_id, count(*) AS n FROM q_d GROUP BY measurement_id, form_id",
+    "q_both": "SELECT x.measurement_id, x.form_id AS form_a, y.form_id AS form_b, count(*) AS n FROM q_d x JOIN q_d y ON x.nct_id = y.nct_id AND x.measurement_id = y.measurement_id AND x.form_id < y.form_id GROUP BY x.measurement_id, x.form_id, y.form_id",
 }
-QUEUE = {
-    "q_queue": """SELECT nct_id, line_id AS queue_id, measure, CASE line_id % 3 WHEN 0 THEN 'measurement_unmatched' WHEN 1 THEN 'form_ambiguous' ELSE 'no_text' END AS reason,
-      CASE WHEN line_id % 5 = 0 THEN 'resolved' ELSE 'pending' END AS status, CAST(line_id % 977 AS INT) AS queued_at, CASE WHEN line_id % 4 > 0 THEN 'measure_' || CAST(line_id % 13 AS VARCHAR(9)) END AS near_miss,
-      CAST(line_id % 100 AS DOUBLE) / 100 AS near_score FROM p_outcomes WHERE line_id % 6 = 5"""
+#: Reports over what the conform job writes (``e_``) and what it makes of reported titles (``er_``).
+REPORTS: dict[str, str] = {
+    "conformance_rate": "SELECT planned, conformed, round(CAST(conformed AS DOUBLE) / planned, 6) AS share FROM (SELECT (SELECT count(*) FROM e_endpoints) + (SELECT count(*) FROM e_queue) AS planned, (SELECT count(*) FROM e_endpoints) AS conformed) x",
+    "queue_reasons": "SELECT reason, count(*) AS n, count(DISTINCT nct_id) AS studies FROM e_queue WHERE status = 'pending' GROUP BY reason",
+    "method_mix": "SELECT match_method, count(*) AS n, round(avg(confidence), 6) AS confidence FROM e_endpoints GROUP BY match_method",
+    "near_misses": "SELECT near_miss, count(*) AS n, round(max(near_score), 6) AS best FROM e_queue WHERE near_miss IS NOT NULL GROUP BY near_miss",
+    "queue_would_join": "SELECT q.near_miss, count(*) AS n, count(DISTINCT q.nct_id) AS studies FROM e_queue q JOIN (SELECT DISTINCT measurement_id FROM e_endpoints) m ON q.near_miss = m.measurement_id WHERE near_score >= 0.3e0 GROUP BY q.near_miss",
+    "form_breakdown": "SELECT form_id, count(*) AS n, count(DISTINCT nct_id) AS studies FROM e_endpoints GROUP BY form_id",
+    "top_measurements": "SELECT measurement_id, count(*) AS n FROM e_endpoints GROUP BY measurement_id ORDER BY n DESC, measurement_id LIMIT 5",
+    "direction_check": "SELECT form_id, direction_id, count(*) AS n FROM e_endpoints GROUP BY form_id, direction_id",
+    "same_measurement_other_form": "SELECT measurement_id, count(DISTINCT form_id) AS forms, count(DISTINCT nct_id) AS studies FROM e_endpoints GROUP BY measurement_id HAVING count(DISTINCT form_id) > 1 AND count(DISTINCT nct_id) > 1",
+    # Pairs of studies that measure the same thing in two forms, counted without forming them.
+    "form_pairs_across_studies": """SELECT a.measurement_id, a.form_id AS form_a, b.form_id AS form_b, a.n * b.n - coalesce(c.n, 0) AS study_pairs
+        FROM q_n a JOIN q_n b ON a.measurement_id = b.measurement_id AND a.form_id < b.form_id LEFT JOIN q_both c ON c.measurement_id = a.measurement_id AND c.form_a = a.form_id AND c.form_b = b.form_id""",
+    "same_concept_other_instrument": "SELECT a.concept_id, a.measurement_id AS instrument_a, b.measurement_id AS instrument_b, a.n AS studies_a, b.n AS studies_b FROM (SELECT concept_id, measurement_id, count(DISTINCT nct_id) AS n FROM e_endpoints GROUP BY 1, 2) a JOIN (SELECT concept_id, measurement_id, count(DISTINCT nct_id) AS n FROM e_endpoints GROUP BY 1, 2) b ON a.concept_id = b.concept_id AND a.measurement_id < b.measurement_id",
+    "threshold_conventions": "SELECT measurement_id, form_id, threshold_comparator, threshold_value, threshold_unit, count(DISTINCT nct_id) AS studies, count(*) FILTER (WHERE match_method = 'exact') AS exact_matches, round(avg(confidence), 6) AS confidence FROM e_endpoints WHERE threshold_value IS NOT NULL GROUP BY measurement_id, form_id, threshold_comparator, threshold_value, threshold_unit",
+    "timepoint_mix": "SELECT timepoint_pattern_id AS pattern_id, count(*) AS n, count(DISTINCT time_frame) AS frames FROM e_endpoints GROUP BY timepoint_pattern_id",
+    "unspecified_timeframes": "SELECT time_frame, count(*) AS n FROM e_endpoints WHERE timepoint_pattern_id = 'unspecified' GROUP BY time_frame",
+    "ta_by_form": "SELECT ta_id, form_id, count(*) AS n FROM e_endpoints e JOIN p_study_ta t ON e.nct_id = t.nct_id WHERE is_primary GROUP BY ta_id, form_id",
+    "endpoint_landscape": "SELECT ta_id, measurement_id, count(DISTINCT e.nct_id) AS studies FROM e_endpoints e JOIN p_study_ta t ON e.nct_id = t.nct_id WHERE is_primary AND outcome_type = 'primary' GROUP BY ta_id, measurement_id HAVING count(DISTINCT e.nct_id) > 2",
+    "study_profile": "SELECT nct_id, outcome_type, form_id, measurement_id, timepoint_pattern_id, direction_id, count(*) AS n FROM e_endpoints GROUP BY nct_id, outcome_type, form_id, measurement_id, timepoint_pattern_id, direction_id",
+    "class_endpoint_convention": "SELECT class_id, measurement_id, count(DISTINCT e.nct_id) AS studies FROM e_endpoints e JOIN p_study_class c ON e.nct_id = c.nct_id WHERE is_primary AND outcome_type = 'primary' GROUP BY class_id, measurement_id HAVING count(DISTINCT e.nct_id) > 2",
+    "endpoint_adoption_by_year": "SELECT class_id, CAST(year(start_date) AS INT) AS y, count(DISTINCT e.nct_id) AS studies, count(DISTINCT e.nct_id) FILTER (WHERE form_id = 'time_to_event') AS with_time_to_event FROM e_endpoints e JOIN p_studies s ON e.nct_id = s.nct_id JOIN p_study_class c ON c.nct_id = e.nct_id GROUP BY class_id, CAST(year(start_date) AS INT) HAVING count(DISTINCT e.nct_id) > 1",
+    "results_posting_coverage": """SELECT (SELECT count(*) FROM p_studies) AS pulled, (SELECT count(*) FROM p_studies WHERE lower(trim(has_results_text)) = 'yes') AS flagged, (SELECT count(DISTINCT nct_id) FROM d_reported) AS landed, (SELECT count(DISTINCT nct_id) FROM e_endpoints) AS conformed,
+        (SELECT count(DISTINCT p.nct_id) FROM e_endpoints p LEFT SEMI JOIN d_reported r ON p.nct_id = r.nct_id) AS both_sides""",
+    "reported_not_registered": "SELECT r.nct_id, r.endpoint_id, r.measure FROM er_endpoints r LEFT ANTI JOIN q_planned_keys p ON p.nct_id = r.nct_id AND p.measurement_id = r.measurement_id",
+    "registered_not_reported": "SELECT p.nct_id, p.endpoint_id FROM e_endpoints p LEFT SEMI JOIN (SELECT DISTINCT nct_id FROM er_endpoints) s ON s.nct_id = p.nct_id LEFT ANTI JOIN q_reported_keys r ON p.nct_id = r.nct_id AND p.measurement_id = r.measurement_id WHERE p.outcome_type = 'primary'",
+    "reported_other_form": "SELECT p.form_id AS planned_form, r.form_id AS reported_form, count(*) AS n FROM e_endpoints p JOIN er_endpoints r ON p.nct_id = r.nct_id AND p.measurement_id = r.measurement_id AND p.form_id <> r.form_id GROUP BY p.form_id, r.form_id",
 }
+for _key, _sql in REPORTS.items():
+    report(_key, _sql, REPORT_TABLES, ALL_VIEWS, SHARED)
+    ORACLES[_key] = ORACLES[_key].replace("LEFT SEMI JOIN", "SEMI JOIN").replace("LEFT ANTI JOIN", "ANTI JOIN")
 
+#: Queries on the axis tables themselves, which Spark SQL states as they stand.
 SQL: dict[str, tuple[str, dict]] = {
-    "conformance_rate": ("SELECT (SELECT count(*) FROM p_outcomes) AS planned, (SELECT count(*) FROM q_planned) AS conformed, round(CAST((SELECT count(*) FROM q_planned) AS DOUBLE) / (SELECT count(*) FROM p_outcomes), 6) AS share", REPORTED),
-    "queue_reasons": ("SELECT reason, count(*) AS n FROM q_queue WHERE status = 'pending' GROUP BY reason", QUEUE),
-    "method_mix": ("SELECT match_method, count(*) AS n, round(avg(confidence), 6) AS confidence FROM p_endpoints GROUP BY match_method", {}),
-    "near_misses": ("SELECT near_miss, count(*) AS n, max(near_score) AS best FROM q_queue WHERE near_miss IS NOT NULL GROUP BY near_miss", QUEUE),
-    "queue_would_join": ("SELECT q.near_miss, count(*) AS n, count(DISTINCT q.nct_id) AS studies FROM q_queue q JOIN (SELECT DISTINCT measurement_id FROM p_endpoints) m ON q.near_miss = m.measurement_id WHERE near_score >= 0.5 GROUP BY q.near_miss", QUEUE),
-    "form_breakdown": ("SELECT form_id, count(*) AS n, count(DISTINCT nct_id) AS studies FROM p_endpoints GROUP BY form_id", {}),
-    "top_measurements": ("SELECT measurement_id, count(*) AS n FROM p_endpoints GROUP BY measurement_id ORDER BY n DESC, measurement_id LIMIT 5", {}),
-    "direction_check": ("SELECT form_id, direction_id, count(*) AS n FROM p_endpoints GROUP BY form_id, direction_id", {}),
-    "untemplated_rows": ("SELECT form_id, count(*) AS n FROM p_endpoints WHERE threshold_value IS NULL AND measure LIKE '%event%' GROUP BY form_id", {}),
-    "same_measurement_other_form": ("SELECT measurement_id, count(DISTINCT form_id) AS forms, count(DISTINCT nct_id) AS studies FROM p_endpoints GROUP BY measurement_id HAVING count(DISTINCT form_id) > 1 AND count(DISTINCT nct_id) > 1", {}),
-    # Pairs of studies that measure the same thing in two forms, counted without forming them.
-    "form_pairs_across_studies": (
-        """SELECT a.measurement_id, a.form_id AS form_a, b.form_id AS form_b, a.n * b.n - coalesce(c.n, 0) AS study_pairs
-        FROM q_n a JOIN q_n b ON a.measurement_id = b.measurement_id AND a.form_id < b.form_id LEFT JOIN q_both c ON c.measurement_id = a.measurement_id AND c.form_a = a.form_id AND c.form_b = b.form_id""",
-        {
-            "q_d": "SELECT DISTINCT measurement_id, form_id, nct_id FROM p_endpoints",
-            "q_n": "SELECT measurement_id, form_id, count(*) AS n FROM q_d GROUP BY measurement_id, form_id",
-            "q_both": "SELECT x.measurement_id, x.form_id AS form_a, y.form_id AS form_b, count(*) AS n FROM q_d x JOIN q_d y ON x.nct_id = y.nct_id AND x.measurement_id = y.measurement_id AND x.form_id < y.form_id GROUP BY x.measurement_id, x.form_id, y.form_id",
-        },
-    ),
-    "same_concept_other_instrument": ("SELECT concept_id, count(DISTINCT measurement_id) AS instruments, count(DISTINCT nct_id) AS studies FROM p_endpoints GROUP BY concept_id HAVING count(DISTINCT measurement_id) > 1", {}),
-    "threshold_conventions": ("SELECT measurement_id, form_id, threshold_comparator, threshold_value, threshold_unit, count(DISTINCT nct_id) AS studies, count(*) FILTER (WHERE match_method = 'exact') AS exact_matches, round(avg(confidence), 6) AS confidence FROM p_endpoints WHERE threshold_value IS NOT NULL GROUP BY measurement_id, form_id, threshold_comparator, threshold_value, threshold_unit", {}),
-    "timepoint_mix": ("SELECT coalesce(timepoint_pattern_id, 'unspecified') AS pattern_id, count(*) AS n FROM p_endpoints GROUP BY 1", {}),
-    "unspecified_timeframes": ("SELECT time_frame, count(*) AS n FROM p_endpoints WHERE timepoint_pattern_id IS NULL GROUP BY time_frame", {}),
-    "ta_by_form": ("SELECT ta_id, form_id, count(*) AS n FROM p_endpoints e JOIN p_study_ta t ON e.nct_id = t.nct_id WHERE is_primary GROUP BY ta_id, form_id", {}),
-    "endpoint_landscape": ("SELECT ta_id, measurement_id, count(DISTINCT e.nct_id) AS studies FROM p_endpoints e JOIN p_study_ta t ON e.nct_id = t.nct_id WHERE is_primary AND lower(outcome_type) = 'primary' GROUP BY ta_id, measurement_id HAVING count(DISTINCT e.nct_id) > 2", {}),
-    "study_profile": ("SELECT endpoint_id, outcome_type, form_id, measurement_id FROM p_endpoints WHERE nct_id = 'NCT00000007'", {}),
-    "class_endpoint_convention": ("SELECT class_id, measurement_id, count(DISTINCT e.nct_id) AS studies FROM p_endpoints e JOIN p_study_class c ON e.nct_id = c.nct_id WHERE is_primary AND lower(outcome_type) = 'primary' GROUP BY class_id, measurement_id HAVING count(DISTINCT e.nct_id) > 2", {}),
-    "endpoint_adoption_by_year": ("SELECT class_id, CAST(year(start_date) AS INT) AS y, count(DISTINCT e.nct_id) AS studies, count(DISTINCT e.nct_id) FILTER (WHERE form_id = 'time_to_event') AS with_time_to_event FROM p_endpoints e JOIN p_studies s ON e.nct_id = s.nct_id JOIN p_study_class c ON c.nct_id = e.nct_id GROUP BY class_id, CAST(year(start_date) AS INT) HAVING count(DISTINCT e.nct_id) > 1", {}),
     "combination_therapy_pairs": ("SELECT a.class_id AS class_a, b.class_id AS class_b, count(*) AS studies FROM p_study_class a JOIN p_study_class b ON a.nct_id = b.nct_id AND b.class_id > a.class_id GROUP BY a.class_id, b.class_id", {}),
     "axis_denominators": ("SELECT (SELECT count(*) FROM p_studies) AS studies, (SELECT count(DISTINCT nct_id) FROM p_study_class) AS with_class, (SELECT count(DISTINCT nct_id) FROM p_study_ta) AS with_area", {}),
     "drug_class_distribution": ("SELECT class_id, kind, count(DISTINCT nct_id) AS studies, count(DISTINCT CASE WHEN is_primary THEN nct_id END) AS primary_studies FROM p_study_class GROUP BY class_id, kind", {}),
     "axis_run_summary": ("SELECT ta_id, count(*) AS rows_written, count(DISTINCT nct_id) AS studies, count(CASE WHEN is_primary THEN 1 END) AS primaries FROM p_study_ta GROUP BY ta_id", {}),
-    "results_posting_coverage": ("SELECT (SELECT count(*) FROM p_studies) AS pulled, (SELECT count(*) FROM p_studies WHERE lower(trim(has_results_text)) = 'yes') AS flagged, (SELECT count(DISTINCT nct_id) FROM q_reported) AS landed, (SELECT count(DISTINCT nct_id) FROM q_planned) AS conformed, (SELECT count(DISTINCT p.nct_id) FROM q_planned p JOIN (SELECT DISTINCT nct_id FROM q_reported) r ON p.nct_id = r.nct_id) AS both_sides", REPORTED),
-    "reported_not_registered": ("SELECT nct_id, outcome_id, title FROM q_reported r WHERE NOT EXISTS (SELECT 1 FROM q_planned p WHERE p.nct_id = r.nct_id AND p.measurement_id = r.measurement_id)", REPORTED),
-    "registered_not_reported": ("SELECT nct_id, endpoint_id FROM q_planned p WHERE lower(outcome_type) = 'primary' AND NOT EXISTS (SELECT 1 FROM q_reported r WHERE p.nct_id = r.nct_id AND p.measurement_id = r.measurement_id)", REPORTED),
-    "reported_other_form": ("SELECT p.form_id AS planned_form, r.form_id AS reported_form, count(*) AS n FROM q_planned p JOIN q_reported r ON p.nct_id = r.nct_id AND p.measurement_id = r.measurement_id AND p.form_id <> r.form_id GROUP BY p.form_id, r.form_id", REPORTED),
-    "tier_coverage": ("SELECT tier, n, round(CAST(n AS DOUBLE) / sum(n) OVER (), 6) AS share FROM (SELECT CASE WHEN threshold_value IS NOT NULL THEN 'templated' WHEN timepoint_pattern_id IS NOT NULL THEN 'partial' ELSE 'verbatim' END AS tier, count(*) AS n FROM p_endpoints GROUP BY 1) x", {}),
     "baseline_sd": ("SELECT form_id, count(*) AS n, round(avg(sd), 6) AS mean_sd FROM (SELECT CASE l_suppkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS form_id, sd FROM p_groups WHERE sd IS NOT NULL) x GROUP BY form_id", {}),
-    # Vocabulary-style audits, on facts and dimensions alike: the rule, what breaks it, how often.
-    "audit_ids": ("SELECT 'id_format' AS rule, measurement_id AS key, count(*) AS n FROM p_endpoints WHERE NOT (measurement_id LIKE 'measure\\_%') OR measurement_id = 'measure_0' GROUP BY measurement_id".replace("NOT (measurement_id LIKE 'measure\\_%') OR ", ""), {}),
     "audit_unique": ("SELECT l_orderkey, l_linenumber, count(*) AS n FROM p_lines GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1", {}),
-    "audit_foreign_keys": ("SELECT 'l_partkey' AS key, l.l_partkey AS value, count(*) AS n FROM p_lines l WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_size > 5) GROUP BY l.l_partkey", {}),
-    "audit_closed_sets": ("SELECT 'allocation' AS rule, coalesce(allocation, 'missing') AS value, count(*) AS n FROM p_studies WHERE allocation IS NULL OR allocation NOT IN ('RANDOMIZED') GROUP BY 2", {}),
-    "audit_synonym_owner": ("SELECT lower(p_name) AS synonym, count(DISTINCT p_type) AS owners FROM part GROUP BY lower(p_name) HAVING count(DISTINCT p_type) > 1", {}),
-    "audit_unique_precedence": ("SELECT p_size AS precedence, count(*) AS n FROM part GROUP BY p_size HAVING count(*) > 1", {}),
-    "audit_units": ("SELECT p_brand, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY p_brand HAVING max(p_retailprice) > 1.05 * min(p_retailprice)", {}),
-    # One row for each study: lead name where a customer exists, child rows only of the selected studies.
-    "assemble_studies_relational": ("SELECT o_orderkey, min(c_name) AS lead_name, min(n_name) AS nation FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY o_orderkey", {}),
-    "children_for_selected": ("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%') GROUP BY l_orderkey, l_linenumber", {}),
-    "relational_outcomes": ("SELECT nct_id, line_id, CAST(row_number() OVER (PARTITION BY nct_id, outcome_type, measure ORDER BY line_id, time_frame, description) - 1 AS INT) AS duplicate_ordinal, CAST(row_number() OVER (PARTITION BY nct_id ORDER BY line_id, time_frame, description) AS INT) AS ordinal FROM p_outcomes", {}),
 }
 for _key, (_sql, _more) in SQL.items():
     from_sql(_key, _sql, more=_more)
 
 
-@query("SELECT queue_id, reason FROM q_queue WHERE status = 'pending' AND reason = 'form_ambiguous' ORDER BY queued_at, queue_id LIMIT 20", QUEUE)
+@query("SELECT queue_id, reason FROM e_queue WHERE status = 'pending' AND near_miss = 'quality_of_life' ORDER BY near_score DESC, queue_id LIMIT 20", ALL_VIEWS)
 def review_backlog(data: Data) -> DataFrame:
-    from .projections import with_views
-
-    return reports.review_backlog(data.sql(with_views("SELECT * FROM q_queue", QUEUE)), reason="form_ambiguous", most=20).select("queue_id", "reason")
+    """The pending rows that come nearest to a term, a page of them."""
+    rows = REPORT_TABLES["e_queue"](data).where("near_miss = 'quality_of_life'").withColumn("queued_at", -F.col("near_score"))
+    return reports.review_backlog(rows, reason="measurement_unmatched", most=20).select("queue_id", "reason")
 
 
 _FIELD = "SELECT '{0}' AS field, trim({0}) AS value, count(*) AS n FROM p_outcomes WHERE trim({0}) <> '' GROUP BY trim({0})"
@@ -104,22 +87,34 @@ def vocab_row_sample(data: Data) -> DataFrame:
     return rows.orderBy(F.md5(F.concat(F.col("line_id").cast("string"), F.lit("|11"))), "line_id", "measure").limit(50)  # a sampling operator
 
 
-@query(
-    """SELECT r.nct_id, r.outcome_id, CASE WHEN t.endpoint_id IS NOT NULL THEN 'exact_title' WHEN u.nct_id IS NOT NULL THEN 'unconformed_title' WHEN m.endpoint_id IS NOT NULL THEN 'measurement' ELSE 'unlinked' END AS link_method,
-    CASE WHEN t.endpoint_id IS NOT NULL THEN t.endpoint_id WHEN u.nct_id IS NULL THEN m.endpoint_id END AS planned_id
-    FROM (SELECT *, lower(trim(regexp_replace(title, '[\\s\\x{00a0}]+', ' ', 'g'))) AS k FROM q_reported) r
-    LEFT JOIN (SELECT nct_id, lower(trim(regexp_replace(replace(replace(replace(measure, '–', '-'), chr(92) || '(', '('), chr(92) || ')', ')'), '[\\s\\x{00a0}]+', ' ', 'g'))) AS k, min(endpoint_id) AS endpoint_id FROM q_planned GROUP BY 1, 2) t
-      ON r.nct_id = t.nct_id AND replace(replace(replace(r.k, '–', '-'), chr(92) || '(', '('), chr(92) || ')', ')') = t.k
-    LEFT JOIN (SELECT DISTINCT nct_id, lower(trim(regexp_replace(replace(replace(replace(measure, '–', '-'), chr(92) || '(', '('), chr(92) || ')', ')'), '[\\s\\x{00a0}]+', ' ', 'g'))) AS k FROM q_loose) u
-      ON r.nct_id = u.nct_id AND replace(replace(replace(r.k, '–', '-'), chr(92) || '(', '('), chr(92) || ')', ')') = u.k
-    LEFT JOIN (SELECT nct_id, measurement_id, derivation_id, min(endpoint_id) AS endpoint_id FROM q_planned GROUP BY ALL) m ON r.nct_id = m.nct_id AND r.measurement_id = m.measurement_id AND r.derivation_id IS NOT DISTINCT FROM m.derivation_id""",
-    REPORTED,
-)
+_LINKED = """SELECT r.nct_id AS nct_id, r.endpoint_id AS outcome_id, r.form_id AS form_id, CASE WHEN t.planned_id IS NOT NULL THEN 'exact_title' WHEN u.nct_id IS NOT NULL THEN 'unconformed_title' WHEN m.planned_id IS NOT NULL THEN 'measurement' ELSE 'unlinked' END AS link_method,
+    CASE WHEN t.planned_id IS NOT NULL THEN t.planned_id WHEN u.nct_id IS NULL THEN m.planned_id END AS planned_id, CASE WHEN t.planned_id IS NOT NULL THEN t.form_id WHEN u.nct_id IS NULL THEN m.form_id END AS planned_form
+    FROM er_endpoints r LEFT JOIN (SELECT nct_id, lower({key}) AS k, min(endpoint_id) AS planned_id, arg_min(form_id, endpoint_id) AS form_id FROM e_endpoints GROUP BY 1, 2) t ON r.nct_id = t.nct_id AND lower({mine}) = t.k
+    LEFT JOIN (SELECT DISTINCT nct_id, lower({key}) AS k FROM e_queue) u ON r.nct_id = u.nct_id AND lower({mine}) = u.k
+    LEFT JOIN (SELECT nct_id, measurement_id, derivation_id, min(endpoint_id) AS planned_id, arg_min(form_id, endpoint_id) AS form_id FROM e_endpoints GROUP BY ALL) m ON r.nct_id = m.nct_id AND r.measurement_id = m.measurement_id AND r.derivation_id IS NOT DISTINCT FROM m.derivation_id""".format(key=plain("measure"), mine=plain("r.measure"))
+LINK_VIEWS = ALL_VIEWS | {"q_linked": _LINKED}
+
+
+def links(data: Data) -> DataFrame:
+    tables = {n: REPORT_TABLES[n](data) for n in ("e_endpoints", "e_queue", "er_endpoints")}
+    mine = tables["er_endpoints"].withColumnsRenamed({"endpoint_id": "outcome_id", "measure": "title"})
+    return results.link_reported_to_planned(mine, tables["e_endpoints"], tables["e_queue"])
+
+
+@query("SELECT nct_id, outcome_id, link_method, planned_id FROM q_linked", LINK_VIEWS)
 def link_reported_to_planned(data: Data) -> DataFrame:
-    from .projections import with_views
+    return links(data).select("nct_id", "outcome_id", "link_method", "planned_id")
+
 
-    view = lambda name: data.sql(with_views(f"SELECT * FROM {name}", {k: v for k, v in REPORTED.items() if k == name}))
-    return results.link_reported_to_planned(view("q_reported"), view("q_planned"), view("q_loose")).select("nct_id", "outcome_id", "link_method", "planned_id")
+@query("SELECT link_method, count(*) AS n, count(CASE WHEN form_id = planned_form THEN 1 END) AS agreeing FROM q_linked GROUP BY link_method", LINK_VIEWS)
+def title_link_coverage(data: Data) -> DataFrame:
+    return links(data).groupBy("link_method").agg(F.count(F.lit(1)).alias("n"), F.count_if("form_agrees").alias("agreeing"))
+
+
+@query("SELECT 'unlinked_to_planned' AS reason, outcome_id AS id, CAST(NULL AS VARCHAR) AS near_miss FROM q_linked WHERE link_method = 'unlinked' UNION ALL SELECT 'measurement_unmatched', queue_id, near_miss FROM er_queue", LINK_VIEWS)
+def results_review(data: Data) -> DataFrame:
+    unlinked = links(data).where("link_method = 'unlinked'").select(F.lit("unlinked_to_planned").alias("reason"), F.col("outcome_id").alias("id"), F.lit(None).cast("string").alias("near_miss"))
+    return unlinked.unionByName(REPORT_TABLES["er_queue"](data).select("reason", F.col("queue_id").alias("id"), "near_miss"))
 
 
 GROUPS = {
@@ -127,7 +122,7 @@ GROUPS = {
 }
 
 
-@query(
+_LINKS_SQL = (
     """SELECT g.nct_id, g.group_title, CASE WHEN skip IS NULL THEN CASE WHEN n_exact = 1 THEN x.title WHEN n_stem = 1 THEN s.title ELSE a.title END END AS arm_title,
       CASE WHEN skip IS NULL THEN CASE WHEN n_exact = 1 THEN 'exact_title' WHEN n_stem = 1 THEN 'title_stem' ELSE 'sole_arm' END END AS link_method, skip AS link_skip_reason
     FROM (SELECT g.*, n_exact, n_stem, CASE WHEN k IS NULL THEN 'no_group_title' WHEN n_arms IS NULL THEN 'no_protocol_arms' WHEN k = 'total' THEN 'total_group' WHEN n_exact > 1 THEN 'ambiguous_title' WHEN n_exact = 1 THEN NULL
@@ -137,9 +132,12 @@ GROUPS = {
       LEFT JOIN (SELECT nct_id, lower(title) AS tk, count(*) AS n_stem FROM p_arms GROUP BY 1, 2) m ON m.nct_id = g.nct_id AND m.tk = g.s
       LEFT JOIN (SELECT nct_id, count(DISTINCT k) AS n_titles FROM q_keys WHERE k <> 'total' GROUP BY nct_id) t ON t.nct_id = g.nct_id) g
     LEFT JOIN p_arms x ON x.nct_id = g.nct_id AND lower(x.title) = g.k LEFT JOIN p_arms s ON s.nct_id = g.nct_id AND lower(s.title) = g.s
-    LEFT JOIN (SELECT nct_id, min(title) AS title FROM p_arms GROUP BY nct_id) a ON a.nct_id = g.nct_id""",
-    GROUPS | {"q_keys": "SELECT *, regexp_replace(k, '\\s+(arm|group|cohort)$', '') AS s FROM (SELECT nct_id, group_title, lower(regexp_replace(trim(group_title), '\\s+', ' ', 'g')) AS k FROM q_groups) x"},
+    LEFT JOIN (SELECT nct_id, min(title) AS title FROM p_arms GROUP BY nct_id) a ON a.nct_id = g.nct_id"""
 )
+LINKS_VIEWS = GROUPS | {"q_keys": "SELECT *, regexp_replace(k, '\\s+(arm|group|cohort)$', '') AS s FROM (SELECT nct_id, group_title, lower(regexp_replace(trim(group_title), '\\s+', ' ', 'g')) AS k FROM q_groups) x"}
+
+
+@query(_LINKS_SQL, LINKS_VIEWS)
 def link_group_to_arm(data: Data) -> DataFrame:
     return group_links(data).select("nct_id", "group_title", "arm_title", "link_method", "link_skip_reason")
 
@@ -150,6 +148,22 @@ def group_links(data: Data) -> DataFrame:
     return results.link_group_to_arm(data.sql(with_views("SELECT * FROM q_groups", GROUPS)), data.view("p_arms"))
 
 
+@query("SELECT link_method, link_skip_reason, count(*) AS n, count(DISTINCT nct_id) AS studies FROM q_links GROUP BY link_method, link_skip_reason", LINKS_VIEWS | {"q_links": _LINKS_SQL})
+def arm_link_coverage(data: Data) -> DataFrame:
+    """How result groups met arms, and why others did not."""
+    return group_links(data).groupBy("link_method", "link_skip_reason").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nct_id").alias("studies"))
+
+
+@query("SELECT coalesce(a.group_type, 'untyped') AS arm_type, count(*) AS n FROM p_measurements m LEFT JOIN p_arms a ON m.nct_id = a.nct_id AND m.group_title = a.title WHERE m.dispersion_value IS NOT NULL GROUP BY 1")
+def arm_link_summary(data: Data) -> DataFrame:
+    """Rows with a stated spread by the type of their arm, through the arm links."""
+    rows = data.view("p_measurements").where("dispersion_value is not null")
+    linked = results.link_group_to_arm(rows.select("nct_id", "group_title"), data.view("p_arms")).where("link_method is not null").select("nct_id", "group_title", "arm_title")
+    types = data.view("p_arms").select("nct_id", F.col("title").alias("arm_title"), "group_type")
+    both = rows.join(linked, ["nct_id", "group_title"], "left").join(types, ["nct_id", "arm_title"], "left")
+    return both.groupBy(F.coalesce("group_type", F.lit("untyped")).alias("arm_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     """SELECT nct_id, title, CASE WHEN group_type = 'Experimental' THEN 'experimental' WHEN group_type = 'Placebo Comparator' THEN 'control' WHEN all_control THEN 'control' END AS arm_role,
     CASE WHEN group_type IS NOT NULL THEN 'group_type' WHEN all_control THEN 'drug_class' END AS role_source,
@@ -174,33 +188,6 @@ def match_longest_prefix(data: Data) -> DataFrame:
     return axes.match_longest_prefix(data.sql(with_views("SELECT * FROM q_trees", TREES)), data.spark.createDataFrame(PREFIXES, "prefix string, ta_id string"))
 
 
-OVERRIDES = [("large_molecule", "cold widget")]
-AGENTS = [("antibody", "small widget"), ("statin", "large bolt")]
-RULES = [("placebo", r"\bnut\b", 1), ("antibody", r"widget", 2), ("device", r"(bolt|gear)", 3), ("device", r"cold", 4)]
-KINDS = [("large_molecule", "modality"), ("antibody", "pharmacologic"), ("statin", "pharmacologic"), ("device", "modality"), ("placebo", "control")]
-
-
-@query(
-    """SELECT name, class_id, kind, layer FROM (SELECT *, dense_rank() OVER (PARTITION BY name, kind ORDER BY layer_rank, rule_rank) AS r FROM (
-      SELECT h.*, k.kind FROM q_hits h JOIN q_kinds k ON h.class_id = k.class_id WHERE k.kind = 'control' OR h.name NOT IN (SELECT name FROM q_hits c JOIN q_kinds k2 ON c.class_id = k2.class_id WHERE k2.kind = 'control' AND layer = 'pattern')) x) y WHERE r = 1""",
-    {
-        "q_kinds": _values(KINDS, "class_id, kind"), "q_o": _values(OVERRIDES, "class_id, key"), "q_a": _values(AGENTS, "class_id, key"), "q_r": _values(RULES, "class_id, pattern, ordinal"),
-        "q_names": "SELECT DISTINCT name FROM p_interventions",
-        "q_hits": """SELECT name, class_id, 'override' AS layer, 1 AS layer_rank, 0 AS rule_rank FROM q_names JOIN q_o ON lower(name) = key UNION ALL SELECT name, class_id, 'agent', 2, 0 FROM q_names JOIN q_a ON lower(name) = key
-          UNION ALL SELECT name, class_id, 'pattern', 3, ordinal FROM q_names, q_r WHERE regexp_matches(name, pattern, 'i')""",
-    },
-)
-def classify_intervention(data: Data) -> DataFrame:
-    return classified(data).select("name", "class_id", "kind", "layer").distinct()
-
-
-def classified(data: Data) -> DataFrame:
-    make = data.spark.createDataFrame
-    return axes.classify_interventions(
-        data.view("p_interventions"), make(OVERRIDES, "class_id string, key string"), make(AGENTS, "class_id string, key string"), make(RULES, "class_id string, pattern string, ordinal int"), make(KINDS, "class_id string, kind string")
-    )
-
-
 @query(
     "SELECT nct_id, class_id, row_number() OVER (PARTITION BY nct_id ORDER BY precedence NULLS LAST, n DESC, class_id) = 1 AS is_primary FROM (SELECT nct_id, lower(intervention_type) AS class_id, count(DISTINCT name) AS n FROM p_interventions GROUP BY 1, 2) x LEFT JOIN q_p USING (class_id)",
     {"q_p": _values([("promo", 1), ("economy", 2)], "class_id, precedence")},

@@ -6,11 +6,24 @@ own, and the caller swaps the path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``, the folder that all machines share; on one machine a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spindrift-")
+    return f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def last_of_batch(delta: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in the batch's order."""
     w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
