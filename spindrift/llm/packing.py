@@ -1,8 +1,8 @@
 """Packing by order-preserving dynamic programming.
 
 Documents keep their order (by ``doc_id``) and are laid end to end; windows of at most 4096 tokens are cut
-from that line. Cuts may lie at the end of a document (free) and at the end of a sentence or line (a small
-penalty); within a sentence only where it is longer than a window, every ``GRID`` tokens (a larger penalty).
+from that line. Cuts may lie at the end of a document (free), of a sentence and, in documents that have a sentence of
+more than ``LONG_SENTENCE`` tokens, of a line (a small penalty); within a sentence only where it is longer than a window, every ``GRID`` tokens (a larger penalty).
 With f(j) the least cost of the line up to candidate j at position p(j),
 
     f(j) = penalty(j) + min over i with p(j) - p(i) <= 4096 of f(i) + 4096 - (p(j) - p(i)).
@@ -42,7 +42,7 @@ from .tokens import place, word_encoder
 TOKENIZER, CLOSE, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Penalties, in tokens of padding, and the spacing of cuts within sentences that are longer than a window.
 AFTER_SENTENCE, WITHIN_SENTENCE, GRID = 4, 24, 32
-STRETCH, RUN_TEXT = 64, 8 << 20
+STRETCH, RUN_TEXT, LONG_SENTENCE = 64, 8 << 20, 256
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -70,15 +70,17 @@ _NO_LINES = np.empty(0, np.int64)
 
 
 def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
-    """The documents of batches. Line ends are not among the ids of a text, so lines are encoded one by one."""
+    """The documents of batches, with the line ends of those that have a long sentence.
+
+    Line ends are not among the ids of a text, so its lines are encoded one by one to find them.
+    """
     encode, close = word_encoder(TOKENIZER), CLOSE.to_bytes(2, "little")
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if not text or "\n" not in text or _SPECIAL.search(text):  # a special token may hold a line end
-                yield Tokens(doc_id, np.frombuffer(encode(text) + close if text else close, "<u2"), _NO_LINES)
-            else:
-                lines = [encode(line) for line in text.split("\n")]
-                yield Tokens(doc_id, np.frombuffer(b"".join([*lines, close]), "<u2"), np.cumsum([len(line) for line in lines]) // 2)
+            ids, lines = np.frombuffer(encode(text) + close if text else close, "<u2"), _NO_LINES
+            if len(ids) > LONG_SENTENCE and np.diff(np.flatnonzero(sentence_ends()[ids]), prepend=-1, append=len(ids)).max() > LONG_SENTENCE and "\n" in text and not _SPECIAL.search(text):
+                lines = np.cumsum([len(encode(line)) for line in text.split("\n")]) // 2  # a special token, too, may hold a line end
+            yield Tokens(doc_id, ids, lines)
 
 
 _SPECIAL = re.compile(r"<\|")

@@ -30,6 +30,8 @@ def place(name: str) -> str:
 
 #: Text for which the lower-casing and the letter classes of all libraries agree.
 _LATIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]+")
+#: Signs that stay together behind letters; the apostrophe may begin a part with letters.
+_SIGNS = ".,;:!?|%$&*#()[]-"
 #: White space for Python but not for the tokenizer, and the openings of special tokens.
 _UNUSUAL = re.compile(r"[\x1c-\x1f\x85]|<\|")
 
@@ -78,9 +80,14 @@ def word_encoder(name: str = "word_bpe_49k.json") -> Callable[[str], bytes]:
 
     def piece(word: str) -> bytes:
         if word.isascii():
-            word = word.lower()
+            low = word.lower()
+            if low != word:
+                return known[low]
             if word.isalpha():
                 return b"".join([of[k] for k in merge(word.encode() + end)])
+            letters = word.rstrip(_SIGNS)
+            if letters.isalpha() and letters != word:  # letters and signs are parts of their own
+                return known[letters] + known[word[len(letters) :]]
             if not word.isprintable():
                 return whole(word)
         elif _LATIN.fullmatch(word):
