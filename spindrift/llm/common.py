@@ -93,25 +93,40 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as keep them apart from the table's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 class Memo(dict):
-    """What ``make`` returns for a key, kept for at most ``most`` keys, of ``width`` units of text each on average.
+    """What ``make`` returns for a key, kept for at most ``most`` keys at a time.
 
-    A key longer than ``LONG`` is never kept: in scripts without spaces a "word" may be a whole document.
+    Where keys are texts (``width`` > 0), they also have at most ``width`` characters each on average, and a key longer
+    than ``LONG`` is never kept: in scripts without spaces a "word" may be a whole document.
     """
 
     LONG = 512
 
     def __init__(self, make: Callable, most: int = 250_000, width: int = 32):
-        self.make, self.most, self.room = make, most, most * width
-        self.held = 0
+        self.make, self.most, self.room, self.held = make, most, most * width, 0
 
     def __missing__(self, key):
         value = self.make(key)
-        size = len(key) if isinstance(key, str | bytes) else 1
-        if size <= self.LONG:
-            if len(self) >= self.most or self.held + size > self.room:
-                self.clear()
-                self.held = 0
+        if self.room:
+            size = len(key)
+            if size > self.LONG:
+                return value
             self.held += size
-            self[key] = value
+            if self.held > self.room:
+                self.clear()
+                self.held = size
+        if len(self) >= self.most:
+            self.clear()
+            self.held = 0
+        self[key] = value
         return value

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, scratch_path, table, text_or_empty, written
+from .common import SPACES, scratch_path, table, text_or_empty, unused, written
 
 #: Bits in a page of a filter: what Spark's bitmap functions put into one bitmap. Entries for each page, on average.
 PAGE, PAGE_ENTRIES = 1 << 15, 1 << 11
@@ -164,12 +164,13 @@ def index_groups(docs: DataFrame, runs: int = RUNS) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     """The documents that stay, with the columns of ``docs``."""
-    kept = _groups(docs, runs).where("kept").select(F.col("doc_id").alias("__id"), F.col("n_points").alias("__n"), F.col("digest").alias("__digest"))
+    of, same, n, digest = unused(docs, "of", "same_id", "n_points", "digest")
+    kept = _groups(docs, runs).where("kept").select(F.col("doc_id").alias(same), F.col("n_points").alias(n), F.col("digest").alias(digest))
     text = text_or_empty()
-    rows = docs.withColumn("__of", digest_of(normalised(text)))
-    stay = rows.join(kept, (F.col("__of") == F.col("__digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.char_length(text) == F.col("__n")), "left_semi")
+    rows = docs.withColumn(of, digest_of(normalised(text)))
+    stay = rows.join(kept, (F.col(of) == F.col(digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(same)) & (F.char_length(text) == F.col(n)), "left_semi")
     # Rows that agree in digest, id and length rank alike: one of them stays.
-    return stay.dropDuplicates(["__of", "doc_id"]).select(docs.columns)
+    return stay.dropDuplicates([of, "doc_id"]).drop(of)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

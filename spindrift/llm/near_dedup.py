@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow, table, written
+from .common import Memo, arrow, table, unused, written
 from .components import components
 
 WORDS, MINIMA, BANDS, STEP, MISS = 5, 128, 32, 16, 1e-6
@@ -310,9 +310,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     A row goes by its id and text together, so that one that shares its id with a near copy of another stays; rows
     of one component that share the id that stays stay together.
     """
-    gone = _placed(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    id_, hash_ = unused(docs, "gone_id", "gone_hash")
+    gone = _placed(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
     of = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (of == F.col("__hash")), "left_anti")
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (of == F.col(hash_)), "left_anti")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,14 +145,14 @@ class Transducer:
                 self.id[t[:n]] << 16 | self.id[t[n:]]: rank[t] for t in self.id for n in range(1, len(t)) if t[:n] in self.id and t[n:] in self.id
             }
             self.order = [rank.get(t, -1.0) if len(t) > 1 else -1.0 for t in self.text]
-            self.parts = Memo(self._split, 1 << 16)
-            self.weight = Memo(self._pair_weight, 600_000)
+            self.parts = Memo(self._split, 1 << 16, 0)
+            self.weight = Memo(self._pair_weight, 600_000, 0)
             self.fallback = self.least = 0.0
         else:
             worst = min((self.score[k] for k in self.id.values()), default=0.0)
             self.fallback = UNKNOWN_PENALTY - worst
             self.least = min((-self.score[k] for k in self.id.values()), default=0.0)
-            self.weight = Memo(lambda pair: -self.score[pair & 0xFFFF], 600_000)
+            self.weight = Memo(lambda pair: -self.score[pair & 0xFFFF], 600_000, 0)
         self.path = Memo(self._path, 100_000)
         self.word = Memo(lambda word: self._path(SPACE + word), 500_000)
         self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else t.encode() if k in (NORMAL, USER) else b"" for t, k in zip(self.text, self.kind, strict=True)]

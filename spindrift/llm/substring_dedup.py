@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, table
+from .common import arrow, table, unused
 
 DEPTH, REACH, LEAST_WORDS = 16, 20, 16
 
@@ -139,9 +139,10 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows are documents with three more columns at the end: the spans' tags, starts and lengths."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for n, (text, tags, starts, lengths) in enumerate(zip(texts, *(batch.column(c).to_pylist() for c in ("__tags", "__starts", "__lengths")), strict=True)):
+        texts, width = batch.column("text").to_pylist(), batch.num_columns - 3
+        for n, (text, tags, starts, lengths) in enumerate(zip(texts, *(batch.column(width + k).to_pylist() for k in range(3)), strict=True)):
             if not text or not starts:
                 continue
             data = text.encode("utf-8", "surrogatepass")
@@ -152,18 +153,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = start + length
             kept.append(data[at:])
             texts[n] = b"".join(kept).decode("utf-8", "surrogatepass")
-        names = [c for c in batch.schema.names if not c.startswith("__")]
+        names = batch.schema.names[:width]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
 
 def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """All documents, with the columns of ``docs``; repeated spans are gone from ``text``."""
-    spans = (
-        repeated_spans(docs, least_words)
-        .groupBy(F.col("doc_id").alias("__doc"))
-        .agg(F.collect_list("tag").alias("__tags"), F.collect_list("start").alias("__starts"), F.collect_list("length").alias("__lengths"))
-    )
-    both = docs.join(spans, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    doc, tags, starts, lengths = unused(docs, "doc", "tags", "starts", "lengths")
+    spans = repeated_spans(docs, least_words).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("tag").alias(tags), F.collect_list("start").alias(starts), F.collect_list("length").alias(lengths))
+    both = docs.join(spans, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc)
     out = arrow(both, _cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

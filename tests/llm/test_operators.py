@@ -341,6 +341,43 @@ def test_repeated_passages_go_and_clean_texts_stay(spark, odd, empty):
     assert substring_dedup.repeated_spans(empty).count() == 0
 
 
+def test_spans_match_brute_force(spark):
+    # The owner of a chunk is its first document; what others lose is what stands in runs of enough words.
+    passage, other = prose(31, 90), prose(32, 25)
+    rows = [(k, f"{prose(800 + k, 60)} {passage if k % 2 else other} {prose(850 + k, 40)} {passage if k in (3, 4) else ''}") for k in range(9)] + [(None, passage), (20, None), (20, passage), (20, passage)]
+    owner: dict = {}
+    pieces = []
+    for i, text in rows:
+        data = (text or "").encode()
+        if i is None or not data:
+            continue
+        at = [*substring_dedup.chunk_starts(data).tolist(), len(data)]
+        for a, b in zip(at, at[1:]):
+            owner[data[a:b]] = min(owner.get(data[a:b], i), i)
+            pieces.append((i, data, a, data[a:b]))
+    runs: dict = {}
+    for i, data, a, chunk in sorted(set(pieces)):
+        if owner[chunk] < i:
+            of = runs.setdefault((i, data), [])
+            if of and of[-1][1] == a:
+                of[-1][1] += len(chunk)
+                of[-1][2] += len(chunk.split())
+            else:
+                of.append([a, a + len(chunk), len(chunk.split())])
+    want = sorted((i, a, b - a) for (i, _), of in runs.items() for a, b, words in of if words >= substring_dedup.LEAST_WORDS)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["start"], r["length"]) for r in substring_dedup.repeated_spans(docs).collect()) == want and len(want) > 4
+
+
+def test_columns_with_clashing_names_stay(spark):
+    rows = [(1, prose(41, 80), 1), (2, prose(41, 80), 2), (3, prose(42, 80), 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags long")
+    for name in ("__tags", "doc", "of", "digest", "gone_id", "_starts", "n_points"):
+        docs = docs.withColumn(name, F.col("tags"))
+    for made in (substring_dedup.substring_dedup(docs), exact_dedup.exact_dedup(docs), near_dedup.near_dedup(docs)):
+        assert made.columns == docs.columns and all(r["of"] == r["__tags"] == r["doc_id"] for r in made.collect())
+
+
 def test_chunks_cover_the_text_and_resist_shifts():
     data = prose(3, 4000).encode()
     at = substring_dedup.chunk_starts(data).tolist()
@@ -588,6 +625,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean["predicted"].mean() < 0.04
 
 
+def test_the_chain_matches_one_linear_model_at_least(spark):
+    """On held-out rows the chain's last category ranks no worse than a single model over the same features."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fitted(docs, labels.where(~held))
+    both = toxicity.scores(docs, model).join(labels.where(held), "doc_id").toPandas()
+    # The last model without the earlier categories: its weights alone, by the same scorer.
+    alone = dict(model, weights=[np.delete(model["weights"][-1], [len(model["features"]), len(model["features"]) + 1])])
+    score = toxicity.scorer(alone)
+    texts = {r["doc_id"]: r["text"] for r in docs.join(labels.where(held), "doc_id").select("doc_id", "text").collect()}
+    both["alone"] = [score(texts[i])[-1] for i in both["doc_id"]]
+
+    def area(column):
+        rank = both[column].rank()
+        toxic = both["toxic"] == 1
+        return (rank[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+
+    assert area("score") >= area("alone") - 0.005 and area("score") > 0.97
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (9, 1), (10, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fitted(odd, labels)
