@@ -10,16 +10,48 @@ from .dispersion import effect_kind, null_value
 from .matching import checked_broadcast
 
 GROUP = ["form_id", "derivation_id", "unit_id", "is_converted", "sd_scale"]
-MARGIN = r"(?i)margin[^0-9+\-]{0,24}([+-])?\s*(\d+(?:\.\d+)?)\s*(%|[A-Za-z/·µ]{1,12})?"
-# Words that follow a margin's number and are no unit.
+# How a margin is stated (the word, at most 24 characters without a digit or sign, a signed number, a unit),
+# and words that follow its number and are no unit.
+SIGN, NUMBER, UNIT = "([+-])?", r"(\d+(?:\.\d+)?)", "(%|[A-Za-z/·µ]{1,12})?"
+MARGIN = rf"(?i)margin[^0-9+\-]{{0,24}}{SIGN}\s*{NUMBER}\s*{UNIT}"
 NO_UNITS = ("the", "of", "to", "and", "was", "is", "a", "in", "for")
 
 
-def quartiles(value: str) -> list[Column]:
-    return [
-        F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"),
-        F.min(value).alias("low"), F.max(value).alias("high"),
-    ]
+QUARTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+#: Into how many ranges of values a group is cut to find its quantiles.
+RANGES = 64
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """keys and the exact quantiles of each group, interpolated between neighbours; null values are left out.
+
+    A group may hold most rows, so none is ever ordered in one task: equal values are counted first, the group is cut at
+    approximate quantiles into ``RANGES`` ranges, the ranges' counts tell in which of them each wanted rank lies, and only
+    those ranges are ordered, each for itself. How good the approximation is decides the sizes of the ranges, not the result.
+    """
+    key = F.struct(*keys).alias("_k")
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counted.groupBy("_k").agg(F.percentile_approx("_v", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(1000)).alias("_cuts"))
+    ranged = counted.join(cuts, "_k").select("_k", "_v", "_n", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))).alias("_r"))
+    before = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    sizes = ranged.groupBy("_k", "_r").agg(F.sum("_n").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    totals = sizes.groupBy("_k").agg(F.sum("_size").alias("_all"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_all") - 1)).alias("place")) for name, p in at.items()))
+    ranks = totals.select("_k", F.explode(wanted).alias("w")).select("_k", "w.name", "w.place", F.explode(F.array_distinct(F.array(F.floor("w.place"), F.ceil("w.place")))).alias("rank"))
+    spots = ranks.join(sizes, "_k").where("rank >= _before and rank < _before + _size").select("_k", "_r", "name", "place", "rank", (F.col("rank") - F.col("_before")).alias("inside"))
+    running = Window.partitionBy("_k", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    some = ranged.join(spots.select("_k", "_r").distinct(), ["_k", "_r"], "left_semi").withColumn("_from", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+    found = some.join(spots, ["_k", "_r"]).where("inside >= _from and inside < _from + _n")
+    weight = F.when(F.col("rank") == F.floor("place"), 1 - (F.col("place") - F.floor("place"))).otherwise(F.col("place") - F.floor("place"))
+    each = found.groupBy("_k", "name").agg(F.sum(F.col("_v") * weight).alias("q"))
+    return each.groupBy("_k").agg(*(F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in at))
+
+
+def with_quartiles(found: DataFrame, rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A grouped result with the quartiles and the range of a column of the rows that it was grouped from."""
+    ends = rows.groupBy(F.struct(*keys).alias("_e")).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    out = found.withColumn("_g", F.struct(*keys)).join(quantiles(rows, keys, value, QUARTILES), F.col("_g") == F.col("_k"), "left").join(ends, F.col("_g") == F.col("_e"), "left")
+    return out.drop("_g", "_k", "_e")
 
 
 def usable_sds(dispersion: DataFrame) -> DataFrame:
@@ -44,8 +76,9 @@ def sd_distribution(dispersion: DataFrame, by: list[str] | None = None) -> DataF
     keys = [*(by or []), *GROUP]
     sds = usable_sds(dispersion)
     found = sds.groupBy(*keys).agg(
-        F.count_distinct("nct_id").alias("n_studies"), F.count(F.lit(1)).alias("n_arms"), F.sum("n").cast("long").alias("participants"), *quartiles("sd"),
-    )
+        F.count_distinct("nct_id").alias("n_studies"), F.count(F.lit(1)).alias("n_arms"), F.sum("n").cast("long").alias("participants")
+    )
+    found = with_quartiles(found, sds, keys, "sd")
     whole = dispersion.groupBy("form_id", F.col("derivation_id").alias("_d")).agg(F.count_distinct("nct_id").alias("n_studies_of_form"))
     return found.join(whole, (found["form_id"] == whole["form_id"]) & found["derivation_id"].eqNullSafe(whole["_d"]), "left").drop(whole["form_id"]).drop("_d")
 
@@ -70,8 +103,17 @@ def stratified(dispersion: DataFrame, bridge: DataFrame, member: str, top: int)
     counts = dispersion.select("nct_id").distinct().join(bridge.select("nct_id", member).distinct(), "nct_id").groupBy(member).agg(F.count(F.lit(1)).alias("n"))
     chosen = counts.orderBy(F.desc("n"), member).limit(top).select(member)  # the top-k is the feature
     rows = dispersion.join(bridge.select("nct_id", member).distinct().join(F.broadcast(chosen), member), "nct_id")
-    keys = [member, *GROUP]
-    return usable_sds(rows).groupBy(*keys).agg(F.count_distinct("nct_id").alias("n_studies"), F.count(F.lit(1)).alias("n_arms"), *quartiles("sd"))
+    return _spread(usable_sds(rows), [member, *GROUP])
+
+
+def _spread(sds: DataFrame, keys: list[str]) -> DataFrame:
+    return with_quartiles(sds.groupBy(*keys).agg(F.count_distinct("nct_id").alias("n_studies"), F.count(F.lit(1)).alias("n_arms")), sds, keys, "sd")
+
+
+def stratified_by_role(dispersion: DataFrame, roles: DataFrame) -> DataFrame:
+    """:func:`sd_distribution` for experimental and control arms apart; arms without a role (roles: nct_id, arm_title, arm_role) are in neither."""
+    known = roles.where(F.col("arm_role").isin("experimental", "control")).select("nct_id", F.col("arm_title").alias("group_title"), "arm_role").distinct()
+    return _spread(usable_sds(dispersion.join(known, ["nct_id", "group_title"])), ["arm_role", *GROUP])
 
 
 def analysis_effects(analyses: DataFrame, scales: DataFrame) -> DataFrame:
@@ -84,9 +126,9 @@ def analysis_effects(analyses: DataFrame, scales: DataFrame) -> DataFrame:
 
 def analysis_distribution(analyses: DataFrame, scales: DataFrame) -> DataFrame:
     rows = analysis_effects(analyses, scales).where("effect is not null")
-    return rows.groupBy("effect_kind", "derivation_id", "unit_id").agg(
-        F.count_distinct("nct_id").alias("n_studies"), F.count(F.lit(1)).alias("n_analyses"), F.max("null_value").alias("null_value"), *quartiles("effect")
-    )
+    keys = ["effect_kind", "derivation_id", "unit_id"]
+    found = rows.groupBy(*keys).agg(F.count_distinct("nct_id").alias("n_studies"), F.count(F.lit(1)).alias("n_analyses"), F.max("null_value").alias("null_value"))
+    return with_quartiles(found, rows, keys, "effect")
 
 
 def p_value_summary(analyses: DataFrame) -> DataFrame:

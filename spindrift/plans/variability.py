@@ -26,7 +26,8 @@ def scales(data: Data) -> DataFrame:
 
 
 def dispersion(data: Data) -> DataFrame:
-    return results.build_dispersion(data.view("p_measurements"), unit_synonyms(data), scales(data))
+    """The dispersion table, written once for a folder: every report reads it."""
+    return data.kept("dispersion", lambda: results.build_dispersion(data.view("p_measurements"), unit_synonyms(data), scales(data)))
 
 
 def _case(folded: str, markers: list, otherwise: str, empty: str) -> str:
@@ -244,8 +245,35 @@ def unit_coverage(data: Data) -> DataFrame:
     )
 
 
+def sd_medians(sds: DataFrame) -> DataFrame:
+    medians = reports.quantiles(sds, ["unit_id"], "sd", {"median": 0.5}).select(F.col("_k.unit_id").alias("unit"), F.round("median", 6).alias("median"))
+    return sds.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n")).join(medians, F.col("unit_id").eqNullSafe(F.col("unit"))).drop("unit")
+
+
+@query(
+    f"""SELECT arm_role, form_id, derivation_id, unit_id, is_converted, sd_scale, n_studies, n_arms, {_QROUND} FROM (SELECT arm_role, form_id, derivation_id, unit_id, is_converted, sd_scale, count(DISTINCT u.nct_id) AS n_studies, count(*) AS n_arms, {_Q.format('sd')}
+    FROM o_usable u JOIN (SELECT DISTINCT nct_id AS study, title, CASE group_type WHEN 'Experimental' THEN 'experimental' ELSE 'control' END AS arm_role FROM p_arms WHERE group_type IS NOT NULL) a ON u.nct_id = a.study AND u.group_title = a.title GROUP BY ALL) g""",
+    ALL,
+)
+def stratify_by_arm_role(data: Data) -> DataFrame:
+    arms = data.view("p_arms").select("nct_id", F.col("title").alias("arm_title"), results.folded_type(F.col("group_type")).alias("arm_type"))
+    roles = results.arm_role(arms, arms.select("nct_id", "arm_title", F.lit("active").alias("kind")).limit(0))
+    return _rounded(reports.stratified_by_role(dispersion(data), roles), "median", "q1", "q3", "low", "high")
+
+
+@query(
+    """SELECT nct_id, group_title, class_title, coalesce(n, g) AS n, CASE WHEN n IS NOT NULL THEN 'measurement' WHEN g IS NOT NULL THEN 'group' END AS n_source
+    FROM p_measurements m LEFT JOIN (SELECT nct_id AS o, group_title AS k, max(n) AS g FROM p_measurements GROUP BY 1, 2) x ON m.nct_id = x.o AND m.group_title = x.k"""
+)
+def arm_denominators(data: Data) -> DataFrame:
+    """Rows without a count of their own take their group's."""
+    rows = data.view("p_measurements").withColumns({"outcome_id": F.col("nct_id"), "group_key": F.col("group_title")})
+    out = results.with_denominators(rows, rows.select("outcome_id", "group_key", "n"))
+    return out.select("nct_id", "group_title", "class_title", "n", "n_source")
+
+
 _SIMPLE = {
-    "sd_by_unit": ("SELECT unit_id, count(*) AS n, round(quantile_cont(sd, 0.5), 6) AS median FROM o_usable GROUP BY unit_id", lambda x: reports.usable_sds(x).groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("sd", 0.5), 6).alias("median"))),
+    "sd_by_unit": ("SELECT unit_id, count(*) AS n, round(quantile_cont(sd, 0.5), 6) AS median FROM o_usable GROUP BY unit_id", lambda x: sd_medians(reports.usable_sds(x))),
     "sd_method_mix": ("SELECT form_id, sd_method, count(*) AS n FROM o_usable GROUP BY ALL", lambda x: reports.usable_sds(x).groupBy("form_id", "sd_method").agg(F.count(F.lit(1)).alias("n"))),
     "dense_endpoints": ("SELECT measurement_id, form_id, count(DISTINCT nct_id) AS studies, count(*) AS n FROM o_usable GROUP BY ALL HAVING count(*) >= 10", lambda x: reports.usable_sds(x).groupBy("measurement_id", "form_id").agg(F.count_distinct("nct_id").alias("studies"), F.count(F.lit(1)).alias("n")).where("n >= 10")),
 }

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import month_date, strict
+from ..functions.numbers import month_date, p_modifier, p_number, strict
 from ..functions.text import content_id, key
 
 _GROUP_VALUE = "array<struct<groupId: string, value: string>>"
 _DENOMS = f"array<struct<units: string, counts: {_GROUP_VALUE}>>"
 _MEASUREMENTS = "array<struct<groupId: string, value: string, spread: string, lowerLimit: string, upperLimit: string, comment: string>>"
 _CLASSES = f"array<struct<title: string, denoms: {_DENOMS}, categories: array<struct<title: string, measurements: {_MEASUREMENTS}>>>>"
+_ANALYSES = (
+    "array<struct<groupIds: array<string>, groupDescription: string, paramType: string, paramValue: string, dispersionType: string, dispersionValue: string, pValue: string, pValueComment: string, ciPctValue: string, "
+    "ciNumSides: string, ciLowerLimit: string, ciUpperLimit: string, statisticalMethod: string, statisticalComment: string, nonInferiority: boolean, nonInferiorityType: string, nonInferiorityComment: string, estimateComment: string>>"
+)
 _OUTCOMES = "array<struct<measure: string, timeFrame: string, description: string>>"
 _MESH = "struct<meshes: array<struct<id: string, term: string>>, ancestors: array<struct<id: string, term: string>>, browseBranches: array<struct<abbrev: string, name: string>>>"
 #: The part of a study record that the tables below read; never inferred.
@@ -28,7 +32,9 @@ STUDY = f"""struct<
   outcomesModule: struct<primaryOutcomes: {_OUTCOMES}, secondaryOutcomes: {_OUTCOMES}, otherOutcomes: {_OUTCOMES}>>,
  derivedSection: struct<conditionBrowseModule: {_MESH}, interventionBrowseModule: {_MESH}>,
  resultsSection: struct<outcomeMeasuresModule: struct<outcomeMeasures: array<struct<type: string, title: string, description: string, timeFrame: string, paramType: string, dispersionType: string,
-   unitOfMeasure: string, groups: array<struct<id: string, title: string, description: string>>, denoms: {_DENOMS}, classes: {_CLASSES}>>>>,
+   unitOfMeasure: string, groups: array<struct<id: string, title: string, description: string>>, denoms: {_DENOMS}, classes: {_CLASSES}, analyses: {_ANALYSES}>>>,
+  baselineCharacteristicsModule: struct<groups: array<struct<id: string, title: string>>, denoms: {_DENOMS}, measures: array<struct<title: string, description: string, populationDescription: string,
+   paramType: string, dispersionType: string, unitOfMeasure: string, denoms: {_DENOMS}, classes: {_CLASSES}>>>>,
  hasResults: boolean>""".replace("\n", "")
 PAGE = f"struct<studies: array<{STUDY}>, nextPageToken: string>"
 ID = "study.protocolSection.identificationModule.nctId"
@@ -152,3 +158,43 @@ def flatten_measurements(studies: DataFrame) -> DataFrame:
         F.col("m.spread").alias("dispersion_value"), strict(F.col("m.spread")).alias("dispersion_value_num"), strict(F.col("m.lowerLimit")).alias("dispersion_lower_limit"),
         strict(F.col("m.upperLimit")).alias("dispersion_upper_limit"), F.try_element_at("d.n", F.col("m.groupId")).alias("n"), F.col("m.comment").alias("comment"),
     )
+
+
+def non_inferiority(flag: Column, kind: Column) -> Column:
+    """The stated flag, else whether the type of test is one of non-inferiority or equivalence; null without both."""
+    k = F.lower(kind)
+    typed = F.when(kind.isNotNull(), k.contains("non-inferiority") | k.contains("noninferiority") | k.contains("non_inferiority") | k.contains("equivalence"))
+    return F.coalesce(flag, typed)
+
+
+def flatten_analyses(studies: DataFrame) -> DataFrame:
+    """Statistical analyses of reported outcomes: their p-values split, limits as numbers, the compared groups as a JSON array."""
+    rows = reported_outcomes(studies).select("outcome_id", "nct_id", F.posexplode("x.analyses").alias("ordinal", "a"))
+    p = F.col("a.pValue")
+    return rows.select(
+        content_id(F.col("outcome_id"), F.col("ordinal")).alias("analysis_id"), "outcome_id", "nct_id", "ordinal", F.to_json(F.coalesce("a.groupIds", F.array().cast("array<string>"))).alias("group_keys"),
+        F.col("a.groupDescription").alias("group_description"), F.col("a.paramType").alias("param_type"), F.col("a.paramValue").alias("param_value"), strict(F.col("a.paramValue")).alias("param_value_num"),
+        F.col("a.dispersionType").alias("dispersion_type"), F.col("a.dispersionValue").alias("dispersion_value"), strict(F.col("a.dispersionValue")).alias("dispersion_value_num"),
+        p.alias("p_value"), p_number(p).alias("p_value_num"), p_modifier(p).alias("p_value_modifier"), F.col("a.pValueComment").alias("p_value_description"), strict(F.col("a.ciPctValue")).alias("ci_percent"),
+        F.col("a.ciNumSides").alias("ci_n_sides"), strict(F.col("a.ciLowerLimit")).alias("ci_lower_limit"), strict(F.col("a.ciUpperLimit")).alias("ci_upper_limit"), F.col("a.statisticalMethod").alias("method"),
+        F.col("a.statisticalComment").alias("method_description"), non_inferiority(F.col("a.nonInferiority"), F.col("a.nonInferiorityType")).alias("non_inferiority"), F.col("a.nonInferiorityType").alias("non_inferiority_type"),
+        F.col("a.nonInferiorityComment").alias("non_inferiority_description"), F.col("a.estimateComment").alias("estimate_description"),
+    )
+
+
+def flatten_baseline(studies: DataFrame) -> DataFrame:
+    """Baseline measurements; n is the first count that is not zero of the class', the measure's and the module's denominators."""
+    m = "study.resultsSection.baselineCharacteristicsModule"
+    titles = F.map_from_entries(F.transform(f"{m}.groups", lambda g: F.struct(g["id"].alias("k"), g["title"].alias("v"))))
+    rows = studies.select(F.col(ID).alias("nct_id"), titles.alias("titles"), denominator(F.col(f"{m}.denoms")).alias("d3"), F.posexplode(f"{m}.measures").alias("ordinal", "x"))
+    rows = rows.withColumn("d2", denominator(F.col("x.denoms"))).select("*", F.explode("x.classes").alias("c")).withColumn("d1", denominator(F.col("c.denoms")))
+    rows = rows.select("*", F.explode("c.categories").alias("k")).select("*", F.explode("k.measurements").alias("v"))
+    group = F.col("v.groupId")
+    count = F.coalesce(*(F.nullif(F.try_element_at(f"{d}.n", group), F.lit(0)) for d in ("d1", "d2")), F.try_element_at("d3.n", group))
+    return rows.select(
+        content_id(F.col("nct_id"), F.col("x.title"), F.col("x.unitOfMeasure")).alias("baseline_id"), "nct_id", group.alias("group_key"), "ordinal", F.col("x.title").alias("title"), F.col("x.description").alias("description"),
+        F.col("x.populationDescription").alias("population"), F.col("c.title").alias("class_title"), F.col("k.title").alias("category_title"), F.col("x.unitOfMeasure").alias("unit_of_measure"), F.col("x.paramType").alias("param_type"),
+        F.col("v.value").alias("param_value"), strict(F.col("v.value")).alias("param_value_num"), F.col("x.dispersionType").alias("dispersion_type"), F.col("v.spread").alias("dispersion_value"),
+        strict(F.col("v.spread")).alias("dispersion_value_num"), strict(F.col("v.lowerLimit")).alias("dispersion_lower_limit"), strict(F.col("v.upperLimit")).alias("dispersion_upper_limit"), count.alias("n"),
+        F.try_element_at("titles", group).alias("group_title"),
+    )
