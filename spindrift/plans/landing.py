@@ -87,14 +87,10 @@ def records(data: Data) -> DataFrame:
 
 
 def own_records(data: Data) -> DataFrame:
-    """The studies' own records; of those with outcomes, as the SQL of the queries has it."""
-    return records(data).where("kind = 'study'").withColumn("nct_id", F.col(r.ID)).join(data.view("p_outcomes").select("nct_id").distinct(), "nct_id", "left_semi").select("study")
+    return records(data).where("kind = 'study'").select("study")
 
 
-_WITH = "nct_id IN (SELECT nct_id FROM p_outcomes)"
-
-
-@query(f"SELECT nct_id, coalesce(phase, '') AS phase, CAST(date_trunc('month', start_date) AS VARCHAR) AS start_date, allocation FROM p_studies WHERE {_WITH}".replace("CAST(date_trunc('month', start_date) AS VARCHAR)", "strftime(start_date, '%Y-%m-01')"))
+@query("SELECT nct_id, coalesce(phase, '') AS phase, CAST(date_trunc('month', start_date) AS VARCHAR) AS start_date, allocation FROM p_studies".replace("CAST(date_trunc('month', start_date) AS VARCHAR)", "strftime(start_date, '%Y-%m-01')"))
 def flatten_studies(data: Data) -> DataFrame:
     out = r.flatten_studies(own_records(data))
     return out.select("nct_id", F.coalesce("phase", F.lit("")).alias("phase"), F.col("start_date").cast("string").alias("start_date"), "allocation")
@@ -125,11 +121,83 @@ def flatten_arm_links(data: Data) -> DataFrame:
     return r.flatten_arm_links(records(data)).groupBy("nct_id", "group_title", "link_method").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT nct_id, organization AS name FROM p_studies WHERE {_WITH}")
+@query("SELECT nct_id, organization AS name FROM p_studies")
 def flatten_conditions(data: Data) -> DataFrame:
     return r.flatten_conditions(own_records(data))
 
 
+LINES = "SELECT 'NCT' || lpad(CAST(l_orderkey AS VARCHAR(20)), 8, '0') AS nct_id, CAST(l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS VARCHAR(20)) AS line, CAST(l_linenumber AS INT) AS n, CAST(CAST(l_quantity AS INT) AS VARCHAR(9)) AS q, p_type, p_brand FROM (SELECT l_orderkey, l_linenumber, l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey) x JOIN part ON l_partkey = p_partkey"
+RESULTS = {"q_lines": LINES}
+
+
+def result_records(data: Data) -> DataFrame:
+    """Study records with reported outcomes and baseline characteristics, one of each for every line, read back from JSON text."""
+    lit, col = F.lit, F.col
+    count = lambda group, value: F.struct(lit(group).alias("groupId"), value.alias("value"))
+    denoms = lambda a, b: F.array(F.struct(lit("eyes").alias("units"), F.array(count("G0", lit("3"))).alias("counts")), F.struct(lit("Participants").alias("units"), F.array(count("G0", a), count("G1", b)).alias("counts")))
+    value = lambda group, v, spread: F.struct(lit(group).alias("groupId"), v.alias("value"), spread.alias("spread"))
+    categories = F.array(F.struct(lit("all").alias("title"), F.array(value("G0", col("q"), lit("1.5")), value("G1", lit("NA"), lit("NA"))).alias("measurements")))
+    analysis = F.struct(
+        F.array(lit("G1"), lit("G0")).alias("groupIds"), lit("Mean Difference").alias("paramType"), col("q").alias("paramValue"), F.concat(F.when(col("n") % 2 == 0, "<").otherwise(""), lit("0.0"), col("n").cast("string")).alias("pValue"),
+        lit("95").alias("ciPctValue"), F.when(col("n") == 2, "NON_INFERIORITY").when(col("n") == 4, "Superiority").alias("nonInferiorityType"),
+    )
+    groups = lambda *names: F.array(*(F.struct(lit(f"G{k}").alias("id"), lit(x).alias("title")) for k, x in enumerate(names)))
+    outcome = F.struct(
+        F.when(col("n") == 1, "PRIMARY").otherwise("SECONDARY").alias("type"), F.concat(lit("Outcome "), col("line")).alias("title"), lit("Week 4").alias("timeFrame"), lit("MEAN").alias("paramType"), col("p_brand").alias("unitOfMeasure"),
+        groups("Arm A", "Arm N").alias("groups"), denoms(col("q"), lit("1,204")).alias("denoms"), F.array(F.struct(col("p_type").alias("title"), denoms(col("q"), lit("7")).alias("denoms"), categories.alias("categories"))).alias("classes"),
+        F.when(col("n") <= 4, F.array(analysis)).alias("analyses"),
+    )
+    measure = F.struct(
+        F.concat(lit("Characteristic "), col("line")).alias("title"), lit("years").alias("unitOfMeasure"), denoms(col("q"), F.when(col("n") % 3 == 0, "0").otherwise("5")).alias("denoms"),
+        F.array(F.struct(lit(None).cast("string").alias("title"), denoms(F.when(col("n") % 2 == 0, "0").otherwise("11"), lit("0")).alias("denoms"), categories.alias("categories"))).alias("classes"),
+    )
+    rows = data.sql(LINES).withColumn("x", F.struct(outcome.alias("o"), measure.alias("m"))).select("nct_id", "x")
+    lists = paged(rows).groupBy("nct_id", "page").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    results = F.struct(
+        F.struct(F.transform("x", lambda y: y["o"]).alias("outcomeMeasures")).alias("outcomeMeasuresModule"),
+        F.struct(groups("Arm A", "Arm N").alias("groups"), denoms(lit("100"), lit("200")).alias("denoms"), F.transform("x", lambda y: y["m"]).alias("measures")).alias("baselineCharacteristicsModule"),
+    )
+    section = F.struct(F.struct(col("nct_id").alias("nctId")).alias("identificationModule"))
+    made = lists.select(F.to_json(F.struct(section.alias("protocolSection"), results.alias("resultsSection"))).alias("j"))
+    return made.select(F.from_json("j", r.STUDY).alias("study"))
+
+
+_OUTCOME_ID = "md5(nct_id || '|' || CASE n WHEN 1 THEN 'PRIMARY' ELSE 'SECONDARY' END || '|Outcome ' || line || '|Week 4|0')"
+
+
+@query(f"SELECT {_OUTCOME_ID} AS outcome_id, nct_id, CASE n WHEN 1 THEN 'PRIMARY' ELSE 'SECONDARY' END AS outcome_type, 'Outcome ' || line AS title, p_brand AS unit_of_measure FROM q_lines", RESULTS)
+def flatten_reported_outcomes(data: Data) -> DataFrame:
+    return r.flatten_reported_outcomes(result_records(data)).select("outcome_id", "nct_id", "outcome_type", "title", "unit_of_measure")
+
+
+@query(f"SELECT {_OUTCOME_ID} AS outcome_id, 'G0' AS group_key, 'Arm A' AS title, CAST(q AS INT) AS n, 'Participants' AS n_units FROM q_lines UNION ALL SELECT {_OUTCOME_ID}, 'G1', 'Arm N', 1204, 'Participants' FROM q_lines", RESULTS)
+def flatten_outcome_groups(data: Data) -> DataFrame:
+    return r.flatten_outcome_groups(result_records(data)).select("outcome_id", "group_key", "title", "n", "n_units")
+
+
+@query(f"SELECT {_OUTCOME_ID} AS outcome_id, 'G0' AS group_key, p_type AS class_title, q AS param_value, CAST(q AS DOUBLE) AS param_value_num, 1.5e0 AS dispersion_value_num, CAST(q AS INT) AS n FROM q_lines UNION ALL SELECT {_OUTCOME_ID}, 'G1', p_type, 'NA', NULL, NULL, 7 FROM q_lines", RESULTS)
+def flatten_measurements(data: Data) -> DataFrame:
+    return r.flatten_measurements(result_records(data)).select("outcome_id", "group_key", "class_title", "param_value", "param_value_num", "dispersion_value_num", "n")
+
+
+@query(
+    f"""SELECT md5({_OUTCOME_ID} || '|0') AS analysis_id, {_OUTCOME_ID} AS outcome_id, '["G1","G0"]' AS group_keys, CAST(q AS DOUBLE) AS param_value_num, CASE WHEN n % 2 = 0 THEN '<' ELSE '' END || '0.0' || CAST(n AS VARCHAR) AS p_value, CAST(n AS DOUBLE) / 100 AS p_value_num,
+    CASE WHEN n % 2 = 0 THEN '<' END AS p_value_modifier, 95.0e0 AS ci_percent, CASE n WHEN 2 THEN TRUE WHEN 4 THEN FALSE END AS non_inferiority FROM q_lines WHERE n <= 4""",
+    RESULTS,
+)
+def flatten_analyses(data: Data) -> DataFrame:
+    return r.flatten_analyses(result_records(data)).select("analysis_id", "outcome_id", "group_keys", "param_value_num", "p_value", "p_value_num", "p_value_modifier", "ci_percent", "non_inferiority")
+
+
+@query(
+    """SELECT md5(nct_id || '|Characteristic ' || line || '|years') AS baseline_id, 'G0' AS group_key, 'Arm A' AS group_title, CAST(q AS DOUBLE) AS param_value_num, CASE WHEN n % 2 = 1 THEN 11 ELSE CAST(q AS INT) END AS n FROM q_lines
+    UNION ALL SELECT md5(nct_id || '|Characteristic ' || line || '|years'), 'G1', 'Arm N', NULL, CASE WHEN n % 3 = 0 THEN 200 ELSE 5 END FROM q_lines""",
+    RESULTS,
+)
+def flatten_baseline(data: Data) -> DataFrame:
+    return r.flatten_baseline(result_records(data)).select("baseline_id", "group_key", "group_title", "param_value_num", "n")
+
+
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_field(data: Data) -> DataFrame:
     rows = data.table("events").select("event_type", F.from_json("props", "k int")["k"].alias("k"))

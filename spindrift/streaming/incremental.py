@@ -2,41 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import registry_json as r
-from ..sources.tables import replace_children, upsert_rows
+
+#: Into how many buckets (by a hash of the study's id) the tables are cut; a batch rewrites those that its studies lie in.
+BUCKETS = 64
+
+
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("nct_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def last_records(arrived: DataFrame) -> DataFrame:
+    """study: of each study the record that arrived last, by its file's time and name and its place in the page.
+
+    arrived: studies, arrived_at (anything that rises with the arrival of pages).
+    """
+    each = arrived.select(F.col("arrived_at").alias("at"), F.posexplode("studies").alias("place", "study")).where(F.col(r.ID).isNotNull())
+    return each.groupBy(F.col(r.ID).alias("nct_id")).agg(F.max_by("study", F.struct("at", "place")).alias("study")).select("study")
 
 
 def land(spark: SparkSession, folder: str, target: str, checkpoint: str) -> None:
-    """Process what has arrived since the last call. ``target`` holds numbered versions of ``studies`` and ``outcomes``."""
+    """Process what has arrived since the last call. ``target`` holds ``studies`` and ``outcomes``, in folders by version and bucket."""
     pages = spark.readStream.schema(r.page_schema()).option("multiLine", True).json(folder)
+    came = pages.select("studies", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("arrived_at"))
 
     def batch(arrived: DataFrame, number: int) -> None:
-        studies = r.studies_of(arrived)
-        flat, outcomes = r.flatten_studies(studies), r.flatten_planned_outcomes(studies)
-        if number > 0:
-            old = latest(spark, target, number)
-            touched = flat.select("nct_id")
-            flat = upsert_rows(old["studies"], flat, ["nct_id"], ["start_date", "brief_title"])
-            outcomes = replace_children(old["outcomes"], touched, outcomes, ["nct_id"])
-        else:
-            flat = flat.dropDuplicates(["nct_id"])
-        # A repeated batch writes the same version again.
-        flat.write.mode("overwrite").parquet(f"{target}/studies/v={number:08d}")
-        outcomes.write.mode("overwrite").parquet(f"{target}/outcomes/v={number:08d}")
-
-    pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def latest(spark: SparkSession, target: str, before: int | None = None) -> dict[str, DataFrame]:
-    """The newest version (below ``before``) of both tables."""
-    out = {}
-    for name in ("studies", "outcomes"):
-        versions = spark.read.parquet(f"{target}/{name}")
-        if before is not None:
-            versions = versions.where(F.col("v") < before)
-        newest = versions.agg(F.max("v")).first()[0]
-        out[name] = spark.read.parquet(f"{target}/{name}/v={int(newest):08d}")
-    return out
+        path = f"{target}/arrived/v={number:08d}"
+        last_records(arrived).write.mode("overwrite").parquet(path)  # read three times below
+        studies = spark.read.parquet(path)
+        new = {"studies": r.flatten_studies(studies), "outcomes": r.flatten_planned_outcomes(studies)}
+        touched = new["studies"].select("nct_id").distinct()
+        buckets = sorted(x["bucket"] for x in touched.select(bucket()).distinct().collect())  # at most BUCKETS numbers
+        for name, rows in new.items():
+            rows = rows.withColumn("bucket", bucket())
+            old = newest(spark, target, name, number)
+            if old is not None:
+                kept = old.where(F.col("bucket").isin(buckets)).join(touched, "nct_id", "left_anti")
+                rows = rows.unionByName(kept.select(rows.columns))
+            # A repeated batch writes the same version again.
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/{name}/v={number:08d}")
+
+    came.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def newest(spark: SparkSession, target: str, name: str, before: int | None = None) -> DataFrame | None:
+    """A table's rows: of each bucket its newest version (below ``before``); None where there is none yet."""
+    if before == 0:
+        return None
+    versions = spark.read.parquet(f"{target}/{name}")
+    if before is not None:
+        versions = versions.where(F.col("v") < before)
+    last = versions.groupBy("bucket").agg(F.max("v").alias("v"))  # BUCKETS rows
+    return versions.join(F.broadcast(last), ["bucket", "v"]).drop("v")
+
+
+def latest(spark: SparkSession, target: str) -> dict[str, DataFrame]:
+    """The newest version of both tables."""
+    return {name: newest(spark, target, name).drop("bucket") for name in ("studies", "outcomes")}
