@@ -64,3 +64,25 @@ def test_margins(spark):
     rows = spark.createDataFrame([("s", *t) for t in texts], "nct_id string, analysis_id int, non_inferiority string, ni_description string")
     got = {r["analysis_id"]: (r["margin"], r["margin_unit"]) for r in reports.ni_margins(rows).collect()}
     assert got == {1: (-0.1, "L"), 2: (10.0, "%"), 3: (None, None), 4: (None, None), 6: (None, None), 7: (5.0, None)}
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    from spindrift.operators import reports
+
+    monkeypatch.setattr(reports, "RANGES", 8)
+    r = np.random.RandomState(5)
+    rows = [("a", None, float(x)) for x in r.randn(997)] + [("b", "u", float(x)) for x in r.randint(0, 3, 400)] + [("c", None, 1.5), (None, None, 2.0), (None, None, 4.0), ("a", None, None), ("d", None, None)]
+    df = spark.createDataFrame(rows, "g string, h string, v double").repartition(3)
+    at = {"median": 0.5, "q1": 0.25, "q3": 0.75, "least": 0.0, "most": 1.0}
+    found = {(x["_k"]["g"], x["_k"]["h"]): x for x in reports.quantiles(df, ["g", "h"], "v", at).collect()}
+    want: dict = {}
+    for g, h, x in rows:
+        if x is not None:
+            want.setdefault((g, h), []).append(x)
+    assert set(found) == set(want)
+    for k, values in want.items():
+        for name, p in at.items():
+            assert abs(found[k][name] - np.quantile(values, p)) < 1e-9, (k, name)
+    assert reports.quantiles(df.limit(0), ["g"], "v", at).count() == 0

@@ -74,6 +74,22 @@ def test_arriving_pages_refresh_studies(spark, tmp_path):
     assert sorted((x["nct_id"], x["measure"]) for x in now["outcomes"].collect()) == [("N1", "m4"), ("N2", "m3")]
 
 
+def test_of_a_study_that_comes_twice_the_last_record_counts(spark, tmp_path):
+    folder, target, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "state"
+    folder.mkdir()
+    pages(folder, "1.json", study("N1", "first", ["m1", "m2"]), study("N2", "two", ["m3"]), study("N1", "last", ["m9"]))
+    incremental.land(spark, str(folder), str(target), str(checkpoint))
+    now = incremental.latest(spark, str(target))
+    assert sorted((x["nct_id"], x["brief_title"]) for x in now["studies"].collect()) == [("N1", "last"), ("N2", "two")]
+    assert sorted((x["nct_id"], x["measure"]) for x in now["outcomes"].collect()) == [("N1", "m9"), ("N2", "m3")]
+    # A later page with a smaller title and an older start still replaces it, and only its bucket is written.
+    pages(folder, "2.json", study("N1", "a", ["m4"]))
+    incremental.land(spark, str(folder), str(target), str(checkpoint))
+    now = incremental.latest(spark, str(target))
+    assert sorted((x["nct_id"], x["brief_title"]) for x in now["studies"].collect()) == [("N1", "a"), ("N2", "two")]
+    assert len(list((target / "studies" / "v=00000001").glob("bucket=*"))) == 1
+
+
 def test_a_study_of_many_lines_keeps_all_outcomes(spark, tmp_path, monkeypatch):
     folder = "/root/testdata/sf0.001"
     for name in set(TABLES) - {"lineitem"}:

@@ -75,3 +75,38 @@ def test_scope(spark):
     known = spark.createDataFrame([("a",), ("b",)], "ta_id string")
     assert scope.split_ids("a, b ,") == ["a", "b"]
     assert [r["ta_id"] for r in scope.unknown_ids(["a", "z"], known, "ta_id").collect()] == ["z"]
+
+
+def test_id_ranges_cover_each_study_once():
+    from spindrift.sources import registry_relational as rel
+
+    ranges = rel.id_ranges(5, 23, 4)
+    inside = lambda k, cond: eval(cond.replace("nct_id", repr(f"NCT{k:08d}")).replace("AND", "and"))  # noqa: E731, S307
+    assert all(sum(inside(k, c) for c in ranges) == (5 <= k <= 23) for k in range(0, 30))
+
+
+def test_relational_columns_may_be_absent(spark):
+    from spindrift.sources import registry_relational as rel
+
+    outcomes = spark.createDataFrame([(2, "N1", "Primary", "t", None), (1, "N1", "PRIMARY", "t", None), (3, "N1", "Primary", None, "w")], "id long, nct_id string, outcome_type string, title string, time_frame string")
+    keys = rel.outcome_keys(outcomes)
+    rows = {r["source_id"]: r for r in keys.collect()}
+    assert (rows[1]["duplicate_ordinal"], rows[2]["duplicate_ordinal"], rows[3]["ordinal"], rows[3]["units_analyzed"]) == (0, 1, 2, None)
+    assert len({r["outcome_id"] for r in rows.values()}) == 3
+    mesh = spark.createDataFrame([("A ", "C01"), ("a", "C01"), (None, "C02"), ("b", None)], "name string, tree string")
+    assert [tuple(r) for r in rel.mesh_tree_terms(mesh).select("mesh_term_normalised", "tree_number").collect()] == [("a", "C01")]
+    p = spark.createDataFrame([("<", "0.05"), ("=", "0.2"), (None, "0.3"), ("<", None), (None, None), ("", "x")], "m string, v string")
+    parts = [tuple(r) for r in p.select(*(c.alias(f"c{k}") for k, c in enumerate(rel.p_value_parts(F.col("m"), F.col("v"))))).collect()]
+    assert parts == [("<0.05", 0.05, "<"), ("0.2", 0.2, "="), ("0.3", 0.3, "="), (None, None, "<"), (None, None, None), ("x", None, "=")]
+
+
+def test_classes_of_interventions(spark):
+    from spindrift.plans import classes as c
+
+    make = spark.createDataFrame
+    rules = make(c.CLASS_RULES, "layer string, key string, class_id string, ordinal int")
+    kinds = make(c.CLASSES, "id string, kind string, parent_id string, precedence int").selectExpr("id as class_id", "kind")
+    items = make([("S", 1, "Large  Bolt", "Promo"), ("S", 2, "nut widget", None), ("S", 3, "unknown", "ECONOMY"), ("S", 4, None, None), ("S", 5, "x", None)], "nct_id string, ordinal int, name string, intervention_type string")
+    names = make([("S", 5, "BRAND#11"), ("S", 5, "nut"), ("S", 4, " ")], "nct_id string, ordinal int, other_name string")
+    found = {(r["ordinal"], r["class_id"], r["layer"]) for r in axes.match_interventions(items, names, rules, kinds).collect()}
+    assert found == {(1, "statin", "agent_name"), (1, "enzyme", "agent_name"), (1, "device", "name_pattern"), (2, "placebo", "control_rule"), (3, "device", "modality_rule"), (5, "statin", "agent_name")}

@@ -11,7 +11,11 @@ from spindrift.plans import ORACLES, QUERIES
 from spindrift.plans.projections import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["sd_distribution", "estimate_sd", "resolve_unit", "analysis_distribution", "ni_margins", "tag_synonyms", "pick_longest", "semantic_fallback", "link_reported_to_planned", "link_group_to_arm", "classify_intervention", "scope_filter", "upsert_rows", "flatten_planned_outcomes", "form_pairs_across_studies"]
+SOME = [
+    "sd_distribution", "stratify_by_arm_role", "estimate_sd", "resolve_unit", "analysis_distribution", "ni_margins", "tag_synonyms", "pick_longest", "semantic_fallback", "link_reported_to_planned", "link_group_to_arm", "classify_intervention", "scope_filter", "upsert_rows",
+    "flatten_planned_outcomes", "flatten_analyses", "flatten_baseline", "form_pairs_across_studies", "conform_outcomes", "disambiguate_timepoint", "derive_direction", "conform_results", "resolve_drug_classes", "resolve_therapeutic_area", "relational_outcome_groups", "relational_analyses",
+    "audit_hierarchy", "audit_cascade", "document_variants", "render_parameterised_text", "registered_not_reported",
+]
 
 
 def plain(rows):
