@@ -191,17 +191,17 @@ def resolve_areas(studies: DataFrame, conditions: DataFrame, interventions: Data
 
     conditions: nct_id, mesh_term, tree_number (null where unknown); interventions: nct_id, mesh_term; branches: nct_id,
     branch_abbrev, branch_name; rules: layer, key, ta_id, ordinal. A condition's first answer counts: an exact override,
-    the longest tree prefix, the first pattern. Without any match the default tells whether there were conditions.
+    the longest tree prefix (of several tree numbers' the longest, then the smallest area), the first pattern. Without any match the default tells whether there were conditions.
     """
     plain = lambda c: F.lower(stripped(collapsed(F.col(c))))
     classed = rules.withColumnRenamed("ta_id", "class_id")
     prefixes = rules.where("layer = 'tree_prefix'").select(F.col("key").alias("prefix"), "ta_id")
     c = conditions.select("nct_id", plain("mesh_term").alias("text"), "tree_number").distinct()
     by_text = string_hits(c.select("text"), classed, ["term_override"], ["term_pattern"]).groupBy("text", "layer").agg(F.min_by("class_id", F.struct("rule_rank", "class_id")).alias("ta_id"))
-    trees = match_longest_prefix(c.where("tree_number is not null"), prefixes).select("tree_number", "ta_id")
-    by_tree = c.join(trees, "tree_number").select("nct_id", "text", F.lit("tree_prefix").alias("layer"), "ta_id")
-    each = c.join(by_text, "text").select("nct_id", "text", "layer", "ta_id").unionByName(by_tree).withColumn("layer_rank", rank_of(AREA_LAYERS))
-    by_condition = each.groupBy("nct_id", "text").agg(F.min(F.struct("layer_rank", "layer", "ta_id")).alias("b")).select("nct_id", "text", "b.*")
+    trees = match_longest_prefix(c.where("tree_number is not null"), prefixes)
+    by_tree = c.join(trees, "tree_number").select("nct_id", "text", F.lit("tree_prefix").alias("layer"), "ta_id", (-F.length("prefix")).alias("short"))
+    each = c.join(by_text, "text").select("nct_id", "text", "layer", "ta_id", F.lit(0).alias("short")).unionByName(by_tree).withColumn("layer_rank", rank_of(AREA_LAYERS))
+    by_condition = each.groupBy("nct_id", "text").agg(F.min(F.struct("layer_rank", "short", "ta_id", "layer")).alias("b")).select("nct_id", "text", "b.layer", "b.ta_id")
     b = branches.select("nct_id", branch_to_prefix(F.col("branch_abbrev")).alias("tree_number"), F.coalesce("branch_name", "branch_abbrev").alias("text")).where("tree_number is not null").distinct()
     by_branch = b.join(match_longest_prefix(b, prefixes).select("tree_number", "ta_id"), "tree_number").select("nct_id", "text", F.lit("tree_prefix").alias("layer"), "ta_id")
     i = interventions.select("nct_id", plain("mesh_term").alias("text")).distinct()

@@ -92,7 +92,7 @@ ORACLE = {
     "x_study": f"""{ONCE} SELECT r.*, row_number() OVER (PARTITION BY r.nct_id ORDER BY k.precedence NULLS LAST, coalesce(n, 0) DESC, r.class_id) = 1 AS is_primary FROM x_rows r LEFT JOIN x_classes k ON k.id = r.class_id
       LEFT JOIN (SELECT nct_id, class_id, count(DISTINCT item) AS n FROM x_int GROUP BY 1, 2) c ON c.nct_id = r.nct_id AND c.class_id = r.class_id""",
     "x_a_rules": _values(AREA_RULES, "layer, key, ta_id, ordinal"), "x_areas": _values(AREAS, "id, parent_id, precedence"),
-    "x_cond": f"""SELECT c.nct_id, c.text, arg_min(h.ta_id, (lr, h.ordinal)) AS ta_id, arg_min(h.layer, (lr, h.ordinal)) AS layer FROM (SELECT DISTINCT nct_id, lower(mesh_term) AS text, tree_number FROM d_x_conditions) c JOIN (SELECT *, CASE layer {_AREA_RANK} END * 100 - CASE WHEN layer = 'tree_prefix' THEN length(key) ELSE 0 END AS lr FROM x_a_rules) h
+    "x_cond": f"""SELECT c.nct_id, c.text, arg_min(h.ta_id, (lr, h.ordinal, h.ta_id)) AS ta_id, arg_min(h.layer, (lr, h.ordinal, h.ta_id)) AS layer FROM (SELECT DISTINCT nct_id, lower(mesh_term) AS text, tree_number FROM d_x_conditions) c JOIN (SELECT *, CASE layer {_AREA_RANK} END * 100 - CASE WHEN layer = 'tree_prefix' THEN length(key) ELSE 0 END AS lr FROM x_a_rules) h
       ON h.layer = 'term_override' AND h.key = c.text OR h.layer = 'tree_prefix' AND (c.tree_number = h.key OR starts_with(c.tree_number, h.key || '.')) OR h.layer = 'term_pattern' AND regexp_matches(c.text, h.key, 'i') GROUP BY c.nct_id, c.text""",
     "x_a_hits": """SELECT nct_id, text, layer, ta_id, TRUE AS backs FROM x_cond UNION ALL SELECT DISTINCT nct_id, branch_name, 'tree_prefix', CASE branch_abbrev WHEN 'BC04' THEN 'oncology' ELSE 'respiratory' END, TRUE FROM d_x_branches WHERE branch_abbrev IN ('BC04', 'BC08')
       UNION ALL SELECT nct_id, lower(mesh_term), 'intervention_rule', 'metabolic', FALSE FROM d_x_mesh WHERE regexp_matches(mesh_term, 'gizmo|rod', 'i')""",

@@ -23,7 +23,7 @@ REPORTS: dict[str, str] = {
     "queue_reasons": "SELECT reason, count(*) AS n, count(DISTINCT nct_id) AS studies FROM e_queue WHERE status = 'pending' GROUP BY reason",
     "method_mix": "SELECT match_method, count(*) AS n, round(avg(confidence), 6) AS confidence FROM e_endpoints GROUP BY match_method",
     "near_misses": "SELECT near_miss, count(*) AS n, round(max(near_score), 6) AS best FROM e_queue WHERE near_miss IS NOT NULL GROUP BY near_miss",
-    "queue_would_join": "SELECT q.near_miss, count(*) AS n, count(DISTINCT q.nct_id) AS studies FROM e_queue q JOIN (SELECT DISTINCT measurement_id FROM e_endpoints) m ON q.near_miss = m.measurement_id WHERE near_score >= 0.3e0 GROUP BY q.near_miss",
+    "queue_would_join": "SELECT q.near_miss, count(*) AS n, count(DISTINCT q.nct_id) AS studies FROM e_queue q JOIN (SELECT DISTINCT measurement_id FROM e_endpoints) m ON q.near_miss = m.measurement_id WHERE near_score >= 0.2e0 GROUP BY q.near_miss",
     "form_breakdown": "SELECT form_id, count(*) AS n, count(DISTINCT nct_id) AS studies FROM e_endpoints GROUP BY form_id",
     "top_measurements": "SELECT measurement_id, count(*) AS n FROM e_endpoints GROUP BY measurement_id ORDER BY n DESC, measurement_id LIMIT 5",
     "direction_check": "SELECT form_id, direction_id, count(*) AS n FROM e_endpoints GROUP BY form_id, direction_id",
