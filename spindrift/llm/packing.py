@@ -69,16 +69,24 @@ class Tokens(NamedTuple):
 _NO_LINES = np.empty(0, np.int64)
 
 
+def longest_sentence(ends: np.ndarray, ids: np.ndarray) -> int:
+    at = np.flatnonzero(ends[ids])
+    if not len(at):
+        return len(ids)
+    inner = int((at[1:] - at[:-1]).max()) if len(at) > 1 else 0
+    return max(int(at[0]) + 1, inner, len(ids) - 1 - int(at[-1]))
+
+
 def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
     """The documents of batches, with the line ends of those that have a long sentence.
 
     Line ends are not among the ids of a text, so its lines are encoded one by one to find them.
     """
-    encode, close = word_encoder(TOKENIZER), CLOSE.to_bytes(2, "little")
+    encode, close, ends = word_encoder(TOKENIZER), CLOSE.to_bytes(2, "little"), sentence_ends()
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids, lines = np.frombuffer(encode(text) + close if text else close, "<u2"), _NO_LINES
-            if len(ids) > LONG_SENTENCE and np.diff(np.flatnonzero(sentence_ends()[ids]), prepend=-1, append=len(ids)).max() > LONG_SENTENCE and "\n" in text and not _SPECIAL.search(text):
+            if len(ids) > LONG_SENTENCE and "\n" in text and longest_sentence(ends, ids) > LONG_SENTENCE and not _SPECIAL.search(text):
                 lines = np.cumsum([len(encode(line)) for line in text.split("\n")]) // 2  # a special token, too, may hold a line end
             yield Tokens(doc_id, ids, lines)
 

@@ -6,7 +6,6 @@ bounded number of pieces, since most words of a corpus recur. Vocabularies below
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import unicodedata
@@ -102,40 +101,3 @@ def word_encoder(name: str = "word_bpe_49k.json") -> Callable[[str], bytes]:
         return whole(text) if _UNUSUAL.search(text) else b"".join(map(known.__getitem__, text.split()))
 
     return encode
-
-
-@cache
-def byte_encoder(name: str = "byte_bpe_50k.tiktoken") -> Callable[[str], bytes]:
-    """text -> the ids of a byte-level BPE given as ranks, as little-endian 16-bit numbers.
-
-    Its pattern never joins what stands on both sides of a single space between two other characters.
-    """
-    import public_tokenizers
-    import tiktoken
-
-    with open(place(name), "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    library = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    one = library._core_bpe.encode_single_piece
-    of = [k.to_bytes(2, "little") for k in range(max(ranks.values()) + 1)]
-
-    def piece(text: str) -> bytes:
-        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # the pattern leaves it whole
-            return b"".join([of[k] for k in one(text.encode())])
-        return b"".join([of[k] for k in library.encode_ordinary(text)])
-
-    known = Memo(piece)
-    single = re.compile(r"(?<=\S)(?= \S)")
-
-    def encode(text: str) -> bytes:
-        return b"".join(map(known.__getitem__, single.split(text)))
-
-    return encode
-
-
-@cache
-def byte_decoder(name: str = "byte_bpe_50k.tiktoken") -> Callable[[bytes], str]:
-    """The inverse of :func:`byte_encoder`, for the ids of a whole text."""
-    with open(place(name), "rb") as file:
-        of = {int(b): base64.b64decode(a) for a, b in map(bytes.split, file)}
-    return lambda ids: b"".join(of[k] for k in np.frombuffer(ids, "<u2").tolist()).decode("utf-8", "replace")
