@@ -190,10 +190,11 @@ class Data:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        for name in TABLES:
-            if re.search(rf"\b{name}\b", text):
-                self.table(name).createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        """Spark SQL over the folder's tables, under view names of this library, so that a caller's views stay as they are."""
+        named = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b")
+        for name in {m[1] for m in named.findall(text)}:
+            self.table(name).createOrReplaceTempView(f"spindrift_{name}")
+        return self.spark.sql(named.sub(r"\1 spindrift_\2", text))
 
     def view(self, name: str) -> DataFrame:
         return self.sql(with_views(f"SELECT * FROM {name}"))

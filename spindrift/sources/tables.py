@@ -80,5 +80,11 @@ def snapshot(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(h)").alias("checksum")).select(F.lit(name).alias("name"), "n", "checksum")
 
 
+def write_replace(df: DataFrame, path: str) -> DataFrame:
+    """A derived table written anew; returns what was written. The rows must not be read from the path itself."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)

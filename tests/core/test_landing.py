@@ -46,6 +46,34 @@ def test_records_are_flattened(spark, tmp_path):
     assert {(x["param_value_num"], x["dispersion_value_num"]) for x in m} == {(3.5, None)} and len(m) == 2
 
 
+def test_descriptors_and_branches_are_flattened(spark, tmp_path):
+    one = study("N1", "one", [])
+    one["derivedSection"] = {
+        "conditionBrowseModule": {"meshes": [{"id": "D1", "term": " Asthma  Severe "}, {"id": "D2"}], "ancestors": [{"id": "D3", "term": "Lung Diseases"}], "browseBranches": [{"abbrev": "BC08", "name": "Respiratory"}, {"name": "no abbreviation"}]},
+        "interventionBrowseModule": {"meshes": [{"id": "D9", "term": "Placebo"}], "browseBranches": [{"name": "named"}, {}]},
+    }
+    pages(tmp_path, "1.json", one, study("N2", "two", []))
+    s = r.read_registry_json(spark, str(tmp_path))
+    assert sorted(map(tuple, r.flatten_mesh(s).collect())) == [("N1", " Asthma  Severe ", "asthma severe", "mesh-list"), ("N1", "Lung Diseases", "lung diseases", "mesh-ancestor")]
+    assert [tuple(x) for x in r.flatten_mesh(s, "intervention").collect()] == [("N1", "Placebo", "placebo", "mesh-list")]
+    assert [tuple(x) for x in r.flatten_branches(s).collect()] == [("N1", "BC08", "Respiratory")]
+    assert [tuple(x) for x in r.flatten_branches(s, "intervention").collect()] == [("N1", None, "named")]
+
+
+def test_derived_tables_are_replaced_and_reports_written(spark, tmp_path):
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(3, "c, d")], "k int, v string")
+    k.write_replace(old, str(tmp_path / "t"))
+    assert [tuple(x) for x in k.write_replace(new, str(tmp_path / "t")).collect()] == [(3, "c, d")]
+    k.write_csv(new, str(tmp_path / "csv"))
+    assert [tuple(x) for x in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == [("3", "c, d")]
+
+
+def test_a_callers_views_stay(spark):
+    spark.createDataFrame([(1,)], "mine int").createOrReplaceTempView("orders")
+    assert QUERIES["has_results_flag"](spark, "/root/testdata/sf0.001").count() > 1
+    assert spark.table("orders").columns == ["mine"]
+
+
 def test_tables_are_kept(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     delta = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "k int, v string")
