@@ -79,14 +79,11 @@ def word_encoder(name: str = "word_bpe_49k.json") -> Callable[[str], bytes]:
 
     def piece(word: str) -> bytes:
         if word.isascii():
-            low = word.lower()
-            if low != word:
-                return known[low]
-            if word.isalpha():
-                return b"".join([of[k] for k in merge(word.encode() + end)])
+            word = word.lower()
             letters = word.rstrip(_SIGNS)
-            if letters.isalpha() and letters != word:  # letters and signs are parts of their own
-                return known[letters] + known[word[len(letters) :]]
+            if letters.isalpha():  # letters and signs are parts of their own
+                ids = b"".join([of[k] for k in merge(letters.encode() + end)])
+                return ids if letters == word else ids + known[word[len(letters) :]]
             if not word.isprintable():
                 return whole(word)
         elif _LATIN.fullmatch(word):
