@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, near_dedup, packing, quality, reshard, sentencepiece, substring_dedup, toxicity, training_order
+from . import ann, exact_dedup, merkle, near_dedup, packing, quality, reshard, sentencepiece, spelling, substring_dedup, toxicity, training_order, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_ordered_packing": packing.op8_ordered_packing,
         "op9_toxicity_chain": toxicity.op9_toxicity_chain,
         "op10_sentencepiece": sentencepiece.op10_sentencepiece,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_warc_records": warc.op12_warc_records,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op11_spelling_variants": spelling.OP11_SQL, "op12_warc_records": warc.OP12_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
