@@ -1,20 +1,22 @@
 """Quality by compression: two zstandard dictionaries, one of good and one of bad labelled text.
 
 A text is cut into blocks of ``BLOCK`` bytes and each block compressed with either dictionary; with b and g the summed
-sizes under the bad and the good one and n the bytes of the text, the normalised difference is (b - g) / n, positive
-where the good dictionary helps more. It is the only thing that tells texts apart. A logistic curve, fitted on labelled
-rows that neither dictionary has seen, turns it into a probability; its slope and its middle follow the logarithm of
-the length, as the difference of a short text is noisier and each block costs some bytes under either dictionary.
+sizes under the bad and the good one and n the bytes of the text, the normalised difference is d = (b - g) / n, positive
+where the good dictionary helps more. It is the only thing that tells texts apart. The difference of a short text is noisier: it is
+divided by its spread at that length, sqrt(1 + c / n), with c measured on labelled rows. A curve that only rises turns the result into a
+probability: log-odds that are a straight line on either side of two knots, fitted with slopes above zero. The knots are where the bad
+rows end and the good ones begin (the upper tenth of the one and the lower tenth of the other). So at any length, a
+text that the good dictionary compresses better scores higher, and a text of no difference scores the same at all lengths.
 
 Training takes a bounded number of labelled rows: ``PER_CLASS`` of either kind in the order of a hash of the
-id, by their whole texts. The dictionaries see two thirds of them. The curve's rows are measured in tasks, as
-everything is that is scored, and count for as many labelled rows as they stand for, so that scores follow the mix
-of all labels whatever the size of the table. Two dictionaries of ``DICTIONARY`` bytes and four numbers go to the tasks.
-Where a kind's texts are too little for zstandard to train on (some tens of kilobytes at most), the dictionary is
-those texts themselves, as one of raw content.
-
-Defined results: null and empty texts score what the curve gives for no difference and no length; without labels of
-both kinds every row scores the share of good labels (1 without any); rows of ``labels`` with nulls are skipped,
+id. The dictionaries are trained on two thirds of them, on at most ``DRAWN`` blocks of each text, which the tasks draw evenly from the whole
+of it (43 MB at the driver at most). The other third, which neither dictionary has seen, fits the curve; it is measured in
+tasks and by whole texts, as everything is that is scored, and its rows count for as many labelled rows as they stand for, so that
+scores follow the mix of all labels whatever the size of the table. Two dictionaries of ``DICTIONARY`` bytes (an eighth of the
+text that they are trained on, where that is less) and seven numbers go to the tasks.
+
+Defined results: null and empty texts score what the curve gives for no difference; without labels of both kinds, or
+with too little labelled text for zstandard to train a dictionary of, every row scores the share of good labels (1 without any); rows of ``labels`` with nulls are skipped,
 and a document with contradictory labels counts as bad; the same row given twice is scored twice; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import arrow, table, written
 from .toxicity import represented, row_weights, sigmoid, training_sample
 
-PER_CLASS, BLOCK, DICTIONARY, LEVEL = 4000, 256, 112_640, 3
+PER_CLASS, BLOCK, DRAWN, DICTIONARY, LEVEL = 4000, 256, 32, 112_640, 3
 #: Of the sample, every third row is kept for the curve.
 CURVE = 3
 THRESHOLD = 0.3
@@ -56,34 +58,64 @@ def difference(data: bytes, good: Sizes, bad: Sizes) -> float:
     return (bad(data) - good(data)) / len(data) if data else 0.0
 
 
-def features(d: np.ndarray, length: np.ndarray) -> np.ndarray:
-    d, n = np.clip(d * 10, -8, 8), np.log1p(length / 200)
-    return np.column_stack((d, d * n, n, np.ones(len(d))))
+class Curve:
+    """Difference and length -> probability of a good text; rises with the difference at every length."""
 
+    LEAST_SLOPE = 1e-3
 
-def curve(d: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Logistic weights of :func:`features`, by Newton's method with a small ridge, each row counting ``weight`` times."""
-    a = features(d, length)
-    w = np.zeros(a.shape[1])
-    for _ in range(40):
-        p = sigmoid(a @ w)
-        h = a.T @ (a * (weight * p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (weight * (label - p)) - 1e-2 * w)
-        w += np.clip(step, -2, 2)
-    return w
+    def __init__(self, d: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray):
+        """Fit by Newton's method with a small ridge, each row counting ``weight`` times; slopes stay above zero."""
+        self.c = self._noise(d, length, label, weight)
+        z = self.standard(d, length)
+        self.knots = sorted((np.quantile(z[label == 0], 0.9), np.quantile(z[label == 1], 0.1)))
+        a, w = self._lines(z), np.array([self.LEAST_SLOPE] * 3 + [0.0])
+        for _ in range(200):
+            p = sigmoid(a @ w)
+            h = a.T @ (a * (weight * p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w))
+            w += np.clip(np.linalg.solve(h, a.T @ (weight * (label - p)) - 1e-2 * w), -2, 2)
+            w[:3] = np.maximum(w[:3], self.LEAST_SLOPE)
+        self.weights = w
+
+    @staticmethod
+    def _noise(d: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
+        """c of the spread: the squared distance from the kind's mean as a line over 1 / length, in groups of like length."""
+        mean = np.array([np.average(d[label == k], weights=weight[label == k]) for k in (0, 1)])
+        far, group = (d - mean[label.astype(int)]) ** 2, np.floor(np.log2(np.maximum(length, 1)))
+        each = [(np.mean(1 / np.maximum(length[group == g], 1)), far[group == g].mean() + 1e-9, (group == g).sum()) for g in np.unique(group)]
+        x, v, n = np.array(each).T
+        a, use = np.column_stack((np.ones(len(x)), x)), n / v**2
+        level, slope = np.linalg.lstsq(a * np.sqrt(use)[:, None], v * np.sqrt(use), rcond=None)[0]
+        return float(max(slope, 0.0) / max(level, 1e-6))
+
+    def standard(self, d: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return 10 * d / np.sqrt(1 + self.c / np.maximum(length, 1))
+
+    def _lines(self, z: np.ndarray) -> np.ndarray:
+        low, high = self.knots
+        return np.column_stack((np.minimum(z, low), np.clip(z, low, high) - low, np.maximum(z, high) - high, np.ones(len(z))))
+
+    def __call__(self, d: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return sigmoid(self._lines(self.standard(d, length)) @ self.weights)
 
 
 def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _texts(ids: np.ndarray):
-    """doc_id and bytes of the rows of ``ids``."""
+def drawn(data: bytes, most: int = DRAWN) -> list[bytes]:
+    """At most ``most`` blocks of a text, evenly from the whole of it; blocks of less than 16 bytes are left out."""
+    n = -(-len(data) // BLOCK)
+    places = range(n) if n <= most else [(2 * k + 1) * n // (2 * most) for k in range(most)]
+    return [block for k in places if len(block := data[k * BLOCK : (k + 1) * BLOCK]) >= 16]
+
+
+def _blocks(ids: np.ndarray):
+    """doc_id and drawn blocks of the rows of ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), ids), pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(encoded, batch.column("text").to_pylist())), pa.binary())], ["doc_id", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([drawn(encoded(text)) for text in batch.column("text").to_pylist()], pa.list_(pa.binary()))], ["doc_id", "blocks"])
 
     return run
 
@@ -106,13 +138,12 @@ def _measures(ids: np.ndarray, of: dict[int, bytes]):
     return run
 
 
-def dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary of texts in blocks; of raw content where there is too little to train one."""
-    blocks = [d[i : i + BLOCK] for d in samples for i in range(0, len(d), BLOCK) if len(d) - i >= 16]
+def dictionary(blocks: list[bytes]) -> bytes | None:
+    """A dictionary trained on blocks; None where they are too little to train one."""
     try:
-        return zstandard.train_dictionary(DICTIONARY, blocks, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, blocks)) // 8), blocks, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"\n".join(samples).ljust(16)
+        return None
 
 
 def first_rows(found: DataFrame) -> dict[int, tuple]:
@@ -132,16 +163,15 @@ def train(sample: DataFrame, stands_for: dict[int, float]) -> dict:
     held = np.zeros(len(rows), bool)
     for k in (0, 1):
         held[np.flatnonzero(label == k)[::CURVE]] = True
-    if any((~held & (label == k)).sum() == 0 for k in (0, 1)):
-        held[:] = False
-    use = held if held.any() else ~held
-    data = first_rows(arrow(sample, _texts(ids[~held]), "doc_id long, data binary"))
-    of = {k: dictionary([bytes(data[i][0]) for i in ids[~held & (label == k)].tolist()]) for k in (0, 1)}
+    data = first_rows(arrow(sample, _blocks(ids[~held]), "doc_id long, blocks array<binary>"))
+    of = {k: dictionary([bytes(x) for i in ids[~held & (label == k)].tolist() for x in data[i][0]]) for k in (0, 1)}
     del data
-    found = first_rows(arrow(sample, _measures(ids[use], of), "doc_id long, difference double, length long"))
-    numbers = np.array([found[i] for i in ids[use].tolist()])
-    each = {k: stands_for.get(k, 1.0) * (label == k).sum() / (use & (label == k)).sum() for k in (0, 1)}
-    return {"good": of[1], "bad": of[0], "curve": curve(numbers[:, 0], numbers[:, 1], label[use], row_weights(label[use], each))}
+    if None in of.values():
+        return {"share": float((row_weights(label, stands_for) * label).mean())}
+    found = first_rows(arrow(sample, _measures(ids[held], of), "doc_id long, difference double, length long"))
+    numbers = np.array([found[i] for i in ids[held].tolist()])
+    each = {k: stands_for.get(k, 1.0) * (label == k).sum() / (held & (label == k)).sum() for k in (0, 1)}
+    return {"good": of[1], "bad": of[0], "curve": Curve(numbers[:, 0], numbers[:, 1], label[held], row_weights(label[held], each))}
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
@@ -155,7 +185,7 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
                 p = np.full(batch.num_rows, model["share"])
             else:
                 d, length = measured([encoded(text) for text in batch.column("text").to_pylist()], good, bad)
-                p = sigmoid(features(d, length) @ model["curve"])
+                p = model["curve"](d, length)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, score double")

@@ -5,9 +5,12 @@ each later model also gets the earlier categories' log-odds. While training, tho
 row's come from models that never saw it, so that a later model learns how far the earlier ones can be
 trusted on new rows.
 
-``labels`` marks documents as toxic or not, and no kinds of toxicity. The chain is therefore ``terms`` (a
-toxic document with one of the words that set toxic documents apart), ``stems`` (one with such a word
-beginning, which carry over to inflected words), then ``toxic`` itself.
+``labels`` marks documents as toxic or not, and no kinds of toxicity. The kinds are therefore found first: toxic rows are
+clustered by the telling features that occur in them together (spherical k-means over features that are much more
+frequent in toxic rows), so that, say, the languages or the vocabularies of toxic documents become categories of their own, the largest
+first; ``toxic`` itself comes last. A row of no cluster is of no kind. All that looks at labels happens inside a fold: the rows
+of the other folds alone choose the features, find the kinds and fit the models that give a row its out-of-fold odds; a fold's kinds are
+matched to those of all rows by the likeness of their centres.
 
 Training takes a bounded sample of labelled rows (``PER_CLASS`` of either kind, in the order of a hash of
 the id); everything is scored by its whole text. A sampled row counts for as many labelled rows as it stands
@@ -33,37 +36,40 @@ from pyspark.sql import functions as F
 
 from .common import Memo, arrow, table
 
-CATEGORIES = ("terms", "stems", "toxic")
+KINDS = 3
+CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 PER_CLASS, FEATURES, FOLDS, BITS = 2500, 8192, 5, 20
-#: Category terms and stems are those that occur in at least this many toxic rows and this much more often than elsewhere.
+#: Telling features are those that occur in at least this many toxic rows and this much more often than elsewhere.
 LEAST_ROWS, LEAST_LIFT = 8, 6.0
+#: Letters of the word beginnings that are features.
+BEGINNINGS = (3, 4, 5, 6, 7)
 _STEPS, _RATE, _RIDGE = 150, 0.3, 1e-3
 
 
-def word_features(token: str) -> list[tuple[int, bool]]:
-    """The hashed features of a token, with whether each is a beginning."""
+def word_features(token: str) -> list[int]:
+    """The hashed features of a token: its word and the word's beginnings."""
     word = "".join(c for c in token.lower() if c.isalnum())
     if len(word) < 2:
         return []
     mask = (1 << BITS) - 1
-    found = [(crc32(word.encode()) & mask, False)]
-    return found + [(crc32(f"{word[:k]}-".encode()) & mask, True) for k in (3, 4, 5) if len(word) > k]
+    found = [crc32(word.encode()) & mask]
+    return found + [crc32(f"{word[:k]}-".encode()) & mask for k in BEGINNINGS if len(word) > k]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The feature counts of training rows: id, label, words, features, beginnings, counts."""
+    """The feature counts of training rows: id, label, words, features, counts."""
     known = Memo(word_features, 200_000)
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], []]
         for text in batch.column("text").to_pylist():
             tokens = (text or "").split()
             features = [f for t in tokens for f in known[t]]
-            at, counts = np.unique(np.array([f * 2 + b for f, b in features], np.int64), return_counts=True)
-            for column, value in zip(out, (len(tokens), (at >> 1).tolist(), (at & 1).tolist(), counts.tolist()), strict=True):
+            at, counts = np.unique(np.array(features, np.int64), return_counts=True)
+            for column, value in zip(out, (len(tokens), at.tolist(), counts.tolist()), strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("label"), pa.array(out[0], pa.int64()), *(pa.array(c, pa.list_(pa.int32())) for c in out[1:])],
-            ["doc_id", "label", "words", "features", "beginnings", "counts"],
+            ["doc_id", "label", "words", "features", "counts"],
         )
 
 
@@ -114,51 +120,122 @@ def row_weights(label: np.ndarray, stands_for: dict[int, float] | None) -> np.nd
     return weight / weight.mean()
 
 
-def train(sample: list[dict], stands_for: dict[int, float] | None = None) -> dict:
+class View:
+    """What the rows marked by ``use`` say: the features that they choose and all rows over these, the telling features, the kinds' centres."""
+
+    def __init__(self, sample: list[dict], label: np.ndarray, weight: np.ndarray, use: np.ndarray):
+        size = 1 << BITS
+        in_toxic, in_clean = np.zeros(size), np.zeros(size)
+        for r, toxic, used in zip(sample, label, use, strict=True):
+            if used:
+                (in_toxic if toxic else in_clean)[r["features"]] += 1
+        n = [max((use & (label == k)).sum(), 1) for k in (0, 1)]
+        lift = ((in_toxic + 1) / (n[1] + 2)) / ((in_clean + 1) / (n[0] + 2))
+        of_toxic, of_clean = (x * (weight[label == k][0] if (label == k).any() else 1.0) for k, x in ((1, in_toxic), (0, in_clean)))
+        expected = (of_toxic + of_clean) * (weight * label * use).sum() / (weight * use).sum()
+        gain = np.where(in_toxic + in_clean >= 3, (of_toxic - expected) ** 2 / (expected + 0.5), 0)
+        chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
+        self.chosen = chosen[gain[chosen] > 0]
+        place = np.full(size, -1)
+        place[self.chosen] = np.arange(len(self.chosen))
+        columns, vals = [], []
+        for r in sample:
+            at = place[r["features"]]
+            columns.append(at[at >= 0])
+            vals.append(values(r["counts"][at >= 0], r["words"]))
+        self.rows = Rows(columns, vals, len(self.chosen))
+        self.telling = np.flatnonzero((lift >= LEAST_LIFT) & (in_toxic >= LEAST_ROWS))
+        self.centres = kinds([self.directions(r) for r, toxic, used in zip(sample, label, use, strict=True) if toxic and used])
+
+    def directions(self, row: dict) -> dict[int, float]:
+        """A row's telling features, as a vector of length one."""
+        found = np.intersect1d(row["features"], self.telling).tolist()
+        return dict.fromkeys(found, 1 / np.sqrt(len(found))) if found else {}
+
+    def kind(self, row: dict) -> int:
+        """The nearest centre; -1 without telling features."""
+        x = self.directions(row)
+        return int(np.argmax([likeness(x, c) for c in self.centres])) if x and self.centres else -1
+
+
+def likeness(a: dict[int, float], b: dict[int, float]) -> float:
+    if len(a) > len(b):
+        a, b = b, a
+    return sum(v * b.get(k, 0.0) for k, v in a.items())
+
+
+def kinds(rows: list[dict[int, float]]) -> list[dict[int, float]]:
+    """At most ``KINDS`` centres of the rows' directions, by spherical k-means, those of most rows first; the start is the row that is like most others,
+    then always the one least like the centres so far."""
+    rows = [r for r in rows if r]
+    if not rows:
+        return []
+    total: dict[int, float] = {}
+    for r in rows:
+        for k, v in r.items():
+            total[k] = total.get(k, 0.0) + v
+    centres = [rows[int(np.argmax([likeness(r, total) for r in rows]))]]
+    while len(centres) < KINDS:
+        near = [max(likeness(r, c) for c in centres) for r in rows]
+        if min(near) > 0.999:
+            break
+        centres.append(rows[int(np.argmin(near))])
+    for _ in range(10):
+        of = [int(np.argmax([likeness(r, c) for c in centres])) for r in rows]
+        after = []
+        for j in range(len(centres)):
+            total = {}
+            for r in (r for r, k in zip(rows, of, strict=True) if k == j):
+                for k, v in r.items():
+                    total[k] = total.get(k, 0.0) + v
+            norm = np.sqrt(sum(v * v for v in total.values()))
+            after.append({k: v / norm for k, v in total.items()} if norm else centres[j])
+        if after == centres:
+            break
+        centres = after
+    return [centres[j] for j in sorted(range(len(centres)), key=lambda j: -of.count(j))]
+
+
+def matched_kinds(own: list[dict[int, float]], to: list[dict[int, float]]) -> list[int]:
+    """For each centre of ``own`` the one of ``to`` that it stands for: the most alike pairs first, each used once; -1 for none left."""
+    out, free = [-1] * len(own), set(range(len(to)))
+    for _, i, j in sorted((-likeness(a, b), i, j) for i, a in enumerate(own) for j, b in enumerate(to)):
+        if out[i] < 0 and j in free:
+            out[i] = j
+            free.discard(j)
+    return out
+
+
+def train(sample: list[dict], stands_for: dict[int, float] | None = None, categories: int = KINDS + 1) -> dict:
     """The chain: the chosen features, and each category's weights (features, earlier categories, bias).
 
-    ``stands_for``: how many labelled rows a row of either label stands for.
+    ``stands_for``: how many labelled rows a row of either label stands for; ``categories``: how many there are, ``toxic`` being the last.
     """
-    sample = sorted((r for r in sample if len(r["features"])), key=lambda r: crc32(str(r["doc_id"]).encode()))
+    sample = sorted((r | {c: np.array(r[c], np.int64) for c in ("features", "counts")} for r in sample if len(r["features"])), key=lambda r: crc32(str(r["doc_id"]).encode()))
     label = np.array([r["label"] for r in sample], float)
     if not len(sample) or label.min() == label.max():
         share = float(label.mean()) if len(sample) else 0.0
         return {"features": np.empty(0, np.int64), "weights": [], "share": share, "threshold": 0.5}
     weight = row_weights(label, stands_for)
     mix = float((weight * label).sum() / weight.sum())
-    size = 1 << BITS
-    in_toxic, in_clean, begins = np.zeros(size), np.zeros(size), np.zeros(size, bool)
-    for r in sample:
-        (in_toxic if r["label"] else in_clean)[np.array(r["features"], np.int64)] += 1
-        begins[np.array(r["features"], np.int64)[np.array(r["beginnings"], bool)]] = True
-    share = ((in_toxic + 1) / (label.sum() + 2)) / ((in_clean + 1) / (len(label) - label.sum() + 2))
-    of_toxic, of_clean = in_toxic * weight[label == 1][0], in_clean * weight[label == 0][0]
-    expected = (of_toxic + of_clean) * mix
-    gain = np.where(in_toxic + in_clean >= 3, (of_toxic - expected) ** 2 / (expected + 0.5), 0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] > 0]
-    strong = (share >= LEAST_LIFT) & (in_toxic >= LEAST_ROWS)
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
-    columns, vals, has_term, has_stem = [], [], [], []
-    for r in sample:
-        f = np.array(r["features"], np.int64)
-        at, ok = place[f], place[f] >= 0
-        columns.append(at[ok])
-        vals.append(values(np.array(r["counts"])[ok], r["words"]))
-        has_term.append(bool((strong[f] & ~begins[f]).any()))
-        has_stem.append(bool((strong[f] & begins[f]).any()))
-    rows = Rows(columns, vals, len(chosen))
-    targets = {"terms": label * np.array(has_term), "stems": label * np.array(has_stem), "toxic": label}
     fold = np.arange(len(sample)) % FOLDS
-    earlier = np.zeros((len(sample), 0))
-    weights = []
-    for name in CATEGORIES:
-        target, odds = targets[name], np.zeros(len(sample))
-        for k in range(FOLDS):
-            w = fit(rows, earlier, target, weight * (fold != k))
-            odds = np.where(fold == k, rows.times(w[: rows.width]) + earlier @ w[rows.width : -1] + w[-1], odds)
-        weights.append(fit(rows, earlier, target, weight))
+    whole = View(sample, label, weight, np.ones(len(sample), bool))
+    parts = [View(sample, label, weight, fold != k) for k in range(FOLDS)]
+
+    def targets(view: View) -> np.ndarray:
+        """1 for the toxic rows of each kind of ``whole``, as ``view`` tells kinds; the last column is the label."""
+        to = [*matched_kinds(view.centres, whole.centres), -1]
+        kind = np.array([to[view.kind(r)] if toxic else -1 for r, toxic in zip(sample, label, strict=True)])
+        return np.column_stack((*((kind == j).astype(float) for j in range(categories - 1)), label))
+
+    of_whole, of_parts = targets(whole), [targets(v) for v in parts]
+    earlier, weights = np.zeros((len(sample), 0)), []
+    for j in range(categories):
+        odds = np.zeros(len(sample))
+        for k, view in enumerate(parts):
+            w = fit(view.rows, earlier, of_parts[k][:, j], weight * (fold != k))
+            odds = np.where(fold == k, view.rows.times(w[: view.rows.width]) + earlier @ w[view.rows.width : -1] + w[-1], odds)
+        weights.append(fit(whole.rows, earlier, of_whole[:, j], weight))
         earlier = np.column_stack((earlier, np.clip(odds, -12, 12) / 4))
     # The threshold of the last category's out-of-fold scores with the best F1.
     order = np.argsort(-odds, kind="stable")
@@ -166,13 +243,13 @@ def train(sample: list[dict], stands_for: dict[int, float] | None = None) -> dic
     best = int(np.argmax(2 * hits / (taken + hits[-1])))
     low = odds[order[min(best + 1, len(order) - 1)]]
     threshold = float(sigmoid(np.array((odds[order[best]] + low) / 2)))
-    return {"features": chosen, "weights": weights, "share": mix, "threshold": min(max(threshold, 0.05), 0.95)}
+    return {"features": whole.chosen, "weights": weights, "share": mix, "threshold": min(max(threshold, 0.05), 0.95)}
 
 
 def scorer(model: dict):
     """A function text -> the categories' probabilities, in order."""
     place = {int(f): k for k, f in enumerate(model["features"])}
-    known = Memo(lambda token: b"".join(place[f].to_bytes(2, "little") for f, _ in word_features(token) if f in place), 150_000)
+    known = Memo(lambda token: b"".join(place[f].to_bytes(2, "little") for f in word_features(token) if f in place), 150_000)
     wordless, none = [0.0] * len(CATEGORIES), [model["share"]] * len(CATEGORIES)
 
     def score(text: str | None) -> list[float]:
@@ -212,18 +289,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> dict:
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, categories: int = KINDS + 1) -> dict:
     sample = arrow(
         training_sample(docs, labels, label, per_class),
         _counted,
-        "doc_id long, label int, words long, features array<int>, beginnings array<int>, counts array<int>",
+        "doc_id long, label int, words long, features array<int>, counts array<int>",
     )
     rows = {}
     for r in sample.toLocalIterator():
         if r["doc_id"] not in rows:  # arrays, as lists of numbers take many times their memory
-            lists = {c: np.array(r[c], np.int32) for c in ("features", "beginnings", "counts")}
+            lists = {c: np.array(r[c], np.int32) for c in ("features", "counts")}
             rows[r["doc_id"]] = {"doc_id": r["doc_id"], "label": r["label"], "words": r["words"]} | lists
-    return train(list(rows.values()), represented(labels, label, per_class))
+    return train(list(rows.values()), represented(labels, label, per_class), categories)
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
