@@ -693,7 +693,7 @@ def test_the_chain_by_hand():
     sample = []
     for k in range(240):
         toxic = int(k % 3 == 0)
-        own = {100 + 10 * (k // 3 % 3) + int(x) for x in r.choice(4, 2, replace=False)} if toxic else set()
+        own = {100 + 10 * (k // 3 % 3) + int(x) for x in r.choice(4, 3, replace=False)} if toxic else set()
         at = sorted({int(x) for x in r.choice(40, 6, replace=False)} | own)
         sample.append({"doc_id": k, "label": toxic, "words": 8, "features": at, "counts": [int(x) for x in r.randint(1, 3, len(at))]})
     model = toxicity.train(sample, {0: 2.0, 1: 1.0})
