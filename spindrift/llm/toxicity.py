@@ -135,7 +135,7 @@ class View:
         expected = (of_toxic + of_clean) * (weight * label * use).sum() / (weight * use).sum()
         gain = np.where(in_toxic + in_clean >= 3, (of_toxic - expected) ** 2 / (expected + 0.5), 0)
         chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-        self.chosen = chosen[gain[chosen] > 0]
+        self.chosen = chosen[gain[chosen] > 1e-9]
         place = np.full(size, -1)
         place[self.chosen] = np.arange(len(self.chosen))
         columns, vals = [], []

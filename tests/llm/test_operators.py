@@ -730,7 +730,7 @@ def test_the_chain_by_hand():
         for f in all_features:
             has = np.array([f in x["features"] for x in rows]) & use
             total, expected = (weight * has).sum(), (weight * has).sum() * (weight * label * use).sum() / (weight * use).sum()
-            if has.sum() >= 3 and total and ((weight * label * has).sum() - expected) ** 2 > 0:
+            if has.sum() >= 3 and total and ((weight * label * has).sum() - expected) ** 2 > 1e-9:
                 out.append(f)
         return out
 
