@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 # Fixed value: how a term's id is spelt.
 ID_FORMAT = "^[a-z][a-z0-9_]*$"
 
@@ -77,26 +79,45 @@ def unique_precedence(df: DataFrame, column: str = "precedence") -> DataFrame:
     return together(broken(df.where(F.col(column).isNull()), "precedence_missing", "id"), broken(repeated(df.where(F.col(column).isNotNull()), column), "precedence_repeated", column))
 
 
-def ancestors(edges: DataFrame, doublings: int = 4) -> DataFrame:
-    """child, ancestor, depth: all pairs up to 2^``doublings`` steps apart, the shortest way each.
+def ancestors(edges: DataFrame) -> DataFrame:
+    """child, ancestor, depth: all pairs, however far apart, the shortest way each; a member of a cycle is its own ancestor.
 
-    edges: child, parent. Each round joins the pairs with themselves, so that the reach doubles.
+    edges: child, parent. Each round joins the pairs with themselves, so that the reach doubles, and is written; the rounds end when one
+    finds no new pair. (A round finds every pair within twice the reach, so a round without a new pair has found them all.)
     """
     pairs = edges.where("child is not null and parent is not null").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    for _ in range(doublings):
+    pairs, n = _kept(pairs), -1
+    while n != (n := pairs.count()):
         on = pairs.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
         longer = pairs.join(on, "ancestor").select("child", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        pairs = pairs.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+        pairs = _kept(pairs.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
     return pairs
 
 
-def hierarchy(nodes: DataFrame, doublings: int = 4) -> DataFrame:
+def _kept(pairs: DataFrame) -> DataFrame:
+    path = scratch(pairs.sparkSession, "ancestors")
+    pairs.write.parquet(path)
+    return pairs.sparkSession.read.schema(pairs.schema).parquet(path)
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """id, cycle: the members of cycles, with the smallest member of each cycle (or of all cycles that share members).
+
+    A node that has itself among its ancestors is on a cycle; two such nodes are on the same one where each is the other's ancestor.
+    """
+    pairs = ancestors(edges)
+    back = pairs.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("child"))
+    both = pairs.select("child", "ancestor").join(back, ["child", "ancestor"])
+    return both.groupBy(F.col("child").alias("id")).agg(F.min("ancestor").alias("cycle"))
+
+
+def hierarchy(nodes: DataFrame) -> DataFrame:
     """nodes: id, parent_id, kind, precedence. No cycles; a parent exists, is of the same kind and has a higher precedence number."""
     edges = nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
     up = nodes.select(F.col("id").alias("parent_id"), F.col("kind").alias("parent_kind"), F.col("precedence").alias("parent_precedence"))
     both = nodes.join(up, "parent_id")
     return together(
-        broken(ancestors(edges, doublings).where("child = ancestor"), "cycle", "child"), broken(missing(nodes, "parent_id", nodes, "id"), "parent_unknown", "value"),
+        broken(cycles(edges), "cycle", "id"), broken(missing(nodes, "parent_id", nodes, "id"), "parent_unknown", "value"),
         broken(both.where("kind <> parent_kind"), "kind_differs", "id"), broken(both.where("precedence >= parent_precedence"), "not_before_parent", "id"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, folded_type, stripped
-from .matching import checked_broadcast
+from .matching import checked_broadcast, matching
 
 
 def prefixes_of(tree_number: Column) -> Column:
@@ -47,24 +47,6 @@ def pick_primary(rows: DataFrame, precedence: DataFrame, study: str = "nct_id",
     return ranked.withColumn("is_primary", F.row_number().over(w) == 1)
 
 
-def classify_interventions(names: DataFrame, overrides: DataFrame, agents: DataFrame, patterns: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(nct_id, ordinal, class_id, kind, layer, matched_on) of interventions (nct_id, ordinal, name).
-
-    Control patterns claim an intervention for themselves. Of the other layers (override, agent, pattern)
-    the first to claim a kind wins that kind, with all classes of its rule.
-    """
-    distinct = names.select("name").distinct()
-    rules = checked_broadcast(patterns)
-    by_pattern = distinct.join(rules, F.expr("name rlike concat('(?iu)', pattern)")).select("name", "class_id", F.lit("pattern").alias("layer"), F.lit(3).alias("layer_rank"), F.col("ordinal").alias("rule_rank"), F.col("pattern").alias("matched_on"))
-    exact = lambda rule, layer, rank: distinct.join(checked_broadcast(rule), F.lower("name") == F.col("key")).select("name", "class_id", F.lit(layer).alias("layer"), F.lit(rank).alias("layer_rank"), F.lit(0).alias("rule_rank"), F.col("key").alias("matched_on"))
-    hits = exact(overrides, "override", 1).unionByName(exact(agents, "agent", 2)).unionByName(by_pattern).join(checked_broadcast(kinds), "class_id")
-    control = hits.where("kind = 'control' and layer = 'pattern'").select("name").distinct()
-    free = hits.join(control, "name", "left_anti").unionByName(hits.join(control, "name", "left_semi").where("kind = 'control'"))
-    w = Window.partitionBy("name", "kind").orderBy("layer_rank", "rule_rank")
-    won = free.withColumn("_r", F.dense_rank().over(w)).where("_r = 1").drop("_r", "rule_rank")
-    return names.select("nct_id", "ordinal", "name").join(won.distinct(), "name")
-
-
 def disagreements(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Two classifiers' answers (keys, answer) side by side where they differ, counted; null is an answer."""
     both = a.select(*keys, F.col("answer").alias("a")).join(b.select(*keys, F.col("answer").alias("b")), keys, "full")
@@ -84,12 +66,13 @@ def string_hits(strings: DataFrame, rules: DataFrame, exact: list[str], patterns
     """text, layer, class_id, rule_rank: what rules (layer, key, class_id, ordinal) say about distinct texts.
 
     A rule of an exact layer asks for the whole text, one of a pattern layer is a regular expression in it. Exact rules
-    are an equi-join; patterns, which are few, are sorted so that each is compiled once in a partition.
+    are an equi-join; patterns meet the texts that hold one of their literals.
     """
     texts = strings.where("text is not null and text <> ''").distinct()
     whole = texts.join(checked_broadcast(rules.where(F.col("layer").isin(*exact)).select("layer", F.col("key").alias("text"), "class_id")), "text").select("text", "layer", "class_id", F.lit(0).alias("rule_rank"))
-    regex = checked_broadcast(rules.where(F.col("layer").isin(*patterns)).select("layer", "key", "class_id", F.col("ordinal").alias("rule_rank")))
-    near = texts.join(regex).sortWithinPartitions("key").where(F.expr("regexp_like(text, concat('(?iu)', key))"))  # every text meets every pattern
+    if not patterns:
+        return whole.distinct()
+    near = matching(texts, "text", rules.where(F.col("layer").isin(*patterns)).select("layer", "key", "class_id", F.col("ordinal").alias("rule_rank")), "key")
     return whole.unionByName(near.select("text", "layer", "class_id", "rule_rank")).distinct()
 
 

@@ -1,19 +1,21 @@
 """Planned outcomes conformed to a vocabulary: one plan from texts to ``endpoints`` and ``review_queue``.
 
-All dimensions are matched at once on the distinct texts of all fields; each text's winners come back as one map, which
-the rows look up by the hash of their fields. What the dimensions imply for each other is then a few broadcast joins
-and expressions. Named hits are structs of (term_id, match_method, confidence, source_field).
+The outcomes are read once and written with the hashes of their fields. All dimensions are matched at once on the distinct texts of
+all fields, and each text's winners, and what each time frame is, are written once. Where that table's size is in bounds the fields look
+it up by broadcast; beyond, they meet it in a single join of (outcome, field, hash) rows, which a field without text never enters, and come
+back to one row for each outcome. What the dimensions imply for each other is a few broadcast joins and expressions. Named hits are structs of (term_id, match_method, confidence, source_field).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_id, normalised
 from ..sources.vocabulary import Vocabulary
 from . import timepoints
-from .matching import checked_broadcast, semantic_tokens, tag_patterns, tag_synonyms
+from ..sources.tables import scratch
+from .matching import BROADCAST_BYTES, checked_broadcast, known_size, semantic_tokens, small, tag_patterns, tag_synonyms
 
 FIELDS = ("measure", "description", "time_frame")
 DIMENSIONS = ("measurement", "form", "event", "reference", "derivation", "named_endpoint", "polarity_cue")
@@ -22,6 +24,8 @@ COMPARATORS = {
     "≥": ">=", ">=": ">=", "at least": ">=", "no less than": ">=", "or more": ">=", "or better": ">=", "≤": "<=", "<=": "<=", "at most": "<=", "no more than": "<=", "or less": "<=", "or worse": "<=",
     ">": ">", "greater than": ">", "more than": ">", "above": ">", "<": "<", "less than": "<", "fewer than": "<", "below": "<", "=": "=", "exactly": "=",
 }
+# The patterns of a threshold in words (behind a comparator) and in a score's name.
+STATED_THRESHOLD, NAMED_THRESHOLD = r"\s*(\d+(?:\.\d+)?)\s*(%|percent|points?|mmhg|mg/dl|mmol/l)?", r"\b[A-Z]{2,6}\s?-?(\d{2,3})\b"
 #: Least share of a term's tokens and least number of them for a semantic match.
 LEAST_SCORE, LEAST_OVERLAP = 0.6, 2
 _HIT = "struct<term_id:string,match_method:string,confidence:double,source_field:string>"
@@ -77,7 +81,7 @@ def near_terms(texts: DataFrame, vocabulary: Vocabulary, dimension: str = "measu
     bag = of_term.groupBy("term_id").agg(F.concat_ws(" ", F.collect_list("words")).alias("words")).select("term_id", semantic_tokens(F.col("words")).alias("t"))
     index = bag.where(F.size("t") > 0).select("term_id", F.size("t").alias("of"), F.explode("t").alias("token"))
     words = texts.select("text_id", F.explode(semantic_tokens(F.col("text"))).alias("token"))
-    overlap = words.join(checked_broadcast(index), "token").groupBy("text_id", "term_id").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"))
+    overlap = words.join(checked_broadcast(small(index)), "token").groupBy("text_id", "term_id").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"))
     scored = overlap.withColumn("score", F.col("n") / F.col("of"))
     order = F.struct((-F.col("score")).alias("s"), "term_id")
     match = (F.col("score") >= LEAST_SCORE) & (F.col("n") >= F.least(F.lit(LEAST_OVERLAP), F.col("of")))
@@ -86,22 +90,59 @@ def near_terms(texts: DataFrame, vocabulary: Vocabulary, dimension: str = "measu
     )
 
 
-def texts_of(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """Rows with ``key_<field>``: the hash of the field's normalised text, null for none; and that of the time frame as it stands."""
+    texts = {f"key_{f}": normalised(F.col(f)) for f in FIELDS}
+    keys = {name: F.when(text != "", F.md5(text)) for name, text in texts.items()}
+    return rows.withColumns(keys | {"key_frame": F.when(F.coalesce("time_frame", F.lit("")) != "", F.concat(F.lit("frame:"), F.md5("time_frame")))})
+
+
+def texts_of(rows: DataFrame) -> DataFrame:
     """text_id and text of the distinct non-empty normalised texts of the fields."""
-    each = rows.select(F.explode(F.array(*(normalised(F.col(f)) for f in fields))).alias("text"))
+    each = rows.select(F.explode(F.array(*(normalised(F.col(f)) for f in FIELDS))).alias("text"))
     return each.where("text <> ''").distinct().select(F.md5("text").alias("text_id"), "text")
 
 
-def matched(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Rows with ``in_<field>``: what the vocabulary finds in each field's text (won, forms, semantic_id, near_id, near_score)."""
-    texts = texts_of(rows)
+def matched(rows: DataFrame, vocabulary: Vocabulary, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows (id, the fields, and what :func:`hashed` adds) with ``in_<field>``, what the vocabulary finds in each field's text (won,
+    forms, semantic_id, near_id, near_score), and ``frame``, what the time frame is (prepared, timepoint_pattern, extracted, match_method)."""
+    texts = written(texts_of(rows), "conform-texts")
     found = winners(dimension_hits(texts, vocabulary), vocabulary).join(near_terms(texts, vocabulary), "text_id", "full")
-    for field in FIELDS:
-        side = found.select(F.col("text_id").alias("_id"), F.struct("won", "forms", "semantic_id", "near_id", "near_score").alias(f"in_{field}"))
-        rows = rows.join(side, F.md5(normalised(F.col(field))) == F.col("_id"), "left").drop("_id")
+    won = F.struct(*(F.col("won")[d].alias(d) for d in DIMENSIONS)).alias("won")
+    found = found.select(F.col("text_id").alias("_key"), F.struct(won, "forms", "semantic_id", "near_id", "near_score").alias("in_text"))
+    frames = timepoints.classify(rows.where("key_frame is not null"), vocabulary)
+    frames = frames.select(F.concat(F.lit("frame:"), F.md5("time_frame")).alias("_key"), F.struct("prepared", "timepoint_pattern", "extracted", "match_method").alias("frame"))
+    found = written(found.unionByName(frames, allowMissingColumns=True), "conform-found")
+    names = [*(f"in_{f}" for f in FIELDS), "frame"]
+    back = (by_broadcast if known_size(found) <= most else by_shuffle)(rows, found, names).drop(*(f"key_{n.removeprefix('in_')}" for n in names))
+    # An absent time frame is an empty text to the patterns; all rows without one take the same answer.
+    blank = timepoints.classify(small(rows.sparkSession.createDataFrame([("",)], "time_frame string")), vocabulary).first()
+    empty = F.struct(F.lit(blank["prepared"]).alias("prepared"), F.lit(blank["timepoint_pattern"]).alias("timepoint_pattern"), F.lit(None).cast("map<string,string>").alias("extracted"), F.lit(blank["match_method"]).cast("string").alias("match_method"))
+    return back.withColumn("frame", F.coalesce("frame", empty))
+
+
+def by_broadcast(rows: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
+    """Each field looks its key up in what was found, which is small enough to be everywhere; no row moves."""
+    for n in names:
+        side = F.broadcast(found.select(F.col("_key").alias("_of"), F.col("frame" if n == "frame" else "in_text").alias(n)))
+        rows = rows.join(side, F.col(f"key_{n.removeprefix('in_')}") == F.col("_of"), "left").drop("_of")
     return rows
 
 
+def by_shuffle(rows: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
+    """The same by one join of (id, field, key) rows, which a field without text never enters, turned back to one row for each id."""
+    each = F.filter(F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"key_{n.removeprefix('in_')}").alias("_key")) for n in names)), lambda x: x["_key"].isNotNull())
+    met = rows.select("id", F.explode(each).alias("x")).select("id", "x.*").join(found, "_key")
+    side = lambda n: F.first(F.when(F.col("field") == n, F.col("frame" if n == "frame" else "in_text")), ignorenulls=True).alias(n)
+    return rows.join(met.groupBy("id").agg(*map(side, names)), "id", "left")
+
+
 class Cascades:
     """The order of fields of each dimension, from the vocabulary, as expressions over :func:`matched` rows."""
 
@@ -195,8 +236,8 @@ def resolve_form(rows: DataFrame, vocabulary: Vocabulary, c: Cascades) -> DataFr
     steps = c.steps.get("form", [])
     texts = [hit(F.col(f"in_{field}.won")["form"], method, c.of(method), field) for field, method in steps if field != "time_frame"]
     by_text = F.coalesce(*texts, F.lit(None).cast(_HIT))
-    out = rows.withColumn("_form", by_text).join(checked_broadcast(form_choices(vocabulary)), F.col("_form.term_id") == F.col("candidate"), "left").drop("candidate")
-    out = out.join(checked_broadcast(implied), F.col("in_time_frame.won")["reference"] == F.col("reference_id"), "left").drop("reference_id")
+    out = rows.withColumn("_form", by_text).join(checked_broadcast(small(form_choices(vocabulary))), F.col("_form.term_id") == F.col("candidate"), "left").drop("candidate")
+    out = out.join(checked_broadcast(small(implied)), F.col("in_time_frame.won")["reference"] == F.col("reference_id"), "left").drop("reference_id")
     where = F.when(F.col("_form.source_field") == "measure", F.col("in_measure.forms")).otherwise(F.col("in_description.forms"))
     harm = F.coalesce((F.col("m.event_polarity") == "harm") | (F.col("m.domain") == "safety"), F.lit(False))
     settled = F.when(F.col("choices").isNotNull(), disambiguate_form(F.col("_form"), where, harm)).otherwise(F.col("_form"))
@@ -244,14 +285,13 @@ def derive_direction(rows: DataFrame, vocabulary: Vocabulary, default: str = "no
 def threshold(text: Column) -> Column:
     """(comparator, value, unit) of the first stated threshold; 'PASI75' is '>= 75 %'; null without one."""
     words = "|".join(sorted(COMPARATORS, key=lambda w: (-len(w), w)))
-    explicit = rf"(?iu)({words})\s*(\d+(?:\.\d+)?)\s*(%|percent|points?|mmhg|mg/dl|mmol/l)?"
+    explicit = f"(?iu)({words}){STATED_THRESHOLD}"
     signs = F.create_map(*(F.lit(x) for pair in COMPARATORS.items() for x in pair))
     unit = F.regexp_extract(text, explicit, 3)
     unit = F.when(F.lower(unit).startswith("percent"), "%").when(unit != "", unit)
     stated = F.struct(F.element_at(signs, F.lower(F.regexp_extract(text, explicit, 1))).alias("comparator"), F.regexp_extract(text, explicit, 2).try_cast("double").alias("value"), unit.alias("unit"))
-    acronym = r"\b[A-Z]{2,6}\s?-?(\d{2,3})\b"
-    scored = F.struct(F.lit(">=").alias("comparator"), F.regexp_extract(text, acronym, 1).try_cast("double").alias("value"), F.lit("%").alias("unit"))
-    return F.when(text.rlike(explicit), stated).when(text.rlike(acronym), scored)
+    scored = F.struct(F.lit(">=").alias("comparator"), F.regexp_extract(text, NAMED_THRESHOLD, 1).try_cast("double").alias("value"), F.lit("%").alias("unit"))
+    return F.when(text.rlike(explicit), stated).when(text.rlike(NAMED_THRESHOLD), scored)
 
 
 def extract_threshold(rows: DataFrame) -> DataFrame:
@@ -273,19 +313,24 @@ def conformed(outcomes: DataFrame, vocabulary: Vocabulary, studies: DataFrame, a
     """Every planned outcome with all its dimensions; ``measurement`` is null for those that go to review.
 
     outcomes: nct_id, outcome_type, measure, time_frame, description, population. studies: nct_id, allocation.
-    areas: nct_id, ta_id, is_primary. Of rows that are equal in what makes the id one stays.
+    areas: nct_id, ta_id, is_primary. Of rows that are equal in what makes the id one stays, with the first population by order.
     """
     c = Cascades(vocabulary)
-    rows = outcomes.withColumn("id", row_id()).dropDuplicates(["id"])
+    rows = outcomes.select("nct_id", "outcome_type", "measure", "time_frame", "description", "population", row_id().alias("id"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("population"))).where("_n = 1").drop("_n")
+    rows = matched(written(hashed(rows), "conform-rows"), vocabulary)
     rows = rows.join(studies.groupBy("nct_id").agg(F.min("allocation").alias("allocation")), "nct_id", "left")
     rows = rows.join(areas.where("is_primary").groupBy("nct_id").agg(F.min("ta_id").alias("ta_id")), "nct_id", "left")
-    rows = resolve_named_endpoint(matched(rows, vocabulary), vocabulary, c)
+    rows = resolve_named_endpoint(rows, vocabulary, c)
     rows = resolve_form(resolve_reference(resolve_derivation(resolve_measurement(rows, vocabulary, c), c), c), vocabulary, c)
-    frames = timepoints.classify(rows, vocabulary).select(F.col("time_frame").alias("_tf"), "prepared", "timepoint_pattern", "extracted", F.col("match_method").alias("timepoint_match_method"))
-    rows = rows.join(frames, F.coalesce("time_frame", F.lit("")) == F.col("_tf"), "left").drop("_tf")
+    rows = rows.select("*", "frame.prepared", "frame.timepoint_pattern", "frame.extracted", F.col("frame.match_method").alias("timepoint_match_method")).drop("frame")
     rows = timepoints.disambiguated(rows.withColumn("form_id", F.col("form.term_id")), vocabulary["timepoint_choices"])
     rows = derive_direction(resolve_event(rows, vocabulary, c), vocabulary)
-    return assign_default_scale(extract_threshold(rows))
+    near = F.when(normalised(F.col("measure")) != "", F.col("in_measure")).otherwise(F.col("in_description"))
+    return assign_default_scale(extract_threshold(rows)).select(
+        "id", "nct_id", "outcome_type", "measure", "description", "time_frame", "population", "named_endpoint_id", "measurement", "form", "derivation", "reference", "event", "direction_id", "event_polarity_used", "scale_id", "analysable",
+        "threshold", "timepoint_pattern", "timepoint_match_method", "extracted", F.col("m.concept_id").alias("concept_id"), F.when(F.col("measurement").isNull(), F.struct(near["near_id"].alias("near_id"), near["near_score"].alias("near_score"))).alias("near"),
+    )
 
 
 def endpoints(rows: DataFrame) -> DataFrame:
@@ -295,15 +340,14 @@ def endpoints(rows: DataFrame) -> DataFrame:
         flat += [F.col(f"{name}.term_id").alias(f"{name}_id"), *(F.col(f"{name}.{x}").alias(f"{name}_{x}") for x in ("match_method", "confidence", "source_field"))]
     return rows.where("measurement is not null").select(
         F.col("id").alias("endpoint_id"), "nct_id", "outcome_type", "measure", "description", "time_frame", "population", *flat, "named_endpoint_id", "direction_id", "event_polarity_used",
-        "scale_id", F.col("m.concept_id").alias("concept_id"), "timepoint_pattern", "timepoint_match_method", F.to_json("extracted").alias("timepoint_extracted"),
+        "scale_id", "concept_id", "timepoint_pattern", "timepoint_match_method", F.to_json("extracted").alias("timepoint_extracted"),
         F.col("threshold.comparator").alias("threshold_comparator"), F.col("threshold.value").alias("threshold_value"), F.col("threshold.unit").alias("threshold_unit"), "analysable",
     )
 
 
 def review_queue(rows: DataFrame) -> DataFrame:
     """The sink of what has none: with the form and direction that it would get, and the nearest term."""
-    near = F.when(normalised(F.col("measure")) != "", F.col("in_measure")).otherwise(F.col("in_description"))
     return rows.where("measurement is null").select(
         F.col("id").alias("review_id"), "nct_id", "outcome_type", "measure", "description", "time_frame", "population", F.lit("measurement_unmatched").alias("reason"),
-        F.col("form.term_id").alias("candidate_form_id"), F.col("direction_id").alias("candidate_direction_id"), near["near_id"].alias("best_semantic_candidate"), near["near_score"].alias("best_semantic_score"), F.lit("pending").alias("status"),
+        F.col("form.term_id").alias("candidate_form_id"), F.col("direction_id").alias("candidate_direction_id"), F.col("near.near_id").alias("best_semantic_candidate"), F.col("near.near_score").alias("best_semantic_score"), F.lit("pending").alias("status"),
     )

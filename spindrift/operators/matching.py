@@ -1,8 +1,9 @@
 """Free text is tagged with the terms of a controlled vocabulary.
 
 The jobs work on distinct texts (``text_id``, ``text``). A synonym's candidates come from an equi-join of the
-texts' word n-grams with the synonyms'; only candidates meet the exact expression. Vocabulary tables are
-configuration of a few thousand rows; :func:`checked_broadcast` broadcasts one only below a size bound.
+texts' word n-grams with the synonyms', a pattern's from the literals that each of its matches contains
+(:mod:`.literals`); only candidates meet the exact expression. Vocabulary tables are configuration of a few thousand
+rows; :func:`checked_broadcast` broadcasts one only below a size bound, and :func:`small` makes one's size known.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, short_capitals, stripped
+from . import literals
 
 #: Bytes, as Spark estimates them, up to which a vocabulary table is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Rows of a rule table that may be read into a plan: as literals or a local table, and by the index of patterns.
+MOST_RULES, MOST_PATTERNS = 2_000, 100_000
 # Words that say nothing about a term, and the confidence of each way of matching.
 STOPWORDS = ("the", "of", "a", "an", "in", "at", "to", "for", "with", "and", "or", "from", "on", "is", "are", "by", "as", "this", "that", "was", "were")
 CONFIDENCE = {"exact": 1.0, "named_endpoint": 0.9, "implied": 0.8, "syntactic_rule": 0.7, "semantic": 0.5}
@@ -21,8 +25,25 @@ CONFIDENCE = {"exact": 1.0, "named_endpoint": 0.9, "implied": 0.8, "syntactic_ru
 
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast where the optimizer's estimate of its size is in bounds; runs no job."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= most else df
+    return F.broadcast(df) if known_size(df) <= most else df
+
+
+def known_size(df: DataFrame) -> int:
+    """Bytes, as the optimizer estimates them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bounded(df: DataFrame, most: int = MOST_RULES) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules for one plan")
+    return rows
+
+
+def small(df: DataFrame, most: int = MOST_PATTERNS) -> DataFrame:
+    """A table derived from rules, read once into a local table, whose size the optimizer knows; as it is where it has more rows."""
+    rows = df.limit(most + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= most else df
 
 
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
@@ -71,16 +92,20 @@ def tag_synonyms(texts: DataFrame, synonyms: DataFrame, least_length: int = 2) -
     return found.select("text_id", "term_id", "matched_text", F.length("matched_text").alias("span"), F.lit("synonym").alias("via"))
 
 
-def tag_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """text_id, term_id, matched_text, span, via: every pattern (term_id, pattern, and literal if known) that a text matches.
+def matching(texts: DataFrame, column: str, rules: DataFrame, pattern: str) -> DataFrame:
+    """``texts`` with the columns of each rule whose pattern is found in the text, and ``matched_text``.
 
-    ``literal`` is a lower-case text that each match contains; texts without it never meet the pattern. Candidates are
-    sorted by pattern within a partition, so that each is compiled once there and not for each pair.
+    Candidates are sorted by pattern within a partition, so that each is compiled once there and not for each pair.
     """
-    if "literal" not in patterns.columns:
-        patterns = patterns.withColumn("literal", F.lit(""))
-    with_literal = texts.join(checked_broadcast(patterns.select("term_id", "pattern", "literal")), F.lower("text").contains(F.coalesce("literal", F.lit(""))))
-    found = with_literal.sortWithinPartitions("pattern").withColumn("matched_text", F.expr("regexp_substr(text, concat('(?iu)', pattern))")).where("matched_text is not null")
+    patterns = [r[0] for r in bounded(rules.select(pattern).where(F.col(pattern).isNotNull()).distinct(), MOST_PATTERNS)]
+    met = literals.candidates(texts, column, patterns).sortWithinPartitions("pattern")
+    found = met.withColumn("matched_text", F.regexp_substr(F.col(column), F.concat(F.lit("(?iu)"), F.col("pattern")))).where("matched_text is not null")
+    return found.join(checked_broadcast(rules.withColumnRenamed(pattern, "pattern")), "pattern").withColumnRenamed("pattern", pattern)
+
+
+def tag_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """text_id, term_id, matched_text, span, via: every pattern (term_id, pattern) that a text matches."""
+    found = matching(texts, "text", patterns.select("term_id", "pattern"), "pattern")
     return found.select("text_id", "term_id", "matched_text", F.length("matched_text").alias("span"), F.lit("pattern").alias("via"))
 
 

@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, plain_signs, stripped
 from ..sources.vocabulary import Vocabulary
-from .matching import checked_broadcast
-
-#: Rows of pattern and word tables that may go into a plan as literals.
-MOST_RULES = 2_000
+from .matching import bounded, checked_broadcast, small
 
 
 class Rules(NamedTuple):
@@ -29,13 +26,6 @@ class Rules(NamedTuple):
     fallback: str
 
 
-def bounded(df: DataFrame, most: int = MOST_RULES) -> list:
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rules for one plan")
-    return rows
-
-
 def load_rules(vocabulary: Vocabulary) -> Rules:
     words: dict[str, list[tuple[str, str]]] = {}
     for r in bounded(vocabulary["timepoint_words"]):
@@ -166,5 +156,5 @@ def disambiguated(rows: DataFrame, choices: DataFrame, form: str = "form_id") ->
     """Rows (timepoint_pattern, prepared, form) with the preferred pattern where the form asks for it and the text says 'through' or 'up to'."""
     window = F.col("prepared").rlike(r"(?i)\bthrough\b|\bup to\b")
     rule = choices.groupBy(F.col("otherwise").alias("_from"), F.col("form_id").alias("_form")).agg(F.min_by("prefer", "ordinal").alias("_prefer"))
-    out = rows.join(checked_broadcast(rule), (F.col("timepoint_pattern") == F.col("_from")) & (F.col(form) == F.col("_form")), "left")
+    out = rows.join(checked_broadcast(small(rule)), (F.col("timepoint_pattern") == F.col("_from")) & (F.col(form) == F.col("_form")), "left")
     return out.withColumn("timepoint_pattern", F.when(window & F.col("_prefer").isNotNull(), F.col("_prefer")).otherwise(F.col("timepoint_pattern"))).drop("_from", "_form", "_prefer")

@@ -82,17 +82,17 @@ def audit_unique_precedence(data: Data) -> DataFrame:
     return a.unique_precedence(t(data, "classes"))
 
 
-@query("""WITH RECURSIVE up(id, node, depth) AS (SELECT id, parent_id, 1 FROM (SELECT * FROM d_v_classes) c WHERE parent_id IS NOT NULL UNION SELECT u.id, c.parent_id, depth + 1 FROM up u JOIN d_v_classes c ON c.id = u.node WHERE c.parent_id IS NOT NULL AND depth < 16)
+@query("""WITH RECURSIVE up(id, node, depth) AS (SELECT id, parent_id, 1 FROM (SELECT * FROM d_v_classes) c WHERE parent_id IS NOT NULL UNION SELECT u.id, c.parent_id, depth + 1 FROM up u JOIN d_v_classes c ON c.id = u.node WHERE c.parent_id IS NOT NULL AND depth < (SELECT count(*) FROM d_v_classes))
     SELECT 'cycle' AS rule, id AS key FROM up WHERE id = node UNION SELECT 'parent_unknown', parent_id FROM d_v_classes WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM d_v_classes)
     UNION SELECT 'kind_differs', c.id FROM d_v_classes c JOIN d_v_classes p ON p.id = c.parent_id AND p.kind <> c.kind UNION SELECT 'not_before_parent', c.id FROM d_v_classes c JOIN d_v_classes p ON p.id = c.parent_id AND c.precedence >= p.precedence""")
 def audit_hierarchy(data: Data) -> DataFrame:
     return a.hierarchy(t(data, "classes"))
 
 
-@query("""WITH RECURSIVE up(child, ancestor, depth) AS (SELECT id, parent_id, 1 FROM (SELECT * FROM d_v_classes) c WHERE parent_id IS NOT NULL UNION SELECT u.child, c.parent_id, depth + 1 FROM up u JOIN d_v_classes c ON c.id = u.ancestor WHERE c.parent_id IS NOT NULL AND depth < 16)
+@query("""WITH RECURSIVE up(child, ancestor, depth) AS (SELECT id, parent_id, 1 FROM (SELECT * FROM d_v_classes) c WHERE parent_id IS NOT NULL UNION SELECT u.child, c.parent_id, depth + 1 FROM up u JOIN d_v_classes c ON c.id = u.ancestor WHERE c.parent_id IS NOT NULL AND depth < (SELECT count(*) FROM d_v_classes))
     SELECT child, ancestor, CAST(min(depth) AS INT) AS depth FROM up GROUP BY child, ancestor""")
 def class_rollup(data: Data) -> DataFrame:
-    """Every class with its ancestors, up to 16 levels."""
+    """Every class with its ancestors."""
     return a.ancestors(t(data, "classes").select(F.col("id").alias("child"), F.col("parent_id").alias("parent")))
 
 

@@ -18,22 +18,23 @@ from .matching import _STOP, _values
 from .projections import ONCE, VIEWS, Data
 from .registry import query
 
-UNIT, NUMBER = "minute|hour|day|week|month|year", r"\d+(?:\.\d+)?"
-#: Time frame patterns: (term, priority, guards, patterns).
+UNIT = "(?:minute|hour|day|night|week|month|year)"
+#: Time frame patterns: (term, priority, guards, patterns), for the shapes of FRAME_SHAPES.
 FRAMES = [
-    ("event_driven", 10, [], [rf"event[- ]driven(?:.*?(?P<estimated_max_value>{NUMBER})\s*(?P<estimated_max_unit>{UNIT})s?)?", r"until (?:disease )?progression|until death"]),
-    ("visit_window", 20, [], [rf"(?P<value>{NUMBER})\s*±\s*(?P<window_pm>\d+)\s*(?P<unit>{UNIT})s?\b", rf"(?P<unit2>{UNIT})\s*(?P<value2>\d+)\s*±\s*(?P<window_pm2>\d+)"]),
-    ("multi_timepoint", 35, [], [rf"(?P<unit>{UNIT}|visit)s?\s*(?P<values>\d+(?:\s*(?:,|;|\band\b)\s*(?:and\s*)?\d+)+)", rf"(?:(?P<unit2>{UNIT}|visit)s?\s*\d+\s*(?:,|;|&|\band\b)\s*(?:and\s+)?)+(?:{UNIT}|visit)s?\s*\d+"]),
-    ("baseline_to_timepoint", 40, [], [rf"\bbaseline\s*(?:,|;|and\b|to\b|through\b|up to\b|until\b)\s*(?P<unit>{UNIT}|visit)\s*(?P<value>{NUMBER})", rf"^(?P<unit2>week|day)\s*0\b.*?\bto\s+(?:week|day)\s*(?P<value2>\d+)", rf"(?P<value3>{NUMBER})\s*(?P<unit3>{UNIT})s?\s*from baseline"]),
-    ("anchored_offset", 45, [r"\bup to\b", r"\bthroughout\b"], [rf"(?P<value>{NUMBER})\s*(?P<unit>{UNIT})s?\s*(?:following|after|post|from)\s*(?:the\s+)?(?P<anchor>[a-z]+)"]),
-    ("single_fixed", 50, [], [rf"^(?:at\s+)?(?P<unit>{UNIT}|visit)\s*(?P<value>{NUMBER})$", rf"^at\s+(?P<value2>{NUMBER})\s*(?P<unit2>{UNIT})s?$"]),
-    ("bare_duration", 60, [], [rf"^(?P<approximate>approximately|about)?\s*(?P<value>{NUMBER})\s*(?P<unit>{UNIT})s?$"]),
-    ("cumulative_window", 70, [], [rf"\b(?:up to|through|throughout|during|within)\b[^.;]*?(?P<end_value>{NUMBER})\s*(?P<end_unit>{UNIT})s?", rf"\b(?:up to|through)\b[^.;]*?(?P<end_unit2>{UNIT})\s*(?P<end_value2>\d+)", rf"^(?P<start_unit>{UNIT})\s*(?P<start_value>\d+)\s*to\s*(?:{UNIT})\s*(?P<end_value3>\d+)"]),
-    ("event_relative", 80, [], [r"^(?P<anchor>periprocedural|perioperative)$", r"^day of (?P<anchor2>[a-z ]+)$", r"^(?:at )?(?P<anchor3>discharge|end of treatment|end of study)$"]),
-    ("baseline_only", 90, [], [r"^(?:at\s+)?baseline$"]),
-]
+    ("event_driven", 10, [], [r"\bas long as it takes\b(?:\D*(?P<estimated_max_value>\d+) (?P<estimated_max_unit>%U))?", r"\buntil (?:relapse|withdrawal)\b"]),
+    ("visit_window", 20, [], [r"(?P<unit>%U) (?P<value>\d+) ?± ?(?P<window_pm>\d+)", r"(?P<window_pm2>\d+) %Us? either side of (?P<unit2>%U) (?P<value2>\d+)"]),
+    ("multi_timepoint", 35, [], [r"\beach of (?P<unit>%U)s? (?P<values>\d+(?:, \d+)* and \d+)", r"(?P<unit2>%U) \d+[,;] ?%U \d+"]),
+    ("baseline_to_timepoint", 40, [], [r"^from (?:entry|baseline|screening) (?:up )?to (?P<unit>%U) (?P<value>\d+)", r"(?P<value2>\d+) (?P<unit2>%U)s? after (?:entry|baseline)$"]),
+    ("anchored_offset", 45, [r"\bas late as\b"], [r"(?P<value>\d+) (?P<unit>%U)s? (?:after|past|since) (?P<anchor>\w+)$"]),
+    ("single_fixed", 50, [], [r"^(?:(?:on|in) (?:the )?)?(?P<unit>%U) (?P<value>\d+)$"]),
+    ("bare_duration", 60, [], [r"^(?:(?P<approximate>roughly|some) )?(?P<value>\d+) (?P<unit>%U)s?$"]),
+    ("cumulative_window", 70, [], [r"\b(?:until|as late as|all through) (?P<end_value>\d+) (?P<end_unit>%U)s?", r"\b(?:until|as late as|all through) (?P<end_unit2>%U) (?P<end_value2>\d+)"]),
+    ("event_relative", 80, [], [r"^(?:during|at) (?P<anchor>surgery|delivery|dialysis)$", r"^(?P<anchor2>end of treatment)$"]),
+    ("baseline_only", 90, [], [r"^(?:on entry|baseline)$"]),
+]
+FRAMES = [(name, priority, guards, [p.replace("%U", UNIT) for p in patterns]) for name, priority, guards, patterns in FRAMES]
 WORDS = {
-    "unit": [(w, w) for x in ("minute", "hour", "day", "week", "month", "year") for w in (x, f"{x}s")],
+    "unit": [(w, w) for x in ("minute", "hour", "day", "night", "week", "month", "year") for w in (x, f"{x}s")],
     "numeral": [("two", "2"), ("four", "4"), ("twenty-four", "24"), ("twelve", "12")],
     "typo": [("basline", "baseline")],
     "abbreviation": [("wk", "week"), ("wks", "weeks"), ("mos", "months"), ("eot", "end of treatment"), ("upto", "up to")],
@@ -112,13 +113,13 @@ SHAPES = [
 ]
 #: Shapes of time frames, with {q} for a number: the text, and what it is read as.
 FRAME_SHAPES = [
-    ("Baseline, Week {q}", "baseline_to_timepoint", {"unit": "Week", "value": "{q}"}), ("Through Week {q}", "cumulative_window", {"end_unit": "Week", "end_value": "{q}"}), ("{q}th week", "single_fixed", {"unit": "week", "value": "{q}"}),
-    ("Week-{q}", "single_fixed", {"unit": "Week", "value": "{q}"}), ("{q} months", "bare_duration", {"unit": "month", "value": "{q}"}), ("Weeks 4, 8, and {q}", "multi_timepoint", {"unit": "Week", "values": "4, 8, and {q}"}),
-    ("{q} days following randomization", "anchored_offset", {"unit": "day", "value": "{q}", "anchor": "randomization"}), ("90 +/- {q} days", "visit_window", {"unit": "day", "value": "90", "window_pm": "{q}"}), ("Periprocedural", "event_relative", {"anchor": "Periprocedural"}),
-    ("Day of Surgery", "event_relative", {"anchor": "Surgery"}), ("Basline.", "baseline_only", None), ("Week 0 (Visit 1) to Week {q} (Visit 9)", "baseline_to_timepoint", {"unit": "Week", "value": "{q}"}),
-    ("Event-driven, trial is estimated to be up to {q} years", "event_driven", {"estimated_max_value": "{q}", "estimated_max_unit": "year"}), ("week 2、week {q}", "multi_timepoint", {"unit": "week"}), ("Up to {q} wks", "cumulative_window", {"end_value": "{q}", "end_unit": "week"}),
-    ("EOT", "event_relative", {"anchor": "end of treatment"}), ("baseline up to week {q}", "baseline_to_timepoint", {"unit": "week", "value": "{q}"}), ("At twenty-four weeks", "single_fixed", {"value": "24", "unit": "week"}),
-    ("about {q} months", "bare_duration", {"approximate": "about", "value": "{q}", "unit": "month"}), ("whenever it happens", "unspecified", None), ("Baseline \u2013 (screening) and Day {q}", "unspecified", None), ("week 24 to week {q}", "cumulative_window", {"start_unit": "week", "start_value": "24", "end_value": "{q}"}),
+    ("From baseline to week {q}", "baseline_to_timepoint", {"unit": "week", "value": "{q}"}), ("All through month {q}", "cumulative_window", {"end_unit": "month", "end_value": "{q}"}), ("On the {q}th day", "single_fixed", {"unit": "day", "value": "{q}"}),
+    ("Night-{q}", "single_fixed", {"unit": "Night", "value": "{q}"}), ("roughly {q} years", "bare_duration", {"approximate": "roughly", "value": "{q}", "unit": "year"}), ("Each of days 2, 9 and {q}", "multi_timepoint", {"unit": "day", "values": "2, 9 and {q}"}),
+    ("{q} hours past randomisation", "anchored_offset", {"unit": "hour", "value": "{q}", "anchor": "randomisation"}), ("Month 6 +/- {q} days", "visit_window", {"unit": "Month", "value": "6", "window_pm": "{q}"}), ("During delivery", "event_relative", {"anchor": "delivery"}),
+    ("At surgery.", "event_relative", {"anchor": "surgery"}), ("basline", "baseline_only", None), ("Day 1 (arrival) until day {q} (leaving)", "cumulative_window", {"end_unit": "day", "end_value": "{q}"}),
+    ("As long as it takes, {q} years at most", "event_driven", {"estimated_max_value": "{q}", "estimated_max_unit": "year"}), ("day 3、day {q}", "multi_timepoint", {"unit": "day"}), ("until {q} mos", "cumulative_window", {"end_value": "{q}", "end_unit": "month"}),
+    ("EOT", "event_relative", {"anchor": "end of treatment"}), ("From baseline up to week {q}", "baseline_to_timepoint", {"unit": "week", "value": "{q}"}), ("In week twelve", "single_fixed", {"unit": "week", "value": "12"}),
+    ("some {q} minutes", "bare_duration", {"approximate": "some", "value": "{q}", "unit": "minute"}), ("whenever it happens", "unspecified", None), ("From screening \u2013 day {q}", "unspecified", None), ("{q} days either side of month 3", "visit_window", {"window_pm": "{q}", "unit": "month", "value": "3"}),
 ]
 
 

@@ -198,7 +198,7 @@ def p_value_summary(data: Data) -> DataFrame:
     return reports.p_value_summary(data.view("p_analyses"))
 
 
-_M = r"'margin[^0-9+\-]{0,24}([+-])?\s*(\d+(?:\.\d+)?)\s*(%|[A-Za-z/·µ]{1,12})?'"
+_M = f"'{reports.MARGIN.removeprefix('(?i)')}'"
 
 
 @query(

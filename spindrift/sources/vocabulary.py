@@ -6,6 +6,7 @@ nested dimension documents (one JSON object for each dimension). It is configura
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ class Vocabulary:
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._tables:
             return self._tables[name]
-        return self.spark.createDataFrame([], TABLES[name])
+        return local(self.spark, [], TABLES[name])
 
     def of(self, name: str, dimension: str) -> DataFrame:
         """A table's rows of one dimension."""
@@ -64,7 +65,14 @@ class Vocabulary:
 
 
 def from_rows(spark: SparkSession, rows: dict[str, list[tuple]]) -> Vocabulary:
-    return Vocabulary(spark, {name: spark.createDataFrame(r, TABLES[name]) for name, r in rows.items()})
+    return Vocabulary(spark, {name: local(spark, r, TABLES[name]) for name, r in rows.items()})
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows as a local table: the optimizer knows its size, which it doesn't for one made of Python rows."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))]
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(fields)}))
 
 
 def load(spark: SparkSession, folder: str, names: list[str], kind: str = "parquet") -> Vocabulary:
