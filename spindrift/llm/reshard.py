@@ -23,6 +23,7 @@ from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import scratch_path, table, text_or_empty, written
 
@@ -110,6 +111,9 @@ def place(docs: DataFrame, old: Column, shards: int = 16, old_shards: int = 16,
         F.monotonically_increasing_id().alias("row"),
     )
     rows = written(rows, "reshard-rows")
+    strange = rows.where(~F.col("old_shard").between(0, old_shards - 1)).select("old_shard").limit(5).collect()
+    if strange:
+        raise ValueError(f"old shards beyond 0 to {old_shards - 1}: {sorted({r['old_shard'] for r in strange})}")
     sizes = {r["old_shard"]: (r["bytes"], r["n"]) for r in rows.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
     supply = [sizes.get(i, (0, 0))[0] for i in range(old_shards)]
     count = sum(n for _, n in sizes.values())
@@ -150,24 +154,24 @@ def place(docs: DataFrame, old: Column, shards: int = 16, old_shards: int = 16,
 def _keyed(rows: DataFrame, key: list[str], order: list[str], slices: int) -> DataFrame:
     """``rows`` with ``__nth``, the place of each among those of equal ``key``.
 
-    A key's rows are numbered in slices (by ``__row``), so that no task orders all rows of a hot key; ``rows``
-    must read the same each time.
+    A key's rows are numbered in slices (by a hash of ``order``), so that no task orders all rows of a hot key.
     """
-    rows = rows.withColumn("__slice", F.pmod(F.col("__row"), F.lit(slices)))
+    rows = rows.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
     before = Window.partitionBy(*key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy(*key, "__slice").agg(F.count(F.lit(1)).alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     within = F.row_number().over(Window.partitionBy(*key, "__slice").orderBy(*order))
-    return rows.withColumn("__within", within).join(bases, [*key, "__slice"]).withColumn("__nth", F.col("__base") + F.col("__within")).drop("__base", "__within", "__slice", "__row")
+    return rows.withColumn("__within", within).join(bases, [*key, "__slice"]).withColumn("__nth", F.col("__base") + F.col("__within")).drop("__base", "__within", "__slice")
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str | None = None, old: Column | None = None) -> str:
-    """Write the new shards' files, ``shard=N`` folders in the order of the slots; returns their folder.
+    """Write the new shards' files, ``shard=N`` folders whose files are sorted by ``slot``; returns their folder.
 
     ``docs`` are the documents that were placed, ``old`` the column that gave their old shards. With it, only the
     shards of :func:`affected` are written: the others keep their old files. Without it every shard is.
 
-    Each row goes to one slot, by id (null too), size and CRC of the text, old shard and the number among rows in
-    which these are equal. Columns of ``docs`` named ``shard`` or ``slot`` give way to the plan's.
+    Each row goes to one slot, by id (null too), size and CRC of the text, and old shard. Where several rows agree in all of these
+    (``repeated``), they are numbered on both sides, documents by a hash of all their columns, so that rows are told apart as
+    far as they differ. A document moves once, to the task that writes it. Columns of ``docs`` named ``shard`` or ``slot`` give way to the plan's.
     """
     path = path or scratch_path(docs.sparkSession, "shards")
     text = text_or_empty()
@@ -178,27 +182,33 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str | None = None, old: Co
         (F.octet_length(text) + F.lit(1)).cast("long").alias("__size"),
         F.crc32(text.cast("binary")).alias("__crc"),
         (F.lit(0) if old is None else F.coalesce(old.cast("int"), F.lit(0))).alias("__old"),
-        F.monotonically_increasing_id().alias("__row"),
+        F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType))).alias("__row"),
     )
-    docs = written(docs, "reshard-docs")
     slots = placed.select(
         F.coalesce("doc_id", F.lit(0)).alias("__id"),
         F.col("doc_id").isNull().alias("__none"),
         F.col("size").alias("__size"),
         F.col("text_crc32").alias("__crc"),
         (F.lit(0) if old is None else F.col("old_shard")).alias("__old"),
-        F.col("slot").alias("__row"),
         "shard",
         "slot",
     )
+    if old is not None:
+        changed = affected(placed)
+        slots = slots.withColumn("__go", F.col("shard").isin(changed))
+    else:
+        slots = slots.withColumn("__go", F.lit(True))
     slots = written(slots, "reshard-slots")
     key = ["__id", "__none", "__size", "__crc", "__old"]
-    slices = max(1, -(-slots.count() // BLOCK_ROWS))
-    ids = _keyed(slots, key, ["shard", "slot"], slices)
-    if old is not None:
-        ids = ids.where(F.col("shard").isin(affected(placed)))
-    out = _keyed(docs, key, ["__row"], slices).join(ids, [*key, "__nth"]).drop(*key, "__nth")
-    out.repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    repeated = written(slots.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"), "reshard-repeated")
+    once = slots.join(repeated, key, "left_anti").where("__go")
+    out = docs.join(once, key).drop(*key, "__row", "__go")
+    if not repeated.isEmpty():
+        slices = max(1, -(-slots.count() // BLOCK_ROWS))
+        theirs = _keyed(slots.join(repeated, key, "left_semi"), key, ["shard", "slot"], slices)
+        mine = _keyed(docs.join(repeated, key, "left_semi"), key, ["__row"], slices)
+        out = out.unionByName(mine.join(theirs.select(*key, "__nth", "shard", "slot", "__go"), [*key, "__nth"]).where("__go").drop(*key, "__nth", "__row", "__go"))
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path
 
 
@@ -210,9 +220,16 @@ def affected(placed: DataFrame) -> list[int]:
 
 
 def op2_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents lie in old shards by their source (uneven); they are dealt evenly by bytes to 16 shards."""
+    """Documents lie in old shards by their source (uneven); they are dealt evenly by bytes to 16 shards.
+
+    The affected shards' files are written and the rows come from them; shards that nothing enters or leaves keep their place.
+    """
     docs = table(spark, sf_dir, "documents")
-    placed = place(docs, F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(16)))
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
-    )
+    old = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(16))
+    placed = written(place(docs, old), "reshard-plan")
+    changed = affected(placed)
+    files = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(rewrite(docs, placed, old=old))
+    text = text_or_empty()
+    moved = files.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "slot")
+    stay = placed.where(~F.col("shard").isin(changed)).select("doc_id", "size", "text_crc32", "shard", "slot")
+    return moved.unionByName(stay).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -14,9 +14,12 @@ A record is ``LENGTH`` little-endian 16-bit ids, filled with ``FILL``. Reading f
 row * stride in the shard that holds s, so a reader can resume anywhere. Files are written under a name of
 the attempt and renamed, so that a repeated task replaces its own file.
 
-Defined results: null and empty texts are one sequence of the end id alone; rows without ``doc_id`` take the
-indices beside those of the smallest id; rows that share an id keep all their sequences, ordered by their content; an
-empty table gives no shards and an empty result; other columns are ignored.
+Rows without an id of their own (none, or one that several rows have) would all have one index; they are spread over all indices by a
+hash of their id, text and place in the input instead, beside those of the ids, so that no shard gets them all.
+
+Defined results: null and empty texts are one sequence of the end id alone; rows without ``doc_id`` and rows that share an id keep all
+their sequences, in an order that depends on their content (and, for equal ones, on the input's layout); an empty table gives no shards
+and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +55,7 @@ class Permutation:
         self.mask = np.uint64((1 << half) - 1)
         #: How many bits of the number are in the right half, and how many of the piece in the left one.
         self.down, self.up = np.uint64(max(half - bits, 0)), np.uint64(max(bits - half, 0))
-        #: A piece of a row without id is this many pieces behind.
+        #: A piece of a row without an id of its own is this many pieces behind.
         self.beside = 1 << (bits - 1)
         #: How many left halves there are.
         self.lefts = ((most << int(self.up)) >> int(self.down)) + (1 << int(self.up))
@@ -88,16 +91,28 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def with_spread(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with ``spread``: null for an id of one row, else a number that spreads the rows without such an id."""
+    number = F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).bitwiseAND((1 << 62) - 1)
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = written(twice, "training-repeats")
+    if twice.isEmpty():
+        return docs.withColumn("spread", F.when(F.col("doc_id").isNull(), number))
+    numbered = docs.withColumn("number", number).join(twice, F.col("doc_id") == F.col("again"), "left")
+    return numbered.select("doc_id", "text", F.when(F.col("doc_id").isNull() | F.col("again").isNotNull(), F.col("number")).alias("spread"))
+
+
 def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH, key: int = KEY) -> tuple[str, DataFrame]:
     """Write the shards; returns their folder and, for each sequence, doc_id, start, length, slot, shard, row, ids_crc32."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "training-order")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = with_spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     size = F.octet_length(F.coalesce("text", F.lit("")))
     seen = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(size).alias("most"), F.sum(size.cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     low, high = (seen["low"] or 0), (seen["high"] or 0)
     pieces = ((seen["most"] or 0) + 1 + length - 1) // length  # no text has more ids than bytes
-    order_of = Permutation(high - low, 1 + pieces.bit_length(), key)
+    most = max(high - low, seen["n"] - 1, 0)
+    order_of = Permutation(most, 1 + pieces.bit_length(), key)
     shards = min(MOST_SHARDS, max(1, -(-(seen["bytes"] or 0) // SHARD_TEXT)), order_of.lefts)
     width = np.uint64(-(-order_of.lefts // shards))
 
@@ -105,17 +120,19 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
         encode, end = word_encoder(), END.to_bytes(2, "little")
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                ids, starts, data = [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                ids, starts, data, numbers, beside = [], [], [], [], []
+                for doc_id, text, place in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("spread").to_pylist(), strict=True):
                     raw = encode(text) + end if text else end
                     at = range(0, len(raw) // 2, length)
                     ids += [doc_id] * len(at)
+                    numbers += [doc_id - low if place is None else place % (most + 1)] * len(at)
+                    beside += [0 if place is None else order_of.beside] * len(at)
                     starts += at
                     data += [raw[2 * i : 2 * (i + length)] for i in at]
                 if not ids:
                     continue
-                number = np.array([0 if k is None else k - low for k in ids], np.uint64)
-                piece = np.array(starts, np.uint64) // np.uint64(length) + np.array([order_of.beside if k is None else 0 for k in ids], np.uint64)
+                number = np.array(numbers, np.uint64)
+                piece = np.array(starts, np.uint64) // np.uint64(length) + np.array(beside, np.uint64)
                 left, right = order_of(number, piece)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((left // width).astype(np.int32)), pa.array(left.astype(np.int64)), pa.array(right.astype(np.int64)), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())],

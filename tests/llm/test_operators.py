@@ -146,6 +146,8 @@ def test_every_row_gets_a_slot(spark, odd, empty):
         slots = sorted(r["slot"] for r in placed if r["shard"] == k)
         assert slots == list(range(len(slots)))
     assert reshard.place(empty, F.lit(0)).count() == 0
+    with pytest.raises(ValueError, match="beyond"):
+        reshard.place(odd, F.lit(20))
 
 
 def test_bytes_are_near_equal_and_files_follow_the_plan(spark, small):
@@ -447,8 +449,10 @@ def permuted(number, piece, most, bits, key=training_order.KEY):
 def test_slots_are_the_sorted_permuted_indices(spark):
     ids = [3, 9, -(2**63), 2**63 - 1, 0, 77]
     docs = [(i, prose(900 + n, 40 + 60 * n)) for n, i in enumerate(ids)] + [(None, prose(990, 30))]
-    path, rows = training_order.materialise(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), length=16)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    path, rows = training_order.materialise(table, length=16)
     low, high = min(ids), max(ids)
+    (spread,) = [r["spread"] for r in training_order.with_spread(table).collect() if r["spread"] is not None]
     bits = 1 + (max(len((t or "").encode()) for _, t in docs) // 16 + 1).bit_length()
     encode = tokens.word_encoder()
     order = []
@@ -456,12 +460,21 @@ def test_slots_are_the_sorted_permuted_indices(spark):
         n = len(encode(text)) // 2 + 1
         for p in range(-(-n // 16)):
             piece = p + (1 << (bits - 1) if i is None else 0)
-            order.append((permuted(0 if i is None else i - low, piece, high - low, bits), i, 16 * p))
+            order.append((permuted(spread % (high - low + 1) if i is None else i - low, piece, high - low, bits), i, 16 * p))
     want = [(i, start) for _, i, start in sorted(order)]
     assert [(r["doc_id"], r["start"]) for r in rows.orderBy("slot").collect()] == want
     assert len(list(training_order.read(path))) == len(want)
 
 
+def test_rows_without_an_id_of_their_own_are_spread_over_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(training_order, "SHARD_TEXT", 2_000)
+    docs = [((None, 7, 1000 + k)[k % 3], prose(k, 20) if k % 2 else "the same text of many rows") for k in range(900)]
+    _, rows = training_order.materialise(spark.createDataFrame(docs, "doc_id long, text string"), length=16)
+    counts = [r["count"] for r in rows.groupBy("shard").count().collect()]
+    assert len(counts) > 15 and max(counts) < 2.5 * sum(counts) / len(counts)
+    assert rows.agg(F.count_distinct("slot")).first()[0] == sum(counts) == rows.agg(F.max("slot")).first()[0] + 1
+
+
 def test_training_order_files(spark, odd, empty):
     path, rows = training_order.materialise(odd, length=64)
     rows = rows.collect()
@@ -477,7 +490,10 @@ def test_training_order_files(spark, odd, empty):
         assert any(t[r["start"] : r["start"] + 64] == ids.tolist() for t in texts[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(ids.astype("<u4").tobytes())
     assert [x.tolist() for x in training_order.read(path, 5)] == [x.tolist() for x in seen[5:]]
     again = training_order.materialise(odd.repartition(5), length=64)[1].collect()
-    assert sorted((r["slot"], r["ids_crc32"]) for r in again) == sorted((r["slot"], r["ids_crc32"]) for r in rows)
+    assert sorted(r["ids_crc32"] for r in again) == sorted(r["ids_crc32"] for r in rows)
+    # The order of what has an id of its own doesn't depend on the input's layout.
+    own = lambda found: [(r["doc_id"], r["start"]) for r in sorted(found, key=lambda r: r["slot"]) if len(texts[r["doc_id"]]) == 1]
+    assert own(again) == own(rows)
     assert training_order.materialise(empty)[1].count() == 0
 
 
