@@ -169,24 +169,52 @@ def curated_against_ancestry(interventions: DataFrame, by_intervention: DataFram
     return both.groupBy("name", "kind", F.col("class_id").alias("curated"), "ancestor").agg(F.count(F.lit(1)).alias("n"))
 
 
-def resolve_areas(studies: DataFrame, conditions: DataFrame, interventions: DataFrame, branches: DataFrame, rules: DataFrame, areas: DataFrame) -> DataFrame:
-    """nct_id, ta_id, layer, matched_on, is_primary: every area of every study by its strongest layer.
+def condition_areas(conditions: DataFrame, rules: DataFrame) -> DataFrame:
+    """nct_id, text, layer, ta_id: the first answer of each condition (nct_id, mesh_term, tree_number), by the rules that are given.
 
-    conditions: nct_id, mesh_term, tree_number (null where unknown); interventions: nct_id, mesh_term; branches: nct_id,
-    branch_abbrev, branch_name; rules: layer, key, ta_id, ordinal. A condition's first answer counts: an exact override,
-    the longest tree prefix (of several tree numbers' the longest, then the smallest area), the first pattern. Without any match the default tells whether there were conditions.
+    An exact override, the longest tree prefix (of several tree numbers' the longest, then the smallest area), the first pattern.
     """
-    plain = lambda c: F.lower(stripped(collapsed(F.col(c))))
     classed = rules.withColumnRenamed("ta_id", "class_id")
     prefixes = rules.where("layer = 'tree_prefix'").select(F.col("key").alias("prefix"), "ta_id")
-    c = conditions.select("nct_id", plain("mesh_term").alias("text"), "tree_number").distinct()
+    c = conditions.select("nct_id", F.lower(stripped(collapsed(F.col("mesh_term")))).alias("text"), "tree_number").distinct()
     by_text = string_hits(c.select("text"), classed, ["term_override"], ["term_pattern"]).groupBy("text", "layer").agg(F.min_by("class_id", F.struct("rule_rank", "class_id")).alias("ta_id"))
     trees = match_longest_prefix(c.where("tree_number is not null"), prefixes)
     by_tree = c.join(trees, "tree_number").select("nct_id", "text", F.lit("tree_prefix").alias("layer"), "ta_id", (-F.length("prefix")).alias("short"))
     each = c.join(by_text, "text").select("nct_id", "text", "layer", "ta_id", F.lit(0).alias("short")).unionByName(by_tree).withColumn("layer_rank", rank_of(AREA_LAYERS))
-    by_condition = each.groupBy("nct_id", "text").agg(F.min(F.struct("layer_rank", "short", "ta_id", "layer")).alias("b")).select("nct_id", "text", "b.layer", "b.ta_id")
+    return each.groupBy("nct_id", "text").agg(F.min(F.struct("layer_rank", "short", "ta_id", "layer")).alias("b")).select("nct_id", "text", "b.layer", "b.ta_id")
+
+
+def branch_areas(branches: DataFrame, rules: DataFrame) -> DataFrame:
+    """nct_id, text, layer, ta_id of branches (nct_id, branch_abbrev, branch_name), by the tree prefixes."""
+    prefixes = rules.where("layer = 'tree_prefix'").select(F.col("key").alias("prefix"), "ta_id")
     b = branches.select("nct_id", branch_to_prefix(F.col("branch_abbrev")).alias("tree_number"), F.coalesce("branch_name", "branch_abbrev").alias("text")).where("tree_number is not null").distinct()
-    by_branch = b.join(match_longest_prefix(b, prefixes).select("tree_number", "ta_id"), "tree_number").select("nct_id", "text", F.lit("tree_prefix").alias("layer"), "ta_id")
+    return b.join(match_longest_prefix(b, prefixes).select("tree_number", "ta_id"), "tree_number").select("nct_id", "text", F.lit("tree_prefix").alias("layer"), "ta_id")
+
+
+def tree_against_pattern(conditions: DataFrame, branches: DataFrame, rules: DataFrame) -> DataFrame:
+    """part, a, b, n: where two ways of finding areas differ, counted; null is an answer.
+
+    'condition': what the tree says of a condition (a) against the patterns (b), over all conditions. 'study': the areas that a study's
+    branches (a) or its conditions (b) alone give it.
+    """
+    texts = conditions.select("nct_id", F.lower(stripped(collapsed(F.col("mesh_term")))).alias("text")).distinct()
+    tree, pattern = (condition_areas(conditions, rules.where(F.col("layer") == layer)) for layer in ("tree_prefix", "term_pattern"))
+    answers = [texts.join(found.select("nct_id", "text", F.col("ta_id").alias("answer")), ["nct_id", "text"], "left") for found in (tree, pattern)]
+    by_condition = disagreements(*answers, ["nct_id", "text"])
+    of = lambda found: found.select("nct_id", "ta_id", F.col("ta_id").alias("answer")).distinct()
+    by_study = disagreements(of(branch_areas(branches, rules)), of(condition_areas(conditions, rules)), ["nct_id", "ta_id"])
+    return by_condition.select(F.lit("condition").alias("part"), "a", "b", "n").unionByName(by_study.select(F.lit("study").alias("part"), "a", "b", "n"))
+
+
+def resolve_areas(studies: DataFrame, conditions: DataFrame, interventions: DataFrame, branches: DataFrame, rules: DataFrame, areas: DataFrame) -> DataFrame:
+    """nct_id, ta_id, layer, matched_on, is_primary: every area of every study by its strongest layer.
+
+    conditions: nct_id, mesh_term, tree_number (null where unknown); interventions: nct_id, mesh_term; branches: nct_id,
+    branch_abbrev, branch_name; rules: layer, key, ta_id, ordinal. Without any match the default tells whether there were conditions.
+    """
+    plain = lambda c: F.lower(stripped(collapsed(F.col(c))))
+    classed = rules.withColumnRenamed("ta_id", "class_id")
+    by_condition, by_branch = condition_areas(conditions, rules), branch_areas(branches, rules)
     i = interventions.select("nct_id", plain("mesh_term").alias("text")).distinct()
     drug = string_hits(i.select("text"), classed, [], ["intervention_rule"]).groupBy("text", "layer").agg(F.min_by("class_id", F.struct("rule_rank", "class_id")).alias("ta_id"))
     by_drug = i.join(drug, "text").select("nct_id", "text", "layer", "ta_id")

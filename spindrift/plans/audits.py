@@ -20,7 +20,8 @@ V = {
     "v_concepts": "SELECT DISTINCT p_brand AS id FROM part WHERE p_size > 20 AND p_brand > 'Brand#2' UNION ALL SELECT s_name FROM supplier",
     "v_scales": """SELECT 'u' || CAST(s_suppkey AS VARCHAR(12)) AS id, CASE WHEN s_suppkey % 7 > 0 THEN 'u' || CAST(s_suppkey - s_suppkey % 7 AS VARCHAR(12)) WHEN s_nationkey % 2 = 0 THEN 'u' || CAST(s_suppkey AS VARCHAR(12)) END AS si_equivalent,
       CASE WHEN s_suppkey % 7 = 0 AND s_nationkey < 20 THEN CAST(1 AS DOUBLE) ELSE CAST(s_nationkey AS DOUBLE) / 10 END AS factor_to_si FROM supplier""",
-    "v_classes": """SELECT 'k' || CAST(p_partkey AS VARCHAR(12)) AS id, CASE WHEN p_partkey % 50 = 3 THEN 'k' || CAST(p_partkey + 1 AS VARCHAR(12)) WHEN p_partkey > 10 THEN 'k' || CAST(p_partkey - 1 - p_partkey % 3 AS VARCHAR(12)) END AS parent_id,
+    "v_classes": """SELECT 'k' || CAST(p_partkey AS VARCHAR(12)) AS id, CASE WHEN p_partkey % 100 BETWEEN 40 AND 58 OR p_partkey % 100 BETWEEN 60 AND 88 THEN 'k' || CAST(p_partkey + 1 AS VARCHAR(12)) WHEN p_partkey % 100 = 59 THEN 'k' || CAST(p_partkey - 19 AS VARCHAR(12))
+        WHEN p_partkey % 100 = 95 THEN 'k' || CAST(p_partkey + 1000000 AS VARCHAR(12)) WHEN p_partkey > 10 THEN 'k' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS VARCHAR(12)) END AS parent_id,
       CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'control' ELSE 'pharmacologic' END AS kind, CASE WHEN p_size > 2 THEN CAST(100000 - p_partkey AS INT) END AS precedence FROM part""",
     "v_rules": "SELECT CASE p_size % 3 WHEN 0 THEN 'control' WHEN 1 THEN 'branch' ELSE 'agent' END AS layer, p_name AS key, 'k' || CAST(p_partkey + p_size - 10 AS VARCHAR(12)) AS class_id FROM part",
     "v_cascade": """SELECT p_type AS dimension, CAST(p_size AS INT) AS ordinal, CASE WHEN p_size % 3 = 0 THEN 'measure' WHEN p_size % 3 = 1 THEN 'title' END AS field, CASE WHEN p_size % 3 < 2 THEN CASE WHEN p_brand LIKE '%1' THEN 'guess' ELSE 'exact' END END AS match_method,
@@ -82,17 +83,17 @@ def audit_unique_precedence(data: Data) -> DataFrame:
     return a.unique_precedence(t(data, "classes"))
 
 
-@query("""WITH RECURSIVE up(id, node, depth) AS (SELECT id, parent_id, 1 FROM (SELECT * FROM d_v_classes) c WHERE parent_id IS NOT NULL UNION SELECT u.id, c.parent_id, depth + 1 FROM up u JOIN d_v_classes c ON c.id = u.node WHERE c.parent_id IS NOT NULL AND depth < (SELECT count(*) FROM d_v_classes))
+@query("""WITH RECURSIVE up(id, node) AS (SELECT id, parent_id FROM (SELECT * FROM d_v_classes) c WHERE parent_id IS NOT NULL UNION SELECT u.id, c.parent_id FROM up u JOIN d_v_classes c ON c.id = u.node WHERE c.parent_id IS NOT NULL)
     SELECT 'cycle' AS rule, id AS key FROM up WHERE id = node UNION SELECT 'parent_unknown', parent_id FROM d_v_classes WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM d_v_classes)
     UNION SELECT 'kind_differs', c.id FROM d_v_classes c JOIN d_v_classes p ON p.id = c.parent_id AND p.kind <> c.kind UNION SELECT 'not_before_parent', c.id FROM d_v_classes c JOIN d_v_classes p ON p.id = c.parent_id AND c.precedence >= p.precedence""")
 def audit_hierarchy(data: Data) -> DataFrame:
     return a.hierarchy(t(data, "classes"))
 
 
-@query("""WITH RECURSIVE up(child, ancestor, depth) AS (SELECT id, parent_id, 1 FROM (SELECT * FROM d_v_classes) c WHERE parent_id IS NOT NULL UNION SELECT u.child, c.parent_id, depth + 1 FROM up u JOIN d_v_classes c ON c.id = u.ancestor WHERE c.parent_id IS NOT NULL AND depth < (SELECT count(*) FROM d_v_classes))
+@query("""WITH RECURSIVE up(child, ancestor, depth) AS (SELECT id, parent_id, 1 FROM (SELECT * FROM d_v_classes) c WHERE parent_id IS NOT NULL UNION SELECT u.child, c.parent_id, depth + 1 FROM up u JOIN d_v_classes c ON c.id = u.ancestor WHERE c.parent_id IS NOT NULL AND depth < 150)
     SELECT child, ancestor, CAST(min(depth) AS INT) AS depth FROM up GROUP BY child, ancestor""")
 def class_rollup(data: Data) -> DataFrame:
-    """Every class with its ancestors."""
+    """Every class with its ancestors: rings of 20, chains of 30 and a tree with three children each, so that no way without a repeat has 150 steps."""
     return a.ancestors(t(data, "classes").select(F.col("id").alias("child"), F.col("parent_id").alias("parent")))
 
 
@@ -131,3 +132,10 @@ def audit_templates(data: Data) -> DataFrame:
 def audit_event_components(data: Data) -> DataFrame:
     words = t(data, "event_words")
     return a.event_components(t(data, "events"), t(data, "parts"), words, words.limit(0).select("dimension", "term_id"))
+
+
+@query("SELECT DISTINCT 'synonym_repeated' AS rule, dimension || '/' || s AS key FROM (SELECT dimension, lower(synonym) AS s, count(*) OVER (PARTITION BY dimension, lower(synonym)) AS n FROM d_v_synonyms) x WHERE n > 1")
+def audit_unique(data: Data) -> DataFrame:
+    """Synonyms that a dimension lists more than once, of whatever term."""
+    found = a.repeated(t(data, "synonyms").withColumn("s", F.lower("synonym")), "dimension", "s")
+    return a.broken(found, "synonym_repeated", "dimension", "s")

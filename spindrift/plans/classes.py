@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import axes
+from ..sources.vocabulary import local
 from .matching import _values
 from .projections import ONCE, VIEWS, Data
 from .registry import query
@@ -26,13 +27,13 @@ AREAS = [("oncology", None, 1), ("lung", None, 2), ("respiratory", None, 2), ("c
 _NCT = "'NCT' || lpad(CAST(l_orderkey AS VARCHAR(20)), 8, '0')"
 _FROM = "FROM lineitem JOIN part ON l_partkey = p_partkey"
 VIEWS |= {
-    "d_x_interventions": f"SELECT DISTINCT {_NCT} AS nct_id, CAST(l_partkey AS INT) AS ordinal, p_name AS name, p_type AS intervention_type {_FROM} WHERE l_orderkey % 10 > 0",
-    "d_x_other": f"SELECT DISTINCT {_NCT} AS nct_id, CAST(l_partkey AS INT) AS ordinal, p_brand AS other_name {_FROM} WHERE l_orderkey % 10 > 0 AND l_partkey % 2 = 0",
+    "d_x_interventions": f"SELECT DISTINCT {_NCT} AS nct_id, CAST(l_partkey AS INT) AS ordinal, p_name AS name, p_type AS intervention_type {_FROM} WHERE l_quantity > 3",
+    "d_x_other": f"SELECT DISTINCT {_NCT} AS nct_id, CAST(l_partkey AS INT) AS ordinal, p_brand AS other_name {_FROM} WHERE l_quantity > 3 AND l_partkey % 2 = 0",
     "d_x_mesh": f"SELECT DISTINCT {_NCT} AS nct_id, p_name AS mesh_term {_FROM} WHERE l_linenumber = 1 AND p_size > 25",
     "d_x_ancestors": f"SELECT DISTINCT {_NCT} AS nct_id, p_type AS mesh_term {_FROM} WHERE l_linenumber = 2 AND p_size > 30",
     "d_x_branches": f"SELECT DISTINCT {_NCT} AS nct_id, p_brand AS branch_name, 'BC0' || CAST(p_size % 9 AS VARCHAR(9)) AS branch_abbrev {_FROM} WHERE l_linenumber = 3",
-    "d_x_conditions": f"SELECT DISTINCT {_NCT} AS nct_id, p_name AS mesh_term, CASE p_size % 5 WHEN 0 THEN 'C04.1' WHEN 1 THEN 'C04.2.7' WHEN 2 THEN 'C08' WHEN 3 THEN 'C040.1' END AS tree_number {_FROM} WHERE l_linenumber = 1 AND l_orderkey % 6 > 0",
-    "d_x_arms": f"SELECT DISTINCT {_NCT} AS nct_id, 'Arm ' || l_returnflag AS group_title, CAST(l_partkey AS INT) AS intervention_ordinal, 'join_table' AS link_method FROM lineitem WHERE l_orderkey % 10 > 0",
+    "d_x_conditions": f"SELECT DISTINCT {_NCT} AS nct_id, p_name AS mesh_term, CASE p_size % 5 WHEN 0 THEN 'C04.1' WHEN 1 THEN 'C04.2.7' WHEN 2 THEN 'C08' WHEN 3 THEN 'C040.1' END AS tree_number {_FROM} WHERE l_linenumber = 1 AND l_quantity > 8",
+    "d_x_arms": f"SELECT DISTINCT {_NCT} AS nct_id, 'Arm ' || l_returnflag AS group_title, CAST(l_partkey AS INT) AS intervention_ordinal, 'join_table' AS link_method FROM lineitem WHERE l_quantity > 3",
     "d_x_studies": "SELECT 'NCT' || lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0') AS nct_id FROM orders",
 }
 
@@ -42,11 +43,20 @@ def x(data: Data, name: str) -> DataFrame:
 
 
 def rules(data: Data) -> DataFrame:
-    return data.spark.createDataFrame(CLASS_RULES, "layer string, key string, class_id string, ordinal int")
+    return local(data.spark, CLASS_RULES, "layer string, key string, class_id string, ordinal int")
 
 
 def classes(data: Data) -> DataFrame:
-    return data.spark.createDataFrame(CLASSES, "id string, kind string, parent_id string, precedence int")
+    return local(data.spark, CLASSES, "id string, kind string, parent_id string, precedence int")
+
+
+def area_rules(data: Data) -> DataFrame:
+    return local(data.spark, AREA_RULES, "layer string, key string, ta_id string, ordinal int")
+
+
+def study_areas(data: Data) -> DataFrame:
+    areas = local(data.spark, AREAS, "id string, parent_id string, precedence int")
+    return data.kept("study-areas", lambda: axes.resolve_areas(x(data, "studies"), x(data, "conditions"), x(data, "mesh"), x(data, "branches"), area_rules(data), areas))
 
 
 def kinds(data: Data) -> DataFrame:
@@ -144,8 +154,50 @@ def diff_curated_vs_ancestry(data: Data) -> DataFrame:
 
 @query("SELECT nct_id, ta_id, layer, matched_on, is_primary FROM x_area", ORACLE)
 def resolve_therapeutic_area(data: Data) -> DataFrame:
-    make = data.spark.createDataFrame
-    return axes.resolve_areas(x(data, "studies"), x(data, "conditions"), x(data, "mesh"), x(data, "branches"), make(AREA_RULES, "layer string, key string, ta_id string, ordinal int"), make(AREAS, "id string, parent_id string, precedence int"))
+    return study_areas(data)
+
+
+def _cond(layers: str) -> str:
+    """The first answer of each condition by the rules of some layers, by a nested loop."""
+    return f"""SELECT c.nct_id, c.text, arg_min(h.ta_id, (lr, h.ordinal, h.ta_id)) AS ta_id FROM (SELECT DISTINCT nct_id, lower(mesh_term) AS text, tree_number FROM d_x_conditions) c JOIN (SELECT *, CASE layer {_AREA_RANK} END * 100 - CASE WHEN layer = 'tree_prefix' THEN length(key) ELSE 0 END AS lr FROM x_a_rules WHERE layer IN ({layers})) h
+      ON h.layer = 'term_override' AND h.key = c.text OR h.layer = 'tree_prefix' AND (c.tree_number = h.key OR starts_with(c.tree_number, h.key || '.')) OR h.layer = 'term_pattern' AND regexp_matches(c.text, h.key, 'i') GROUP BY c.nct_id, c.text"""
+
+
+@query(
+    """SELECT 'condition' AS part, t.ta_id AS a, p.ta_id AS b, count(*) AS n FROM (SELECT DISTINCT nct_id, lower(mesh_term) AS text FROM d_x_conditions) c LEFT JOIN x_by_tree t USING (nct_id, text) LEFT JOIN x_by_pattern p USING (nct_id, text) WHERE t.ta_id IS DISTINCT FROM p.ta_id GROUP BY ALL
+    UNION ALL SELECT 'study', b.ta_id, c.ta_id, count(*) FROM (SELECT DISTINCT nct_id, CASE branch_abbrev WHEN 'BC04' THEN 'oncology' ELSE 'respiratory' END AS ta_id FROM d_x_branches WHERE branch_abbrev IN ('BC04', 'BC08')) b
+      FULL JOIN (SELECT DISTINCT nct_id, ta_id FROM x_cond) c ON b.nct_id = c.nct_id AND b.ta_id = c.ta_id WHERE b.ta_id IS DISTINCT FROM c.ta_id GROUP BY ALL""",
+    ORACLE | {"x_by_tree": _cond("'tree_prefix'"), "x_by_pattern": _cond("'term_pattern'")},
+)
+def diff_tree_vs_pattern(data: Data) -> DataFrame:
+    return axes.tree_against_pattern(x(data, "conditions"), x(data, "branches"), area_rules(data))
+
+
+@query("SELECT class_id, kind, count(DISTINCT nct_id) AS studies, count(DISTINCT CASE WHEN is_primary THEN nct_id END) AS primary_studies FROM x_study GROUP BY class_id, kind", ORACLE)
+def drug_class_distribution(data: Data) -> DataFrame:
+    return study_classes(data).groupBy("class_id", "kind").agg(F.count_distinct("nct_id").alias("studies"), F.count_distinct(F.when(F.col("is_primary"), F.col("nct_id"))).alias("primary_studies"))
+
+
+@query("SELECT ta_id, layer, count(*) AS rows_written, count(DISTINCT nct_id) AS studies, count(*) FILTER (WHERE is_primary) AS primaries FROM x_area GROUP BY ta_id, layer", ORACLE)
+def axis_run_summary(data: Data) -> DataFrame:
+    return study_areas(data).groupBy("ta_id", "layer").agg(F.count(F.lit(1)).alias("rows_written"), F.count_distinct("nct_id").alias("studies"), F.count_if("is_primary").alias("primaries"))
+
+
+@query("SELECT (SELECT count(*) FROM d_x_studies) AS studies, (SELECT count(DISTINCT nct_id) FROM x_study WHERE layer <> 'default') AS with_class, (SELECT count(DISTINCT nct_id) FROM x_area WHERE layer <> 'default') AS with_area", ORACLE)
+def axis_denominators(data: Data) -> DataFrame:
+    """One row: studies, those with a class, those with an area, by one pass over the three."""
+    rows = [x(data, "studies").select("nct_id", F.lit("studies").alias("of"))]
+    rows += [found.where("layer <> 'default'").select("nct_id", F.lit(name)) for name, found in (("with_class", study_classes(data)), ("with_area", study_areas(data)))]
+    distinct = rows[0].union(rows[1]).union(rows[2]).distinct()
+    return distinct.agg(*(F.count_if(F.col("of") == n).alias(n) for n in ("studies", "with_class", "with_area")))
+
+
+@query("SELECT a.class_id AS class_a, b.class_id AS class_b, count(*) AS studies FROM x_study a JOIN x_study b ON a.nct_id = b.nct_id AND b.class_id > a.class_id GROUP BY 1, 2", ORACLE)
+def combination_therapy_pairs(data: Data) -> DataFrame:
+    """Classes that studies combine: the pairs of a study's own few classes, out of one array for each study."""
+    each = study_classes(data).groupBy("nct_id").agg(F.array_sort(F.collect_set("class_id")).alias("all"))
+    first = each.select("all", F.explode("all").alias("class_a"))
+    return first.select("class_a", F.explode(F.filter("all", lambda b: b > F.col("class_a"))).alias("class_b")).groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("studies"))
 
 
 @query("SELECT (SELECT count(*) FROM d_x_studies) AS studies, (SELECT count(*) FROM d_x_conditions) AS condition_rows, (SELECT count(*) FROM d_x_conditions WHERE tree_number IS NOT NULL) AS with_tree, (SELECT count(DISTINCT nct_id) FROM d_x_branches) AS studies_with_branches")

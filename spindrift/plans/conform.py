@@ -173,7 +173,7 @@ def plain(column: str) -> str:
 VIEWS["d_reported"] = """
 SELECT DISTINCT nct_id, outcome_type, CASE k % 4 WHEN 0 THEN measure WHEN 1 THEN upper(measure) WHEN 2 THEN measure || ' (as reported)' ELSE 'Forced expiratory volume, ' || measure END AS measure, time_frame,
   CAST(NULL AS VARCHAR(9)) AS description, population, k, j, q FROM d_outcomes
-WHERE measure <> '' AND j % 5 < 4 AND nct_id IN (SELECT nct_id FROM p_studies WHERE lower(trim(has_results_text)) = 'yes')"""
+WHERE measure <> '' AND CAST(q AS INT) <= 40 AND nct_id IN (SELECT nct_id FROM p_studies WHERE lower(trim(has_results_text)) = 'yes')"""
 
 
 def reported(data: Data) -> DataFrame:

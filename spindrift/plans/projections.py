@@ -111,20 +111,6 @@ SELECT nct_id, class_id, kind, row_number() OVER (PARTITION BY nct_id ORDER BY m
 FROM (SELECT 'NCT' || lpad(CAST(l_orderkey AS VARCHAR(20)), 8, '0') AS nct_id, lower(p_type) AS class_id,
         CASE WHEN p_type = 'ECONOMY' THEN 'control' WHEN p_type = 'PROMO' THEN 'modality' ELSE 'pharmacologic' END AS kind, min(p_size) AS min_size
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3) x""",
-    # Conformed endpoints as they come out of the matching job, for the reports.
-    "p_endpoints": """
-SELECT nct_id, outcome_type, line_id AS endpoint_id,
-  CASE WHEN line_id % 4 = 0 THEN 'change_from_baseline' WHEN line_id % 4 = 1 THEN 'mean_value' WHEN line_id % 4 = 2 THEN 'proportion' ELSE 'time_to_event' END AS form_id,
-  'measure_' || CAST(line_id % 13 AS VARCHAR(9)) AS measurement_id, 'concept_' || CAST(line_id % 13 % 5 AS VARCHAR(9)) AS concept_id,
-  CASE WHEN line_id % 3 = 0 THEN 'percent' END AS derivation_id,
-  CASE line_id % 3 WHEN 0 THEN 'increase' WHEN 1 THEN 'decrease' ELSE 'not_stated' END AS direction_id,
-  CASE WHEN line_id % 5 = 0 THEN '>=' WHEN line_id % 5 = 1 THEN '<' END AS threshold_comparator,
-  CASE WHEN line_id % 5 <= 1 THEN CAST(line_id % 4 * 25 AS DOUBLE) END AS threshold_value,
-  CASE WHEN line_id % 5 <= 1 THEN '%' END AS threshold_unit,
-  CASE line_id % 7 WHEN 0 THEN 'semantic' WHEN 1 THEN 'syntactic_rule' WHEN 2 THEN 'implied' ELSE 'exact' END AS match_method,
-  CASE line_id % 7 WHEN 0 THEN 0.5e0 WHEN 1 THEN 0.7e0 WHEN 2 THEN 0.8e0 ELSE 1.0e0 END AS confidence,
-  CASE line_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'single_fixed' WHEN 2 THEN 'baseline_to_timepoint' ELSE 'bare_duration' END AS timepoint_pattern_id, time_frame, measure
-FROM p_outcomes""",
 }
 
 
@@ -199,9 +185,19 @@ class Data:
     def view(self, name: str) -> DataFrame:
         return self.sql(with_views(f"SELECT * FROM {name}"))
 
+    def files(self) -> tuple:
+        """Names, sizes and times of the folder's files: what is kept of a folder holds as long as they stay."""
+        jvm, context = self.spark._jvm, self.spark.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        found, out = path.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(path, True), []
+        while found.hasNext():
+            file = found.next()
+            out.append((str(file.getPath()), file.getLen(), file.getModificationTime()))
+        return tuple(sorted(out))
+
     def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A table of the conform job, written once for each application and folder, as later jobs read it many times."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        """A table of the conform job, written once for each application and state of the folder, as later jobs read it many times."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, hash(self.files()), name)
         if key not in _KEPT:
             path = scratch(self.spark, name)
             build().write.parquet(path)

@@ -35,11 +35,14 @@ def from_sql(key: str, sql: str, oracle: str | None = None, more: dict[str, str]
 def report(key: str, sql: str, tables: dict[str, Callable[[Data], DataFrame]], more: dict[str, str], extra: dict[str, str] | None = None) -> None:
     """A report as SQL over tables that operators make (``tables``); the oracle makes them from ``more``. ``extra``: views over them that both share."""
     named = [n for n in tables if re.search(rf"\b{n}\b", " ".join([sql, *(extra or {}).values()]))]
+    text = with_views(sql, extra)
+    for n in named:  # under names of this library, so that a caller's views stay as they are
+        text = re.sub(rf"\b{n}\b", f"spindrift_{n}", text)
 
     def build(data: Data) -> DataFrame:
         for n in named:
-            tables[n](data).createOrReplaceTempView(n)
-        return data.sql(with_views(sql, extra))
+            tables[n](data).createOrReplaceTempView(f"spindrift_{n}")
+        return data.sql(text)
 
     QUERIES[key] = lambda spark, sf_dir: build(Data(spark, sf_dir))
     ORACLES[key] = with_views(sql, more | (extra or {}))

@@ -52,12 +52,7 @@ for _key, _sql in REPORTS.items():
 
 #: Queries on the axis tables themselves, which Spark SQL states as they stand.
 SQL: dict[str, tuple[str, dict]] = {
-    "combination_therapy_pairs": ("SELECT a.class_id AS class_a, b.class_id AS class_b, count(*) AS studies FROM p_study_class a JOIN p_study_class b ON a.nct_id = b.nct_id AND b.class_id > a.class_id GROUP BY a.class_id, b.class_id", {}),
-    "axis_denominators": ("SELECT (SELECT count(*) FROM p_studies) AS studies, (SELECT count(DISTINCT nct_id) FROM p_study_class) AS with_class, (SELECT count(DISTINCT nct_id) FROM p_study_ta) AS with_area", {}),
-    "drug_class_distribution": ("SELECT class_id, kind, count(DISTINCT nct_id) AS studies, count(DISTINCT CASE WHEN is_primary THEN nct_id END) AS primary_studies FROM p_study_class GROUP BY class_id, kind", {}),
-    "axis_run_summary": ("SELECT ta_id, count(*) AS rows_written, count(DISTINCT nct_id) AS studies, count(CASE WHEN is_primary THEN 1 END) AS primaries FROM p_study_ta GROUP BY ta_id", {}),
     "baseline_sd": ("SELECT form_id, count(*) AS n, round(avg(sd), 6) AS mean_sd FROM (SELECT CASE l_suppkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS form_id, sd FROM p_groups WHERE sd IS NOT NULL) x GROUP BY form_id", {}),
-    "audit_unique": ("SELECT l_orderkey, l_linenumber, count(*) AS n FROM p_lines GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1", {}),
 }
 for _key, (_sql, _more) in SQL.items():
     from_sql(_key, _sql, more=_more)
