@@ -202,3 +202,34 @@ def flatten_baseline(data: Data) -> DataFrame:
 def json_field(data: Data) -> DataFrame:
     rows = data.table("events").select("event_type", F.from_json("props", "k int")["k"].alias("k"))
     return rows.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT 'interventions' AS table_name, 'same' AS status, count(*) AS rows_before, count(*) AS rows_after FROM p_interventions
+    UNION ALL SELECT 'studies', 'changed', (SELECT count(*) FROM p_studies), (SELECT count(*) FROM p_studies WHERE phase IS NOT NULL)
+    UNION ALL SELECT 'areas', 'dropped', count(*), NULL FROM p_study_ta UNION ALL SELECT 'analyses', 'added', NULL, count(*) FROM p_analyses"""
+)
+def snapshot_compare(data: Data) -> DataFrame:
+    """Two logged runs: the second one lands fewer studies, the same interventions in another order, no areas, and analyses."""
+    log, at = k.scratch(data.spark, "run-log"), k.scratch(data.spark, "run-tables")
+    first = k.Run(data.spark, log, "first", "mirror")
+    for name, view in (("studies", "p_studies"), ("interventions", "p_interventions"), ("areas", "p_study_ta")):
+        first.write(name, data.view(view), f"{at}/first/{name}")
+    first.close()
+    second = k.Run(data.spark, log, "second", "mirror", {"phase": "stated"})
+    second.write("studies", data.view("p_studies").where("phase is not null"), f"{at}/second/studies")
+    second.write("interventions", data.view("p_interventions").orderBy("name"), f"{at}/second/interventions")
+    second.write("analyses", data.view("p_analyses"), f"{at}/second/analyses")
+    second.close()
+    return k.compared(k.read_log(data.spark, log), "first", "second")
+
+
+@query("SELECT run_id, source, filters_json, table_name, row_count FROM (SELECT 'only' AS run_id, 'mirror' AS source, '{\"phase\": \"PHASE2\"}' AS filters_json, 'studies' AS table_name, count(*) AS row_count FROM p_studies WHERE phase = 'PHASE2' UNION ALL SELECT 'only', 'mirror', '{\"phase\": \"PHASE2\"}', 'arms', count(*) FROM p_arms) x")
+def append_run_log(data: Data) -> DataFrame:
+    """What a run's log says of the tables that it wrote."""
+    log, at = k.scratch(data.spark, "run-log"), k.scratch(data.spark, "run-tables")
+    run = k.Run(data.spark, log, "only", "mirror", {"phase": "PHASE2"})
+    run.write("studies", data.view("p_studies").where("phase = 'PHASE2'"), f"{at}/studies")
+    run.write("arms", data.view("p_arms"), f"{at}/arms")
+    run.close()
+    return k.read_log(data.spark, log).select("run_id", "source", "filters_json", "table_name", "row_count")

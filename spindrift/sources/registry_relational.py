@@ -13,7 +13,13 @@ from ..functions.text import content_id
 
 
 def read_table(spark: SparkSession, url: str, table: str, properties: dict[str, str], key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, where: list[str] | None = None) -> DataFrame:
-    """A table over JDBC: by ranges of a numeric key, or by predicates (one task each, as for ranges of study ids), else by one task."""
+    """A table over JDBC: by ranges of a numeric key, or by predicates (one task each, as for ranges of study ids), else by one task.
+
+    Spark sends filters and the columns that are asked for to the database. Predicates must be disjoint and cover what is wanted: a row that
+    two of them meet comes twice. With a key, ``bounds`` only tell where the ranges are cut; rows outside come with the first or last.
+    """
+    if where and key:
+        raise ValueError("either predicates or ranges of a key")
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
     if where:
         return spark.read.jdbc(url, table, predicates=where, properties=properties)

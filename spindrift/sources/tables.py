@@ -6,10 +6,12 @@ own, and the caller swaps the path.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +82,66 @@ def snapshot(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(h)").alias("checksum")).select(F.lit(name).alias("name"), "n", "checksum")
 
 
+#: The log of runs: a row for each table that a run wrote.
+LOG = "run_id string, pulled_at timestamp, source string, filters_json string, table_name string, row_count long, checksum long"
+
+
+class Run:
+    """A run that writes tables and keeps their counts and checksums, taken by ``Observation`` while the rows go to their files.
+
+    ``close`` appends a row for each table to the log, in one job, so that a log shows a run with all its tables or not at all; a run that
+    has the id of a logged one is refused. The checksum does not depend on the order of the rows or the layout of the files.
+    """
+
+    def __init__(self, spark: SparkSession, log: str, run_id: str, source: str, filters: dict[str, str] | None = None):
+        self.spark, self.log, self.run_id, self.source = spark, log, run_id, source
+        self.filters = json.dumps(filters, sort_keys=True) if filters else None
+        self.seen: dict[str, Observation] = {}
+        if read_log(spark, log).where(F.col("run_id") == run_id).limit(1).count():
+            raise ValueError(f"run {run_id} is in the log already")
+
+    def write(self, name: str, df: DataFrame, path: str) -> DataFrame:
+        """Write a table and return what was written."""
+        if name in self.seen:
+            raise ValueError(f"table {name} is written already")
+        seen = Observation(f"{self.run_id}-{name}-{uuid.uuid4().hex}")
+        df.observe(seen, F.count(F.lit(1)).alias("n"), F.expr(f"bit_xor({_row_hash(df)})").alias("checksum")).write.mode("overwrite").parquet(path)
+        self.seen[name] = seen
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> DataFrame:
+        """Append the run to the log; returns its rows. A table without rows has the checksum 0."""
+        found = {name: seen.get for name, seen in self.seen.items()}
+        at = datetime.now(UTC)
+        rows = [(self.run_id, at, self.source, self.filters, name, x["n"], x["checksum"] or 0) for name, x in found.items()]
+        out = self.spark.createDataFrame(rows, LOG)
+        out.coalesce(1).write.mode("append").parquet(self.log)
+        return out
+
+
+def _row_hash(df: DataFrame) -> str:
+    """A row's hash; maps, which have none, by their sorted entries as JSON."""
+    columns = [f"to_json(array_sort(map_entries(`{f.name}`)))" if isinstance(f.dataType, T.MapType) else f"`{f.name}`" for f in df.schema]
+    return f"xxhash64({', '.join(columns) or '0'})"
+
+
+def read_log(spark: SparkSession, log: str) -> DataFrame:
+    """The log's rows; none where nothing has been logged yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LOG)
+    return spark.read.schema(LOG).parquet(log)
+
+
+def compared(log: DataFrame, before: str, after: str) -> DataFrame:
+    """table_name, status (added, dropped, changed, same), rows_before, rows_after of the tables of two runs."""
+    of = lambda run, name: log.where(F.col("run_id") == run).groupBy("table_name").agg(F.max("row_count").alias(f"rows_{name}"), F.max("checksum").alias(f"sum_{name}"))
+    both = of(before, "before").join(of(after, "after"), "table_name", "full")
+    same = F.col("rows_before").eqNullSafe(F.col("rows_after")) & F.col("sum_before").eqNullSafe(F.col("sum_after"))
+    status = F.when(F.col("rows_before").isNull(), "added").when(F.col("rows_after").isNull(), "dropped").when(same, "same").otherwise("changed")
+    return both.select("table_name", status.alias("status"), "rows_before", "rows_after")
+
+
 def write_replace(df: DataFrame, path: str) -> DataFrame:
     """A derived table written anew; returns what was written. The rows must not be read from the path itself."""
     df.write.mode("overwrite").parquet(path)
