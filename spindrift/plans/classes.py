@@ -147,6 +147,13 @@ def unclassified_interventions(data: Data) -> DataFrame:
     return axes.unclassified(x(data, "interventions"), by_intervention(data))
 
 
+@query("SELECT name, count(*) AS n, count(DISTINCT nct_id) AS studies FROM d_x_interventions i WHERE NOT EXISTS (SELECT 1 FROM x_int m WHERE m.nct_id = i.nct_id AND m.item = i.ordinal) GROUP BY name ORDER BY n DESC, name LIMIT 10", ORACLE)
+def unclassified_names(data: Data) -> DataFrame:
+    """The ten most frequent names that no rule knows."""
+    found = axes.unclassified(x(data, "interventions"), by_intervention(data))
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nct_id").alias("studies")).orderBy(F.desc("n"), "name").limit(10)
+
+
 @query("SELECT i.name, c.kind, c.class_id AS curated, a.ancestor, count(*) AS n FROM x_int c JOIN (SELECT nct_id, kind, arg_min(class_id, (matched_on, class_id)) AS ancestor FROM x_anc GROUP BY 1, 2) a ON a.nct_id = c.nct_id AND a.kind = c.kind AND a.ancestor <> c.class_id JOIN d_x_interventions i ON i.nct_id = c.nct_id AND i.ordinal = c.item WHERE c.layer IN ('term_override', 'agent_name', 'name_pattern') GROUP BY ALL", ORACLE)
 def diff_curated_vs_ancestry(data: Data) -> DataFrame:
     return axes.curated_against_ancestry(x(data, "interventions"), by_intervention(data), by_ancestor(data))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import axes, reports, results, scope
+from . import classes
 from .conform import ALL_VIEWS, REPORT_TABLES, plain
 from .matching import _values
 from .projections import Data
@@ -17,6 +18,9 @@ SHARED = {
     "q_d": "SELECT DISTINCT measurement_id, form_id, nct_id FROM e_endpoints", "q_n": "SELECT measurement_id, form_id, count(*) AS n FROM q_d GROUP BY measurement_id, form_id",
     "q_both": "SELECT x.measurement_id, x.form_id AS form_a, y.form_id AS form_b, count(*) AS n FROM q_d x JOIN q_d y ON x.nct_id = y.nct_id AND x.measurement_id = y.measurement_id AND x.form_id < y.form_id GROUP BY x.measurement_id, x.form_id, y.form_id",
 }
+#: What reports read besides the conform job's sinks: areas and classes as the resolvers find them, and the same for the oracle.
+MADE = REPORT_TABLES | {"r_study_ta": classes.study_areas, "r_study_class": classes.study_classes}
+AXES = ALL_VIEWS | classes.ORACLE | {"r_study_ta": "SELECT nct_id, ta_id, is_primary FROM x_area", "r_study_class": "SELECT nct_id, class_id, kind, is_primary FROM x_study"}
 #: Reports over what the conform job writes (``e_``) and what it makes of reported titles (``er_``).
 REPORTS: dict[str, str] = {
     "conformance_rate": "SELECT planned, conformed, round(CAST(conformed AS DOUBLE) / planned, 6) AS share FROM (SELECT (SELECT count(*) FROM e_endpoints) + (SELECT count(*) FROM e_queue) AS planned, (SELECT count(*) FROM e_endpoints) AS conformed) x",
@@ -35,11 +39,11 @@ REPORTS: dict[str, str] = {
     "threshold_conventions": "SELECT measurement_id, form_id, threshold_comparator, threshold_value, threshold_unit, count(DISTINCT nct_id) AS studies, count(*) FILTER (WHERE match_method = 'exact') AS exact_matches, round(avg(confidence), 6) AS confidence FROM e_endpoints WHERE threshold_value IS NOT NULL GROUP BY measurement_id, form_id, threshold_comparator, threshold_value, threshold_unit",
     "timepoint_mix": "SELECT timepoint_pattern_id AS pattern_id, count(*) AS n, count(DISTINCT time_frame) AS frames FROM e_endpoints GROUP BY timepoint_pattern_id",
     "unspecified_timeframes": "SELECT time_frame, count(*) AS n FROM e_endpoints WHERE timepoint_pattern_id = 'unspecified' GROUP BY time_frame",
-    "ta_by_form": "SELECT ta_id, form_id, count(*) AS n FROM e_endpoints e JOIN p_study_ta t ON e.nct_id = t.nct_id WHERE is_primary GROUP BY ta_id, form_id",
-    "endpoint_landscape": "SELECT ta_id, measurement_id, count(DISTINCT e.nct_id) AS studies FROM e_endpoints e JOIN p_study_ta t ON e.nct_id = t.nct_id WHERE is_primary AND outcome_type = 'primary' GROUP BY ta_id, measurement_id HAVING count(DISTINCT e.nct_id) > 2",
+    "ta_by_form": "SELECT ta_id, form_id, count(*) AS n FROM e_endpoints e JOIN r_study_ta t ON e.nct_id = t.nct_id WHERE is_primary GROUP BY ta_id, form_id",
+    "endpoint_landscape": "SELECT ta_id, measurement_id, count(DISTINCT e.nct_id) AS studies FROM e_endpoints e JOIN r_study_ta t ON e.nct_id = t.nct_id WHERE is_primary AND outcome_type = 'primary' GROUP BY ta_id, measurement_id HAVING count(DISTINCT e.nct_id) > 2",
     "study_profile": "SELECT nct_id, outcome_type, form_id, measurement_id, timepoint_pattern_id, direction_id, count(*) AS n FROM e_endpoints GROUP BY nct_id, outcome_type, form_id, measurement_id, timepoint_pattern_id, direction_id",
-    "class_endpoint_convention": "SELECT class_id, measurement_id, count(DISTINCT e.nct_id) AS studies FROM e_endpoints e JOIN p_study_class c ON e.nct_id = c.nct_id WHERE is_primary AND outcome_type = 'primary' GROUP BY class_id, measurement_id HAVING count(DISTINCT e.nct_id) > 2",
-    "endpoint_adoption_by_year": "SELECT class_id, CAST(year(start_date) AS INT) AS y, count(DISTINCT e.nct_id) AS studies, count(DISTINCT e.nct_id) FILTER (WHERE form_id = 'time_to_event') AS with_time_to_event FROM e_endpoints e JOIN p_studies s ON e.nct_id = s.nct_id JOIN p_study_class c ON c.nct_id = e.nct_id GROUP BY class_id, CAST(year(start_date) AS INT) HAVING count(DISTINCT e.nct_id) > 1",
+    "class_endpoint_convention": "SELECT class_id, measurement_id, count(DISTINCT e.nct_id) AS studies FROM e_endpoints e JOIN r_study_class c ON e.nct_id = c.nct_id WHERE is_primary AND outcome_type = 'primary' GROUP BY class_id, measurement_id HAVING count(DISTINCT e.nct_id) > 2",
+    "endpoint_adoption_by_year": "SELECT class_id, CAST(year(start_date) AS INT) AS y, count(DISTINCT e.nct_id) AS studies, count(DISTINCT e.nct_id) FILTER (WHERE form_id = 'time_to_event') AS with_time_to_event FROM e_endpoints e JOIN p_studies s ON e.nct_id = s.nct_id JOIN r_study_class c ON c.nct_id = e.nct_id GROUP BY class_id, CAST(year(start_date) AS INT) HAVING count(DISTINCT e.nct_id) > 1",
     "results_posting_coverage": """SELECT (SELECT count(*) FROM p_studies) AS pulled, (SELECT count(*) FROM p_studies WHERE lower(trim(has_results_text)) = 'yes') AS flagged, (SELECT count(DISTINCT nct_id) FROM d_reported) AS landed, (SELECT count(DISTINCT nct_id) FROM e_endpoints) AS conformed,
         (SELECT count(DISTINCT p.nct_id) FROM e_endpoints p LEFT SEMI JOIN d_reported r ON p.nct_id = r.nct_id) AS both_sides""",
     "reported_not_registered": "SELECT r.nct_id, r.endpoint_id, r.measure FROM er_endpoints r LEFT ANTI JOIN q_planned_keys p ON p.nct_id = r.nct_id AND p.measurement_id = r.measurement_id",
@@ -47,7 +51,7 @@ REPORTS: dict[str, str] = {
     "reported_other_form": "SELECT p.form_id AS planned_form, r.form_id AS reported_form, count(*) AS n FROM e_endpoints p JOIN er_endpoints r ON p.nct_id = r.nct_id AND p.measurement_id = r.measurement_id AND p.form_id <> r.form_id GROUP BY p.form_id, r.form_id",
 }
 for _key, _sql in REPORTS.items():
-    report(_key, _sql, REPORT_TABLES, ALL_VIEWS, SHARED)
+    report(_key, _sql, MADE, AXES, SHARED)
     ORACLES[_key] = ORACLES[_key].replace("LEFT SEMI JOIN", "SEMI JOIN").replace("LEFT ANTI JOIN", "ANTI JOIN")
 
 #: Queries on the axis tables themselves, which Spark SQL states as they stand.

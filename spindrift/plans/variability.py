@@ -245,6 +245,13 @@ def unit_coverage(data: Data) -> DataFrame:
     )
 
 
+@query("SELECT unit_raw, count(*) AS n, count(DISTINCT nct_id) AS studies FROM o_dispersion WHERE scale_id = 'not_stated' AND unit_raw IS NOT NULL GROUP BY unit_raw ORDER BY n DESC, unit_raw LIMIT 10", ALL)
+def unresolved_units(data: Data) -> DataFrame:
+    """The ten most frequent units that no scale has."""
+    found = dispersion(data).where("scale_id = 'not_stated' and unit_raw is not null")
+    return found.groupBy("unit_raw").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nct_id").alias("studies")).orderBy(F.desc("n"), "unit_raw").limit(10)
+
+
 def sd_medians(sds: DataFrame) -> DataFrame:
     medians = reports.quantiles(sds, ["unit_id"], "sd", {"median": 0.5}).select(F.col("_k.unit_id").alias("unit"), F.round("median", 6).alias("median"))
     return sds.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n")).join(medians, F.col("unit_id").eqNullSafe(F.col("unit"))).drop("unit")
