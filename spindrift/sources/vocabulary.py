@@ -32,7 +32,8 @@ TABLES = {
     "timepoint_words": "kind string, word string, value string",
     "timepoint_steps": "ordinal int, step string",
     "timepoint_choices": "ordinal int, otherwise string, prefer string, form_id string",
-    "templates": "form_id string, ordinal int, literal string, field string",
+    "templates": "form_id string, ordinal int, unit string, literal string, field string",
+    "template_defaults": "form_id string, reference_id string",
     "areas": "id string, parent_id string, precedence int",
     "area_rules": "layer string, key string, ta_id string, ordinal int",
     "classes": "id string, kind string, parent_id string, precedence int",
