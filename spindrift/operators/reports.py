@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import p_modifier, p_number
@@ -81,6 +81,39 @@ def sd_distribution(dispersion: DataFrame, by: list[str] | None = None) -> DataF
     return found.join(whole, (found["form_id"] == whole["form_id"]) & found["derivation_id"].eqNullSafe(whole["_d"]), "left").drop(whole["form_id"]).drop("_d")
 
 
+def selected(dispersion: DataFrame, measurement: str | None = None, form: str | None = None, derivation: str | None = None, roles: DataFrame | None = None, role: str | None = None) -> DataFrame:
+    """Rows of one endpoint and arm role; what is not given is not asked. The derivation 'none' stands for rows without one.
+
+    roles: nct_id, arm_title, arm_role; a row's arm is its group_title.
+    """
+    out = dispersion
+    for column, wanted in (("measurement_id", measurement), ("form_id", form), ("derivation_id", derivation)):
+        if wanted is not None:
+            out = out.where(F.col(column).isNull() if wanted == "none" else F.col(column) == wanted)
+    if role is not None:
+        of = roles.where(F.col("arm_role") == role).select(F.col("nct_id").alias("_study"), F.col("arm_title").alias("_arm")).distinct()
+        out = out.join(of, (F.col("nct_id") == F.col("_study")) & (F.col("group_title") == F.col("_arm")), "left_semi")
+    return out
+
+
+def with_histograms(found: DataFrame, rows: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """Adds to a grouped result a map from value to count for each of ``columns`` (name: column; null counts as 'none').
+
+    All maps come from one pass: rows are counted by the values together, of which a group has few, and each map adds up its own.
+    """
+    values = [F.coalesce(F.col(c), F.lit("none")).alias(f"_{name}") for name, c in columns.items()]
+    counts = rows.groupBy(F.struct(*keys).alias("_h"), *values).agg(F.count(F.lit(1)).alias("_n"))
+    lists = counts.groupBy("_h").agg(F.collect_list(F.struct(*(f"_{name}" for name in columns), "_n")).alias("_all"))
+
+    def tally(name: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform("_all", lambda x: x[f"_{name}"])))
+        of = lambda v: F.aggregate(F.filter("_all", lambda x: x[f"_{name}"] == v), F.lit(0).cast("long"), lambda a, x: a + x["_n"])
+        return F.map_from_arrays(names, F.transform(names, of)).alias(name)
+
+    maps = lists.select("_h", *(tally(name) for name in columns))
+    return found.withColumn("_g", F.struct(*keys)).join(maps, F.col("_g") == F.col("_h"), "left").drop("_g", "_h")
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """A map value -> count for each group."""
     counts = df.groupBy(*keys, F.coalesce(F.col(value), F.lit("none")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))

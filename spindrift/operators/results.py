@@ -46,11 +46,79 @@ def to_canonical_unit(rows: DataFrame, scales: DataFrame, value: str, log_scale:
 
 
 def build_dispersion(measurements: DataFrame, synonyms: DataFrame, scales: DataFrame) -> DataFrame:
-    """Measurements with their unit, standard deviation and a content id; of equal ids one row stays."""
-    rows = estimate_sd(measurements).join(resolve_unit(measurements, synonyms), "unit_raw", "left")
-    rows = to_canonical_unit(rows, scales, "sd_value", F.col("sd_scale") == "log")
-    rows = rows.withColumn("dispersion_id", content_id(*(F.col(c) for c in ("nct_id", "group_title", "class_title", "form_id", "param_type", "dispersion_type"))))
-    return rows.dropDuplicates(["dispersion_id"])
+    """Measurements with their unit, standard deviation and a content id; of equal ids the row stays that is the largest by its values."""
+    rows = measurements.withColumn("dispersion_id", content_id(*(F.col(c) for c in ("nct_id", "group_title", "class_title", "form_id", "param_type", "dispersion_type"))))
+    return with_sd(one_of_each(rows, "dispersion_id", VALUES), synonyms, scales)
+
+
+#: A measurement's values, in the order in which rows of one id are compared.
+VALUES = ["param_value", "dispersion_value", "lower_limit", "upper_limit", "n"]
+
+
+def one_of_each(rows: DataFrame, key: str, first: list[str]) -> DataFrame:
+    """Of rows with the same key the largest by ``first`` and then by all other columns (null is least): a choice that no partitioning changes."""
+    rest = [*first, *(c for c in rows.columns if c != key and c not in first)]
+    return rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("_kept")).select(key, "_kept.*")
+
+
+def with_sd(rows: DataFrame, synonyms: DataFrame, scales: DataFrame) -> DataFrame:
+    """Adds unit, standard deviation and canonical value."""
+    rows = estimate_sd(rows).join(resolve_unit(rows, synonyms), "unit_raw", "left")
+    return to_canonical_unit(rows, scales, "sd_value", F.col("sd_scale") == "log")
+
+
+def result_titles(outcomes: DataFrame, baseline: DataFrame) -> DataFrame:
+    """What is conformed of results: result_kind, result_id, endpoint_id and the columns that the conform job reads.
+
+    outcomes: outcome_id, nct_id, outcome_type ('other' where null), title, time_frame, description, population; a row for each id. baseline:
+    baseline_id, nct_id, title, description, population; a characteristic comes once, however many arms and classes report it, and has no
+    time frame. ``endpoint_id`` is the id that the conform job gives the row; equal titles of a study share it.
+    """
+    columns = ["nct_id", "outcome_type", "measure", "time_frame", "description", "population"]
+    none = F.lit(None).cast("string")
+    of = lambda df, c: F.col(c) if c in df.columns else none.alias(c)
+    mine = outcomes.select(F.lit("outcome").alias("result_kind"), F.col("outcome_id").alias("result_id"), "nct_id", F.coalesce("outcome_type", F.lit("other")).alias("outcome_type"), F.col("title").alias("measure"), "time_frame", of(outcomes, "description"), of(outcomes, "population"))
+    first = baseline.groupBy("baseline_id").agg(F.min(F.struct("nct_id", "title", of(baseline, "description").alias("description"), of(baseline, "population").alias("population"))).alias("b"))
+    theirs = first.select(F.lit("baseline"), "baseline_id", "b.nct_id", F.lit("other"), F.col("b.title"), none, "b.description", "b.population")
+    both = mine.union(theirs)
+    return both.select("result_kind", "result_id", content_id(*(F.col(c) for c in columns[:-1])).alias("endpoint_id"), *columns)
+
+
+def result_rows(outcomes: DataFrame, groups: DataFrame, measurements: DataFrame, baseline: DataFrame) -> DataFrame:
+    """One layout for the arm rows of reported outcomes and of baseline characteristics, one row for each dispersion_id.
+
+    outcomes: outcome_id, param_type, dispersion_type, unit_of_measure. groups: outcome_id, group_key, title, n. measurements: outcome_id,
+    nct_id, group_key, class_title, category_title, param_value_num, dispersion_value_num, dispersion_lower_limit, dispersion_upper_limit, n.
+    baseline: the same with baseline_id, group_title and the outcome's columns. n is the row's own count, else its arm's; n_source says
+    which ('measurement', 'outcome_group', 'baseline_row', null). An outcome's arms come to it as a map, so that its
+    measurements move once. Rows of one id (source, arm, class, category) leave the largest by their values.
+    """
+    arm = groups.where("group_key is not null").groupBy("outcome_id", "group_key").agg(F.max("n").alias("n"), F.min("title").alias("title"))
+    arms = arm.groupBy("outcome_id").agg(F.map_from_entries(F.collect_list(F.struct("group_key", F.struct("n", "title")))).alias("_arms"))
+    of = outcomes.select("outcome_id", "param_type", "dispersion_type", F.col("unit_of_measure").alias("unit_raw")).join(arms, "outcome_id", "left")
+    values = [F.col(f"{c}_num" if c.endswith("value") else f"dispersion_{c}").alias(c) for c in VALUES[:4]]
+    place = ["nct_id", "group_key", "class_title", "category_title"]
+    own = F.col("_arms")[F.col("group_key")]
+    source = F.when(F.col("n").isNotNull(), "measurement").when(own["n"].isNotNull(), "outcome_group")
+    mine = measurements.select("outcome_id", *place, *values, "n").join(of, "outcome_id")
+    mine = mine.select(F.lit("outcome").alias("result_kind"), F.col("outcome_id").alias("result_id"), *place, own["title"].alias("group_title"), "param_type", "dispersion_type", "unit_raw", *VALUES[:4], F.coalesce("n", own["n"]).alias("n"), source.alias("n_source"))
+    theirs = baseline.select(
+        F.lit("baseline").alias("result_kind"), F.col("baseline_id").alias("result_id"), *place, "group_title", "param_type", "dispersion_type", F.col("unit_of_measure").alias("unit_raw"), *values, "n", F.when(F.col("n").isNotNull(), "baseline_row").alias("n_source")
+    )
+    rows = mine.unionByName(theirs)
+    key = content_id(*(F.col(c) for c in ("result_kind", "result_id", "group_key", "class_title", "category_title")))
+    return one_of_each(rows.withColumn("dispersion_id", key), "dispersion_id", VALUES)
+
+
+def result_dispersion(rows: DataFrame, titles: DataFrame, endpoints: DataFrame, synonyms: DataFrame, scales: DataFrame) -> DataFrame:
+    """The dispersion table: :func:`result_rows` with their SD and the endpoint that their title conformed to (null where it did not).
+
+    titles: :func:`result_titles`. endpoints: the conform job's sink (endpoint_id, form_id, measurement_id, derivation_id, timepoint_pattern).
+    Rows without an SD stay, as denominators.
+    """
+    found = endpoints.select("endpoint_id", "form_id", "measurement_id", "derivation_id", F.col("timepoint_pattern").alias("timepoint_pattern_id"))
+    named = titles.select("result_kind", "result_id", "endpoint_id").join(found, "endpoint_id", "left")
+    return with_sd(rows, synonyms, scales).join(named, ["result_kind", "result_id"], "left")
 
 
 def link_reported_to_planned(reported: DataFrame, planned: DataFrame, unconformed: DataFrame) -> DataFrame:

@@ -259,13 +259,17 @@ ORACLE_VIEWS["e_endpoints"] = """SELECT o.nct_id AS nct_id, o.outcome_type AS ou
 ORACLE_VIEWS["e_queue"] = """SELECT id AS queue_id, o.nct_id AS nct_id, o.measure AS measure, 'measurement_unmatched' AS reason, 'pending' AS status, near_id AS near_miss, near_score, form_id AS candidate_form_id FROM c_all WHERE measurement_id IS NULL"""
 
 
-def _second(name: str) -> str:
-    """The name of a view of the chain, for reported titles."""
-    return re.sub(r"\b([ce])_(?=(?:rows|texts|found|hits|win|text|both|near|1|2|3|4|5|all|endpoints|queue)\b)", r"\1r_", name)
+def _again(name: str, mark: str = "r") -> str:
+    """The name of a view of the chain, for other rows."""
+    return re.sub(r"\b([ce])_(?=(?:rows|texts|found|hits|win|text|both|near|1|2|3|4|5|all|endpoints|queue)\b)", rf"\1{mark}_", name)
 
 
-# The same chain over reported titles; what is of the vocabulary is shared.
-REPORTED_VIEWS = {_second(n): _second(q).replace("FROM d_outcomes o", "FROM d_reported o") for n, q in ORACLE_VIEWS.items() if _second(n) != n}
+def chain(mark: str, view: str) -> dict[str, str]:
+    """The same chain over another view's rows; what is of the vocabulary is shared."""
+    return {_again(n, mark): _again(q, mark).replace("FROM d_outcomes o", f"FROM {view} o") for n, q in ORACLE_VIEWS.items() if _again(n, mark) != n}
+
+
+REPORTED_VIEWS = chain("r", "d_reported")
 ALL_VIEWS = ORACLE_VIEWS | REPORTED_VIEWS
 
 
@@ -344,12 +348,3 @@ def conform_outcomes(data: Data) -> DataFrame:
     kept = endpoints(data).select(F.lit("endpoints").alias("sink"), F.col("endpoint_id").alias("id"), "form_id", "direction_id", F.col("measurement_id").alias("term"), F.lit(None).cast("double").alias("score"))
     queued = review_queue(data).select(F.lit("review_queue"), "review_id", "candidate_form_id", "candidate_direction_id", "best_semantic_candidate", "best_semantic_score")
     return kept.union(queued)
-
-
-@query(
-    "SELECT 'outcome' AS kind, id, measurement_id, form_id, timepoint_pattern FROM cr_all WHERE measurement_id IS NOT NULL",
-    ALL_VIEWS,
-)
-def conform_results(data: Data) -> DataFrame:
-    found = conforming.endpoints(reported(data))
-    return found.select(F.lit("outcome").alias("kind"), F.col("endpoint_id").alias("id"), "measurement_id", "form_id", "timepoint_pattern")

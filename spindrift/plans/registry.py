@@ -26,12 +26,6 @@ def query(sql: str | None = None, more: dict[str, str] | None = None, name: str
     return register
 
 
-def from_sql(key: str, sql: str, oracle: str | None = None, more: dict[str, str] | None = None) -> None:
-    """A query that Spark SQL states as it stands."""
-    QUERIES[key] = lambda spark, sf_dir: Data(spark, sf_dir).sql(with_views(sql, more))
-    ORACLES[key] = with_views(oracle or sql, more)
-
-
 def report(key: str, sql: str, tables: dict[str, Callable[[Data], DataFrame]], more: dict[str, str], extra: dict[str, str] | None = None) -> None:
     """A report as SQL over tables that operators make (``tables``); the oracle makes them from ``more``. ``extra``: views over them that both share."""
     named = [n for n in tables if re.search(rf"\b{n}\b", " ".join([sql, *(extra or {}).values()]))]

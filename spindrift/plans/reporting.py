@@ -10,7 +10,7 @@ from . import classes
 from .conform import ALL_VIEWS, REPORT_TABLES, plain
 from .matching import _values
 from .projections import Data
-from .registry import ORACLES, from_sql, query, report
+from .registry import ORACLES, query, report
 
 #: Reported and planned outcomes that agree in study and measurement, as the reports on both sides need them: distinct keys only.
 SHARED = {
@@ -54,14 +54,6 @@ for _key, _sql in REPORTS.items():
     report(_key, _sql, MADE, AXES, SHARED)
     ORACLES[_key] = ORACLES[_key].replace("LEFT SEMI JOIN", "SEMI JOIN").replace("LEFT ANTI JOIN", "ANTI JOIN")
 
-#: Queries on the axis tables themselves, which Spark SQL states as they stand.
-SQL: dict[str, tuple[str, dict]] = {
-    "baseline_sd": ("SELECT form_id, count(*) AS n, round(avg(sd), 6) AS mean_sd FROM (SELECT CASE l_suppkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS form_id, sd FROM p_groups WHERE sd IS NOT NULL) x GROUP BY form_id", {}),
-}
-for _key, (_sql, _more) in SQL.items():
-    from_sql(_key, _sql, more=_more)
-
-
 @query("SELECT queue_id, reason FROM e_queue WHERE status = 'pending' AND near_miss = 'quality_of_life' ORDER BY near_score DESC, queue_id LIMIT 20", ALL_VIEWS)
 def review_backlog(data: Data) -> DataFrame:
     """The pending rows that come nearest to a term, a page of them."""

@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 SOME = [
     "sd_distribution", "stratify_by_arm_role", "estimate_sd", "resolve_unit", "analysis_distribution", "ni_margins", "tag_synonyms", "pick_longest", "semantic_fallback", "link_reported_to_planned", "link_group_to_arm", "classify_intervention", "scope_filter", "upsert_rows",
     "flatten_planned_outcomes", "flatten_analyses", "flatten_baseline", "form_pairs_across_studies", "conform_outcomes", "disambiguate_timepoint", "derive_direction", "conform_results", "resolve_drug_classes", "resolve_therapeutic_area", "relational_outcome_groups", "relational_analyses",
-    "audit_hierarchy", "audit_cascade", "document_variants", "render_parameterised_text", "registered_not_reported",
+    "audit_hierarchy", "audit_cascade", "document_variants", "render_parameterised_text", "document_surrogates", "document_selection", "tier_coverage", "registered_not_reported", "build_result_dispersion", "baseline_sd", "sd_distribution_selected",
 ]
 
 
