@@ -115,7 +115,72 @@ def test_of_a_study_that_comes_twice_the_last_record_counts(spark, tmp_path):
     incremental.land(spark, str(folder), str(target), str(checkpoint))
     now = incremental.latest(spark, str(target))
     assert sorted((x["nct_id"], x["brief_title"]) for x in now["studies"].collect()) == [("N1", "a"), ("N2", "two")]
-    assert len(list((target / "studies" / "v=00000001").glob("bucket=*"))) == 1
+    assert len(list((target / "studies" / "v=00000002").glob("bucket=*"))) == 1
+
+
+def bare(nct: str, measures: list[str]) -> dict:
+    """A record with a study and its outcomes only."""
+    return {"protocolSection": {"identificationModule": {"nctId": nct}, "outcomesModule": {"primaryOutcomes": [{"measure": m} for m in measures]}}}
+
+
+def full(nct: str, arms: list[str]) -> dict:
+    """A record with rows for all tables."""
+    one = study(nct, nct, ["m"])
+    section = one["protocolSection"]
+    section["armsInterventionsModule"] = {"armGroups": [{"label": a, "type": "EXPERIMENTAL"} for a in arms], "interventions": [{"name": "Drug", "type": "DRUG", "otherNames": ["alias"], "armGroupLabels": arms}]}
+    section["conditionsModule"] = {"conditions": ["Asthma"]}
+    browse = {"meshes": [{"id": "D1", "term": "Asthma"}], "browseBranches": [{"abbrev": "BC08", "name": "Lungs"}]}
+    one["derivedSection"] = {"conditionBrowseModule": browse, "interventionBrowseModule": browse}
+    values = {"classes": [{"categories": [{"measurements": [{"groupId": "G", "value": "1", "spread": "2"}]}]}], "paramType": "MEAN"}
+    groups = {"groups": [{"id": "G", "title": arms[0]}], "denoms": [{"units": "Participants", "counts": [{"groupId": "G", "value": "9"}]}]}
+    outcome = {"type": "PRIMARY", "title": "t", "timeFrame": "w", "analyses": [{"groupIds": ["G"], "pValue": "0.1"}], **groups, **values}
+    one["resultsSection"] = {"outcomeMeasuresModule": {"outcomeMeasures": [outcome]}, "baselineCharacteristicsModule": {**groups, "measures": [{"title": "age", **values}]}}
+    return one
+
+
+def test_all_tables_of_a_batch_show_together(spark, tmp_path, monkeypatch):
+    folder, target, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    assert all(df.count() == 0 for df in incremental.latest(spark, target).values())  # nothing has landed yet
+    pages(folder, "1.json", full("N1", ["A", "B"]), full("N2", ["C"]))
+    incremental.land(spark, str(folder), target, checkpoint)
+    counts = lambda: {name: df.count() for name, df in incremental.latest(spark, target).items()}
+    first = counts()
+    assert first == dict.fromkeys(incremental.TABLES, 2) | {"arms": 3, "arm_interventions": 3}
+    # A batch that breaks off after some tables shows in none; the next try lands it whole.
+    pages(folder, "2.json", full("N1", ["D"]), bare("N3", []))
+    made = incremental.TABLES["arms"]
+    monkeypatch.setitem(incremental.TABLES, "arms", lambda studies: 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        incremental.land(spark, str(folder), target, checkpoint)
+    monkeypatch.setitem(incremental.TABLES, "arms", made)
+    assert (tmp_path / "out" / "studies" / "v=00000002").exists() and counts() == first
+    incremental.land(spark, str(folder), target, checkpoint)
+    second = counts()
+    assert second == dict.fromkeys(incremental.TABLES, 2) | {"studies": 3}
+    assert sorted(x["title"] for x in incremental.latest(spark, target)["arms"].collect()) == ["C", "D"]
+    # A batch that is delivered again changes nothing, nor does taking old versions away.
+    before = sorted(p.name for p in (tmp_path / "out" / "manifest").iterdir())
+    for log in (tmp_path / "state" / "commits").iterdir():
+        if log.name.removesuffix(".crc").lstrip(".") == "1":
+            log.unlink()
+    incremental.land(spark, str(folder), target, checkpoint)
+    assert sorted(p.name for p in (tmp_path / "out" / "manifest").iterdir()) == before and counts() == second
+    assert incremental.compact(spark, target) > 0 and counts() == second and incremental.compact(spark, target) == 0
+    assert len(list((tmp_path / "out" / "studies").glob("v=*/bucket=*"))) == len(incremental.current(spark, target))
+    pages(folder, "3.json", bare("N2", ["m1"]))
+    incremental.land(spark, str(folder), target, checkpoint)
+    assert counts()["outcomes"] == 2 and counts()["measurements"] == 1 and incremental.compact(spark, target, keep=2) > 0
+
+
+def test_reading_prunes_other_versions(spark, tmp_path):
+    folder, target = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for n in range(2):
+        pages(folder, f"{n}.json", full("N1", [f"A{n}"]))
+        incremental.land(spark, str(folder), target, str(tmp_path / "state"))
+    plan = incremental.latest(spark, target)["arms"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "v#" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
 
 
 def test_a_study_of_many_lines_keeps_all_outcomes(spark, tmp_path, monkeypatch):
