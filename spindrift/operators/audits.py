@@ -103,14 +103,40 @@ def _kept(pairs: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """id, cycle: the members of cycles, with the smallest member of each cycle (or of all cycles that share members).
 
-    A node that has itself among its ancestors is on a cycle; two such nodes are on the same one where each is the other's ancestor.
+    Where a child has one parent at most, the members are found by jumps that double each round, one row for each child: after as many steps
+    as there are children every walk is on a cycle, and each member is the end of one. Else a node that has itself among
+    its ancestors is on a cycle; two such nodes are on the same one where each is the other's ancestor.
     """
-    pairs = ancestors(edges)
+    steps = _kept(edges.where("child is not null and parent is not null").distinct())
+    if steps.groupBy("child").count().where("count > 1").isEmpty():
+        return _cycles_of_walks(steps)
+    pairs = ancestors(steps)
     back = pairs.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("child"))
     both = pairs.select("child", "ancestor").join(back, ["child", "ancestor"])
     return both.groupBy(F.col("child").alias("id")).agg(F.min("ancestor").alias("cycle"))
 
 
+def _cycles_of_walks(steps: DataFrame) -> DataFrame:
+    """:func:`cycles` of steps (child, parent) that go one way from each child; walks that end are dropped as soon as they do.
+
+    A round that drops none leaves walks only that never end, and none of these is longer than there are rows before it is on its cycle.
+    The least member is that of a window of steps that doubles each round, until a round changes none: the windows then go round.
+    """
+    far, reach, n = steps, 1, steps.count()
+    most = n
+    while reach < most:
+        on = far.select(F.col("child").alias("parent"), F.col("parent").alias("further"))
+        far = _kept(far.join(on, "parent").select("child", F.col("further").alias("parent")))
+        before, n, reach = n, far.count(), reach * 2
+        most = min(most, n) if n == before or n == 0 else most
+    on_cycle = far.select(F.col("parent").alias("child")).distinct()
+    least = _kept(steps.join(on_cycle, "child").select("child", "parent", F.least("child", "parent").alias("least"), F.lit(True).alias("less")))
+    while not least.where("less").isEmpty():
+        on = least.select(F.col("child").alias("parent"), F.col("parent").alias("further"), F.col("least").alias("other"))
+        least = _kept(least.join(on, "parent").select("child", F.col("further").alias("parent"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("less")))
+    return least.select(F.col("child").alias("id"), F.col("least").alias("cycle"))
+
+
 def hierarchy(nodes: DataFrame) -> DataFrame:
     """nodes: id, parent_id, kind, precedence. No cycles; a parent exists, is of the same kind and has a higher precedence number."""
     edges = nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
