@@ -31,3 +31,23 @@ def test_lines_of_large_parts_are_told_apart(spark, tmp_path, name):
     parts = "SELECT * REPLACE (CASE WHEN p_partkey = 4 THEN 100003 ELSE p_partkey END AS p_partkey) FROM {}"
     mine, wanted = compared(spark, tmp_path, name, {"lineitem": lines, "part": parts})
     assert wanted and mine == wanted
+
+
+def walk(k: int) -> list[int]:
+    """The classes above a part's, as the tables derive them; none where it leaves the table."""
+    out = [k]
+    while k > 10:
+        r = k % 100
+        k = k + 1 if 40 <= r <= 58 or 60 <= r <= 88 else k - 19 if r == 59 else k // 3
+        if r == 95 or k in out:
+            return out
+        out.append(k)
+    return out
+
+
+def test_class_rollup_has_no_bound_on_steps(spark, tmp_path):
+    keys = max((walk(k) for k in range(1_500_000_060, 1_500_400_060, 100)), key=len)
+    assert len(keys) > 152
+    made = f"SELECT p.* REPLACE (CAST(k AS BIGINT) AS p_partkey) FROM (SELECT unnest({keys}) AS k), (SELECT * FROM {{}} LIMIT 1) p"
+    mine, wanted = compared(spark, tmp_path, "class_rollup", {"part": made})
+    assert mine == wanted and max(int(r[-1]) for r in mine) > 150
