@@ -115,6 +115,22 @@ def test_dimensions_are_resolved_once_for_each_case(spark, vocabulary, monkeypat
     assert conforming.conformed(rows, vocabulary, studies, areas).count() == 43 and seen == [2]
 
 
+def test_no_outcome_is_written_with_its_dimensions(spark, vocabulary, monkeypatch):
+    """The tables on the way are outcomes as they stand, texts and cases; past the bounds the rows are the same."""
+    made = {}
+    keep = lambda name, build: made.setdefault(name, None) or made.update({name: conforming.written(build(), f"test-{name}")}) or made[name]
+    texts = [("PFS", f"Week {k % 5}", None) for k in range(40)] + [("PFS", "", ""), ("", None, "Cmax"), ("body weight", "3 months past randomisation", None), ("Proportion of participants with response", "from baseline up to week 8", None)]
+    studies = spark.createDataFrame([("N1", "RANDOMIZED"), ("N2", ""), ("N3", None)], "nct_id string, allocation string")
+    areas = spark.createDataFrame([("N43", "furniture", True), ("N4", "", True), ("N5", None, True)], "nct_id string, ta_id string, is_primary boolean")
+    job = lambda *more: conforming.conformed(planned(spark, *texts), vocabulary, studies, areas, *more)
+    text = lambda df: sorted(str(r.asDict(True)) for r in df.collect())
+    here = text(job(keep))
+    assert set(made) == {"rows", "found", "cases"} and "measurement" not in made["rows"].columns and made["cases"].count() < 10
+    assert text(job(keep)) == here and len(here) == 44
+    monkeypatch.setattr(conforming, "in_bounds", lambda *_: False)
+    assert text(job()) == here
+
+
 def test_a_report_makes_only_what_it_reaches(spark, monkeypatch):
     monkeypatch.setattr(conform, "reported", lambda data: pytest.fail("form_breakdown reads no reported outcomes"))
     from spindrift.plans import QUERIES
