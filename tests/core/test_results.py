@@ -64,3 +64,24 @@ def test_empty_tables(spark, tables):
     none = [t.limit(0) for t in tables]
     assert results.result_rows(*none).count() == 0 and results.result_titles(none[0], none[3]).count() == 0
     assert results.result_rows(tables[0], none[1], tables[2], none[3]).where("n_source = 'outcome_group'").count() == 0
+
+
+def test_rows_move_only_for_their_ids(spark, tables):
+    """With the labels from the tables that state them, the rows are dealt by their id and by their result, not by label or unit; the rows are the same."""
+    outcomes, _, _, baseline = tables
+    titles = results.result_titles(outcomes, baseline)
+    ends = titles.select("endpoint_id", F.lit("f").alias("form_id"), F.lit("m").alias("measurement_id"), F.lit(None).cast("string").alias("derivation_id"), F.lit("fixed").alias("timepoint_pattern")).distinct()
+    units, scales = spark.createDataFrame(UNITS, "scale_id string, synonym string"), spark.createDataFrame(SCALES, "scale_id string, si_equivalent string, factor_to_si double")
+    plain, moved_less = (results.result_dispersion(results.result_rows(*tables), titles, ends, units, scales, labels) for labels in (None, results.result_labels(outcomes, baseline)))
+    text = lambda df: sorted(str(r) for r in df.collect())
+    assert text(plain) == text(moved_less)
+    keys = [x.split(")")[0] for x in moved_less._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
+    assert keys and not any(k.startswith(("unit_raw", "param_type", "dispersion_type", "coalesce(param_type")) for k in keys)
+
+
+def test_the_spread_at_baseline_reads_no_outcomes(spark, monkeypatch):
+    from spindrift.plans import QUERIES, projections, result_tables
+
+    monkeypatch.setattr(projections, "_KEPT", {})
+    monkeypatch.setattr(result_tables, "reported", lambda data: pytest.fail("baseline_sd reads no reported outcomes"))
+    assert QUERIES["baseline_sd"](spark, "/root/testdata/sf0.001").count() > 0
