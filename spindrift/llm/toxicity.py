@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow, table
+from .common import Memo, arrow, released, table
 
 KINDS = 3
 CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
@@ -300,7 +300,12 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class:
         if r["doc_id"] not in rows:  # arrays, as lists of numbers take many times their memory
             lists = {c: np.array(r[c], np.int32) for c in ("features", "counts")}
             rows[r["doc_id"]] = {"doc_id": r["doc_id"], "label": r["label"], "words": r["words"]} | lists
-    return train(list(rows.values()), represented(labels, label, per_class), categories)
+    sample = list(rows.values())
+    del rows
+    model = train(sample, represented(labels, label, per_class), categories)
+    del sample
+    released()  # the driver lives on, with the model alone
+    return model
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:

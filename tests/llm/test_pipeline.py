@@ -37,3 +37,22 @@ def test_sql(spark, name):
     sql = db.sql(entry.oracle_sql()[name])
     rows = entry.queries()[name](spark, FOLDER).select(*sql.columns)
     assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, sql.fetchall()))
+
+
+def test_the_fit_leaves_the_drivers_memory_as_it_was(spark, monkeypatch):
+    """What the fit needed goes back to the system, though its model lies above it in memory."""
+    import numpy as np
+
+    from spindrift.llm import toxicity
+    from spindrift.llm.common import table
+
+    def train(*_):
+        work = [np.ones(1_000) for _ in range(25_000)]
+        return {"weights": work.pop()}
+
+    held = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) // 1024
+    monkeypatch.setattr(toxicity, "train", train)
+    docs, labels = (table(spark, "/root/testdata/sf0.001", n) for n in ("documents", "labels"))
+    before = held()
+    model = toxicity.fitted(docs, labels)
+    assert len(model["weights"]) == 1_000 and held() - before < 80
