@@ -96,16 +96,18 @@ _SPECIAL = re.compile(r"<\|")
 
 def candidates(ids: np.ndarray, ends: np.ndarray, lines: np.ndarray = _NO_LINES, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Where cuts may lie in a line of ids (after each document's end in ``ends``, and where ``lines`` end), and their penalties."""
-    after = np.union1d(np.flatnonzero(sentence_ends()[ids]) + 1, lines)
-    at = np.union1d(after, ends)
-    at = np.concatenate(([0], at[at > 0]))
-    gaps = np.diff(at)
-    if wide := np.flatnonzero(gaps > window).tolist():
-        at = np.union1d(at, np.concatenate([np.arange(at[i] + GRID, at[i + 1], GRID) for i in wide]))
-    penalty = np.full(len(at), WITHIN_SENTENCE)
-    penalty[np.isin(at, after)] = AFTER_SENTENCE
-    penalty[np.isin(at, ends)] = 0
-    return at, penalty
+    # What a cut at each place costs, with places where none may lie at -1.
+    cost = np.full(len(ids) + 1, -1, np.int8)
+    cost[1:][sentence_ends()[ids]] = AFTER_SENTENCE
+    cost[lines] = AFTER_SENTENCE
+    cost[0] = WITHIN_SENTENCE
+    cost[ends] = 0
+    at = np.flatnonzero(cost >= 0)
+    if wide := np.flatnonzero(np.diff(at) > window).tolist():
+        for i in wide:
+            cost[at[i] + GRID : at[i + 1] : GRID] = WITHIN_SENTENCE
+        at = np.flatnonzero(cost >= 0)
+    return at, cost[at].astype(np.int64)
 
 
 def best_cuts(at: list[int], penalty: list[int], window: int = WINDOW) -> list[int]:

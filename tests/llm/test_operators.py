@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import ann, components, exact_dedup, near_dedup, packing, quality, reshard, sentencepiece, substring_dedup, tokens, toxicity, training_order
+from spindrift.llm import ann, common, components, exact_dedup, near_dedup, packing, quality, reshard, sentencepiece, substring_dedup, tokens, toxicity, training_order
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -872,3 +872,24 @@ def test_normaliser_arcs():
             for text in ("", " ", "a", " a", "a ", "a  b", "  a b  c "):
                 plain = re.sub(" +", " ", text.strip(" ")) if collapse else text
                 assert n(text) == ("\u2581" if prefix and plain else "") + plain.replace(" ", "\u2581"), (text, prefix, collapse)
+
+
+def test_new_words_are_made_once_and_memos_stay_small():
+    made = []
+    memo = common.Memo(lambda key: made.append(key) or key.encode(), 5, 4)
+    assert memo.of_all(["a", "b", "a", "c"]) == [b"a", b"b", b"a", b"c"] and made == ["a", "b", "c"]
+    assert memo.of_all(["w" * 600, "a"]) == [b"w" * 600, b"a"] and "w" * 600 not in memo and memo.held == 3
+    assert memo.of_all([str(k) for k in range(50)]) == [str(k).encode() for k in range(50)] and len(memo) <= 5 and memo.held <= 20
+    encode = tokens.word_encoder()
+    for text in ("Hat. HAT hat, (hat)", "Éa. éa, ÉA", "a\x1cb", "a\x85b <|x|>", "a\x7f."):
+        assert np.frombuffer(encode(text), "<u2").tolist() == library_ids(text)
+
+
+def test_cuts_lie_where_sentences_lines_and_documents_end():
+    dot = int(np.flatnonzero(packing.sentence_ends())[0])
+    ids = np.zeros(500, np.int64)
+    ids[[9, 19, 499]] = dot
+    at, penalty = packing.candidates(ids, np.array([15, 500]), np.array([0, 12, 15]), 128)
+    costs = dict(zip(at.tolist(), penalty.tolist(), strict=True))
+    wide = {k: packing.WITHIN_SENTENCE for k in range(20 + packing.GRID, 500, packing.GRID)}
+    assert costs == {0: packing.WITHIN_SENTENCE, 10: packing.AFTER_SENTENCE, 12: packing.AFTER_SENTENCE, 15: 0, 20: packing.AFTER_SENTENCE, 500: 0} | wide
