@@ -893,3 +893,20 @@ def test_cuts_lie_where_sentences_lines_and_documents_end():
     costs = dict(zip(at.tolist(), penalty.tolist(), strict=True))
     wide = {k: packing.WITHIN_SENTENCE for k in range(20 + packing.GRID, 500, packing.GRID)}
     assert costs == {0: packing.WITHIN_SENTENCE, 10: packing.AFTER_SENTENCE, 12: packing.AFTER_SENTENCE, 15: 0, 20: packing.AFTER_SENTENCE, 500: 0} | wide
+
+
+def test_scratch_tables_are_written_in_batches_of_few_bytes(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 4000) AS text")
+    before = spark.conf.get(common.BATCH_SETTING, None)
+    found = [r["n"] for r in common.written(common.arrow(rows, sizes, "n long"), "sizes").collect()]
+    assert sum(found) == 4000 and max(found) * 4000 <= 2 * common.BATCH
+    assert spark.conf.get(common.BATCH_SETTING, None) == before
+    with pytest.raises(Exception), common.small_batches(spark):
+        raise ValueError
+    assert spark.conf.get(common.BATCH_SETTING, None) == before
