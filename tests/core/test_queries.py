@@ -45,3 +45,10 @@ def test_query(spark, db, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES) and all(re.fullmatch("[a-z0-9_]+", k) for k in QUERIES)
+
+
+def test_a_measurement_names_its_forms(spark, db):
+    sql = db.sql(ORACLES["same_measurement_other_form"])
+    rows = QUERIES["same_measurement_other_form"](spark, FOLDER).select(*sql.columns).collect()
+    assert plain(rows) == plain(sql.fetchall())
+    assert rows and all(len(seen := r["forms_seen"].split(", ")) == r["forms"] and seen == sorted(set(seen)) for r in rows)
