@@ -72,6 +72,16 @@ def test_variants_of_few_letters(spark):
     assert sorted(found_variants(spark, rows), key=str) == sorted(want, key=str)
 
 
+def test_variants_send_no_table_to_the_driver(spark, monkeypatch):
+    """Sizes are told of compressed files, and of a table before its rows are multiplied: no join may go by them."""
+    plans, written = [], spelling.written
+    monkeypatch.setattr(spelling, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    rows = [(i, "banana bananas banane ananas " * 5, "en", "a", None) for i in range(9)]
+    last = spelling.variants(spark.createDataFrame(rows, SCHEMA))
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_variants_of_odd_rows(spark):
     long = "wörterbuch " * 6 + "x" * 100_000 + " " + "Wörterbush " * 40 + "ORANGES oranges orangesÉ " * 5
     rows = [*odd_rows(), (20, long, "de", "a", 1), (20, long, "de", "a", 1), (None, "missing " * 30 + "misssing " * 5, None, None, None), (21, ("z" * 29_999 + " ") * 5 + ("z" * 30_000 + " ") * 5 + ("ab" * 300 + "c" + "ab" * 100 + " ") * 5 + ("ab" * 300 + "d" + "ab" * 100 + " ") * 6 + ("ab" * 400 + " ") * 5, None, None, None)]
