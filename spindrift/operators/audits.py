@@ -79,19 +79,80 @@ def unique_precedence(df: DataFrame, column: str = "precedence") -> DataFrame:
     return together(broken(df.where(F.col(column).isNull()), "precedence_missing", "id"), broken(repeated(df.where(F.col(column).isNotNull()), column), "precedence_repeated", column))
 
 
+#: How many ancestors the pieces have that walks are made of.
+PIECE = 16
+
+
 def ancestors(edges: DataFrame) -> DataFrame:
     """child, ancestor, depth: all pairs, however far apart, the shortest way each; a member of a cycle is its own ancestor.
 
-    edges: child, parent. Each round joins the pairs with themselves, so that the reach doubles, and is written; the rounds end when one
-    finds no new pair. (A round finds every pair within twice the reach, so a round without a new pair has found them all.)
+    edges: child, parent. Where a child has one parent at most, see :func:`_ancestors_of_walks`. Else each round doubles the reach: a way longer than the
+    reach starts with one that is exactly as long, so only pairs that far apart meet the others. The rounds end when one finds no new pair.
+    """
+    steps = _kept(edges.where("child is not null and parent is not null").select("child", "parent").distinct())
+    if steps.groupBy("child").count().where("count > 1").isEmpty():
+        return _ancestors_of_walks(steps)
+    pairs, reach = _kept(steps.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))), 1
+    while True:
+        onward = pairs.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        longer = pairs.where(F.col("depth") == reach).join(onward, "ancestor").select("child", F.col("further").alias("ancestor"), (F.col("more") + reach).alias("depth"))
+        new = _kept(longer.groupBy("child", "ancestor").agg(F.min("depth").alias("depth")).join(pairs, ["child", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            return pairs
+        pairs, reach = pairs.unionByName(new), reach * 2
+
+
+def _ancestors_of_walks(steps: DataFrame) -> DataFrame:
+    """:func:`ancestors` of steps (child, parent) that go one way from each child. The pairs are never stored or moved.
+
+    Each node has a piece: its first ``PIECE`` ancestors, in their order. A walk is a chain of pieces: the child's own, that of its ancestor ``PIECE``
+    steps up, and so on. The chains' links, a row for each piece of a walk, are found by jumps that double, and met by the pieces once.
+    A walk that comes to a ring ends when it has been once around: ``most`` is how far that is, null for the others.
+    """
+    pieces, size = _kept(steps.select("child", F.col("parent").alias("to"), F.array("parent").alias("up"))), 1
+    while size < PIECE:
+        on = pieces.select(F.col("child").alias("to"), F.col("to").alias("further"), F.col("up").alias("more"))
+        pieces = _kept(pieces.join(on, "to", "left").select("child", F.col("further").alias("to"), F.concat("up", F.coalesce("more", F.slice("up", 1, 0))).alias("up")))
+        size *= 2
+    rings = _cycles_of_walks(steps)
+    ends = _ways_around(steps, rings)
+    jumps = pieces.where("to is not null").select("child", "to")
+    links, reach = [_kept(ends.select("child", F.col("child").alias("at"), F.lit(0).alias("n"), "most"))], 1
+    while not jumps.isEmpty():
+        on = jumps.select(F.col("child").alias("at"), "to")
+        further = _all(links).join(on, "at").select("child", F.col("to").alias("at"), (F.col("n") + reach).alias("n"), "most")
+        new = _kept(further.where(F.col("most").isNull() | (F.col("n") * PIECE < F.col("most"))))
+        if new.isEmpty():
+            break
+        links.append(new)
+        onward = jumps.select(F.col("child").alias("to"), F.col("to").alias("further"))
+        jumps, reach = _kept(jumps.join(onward, "to").select("child", F.col("further").alias("to"))), reach * 2
+    found = _all(links).join(pieces.select(F.col("child").alias("at"), "up"), "at").select("child", "n", "most", F.posexplode("up").alias("k", "ancestor"))
+    found = found.select("child", "ancestor", (F.col("n") * PIECE + F.col("k") + 1).cast("int").alias("depth"), "most")
+    return found.where(F.col("most").isNull() | (F.col("depth") <= F.col("most"))).drop("most")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ways_around(steps: DataFrame, rings: DataFrame) -> DataFrame:
+    """child and most: after how many steps a walk has seen all nodes that it comes to; null where it is on no ring and comes to none.
+
+    rings: id, cycle of the members of rings.
     """
-    pairs = edges.where("child is not null and parent is not null").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    pairs, n = _kept(pairs), -1
-    while n != (n := pairs.count()):
-        on = pairs.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
-        longer = pairs.join(on, "ancestor").select("child", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        pairs = _kept(pairs.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
-    return pairs
+    around = _kept(rings.join(rings.groupBy("cycle").agg(F.count(F.lit(1)).alias("members")), "cycle").select("id", "members"))
+    off = steps.join(around.select(F.col("id").alias("child")), "child", "left_anti")
+    walks, done = off.select("child", F.col("parent").alias("to"), F.lit(1).alias("steps")), []
+    while True:  # a walk stops at the first node that is on a ring, and is looked up by the others as it then stands
+        done.append(_kept(walks.join(around.select(F.col("id").alias("to")), "to", "left_semi").select("child", "to", "steps")))
+        left = _kept(walks.join(around.select(F.col("id").alias("to")), "to", "left_anti").select("child", "to", "steps"))
+        if left.isEmpty():
+            break
+        on = _all([left, *done]).select(F.col("child").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
+        walks = left.join(on, "to").select("child", F.col("further").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))
+    entered = _all(done).join(around.select(F.col("id").alias("to"), "members"), "to").select("child", (F.col("steps") + F.col("members") - 1).alias("most"))
+    return steps.select("child").join(around.select(F.col("id").alias("child"), F.col("members").alias("most")).unionByName(entered), "child", "left")
 
 
 def _kept(pairs: DataFrame) -> DataFrame:

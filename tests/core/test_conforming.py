@@ -186,3 +186,33 @@ def test_audits_are_silent_on_a_sound_vocabulary(spark, vocabulary):
     assert cycles == {f"r{k:02}": "r00" for k in range(20)} | {"self": "self", "x": "x", "y": "x"}
     assert audits.cycles(spark.createDataFrame([], "child string, parent string")).count() == 0
     assert {(r["rule"], r["key"]) for r in audits.hierarchy(ring).collect()} == {("cycle", "a"), ("cycle", "b"), ("cycle", "c"), ("parent_unknown", "x"), ("not_before_parent", "c")}
+
+
+def test_ancestors_of_walks_are_never_joined_with_themselves(spark, monkeypatch):
+    """Chains, trees and rings of many lengths against walking; what is written grows with the nodes, not with the pairs' ways."""
+    parent = {f"c{k}": f"c{k + 1}" for k in range(200)} | {f"t{k}": f"t{k // 3}" for k in range(1, 60)} | {f"r{k}": f"r{(k + 1) % 35}" for k in range(35)}
+    parent |= {f"s{k}": f"s{(k + 1) % 3}" for k in range(3)} | {f"i{k}": f"i{k + 1}" for k in range(50)} | {"i50": "r7", "j0": "i3", "u0": "s1", "u1": "u0", "self": "self", "v": "self"}
+    want = {}
+    for child in parent:
+        at, n = parent[child], 1
+        while at is not None and (child, at) not in want:
+            want[child, at] = n
+            at, n = parent.get(at), n + 1
+    kept, rows = audits._kept, []
+    monkeypatch.setattr(audits, "_kept", lambda df: rows.append((out := kept(df)).count()) or out)
+    found = audits.ancestors(spark.createDataFrame(list(parent.items()), "child string, parent string")).collect()
+    assert len(found) == len(want) and {(r["child"], r["ancestor"]): r["depth"] for r in found} == want
+    assert max(rows) < len(want) / 8
+
+
+def test_ancestors_of_several_parents_take_the_shortest_way(spark):
+    edges = [(f"n{k}", f"n{k + 1}") for k in range(40)] + [("n3", "n30"), ("n40", "n12"), ("n5", "m"), ("m", "n9"), ("n0", "n0")]
+    want = {}
+    for child in {a for a, _ in edges}:
+        seen, level, n = {}, {b for a, b in edges if a == child}, 1
+        while level:
+            seen |= dict.fromkeys(level, n)
+            level, n = {b for a, b in edges if a in level} - set(seen), n + 1
+        want |= {(child, b): d for b, d in seen.items()}
+    found = audits.ancestors(spark.createDataFrame(edges, "child string, parent string")).collect()
+    assert len(found) == len(want) and {(r["child"], r["ancestor"]): r["depth"] for r in found} == want
