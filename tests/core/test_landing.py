@@ -205,3 +205,13 @@ def test_a_study_of_many_lines_keeps_all_outcomes(spark, tmp_path, monkeypatch):
     assert arms.exceptAll(view("p_arms").select("nct_id", "title")).count() == 0 and arms.count() == view("p_arms").count()
     assert QUERIES["flatten_arm_links"](spark, str(tmp_path)).agg(F.sum("n")).first()[0] == view("p_interventions").count()
     assert landing.records(landing.Data(spark, str(tmp_path))).where("kind = 'study'").count() == view("p_studies").count()
+
+
+def test_lines_move_before_records_are_made_of_them(spark):
+    from spindrift.plans.landing import result_records
+    from spindrift.plans.projections import Data
+
+    s = result_records(Data(spark, "/root/testdata/sf0.001"))
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert "Participants" in plan and "Participants" not in plan[plan.index("Aggregate [") :].split("\n", 1)[1]
+    assert set(r.reported_outcomes(s).columns) == {"nct_id", "ordinal", "outcome_type", "title", "time_frame", "duplicate", "outcome_id"}
