@@ -52,3 +52,8 @@ def test_a_measurement_names_its_forms(spark, db):
     rows = QUERIES["same_measurement_other_form"](spark, FOLDER).select(*sql.columns).collect()
     assert plain(rows) == plain(sql.fetchall())
     assert rows and all(len(seen := r["forms_seen"].split(", ")) == r["forms"] and seen == sorted(set(seen)) for r in rows)
+
+
+def test_documents_are_made_once_for_their_terms(spark):
+    plan = QUERIES["document_surrogates"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
